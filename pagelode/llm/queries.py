@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing
+from . import exact_dedup, mixing, packing, ppm
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_documents(_documents(spark, sf_dir))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(_documents(spark, sf_dir))
 
@@ -27,7 +31,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_best_fit_packing, op8_exact_dedup, op9_source_mixing)
+    f.__name__: f for f in (op1_ppm_scoring, op3_best_fit_packing, op8_exact_dedup, op9_source_mixing)
 }
 
 ORACLE_SQL: dict[str, str] = {
