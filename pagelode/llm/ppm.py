@@ -40,10 +40,10 @@ from .packing import _groups
 from .storage import materialize
 from .text import LOWER_BYTES
 
-ORDER = 4
+ORDER = 5
 BOUNDARY = 0xFF
 SYMBOLS = 256
-MAX_NODES = 1_500_000
+MAX_NODES = 2_000_000
 FREQUENT = 131_072
 _EMPTY = np.uint64(2**64 - 1)
 
