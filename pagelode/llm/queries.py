@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing, ppm
+from . import exact_dedup, mixing, packing, ppm, shingle_join
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,11 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(_documents(spark, sf_dir))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = shingle_join.similarity_components(_documents(spark, sf_dir), width=3, num=90, den=100)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(_documents(spark, sf_dir))
 
@@ -31,7 +36,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ppm_scoring, op3_best_fit_packing, op8_exact_dedup, op9_source_mixing)
+    f.__name__: f for f in (op1_ppm_scoring, op3_best_fit_packing, op7_ngram_jaccard_join, op8_exact_dedup, op9_source_mixing)
 }
 
 ORACLE_SQL: dict[str, str] = {
