@@ -21,6 +21,7 @@ import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ END_ID = 1
 _PIECES = "row long, doc_id long, piece int, start long, length long, ids_crc32 long"
 #: White space about which string methods and the tokenizer may differ, and strings of special tokens.
 _ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]|<\\|")
-_KEEP_WORDS = 400_000
+_KEEP_WORDS = 300_000
 _words: dict[str, dict[str, bytes]] = {}
 
 
@@ -45,35 +46,59 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _byte_letters() -> list[str]:
+    """The letter for each byte in a byte-level vocabulary: printable bytes stand for themselves."""
+    same = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = iter(range(256, 512))
+    return [chr(b if b in same else next(other)) for b in range(256)]
+
+
 class _Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes, with a bounded cache of words."""
+    """Ids of texts as little-endian unsigned 32-bit bytes, with a bounded store of words.
+
+    Words of Latin letters, perhaps with a stop or comma, go to the tokenizer's model
+    right away; any other word goes through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.cache = _words.setdefault(path, {})  # outlives the task if the worker does
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.tokenizer, self.path = Tokenizer.from_file(path), path
+        self.kept = _words.setdefault(path, {})  # outlives the task if the worker does
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.marks = {m: array("I", self.tokenizer.encode(m, add_special_tokens=False).ids).tobytes() for m in ".,"}
+
+    def _ids(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        mark = self.marks.get(word[-1], b"")
+        bare = word[:-1] if mark else word
+        if not bare.isalpha():
+            return self._ids(word)
+        if not bare.isascii():
+            bare = normalize("NFC", bare)
+            if max(bare) >= "\u0250" or not (low := bare.lower()).isalpha():
+                return self._ids(word)
+            low = "".join([self.letters[x] for x in low.encode()])
+        else:
+            low = bare.lower()
+        return array("I", [t.id for t in self.model.tokenize(low)]).tobytes() + mark
 
     def batch(self, texts: list[str]) -> Iterator[bytes]:
+        kept = self.kept
         plain = [not _ODD.search(x) for x in texts]
         split = [x.split() if p else [] for x, p in zip(texts, plain, strict=True)]
         new: set[str] = set()
         for words in split:
             new.update(words)
-        missing = list(new - self.cache.keys())
-        if missing:
-            if len(self.cache) + len(missing) > _KEEP_WORDS:
-                self.cache.clear()
-                missing = list(new)
-            for k in range(0, len(missing), 20_000):
-                part = missing[k : k + 20_000]
-                self.cache.update(zip(part, self._ids(part), strict=True))
-        get = self.cache.__getitem__
+        for w in new - kept.keys():
+            kept[w] = self._word(w)
+        get = kept.__getitem__
         for text, p, words in zip(texts, plain, split, strict=True):
-            yield b"".join(map(get, words)) if p else self._ids([text])[0]
+            yield b"".join(map(get, words)) if p else self._ids(text)
+        if len(kept) > _KEEP_WORDS:  # frequent words are in any batch
+            self.kept = _words[self.path] = {w: kept[w] for w in new}
 
 
 def _groups(batches: Iterator[pa.RecordBatch], most_chars: int = 4_000_000) -> Iterator[tuple[list, list[str]]]:
