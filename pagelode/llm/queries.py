@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing, ppm, shingle_join, toxicity
+from . import exact_dedup, langid, mixing, packing, ppm, shingle_join, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,11 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(_documents(spark, sf_dir))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return langid.predict(docs, langid.train(docs))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     return toxicity.score_documents(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -41,7 +46,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ppm_scoring, op3_best_fit_packing, op5_toxicity, op7_ngram_jaccard_join, op8_exact_dedup, op9_source_mixing)
+    f.__name__: f for f in (op1_ppm_scoring, op3_best_fit_packing, op4_language_id, op5_toxicity, op7_ngram_jaccard_join, op8_exact_dedup, op9_source_mixing)
 }
 
 ORACLE_SQL: dict[str, str] = {
