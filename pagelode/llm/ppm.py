@@ -25,6 +25,7 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -43,7 +44,7 @@ from .text import LOWER_BYTES
 ORDER = 5
 BOUNDARY = 0xFF
 SYMBOLS = 256
-MAX_NODES = 2_000_000
+MAX_NODES = 1_000_000
 FREQUENT = 131_072
 _EMPTY = np.uint64(2**64 - 1)
 
@@ -74,7 +75,7 @@ class HashTable:
     """Open addressing over uint64 keys; ``find`` gives each key's row, or -1."""
 
     def __init__(self, keys: np.ndarray):
-        bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 2.5))))
+        bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 1.5))))
         self.shift, self.size = np.uint64(64 - bits), 1 << bits
         self.keys = np.full(self.size, _EMPTY)
         self.rows = np.full(self.size, -1, np.int32)
@@ -200,6 +201,17 @@ class Trie:
         return out
 
 
+_tries: dict[str, Trie] = {}
+
+
+def _trie(key: str, grams: np.ndarray, counts: np.ndarray, order: int) -> Trie:
+    """The model, built once in each Python worker: what is sent are its deepest grams alone."""
+    if key not in _tries:
+        _tries.clear()
+        _tries[key] = Trie(grams, counts.astype(float), order)
+    return _tries[key]
+
+
 def is_held_out(doc_id: Column, remainder: int = 1) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == remainder, F.lit(False))
 
@@ -272,11 +284,12 @@ def score_documents(docs: DataFrame, order: int = ORDER, max_nodes: int = MAX_NO
     ).first()
     norm = log10(totals["n"] + 0.5 * (totals["v"] + 1))
     words = words.where("word is not null").select("word", "n")
-    grams = _most_frequent(counts.where("gram is not null").select("gram", "n"), max_nodes).toPandas()
-    trie = spark.sparkContext.broadcast(Trie(grams["gram"].to_numpy(np.int64).astype(np.uint64), grams["n"].to_numpy(float), order))
-    del grams
-    top = _most_frequent(words, frequent).toPandas()
-    logs = spark.sparkContext.broadcast({w.encode(): log10(n + 0.5) for w, n in zip(top["word"], top["n"], strict=True)})
+    grams = _most_frequent(counts.where("gram is not null").select("gram", "n"), max_nodes).toArrow()
+    deepest = (uuid.uuid4().hex, grams["gram"].to_numpy().astype(np.uint64), grams["n"].to_numpy(), order)
+    model = spark.sparkContext.broadcast(deepest)
+    del grams, deepest
+    top = _most_frequent(words, frequent).toArrow()
+    logs = spark.sparkContext.broadcast({w.encode(): log10(n + 0.5) for w, n in zip(*(top[c].to_pylist() for c in ("word", "n")), strict=True)})
     ends = totals["ends"]
 
     class Known(dict):
@@ -288,11 +301,11 @@ def score_documents(docs: DataFrame, order: int = ORDER, max_nodes: int = MAX_NO
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Known(logs.value)
-        model = trie.value
+        trie = _trie(*model.value)
         row = TaskContext.get().partitionId() << 33
         for ids, texts in _groups(batches):
             lowered = [_lowered(t) for t in texts]
-            scores = model.score(lowered)
+            scores = trie.score(lowered)
             rows, tokens, n_known, base = [], [], [], []
             rare_rows: list[int] = []
             rare_words: list[str] = []
