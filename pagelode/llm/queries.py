@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, mixing, packing, ppm, shingle_join, toxicity
+from . import exact_dedup, langid, mixing, packing, pii, ppm, shingle_join, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op6_private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.private_spans(_documents(spark, sf_dir))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = shingle_join.similarity_components(_documents(spark, sf_dir), width=3, num=90, den=100)
     return found.select("doc_id", "n_shingles", "component_id")
@@ -46,7 +50,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ppm_scoring, op3_best_fit_packing, op4_language_id, op5_toxicity, op7_ngram_jaccard_join, op8_exact_dedup, op9_source_mixing)
+    f.__name__: f for f in (op1_ppm_scoring, op3_best_fit_packing, op4_language_id, op5_toxicity, op6_private_spans, op7_ngram_jaccard_join, op8_exact_dedup, op9_source_mixing)
 }
 
 ORACLE_SQL: dict[str, str] = {
