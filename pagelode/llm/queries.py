@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, mixing, packing, pii, ppm, shingle_join, toxicity
+from . import exact_dedup, langid, license, mixing, packing, pii, ppm, shingle_join, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score_documents(_documents(spark, sf_dir))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.license_scan(_documents(spark, sf_dir))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(_documents(spark, sf_dir))
 
@@ -50,10 +54,11 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ppm_scoring, op3_best_fit_packing, op4_language_id, op5_toxicity, op6_private_spans, op7_ngram_jaccard_join, op8_exact_dedup, op9_source_mixing)
+    f.__name__: f for f in (op1_ppm_scoring, op2_license_scan, op3_best_fit_packing, op4_language_id, op5_toxicity, op6_private_spans, op7_ngram_jaccard_join, op8_exact_dedup, op9_source_mixing)
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_license_scan": license.oracle_sql(),
     "op8_exact_dedup": """
 WITH d AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS h

@@ -333,7 +333,7 @@ def similarity_components(docs: DataFrame, width: int = 5, num: int = 4, den: in
     shared = (
         entries.groupBy("signature").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").drop("most")
     )
-    edges = entries.join(shared, "signature").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    edges = entries.join(shared.hint("merge"), "signature").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
     clusters = connected_components(materialize(edges, "edges")).select("node", F.col("component").alias("cluster"))
     sizes = clusters.join(nodes, "node")
     total = sizes.groupBy("cluster").agg(F.sum("n").alias("members"))
