@@ -9,17 +9,27 @@ Exact, without pairs inside groups:
    Each set signs all segments but its E emptiest, so a linked pair shares at least
    one signature. Sizes fall into windows; a set signs for each window that a
    possible partner may own.
-3. Signatures link sets to the least node that shares them (map-side minima and a
-   join, so a hot signature is split); connected components of these edges are
-   clusters that hold every link.
+   Members that many documents hold (a counting sketch of fixed size over all
+   documents marks them; common passages, large groups of copies) say little, and
+   leaving any fixed set of members out keeps the bound D. Sets that are mostly rare
+   sign their rare members only, sets that are mostly common sign all, those between
+   sign both ways, so a linked pair always has a way in common.
+3. Signatures link sets to the least set that shares them. Rare signatures belong to a
+   bounded number of documents and take one shuffle; common ones combine minima on
+   the map side and join, so a hot one is split. Connected components of these edges
+   are clusters that hold every link.
 4. Inside a cluster, or a block of bounded size of a large one, the sets are put in
-   one global order (frequent members first) and stored in a prefix tree. Each set
-   walks the tree with a running overlap that all sets below a node share; subtrees
-   are pruned when the members that remain cannot reach the threshold, and when all
-   of their sets are already connected with the walking one.
+   one global order (rare members first) and stored in a prefix tree. A set walks
+   only the subtrees below nodes that hold a member of both prefixes, with a running
+   overlap that all sets below a node share; subtrees are pruned when the members
+   that remain cannot reach the threshold, and when all of their sets are already
+   connected with the walking one.
 5. Blocks of one cluster meet through one set per connected part; where parts remain
    apart, all sets outside the largest part are joined with every block.
 
+Texts of clustered documents are found through a bitmap of fixed size over all ids
+(false hits are dropped by the join behind it).
+
 Defined cases: null text and texts without words have the empty set, which links with
 nothing; fewer words than the width are one shingle; repeated rows link with each
 other; a null id never is a component's id unless all its ids are null; an empty table
@@ -36,7 +46,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -44,6 +54,10 @@ from .packing import _groups
 from .ppm import _lowered
 from .storage import materialize
 
+#: Counters of the sketch of common members, and bits of the bitmap of clustered ids.
+COUNTERS, SLICE, ID_BITS = 1 << 24, 1 << 16, 1 << 27
+#: A member is common if its counter exceeds what chance gives by about this many documents.
+COMMON = 16
 #: Sets in one prefix tree have at most about this many members in all.
 BLOCK_MEMBERS = 2_000_000
 _GROWTH = 1.4
@@ -102,10 +116,11 @@ class Windows:
         both = small + small * self.den // self.num
         return both - 2 * -(-self.num * both // (self.num + self.den))
 
-    def signatures(self, members: np.ndarray) -> np.ndarray:
-        n = len(members)
+    def signatures(self, members: np.ndarray, n: int | None = None, way: int = 0) -> np.ndarray:
+        """Signatures of a set of size n by those of its members that are given; ``way`` keeps kinds apart."""
+        n = len(members) if n is None else n
         out = []
-        if n:
+        if n and len(members):
             weak = _mixed(members ^ np.uint64(0x5851F42D4C957F2D))
             last = self._window(n)
             for window in range(self._window(max(1, -(-self.num * n // self.den))), last + 1):
@@ -119,39 +134,95 @@ class Windows:
                 sums = np.zeros(segments, np.uint64)
                 full = np.flatnonzero(held)
                 sums[full] = np.add.reduceat(weak, (np.cumsum(held) - held)[full])
-                label = np.arange(segments, dtype=np.uint64) + np.uint64(window << 40 | 1)
+                label = np.arange(segments, dtype=np.uint64) + np.uint64(window << 40 | way << 60 | 1)
                 sums = _mixed(sums ^ _mixed(label))
                 out.append(np.delete(sums, np.argsort(held, kind="stable")[:spare]) if spare else sums)
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def set_features(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """row, doc_id, n, node (null for empty sets), signatures."""
+def common_members(docs: DataFrame, width: int) -> np.ndarray | None:
+    """Bits (packed) of the sketch's counters whose members are common; None without documents.
+
+    Counters saturate at 255 per task and at 65535 in all; Spark sums them in slices, in
+    two levels. Whatever the sketch says, no link is lost.
+    """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters = np.zeros(COUNTERS, np.uint8)
+        any_rows = False
+        for _, texts in _groups(batches):
+            found = [shingle_set(_lowered(t), width) for t in texts]
+            places, n = np.unique(np.concatenate(found) & np.uint64(COUNTERS - 1), return_counts=True)
+            places = places.astype(np.int64)
+            counters[places] = np.minimum(255, counters[places].astype(np.int64) + n)
+            any_rows = any_rows or len(places) > 0
+        if any_rows:
+            salt = TaskContext.get().partitionId() % 256
+            for k in range(0, COUNTERS, SLICE):
+                part = counters[k : k + SLICE]
+                if part.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([k // SLICE]), pa.array([salt]), pa.array([part.astype("<u2").tobytes()])], ["slice", "salt", "counts"])
+
+    def summed(table: pa.Table) -> pa.Table:
+        total = np.zeros(SLICE, np.int64)
+        for raw in table.column("counts"):
+            total += np.frombuffer(raw.as_py(), "<u2")
+        part = np.minimum(total, 65535).astype("<u2").tobytes()
+        return pa.table({"slice": [table.column("slice")[0].as_py()], "salt": [0], "counts": [part]}, schema=pa.schema([("slice", pa.int64()), ("salt", pa.int64()), ("counts", pa.binary())]))
+
+    kind = "slice long, salt long, counts binary"
+    sketch = docs.select("doc_id", "text").mapInArrow(count, kind)
+    sketch = sketch.groupBy("slice", "salt").applyInArrow(summed, kind).groupBy("slice").applyInArrow(summed, kind)
+    counters = np.zeros(COUNTERS, np.uint16)
+    for row in sketch.toLocalIterator():  # at most COUNTERS / SLICE rows
+        counters[row["slice"] * SLICE : (row["slice"] + 1) * SLICE] = np.frombuffer(row["counts"], "<u2")
+    if not counters.any():
+        return None
+    load = float(np.median(counters))
+    return np.packbits(counters >= load + COMMON + 4 * load**0.5)
+
+
+def set_features(docs: DataFrame, width: int, num: int, den: int, common: np.ndarray | None) -> DataFrame:
+    """row, doc_id, n, node (null for empty sets), rare and common signatures."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows, row = Windows(num, den), TaskContext.get().partitionId() << 33
+        bits = shared.value
+        split = bits is not None and 5 * num >= 3 * den  # below 0.6 both ways are needed by all
+
+        def signed(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            none = s[:0]
+            if bits is None or not len(s):
+                return none, windows.signatures(s, way=1)
+            at = (s & np.uint64(COUNTERS - 1)).astype(np.int64)
+            rare = s[(bits[at >> 3] >> (7 - (at & 7)) & 1) == 0]
+            by_rare, by_all = (10 * len(rare) >= 4 * len(s), 10 * len(rare) <= 7 * len(s)) if split else (False, True)
+            return windows.signatures(rare, len(s), 0) if by_rare else none, windows.signatures(s, way=1) if by_all else none
+
+        def lists(values: list[np.ndarray]) -> pa.ListArray:
+            return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]).astype(np.int32)), pa.array(np.concatenate(values).view(np.int64)))
+
         for ids, texts in _groups(batches):
             sets = [shingle_set(_lowered(t), width) for t in texts]
-            signs = [windows.signatures(s) for s in sets]
-            flat = pa.array(np.concatenate(signs).view(np.int64))
-            offsets = pa.array(np.cumsum([0, *map(len, signs)]).astype(np.int32))
+            signs = [signed(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(range(row, row + len(ids)), pa.int64()),
                     pa.array(ids, pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
-                    pa.ListArray.from_arrays(offsets, flat),
+                    lists([a for a, _ in signs]),
+                    lists([b for _, b in signs]),
                 ],
-                ["row", "doc_id", "n", "node", "signatures"],
+                ["row", "doc_id", "n", "node", "rare", "common"],
             )
             row += len(ids)
 
-    return docs.select("doc_id", "text").mapInArrow(features, "row long, doc_id long, n long, node long, signatures array<long>")
+    return docs.select("doc_id", "text").mapInArrow(features, "row long, doc_id long, n long, node long, rare array<long>, common array<long>")
 
 
 class _Node:
-    __slots__ = ("begin", "children", "end", "item", "leaves", "longest", "part", "shortest")
+    __slots__ = ("begin", "children", "end", "item", "leaves", "longest", "parent", "part", "shortest")
 
     def __init__(self, item: int, begin: int, end: int):
         self.item, self.begin, self.end = item, begin, end
@@ -166,7 +237,7 @@ class PrefixTree:
         self.num, self.den = num, den
         members, counts = np.unique(np.concatenate(sets), return_counts=True)
         order = np.empty(len(members), np.int64)
-        order[np.lexsort((members, -counts))] = np.arange(len(members))
+        order[np.lexsort((members, counts))] = np.arange(len(members))
         ranked = [np.sort(order[np.searchsorted(members, s)]) for s in sets]
         self.by_key = sorted(range(len(sets)), key=lambda i: ranked[i].astype(">u4").tobytes())
         self.sets, self.marks = ranked, np.zeros(len(members), bool)
@@ -221,6 +292,14 @@ class PrefixTree:
             lengths = [len(self.sets[i]) for i in node.leaves]
             node.shortest = min([*lengths, *(c.shortest for c in node.children)])
             node.longest = max([*lengths, *(c.longest for c in node.children)])
+            for c in node.children:
+                c.parent = node
+        root.parent = None
+        self.holders: dict[int, list[_Node]] = {}
+        for node in order:  # members in the prefix of some set below
+            edge = self.sets[node.item][node.begin : min(node.end, self._prefix(node.longest))]
+            for member in edge.tolist():
+                self.holders.setdefault(member, []).append(node)
         self._mark_parts()
         return root
 
@@ -230,6 +309,10 @@ class PrefixTree:
             found = {self._find(i) for i in node.leaves} | {c.part for c in node.children}
             node.part = found.pop() if len(found) == 1 else -1
 
+    def _prefix(self, n: int) -> int:
+        """Linked sets share a member among the first this many of each."""
+        return n - -(-self.num * n // self.den) + 1
+
     def _linked(self, both: int, n: int, m: int) -> bool:
         return self.den * both >= self.num * (n + m - both)
 
@@ -262,24 +345,37 @@ class PrefixTree:
         x = self.sets[i]
         n = len(x)
         least, most = -(-self.num * n // self.den), n * self.den // self.num
-        stack = [(self.root, 0)]
+        overlaps: dict[int, int] = {}  # with the path down to a node, shared by all sets below it
+
+        def overlap(node: _Node) -> int:
+            path = []
+            while node is not None and id(node) not in overlaps:
+                path.append(node)
+                node = node.parent
+            total = overlaps[id(node)] if node is not None else 0
+            for below in reversed(path):
+                total += int(np.count_nonzero(self.marks[self.sets[below.item][below.begin : below.end]]))
+                overlaps[id(below)] = total
+            return total
+
+        seen: set[int] = set()
+        stack = [h for member in x[: self._prefix(n)].tolist() for h in self.holders.get(member, ())]
         while stack:
-            node, overlap = stack.pop()
+            node = stack.pop()
+            if id(node) in seen:
+                continue
+            seen.add(id(node))
             low, high = max(node.shortest, least), min(node.longest, most)
             if low > high or (node.part >= 0 and self._find(node.part) == self._find(i)):
                 continue
-            if node.end > node.begin:
-                edge = self.sets[node.item][node.begin : node.end]
-                overlap += int(np.count_nonzero(self.marks[edge]))
-                left = n - int(np.searchsorted(x, edge[-1], "right"))
-            else:
-                left = n
-            if not self._linked(overlap + min(left, high - node.end), n, low):
+            both = overlap(node)
+            left = n - int(np.searchsorted(x, self.sets[node.item][node.end - 1], "right")) if node.end else n
+            if not self._linked(both + min(left, high - node.end), n, low):
                 continue
             for j in node.leaves:
-                if j != i and self._find(j) != self._find(i) and self._linked(overlap, n, len(self.sets[j])):
+                if j != i and self._find(j) != self._find(i) and self._linked(both, n, len(self.sets[j])):
                     self._link(i, j)
-            stack.extend((c, overlap) for c in node.children)
+            stack.extend(node.children)
 
 
 def _tree_join(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -321,19 +417,58 @@ def _tree_join(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
     return rows.sortWithinPartitions("cluster", "block").mapInArrow(joined, "a long, b long")
 
 
+def _id_place(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(ID_BITS))
+
+
+def _id_bits(ids: DataFrame) -> np.ndarray:
+    """Bitmap of the places of ids; Spark builds it in buckets of 32768 bits, at most ID_BITS in all."""
+    place = _id_place(F.col("least_id"))
+    rows = ids.groupBy(F.floor(place / 32768).alias("bucket")).agg(F.expr(f"bitmap_construct_agg(pmod(pmod(xxhash64(least_id), {ID_BITS}), 32768))").alias("bits"))
+    out = np.zeros((ID_BITS // 32768, 4096), np.uint8)
+    for row in rows.toLocalIterator():
+        out[row["bucket"]] = np.frombuffer(row["bits"], np.uint8)
+    return out.reshape(-1)
+
+
+def _kept_by(spark: SparkSession, bits: np.ndarray):
+    shared = spark.sparkContext.broadcast(bits)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
+        for batch in batches:
+            at = batch.column(2).to_numpy()
+            yield batch.filter(pa.array((held[at >> 3] >> (at & 7) & 1) > 0)).select([0, 1])
+
+    return keep
+
+
 def similarity_components(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, block_members: int = BLOCK_MEMBERS) -> DataFrame:
     """row, doc_id, n_shingles, component (a node, null for empty sets), component_id.
 
     Two documents link if the Jaccard similarity of their shingle sets is at least num / den.
     """
     spark = docs.sparkSession
-    features = materialize(set_features(docs, width, num, den), "features")
-    nodes = features.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.max("n").alias("n"))
-    entries = features.where("node is not null").select("node", F.explode("signatures").alias("signature"))
-    shared = (
-        entries.groupBy("signature").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").drop("most")
+    features = materialize(set_features(docs, width, num, den, common_members(docs, width)), "features")
+    sets = features.where("node is not null")
+    nodes = sets.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.max("n").alias("n"), F.min("row").alias("row"))
+    # rows, not digests, travel with signatures: they take less room
+    rare = sets.select("row", F.explode("rare").alias("signature"))
+    first = F.min("row").over(Window.partitionBy("signature"))
+    edges = rare.withColumn("least", first).where("row <> least").select("row", "least")
+    common = sets.select("row", F.explode("common").alias("signature"))
+    hot = common.groupBy("signature").agg(F.min("row").alias("least"), F.max("row").alias("most")).where("least < most").drop("most")
+    edges = edges.unionByName(common.join(hot.hint("merge"), "signature").where("row <> least").select("row", "least")).distinct()
+    ends = materialize(edges, "edges")
+    label = sets.select("row", "node")
+    edges = (
+        ends.join(label, "row")
+        .select(F.col("node").alias("a"), F.col("least").alias("row"))
+        .join(label, "row")
+        .select("a", F.col("node").alias("b"))
+        .where("a <> b")
+        .distinct()
     )
-    edges = entries.join(shared.hint("merge"), "signature").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
     clusters = connected_components(materialize(edges, "edges")).select("node", F.col("component").alias("cluster"))
     sizes = clusters.join(nodes, "node")
     total = sizes.groupBy("cluster").agg(F.sum("n").alias("members"))
@@ -345,9 +480,12 @@ def similarity_components(docs: DataFrame, width: int = 5, num: int = 4, den: in
         "active",
     )
 
+    clustered = _id_bits(active.select("least_id"))
+
     def with_text(rows: DataFrame) -> DataFrame:
-        texts = docs.select(F.col("doc_id").alias("__id"), "text")
-        return rows.join(texts, F.col("least_id").eqNullSafe(F.col("__id")))
+        texts = docs.select(F.col("doc_id").alias("__id"), "text", _id_place(F.col("doc_id")).alias("place"))
+        texts = texts.mapInArrow(_kept_by(spark, clustered), "__id long, text string")
+        return rows.hint("merge").join(texts, F.col("least_id").eqNullSafe(F.col("__id")))
 
     single = F.col("block").cast("string")
     links = materialize(
@@ -397,7 +535,7 @@ def one_of_each(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) ->
     keep = keep.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     repeated = found.groupBy("doc_id").count().where("doc_id is null or count > 1").limit(1).count()
     if not repeated:
-        return docs.join(keep.select(F.col("doc_id").alias("__id")), F.col("doc_id") == F.col("__id"), "left_semi").select(docs.columns)
+        return docs.join(keep.select(F.col("doc_id").alias("__id")).hint("merge"), F.col("doc_id") == F.col("__id"), "left_semi").select(docs.columns)
     # rows of one id are told apart by their sets
     first = found.where("node is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row", "node")).alias("best"))
     best = first.select(F.col("best.doc_id").alias("__id"), F.col("best.node").alias("__node"))
