@@ -1,0 +1 @@
+"""Evidence retrieval and corpus preparation as Spark plans."""
