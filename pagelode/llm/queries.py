@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, license, mixing, packing, pii, ppm, shingle_join, toxicity
+from . import exact_dedup, langid, license, media, mixing, packing, pii, ppm, shingle_join, toxicity
+from .storage import small_batches
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -53,8 +55,14 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
+def op10_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables have no images; every vector of ``embeddings`` is shown as one."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return media.image_groups(media.vector_images(vectors))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ppm_scoring, op2_license_scan, op3_best_fit_packing, op4_language_id, op5_toxicity, op6_private_spans, op7_ngram_jaccard_join, op8_exact_dedup, op9_source_mixing)
+    f.__name__: f for f in (op1_ppm_scoring, op2_license_scan, op3_best_fit_packing, op4_language_id, op5_toxicity, op6_private_spans, op7_ngram_jaccard_join, op8_exact_dedup, op9_source_mixing, op10_media_copies)
 }
 
 ORACLE_SQL: dict[str, str] = {
