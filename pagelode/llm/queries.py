@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import exact_dedup, langid, license, media, mixing, packing, pii, ppm, shingle_join, toxicity
 from .storage import small_batches
@@ -52,7 +53,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.in_training_order(mixing.mix_plan(_documents(spark, sf_dir)))
-    return plan.select("doc_id", "size", "source_size", "target", "taken", "position")
+    return plan.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", (F.round("position", 9) + 0.0).alias("position"))
 
 
 def op10_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,12 +103,12 @@ WITH d AS (
          CAST(floor(t.target + 0.5) AS BIGINT) AS want
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 )
-SELECT doc_id, size, source_size, target,
+SELECT doc_id, size, source_size, round(target, 6) AS target,
        greatest(0, least(size, want - start)) + greatest(0, least(size, want - start - source_size)) AS taken,
-       CASE WHEN target > 0 AND want > start THEN
+       round(CASE WHEN target > 0 AND want > start THEN
          CASE WHEN slope = 0 THEN least(1.0::DOUBLE, start / target)
               ELSE (sqrt(greatest(0.0::DOUBLE, (1 - slope) * (1 - slope) + 4 * slope * least(1.0::DOUBLE, start / target))) - (1 - slope)) / (2 * slope) END
-       END AS position
+       END, 9) + 0.0::DOUBLE AS position
 FROM p
 """,
 }
