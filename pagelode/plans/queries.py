@@ -313,26 +313,31 @@ per AS (SELECT query_id, any_value(np) AS np, any_value(nn) AS nn, max((pm AND r
                min(rank) FILTER (WHERE m) AS f, coalesce(max((nm AND rank <= 5)::INT), 0) AS r5, coalesce(sum(1 / log2(rank + 1)) FILTER (WHERE m AND rank <= 5), 0) AS dcg5,
                coalesce(sum(1 / log2(rank + 1)) FILTER (WHERE m AND rank <= 10), 0) AS dcg10, coalesce(bool_or(node_id IS NOT NULL AND rank <= 5), false) AS nodes5,
                coalesce(bool_or(node_id IS NOT NULL AND rank <= 10), false) AS nodes10 FROM mark GROUP BY query_id)
-SELECT coalesce(avg(coalesce(p1, 0)) FILTER (WHERE np > 0), 0)::DOUBLE AS "page_recall@1", coalesce(avg(coalesce(p5, 0)) FILTER (WHERE np > 0), 0)::DOUBLE AS "page_recall@5",
-       coalesce(avg(coalesce(p10, 0)) FILTER (WHERE np > 0), 0)::DOUBLE AS "page_recall@10", coalesce(avg(coalesce(1 / f, 0)) FILTER (WHERE np > 0 OR nn > 0), 0)::DOUBLE AS mrr,
-       coalesce(avg({ndcg(5)}) FILTER (WHERE np > 0 OR nn > 0), 0)::DOUBLE AS "ndcg@5", coalesce(avg({ndcg(10)}) FILTER (WHERE np > 0 OR nn > 0), 0)::DOUBLE AS "ndcg@10",
-       coalesce(avg(r5) FILTER (WHERE nn > 0), 0)::DOUBLE AS "region_hit@5" FROM per"""
+SELECT round(coalesce(avg(coalesce(p1, 0)) FILTER (WHERE np > 0), 0)::DOUBLE, 6) AS "page_recall@1", round(coalesce(avg(coalesce(p5, 0)) FILTER (WHERE np > 0), 0)::DOUBLE, 6) AS "page_recall@5",
+       round(coalesce(avg(coalesce(p10, 0)) FILTER (WHERE np > 0), 0)::DOUBLE, 6) AS "page_recall@10", round(coalesce(avg(coalesce(1 / f, 0)) FILTER (WHERE np > 0 OR nn > 0), 0)::DOUBLE, 6) AS mrr,
+       round(coalesce(avg({ndcg(5)}) FILTER (WHERE np > 0 OR nn > 0), 0)::DOUBLE, 6) AS "ndcg@5", round(coalesce(avg({ndcg(10)}) FILTER (WHERE np > 0 OR nn > 0), 0)::DOUBLE, 6) AS "ndcg@10",
+       round(coalesce(avg(r5) FILTER (WHERE nn > 0), 0)::DOUBLE, 6) AS "region_hit@5" FROM per"""
 
 
 _NODE_TOP = f"{_bm25_sql('b_', *_CORPUS_NODES)}, {_top_sql('b_', 10)}, top AS (SELECT query_id, rank, page_id, node_id FROM b_top JOIN b_i USING (item))"
 _PAGE_TOP = f"{_bm25_sql('b_', *_CORPUS_PAGES)}, {_top_sql('b_', 10)}, top AS (SELECT query_id, rank, page_id, node_id FROM b_top JOIN b_i USING (item))"
 
 
+def _rounded(df: DataFrame) -> DataFrame:
+    """Doubles to six places: sums may differ in their last digits with the order of their terms."""
+    return df.select(*(F.round(f"`{c}`", 6).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes))
+
+
 @_query(f"WITH {_VIEWS}, {_PAGE_TOP}, {_metrics_sql('top')}")
 def metrics_pages(spark, sf_dir):
     q = query_table(spark, sf_dir)
-    return mt.evaluate(q, rt.retrieve_pages(q, page_table(spark, sf_dir), "bm25", 10))
+    return _rounded(mt.evaluate(q, rt.retrieve_pages(q, page_table(spark, sf_dir), "bm25", 10)))
 
 
 @_query(f"WITH {_VIEWS}, {_NODE_TOP}, {_metrics_sql('top')}")
 def metrics_nodes(spark, sf_dir):
     q = query_table(spark, sf_dir)
-    return mt.evaluate(q, rt.retrieve_nodes(q, node_table(spark, sf_dir), "bm25", 10))
+    return _rounded(mt.evaluate(q, rt.retrieve_nodes(q, node_table(spark, sf_dir), "bm25", 10)))
 
 
 _ERRORS = """
@@ -490,12 +495,12 @@ def sufficiency_cases(spark, sf_dir):
 
 
 @_query(
-    f"""WITH {_VIEWS}, {_CASES} SELECT count(*) AS queries, avg((status = 'sufficient')::INT)::DOUBLE AS sufficiency_rate, avg((status IN ('sufficient', 'partial'))::INT)::DOUBLE AS partial_or_sufficient_rate,
-avg((status = 'citation_mismatch')::INT)::DOUBLE AS citation_mismatch_rate, avg(coverage_ratio) AS avg_required_item_coverage, coalesce(avg(citation_ok::INT) FILTER (WHERE n_gold > 0), 0)::DOUBLE AS "region_hit@3" FROM fin"""
+    f"""WITH {_VIEWS}, {_CASES} SELECT count(*) AS queries, round(avg((status = 'sufficient')::INT)::DOUBLE, 6) AS sufficiency_rate, round(avg((status IN ('sufficient', 'partial'))::INT)::DOUBLE, 6) AS partial_or_sufficient_rate,
+round(avg((status = 'citation_mismatch')::INT)::DOUBLE, 6) AS citation_mismatch_rate, round(avg(coverage_ratio), 6) AS avg_required_item_coverage, round(coalesce(avg(citation_ok::INT) FILTER (WHERE n_gold > 0), 0)::DOUBLE, 6) AS "region_hit@3" FROM fin"""
 )
 def sufficiency_metrics(spark, sf_dir):
     found = sf.rates(sf.cases(*_node_hits(spark, sf_dir, 3), 3), 3)
-    return found.select("queries", "sufficiency_rate", "partial_or_sufficient_rate", "citation_mismatch_rate", "avg_required_item_coverage", "`region_hit@3`")
+    return _rounded(found).select("queries", "sufficiency_rate", "partial_or_sufficient_rate", "citation_mismatch_rate", "avg_required_item_coverage", "`region_hit@3`")
 
 
 _EVIDENCE_OPTIONS = {"type": "evidence_set_region", "page_methods": ["bm25", "tfidf"], "page_top_k": 10, "region_method": "bm25", "global_region_top_k": 20, "search_scope": "document"}
