@@ -9,15 +9,17 @@ Exact, without pairs inside groups:
    Each set signs all segments but its E emptiest, so a linked pair shares at least
    one signature. Sizes fall into windows; a set signs for each window that a
    possible partner may own.
-   Members that many documents hold (a counting sketch of fixed size over all
-   documents marks them; common passages, large groups of copies) say little, and
-   leaving any fixed set of members out keeps the bound D. Sets that are mostly rare
-   sign their rare members only, sets that are mostly common sign all, those between
-   sign both ways, so a linked pair always has a way in common.
-3. Signatures link sets to the least set that shares them. Rare signatures belong to a
-   bounded number of documents and take one shuffle; common ones combine minima on
-   the map side and join, so a hot one is split. Connected components of these edges
-   are clusters that hold every link.
+   A member that no other set has lies outside every intersection, and a linked set
+   has few such members; sets with more are settled before they sign. Counting them
+   over a fixed part of the hash range, large enough for the threshold, is enough
+   (one shuffle, combined on the map side). Sets that share common passages alone
+   never get further.
+   Below a threshold of 0.88 segments would hold so few members that common words match
+   by chance: half as many segments are cut, of which one differs in one member at
+   most, and a set also signs each segment without each of its members.
+3. Signatures link sets to the least set that shares them: minima combine on the map
+   side and a join follows, so a hot signature is split. Connected components of these
+   edges are clusters that hold every link.
 4. Inside a cluster, or a block of bounded size of a large one, the sets are put in
    one global order (rare members first) and stored in a prefix tree. A set walks
    only the subtrees below nodes that hold a member of both prefixes, with a running
@@ -27,8 +29,9 @@ Exact, without pairs inside groups:
 5. Blocks of one cluster meet through one set per connected part; where parts remain
    apart, all sets outside the largest part are joined with every block.
 
-Texts of clustered documents are found through a bitmap of fixed size over all ids
-(false hits are dropped by the join behind it).
+Unsettled sets, shared signatures and texts of clustered documents are found through a bitmap of fixed
+size (false hits do no harm: they sign in vain, or the join behind
+drops them).
 
 Defined cases: null text and texts without words have the empty set, which links with
 nothing; fewer words than the width are one shingle; repeated rows link with each
@@ -46,7 +49,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -54,14 +57,13 @@ from .packing import _groups
 from .ppm import _lowered
 from .storage import materialize
 
-#: Counters of the sketch of common members, and bits of the bitmap of clustered ids.
-COUNTERS, SLICE, ID_BITS = 1 << 24, 1 << 16, 1 << 27
-#: A member is common if its counter exceeds what chance gives by about this many documents.
-COMMON = 16
+#: Bits of the bitmaps of unsettled sets and of clustered ids.
+BITS = 1 << 26
 #: Sets in one prefix tree have at most about this many members in all.
-BLOCK_MEMBERS = 2_000_000
+BLOCK_MEMBERS = 1_000_000
 _GROWTH = 1.4
-_KEEP_WORDS = 400_000
+_KEEP_WORDS = 120_000
+_GROUP_CHARS = 1_000_000
 
 
 class _WordHashes(dict):
@@ -116,109 +118,100 @@ class Windows:
         both = small + small * self.den // self.num
         return both - 2 * -(-self.num * both // (self.num + self.den))
 
-    def signatures(self, members: np.ndarray, n: int | None = None, way: int = 0) -> np.ndarray:
-        """Signatures of a set of size n by those of its members that are given; ``way`` keeps kinds apart."""
-        n = len(members) if n is None else n
+    def signatures(self, members: np.ndarray) -> np.ndarray:
+        n = len(members)
         out = []
-        if n and len(members):
+        if n:
+            loose = 100 * self.num < 88 * self.den
             weak = _mixed(members ^ np.uint64(0x5851F42D4C957F2D))
             last = self._window(n)
             for window in range(self._window(max(1, -(-self.num * n // self.den))), last + 1):
                 most = self.most_different(window)
                 if most <= 0:
                     continue  # only equal sets link
-                spare = min(4, most // 8)
-                segments = most + 1 + 2 * spare
-                place = ((members >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)
-                held = np.bincount(place.astype(np.int64), minlength=segments)
+                spare = most // 14 if loose else min(4, most // 8)
+                segments = (most // 2 if loose else most) + 1 + 2 * spare
+                place = (((members >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)).astype(np.int64)
+                held = np.bincount(place, minlength=segments)
                 sums = np.zeros(segments, np.uint64)
                 full = np.flatnonzero(held)
                 sums[full] = np.add.reduceat(weak, (np.cumsum(held) - held)[full])
-                label = np.arange(segments, dtype=np.uint64) + np.uint64(window << 40 | way << 60 | 1)
-                sums = _mixed(sums ^ _mixed(label))
-                out.append(np.delete(sums, np.argsort(held, kind="stable")[:spare]) if spare else sums)
+                label = _mixed(np.arange(segments, dtype=np.uint64) + np.uint64(window << 40 | 1))
+                kept = np.ones(segments, bool)
+                if spare:
+                    kept[np.argsort(held, kind="stable")[:spare]] = False
+                out.append(_mixed(sums ^ label)[kept])
+                if loose:
+                    out.append(_mixed((sums[place] - weak) ^ label[place])[kept[place]])
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def common_members(docs: DataFrame, width: int) -> np.ndarray | None:
-    """Bits (packed) of the sketch's counters whose members are common; None without documents.
+def unsettled(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(node) of the sets that may link: not too many of their members are theirs alone.
 
-    Counters saturate at 255 per task and at 65535 in all; Spark sums them in slices, in
-    two levels. Whatever the sketch says, no link is lost.
+    At most (1 - t) n members of a set of size n lie outside a linked set. Members are
+    counted in a part of the hash range twice as large as (1 - t).
     """
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros(COUNTERS, np.uint8)
-        any_rows = False
-        for _, texts in _groups(batches):
-            found = [shingle_set(_lowered(t), width) for t in texts]
-            places, n = np.unique(np.concatenate(found) & np.uint64(COUNTERS - 1), return_counts=True)
-            places = places.astype(np.int64)
-            counters[places] = np.minimum(255, counters[places].astype(np.int64) + n)
-            any_rows = any_rows or len(places) > 0
-        if any_rows:
-            salt = TaskContext.get().partitionId() % 256
-            for k in range(0, COUNTERS, SLICE):
-                part = counters[k : k + SLICE]
-                if part.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([k // SLICE]), pa.array([salt]), pa.array([part.astype("<u2").tobytes()])], ["slice", "salt", "counts"])
-
-    def summed(table: pa.Table) -> pa.Table:
-        total = np.zeros(SLICE, np.int64)
-        for raw in table.column("counts"):
-            total += np.frombuffer(raw.as_py(), "<u2")
-        part = np.minimum(total, 65535).astype("<u2").tobytes()
-        return pa.table({"slice": [table.column("slice")[0].as_py()], "salt": [0], "counts": [part]}, schema=pa.schema([("slice", pa.int64()), ("salt", pa.int64()), ("counts", pa.binary())]))
-
-    kind = "slice long, salt long, counts binary"
-    sketch = docs.select("doc_id", "text").mapInArrow(count, kind)
-    sketch = sketch.groupBy("slice", "salt").applyInArrow(summed, kind).groupBy("slice").applyInArrow(summed, kind)
-    counters = np.zeros(COUNTERS, np.uint16)
-    for row in sketch.toLocalIterator():  # at most COUNTERS / SLICE rows
-        counters[row["slice"] * SLICE : (row["slice"] + 1) * SLICE] = np.frombuffer(row["counts"], "<u2")
-    if not counters.any():
-        return None
-    load = float(np.median(counters))
-    return np.packbits(counters >= load + COMMON + 4 * load**0.5)
-
-
-def set_features(docs: DataFrame, width: int, num: int, den: int, common: np.ndarray | None) -> DataFrame:
-    """row, doc_id, n, node (null for empty sets), rare and common signatures."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)
+    share = min(1.0, 2.0 * (den - num) / den)
+    most = np.uint64(int(share * (2**64 - 1)))
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows, row = Windows(num, den), TaskContext.get().partitionId() << 33
-        bits = shared.value
-        split = bits is not None and 5 * num >= 3 * den  # below 0.6 both ways are needed by all
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in _groups(batches, _GROUP_CHARS):
+            sets = [s for s in (shingle_set(_lowered(t), width) for t in texts) if len(s)]
+            if not sets:
+                continue
+            parts = [s[: int(np.searchsorted(s, most, "right"))] for s in sets]
+            offsets = pa.array(np.cumsum([0, *map(len, parts)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([node_of(s) for s in sets]),
+                    pa.array([len(s) for s in sets]),
+                    pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(parts).view(np.int64))),
+                ],
+                ["node", "n", "members"],
+            )
+
+    found = docs.select("doc_id", "text").mapInArrow(members, "node long, n long, members array<long>")
+    # a set without members in the part comes back through a row of its own
+    rows = found.select("node", "n", F.explode_outer("members").alias("member"))
+    own = rows.groupBy("member").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("member is not null and node = other")
+    alone = own.groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    settled = materialize(alone, "alone")
+    sizes = found.groupBy("node").agg(F.max("n").alias("n"))
+    return sizes.join(settled, "node", "left").where((F.coalesce("alone", F.lit(0)) * den) <= F.col("n") * (den - num)).select("node")
 
-        def signed(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            none = s[:0]
-            if bits is None or not len(s):
-                return none, windows.signatures(s, way=1)
-            at = (s & np.uint64(COUNTERS - 1)).astype(np.int64)
-            rare = s[(bits[at >> 3] >> (7 - (at & 7)) & 1) == 0]
-            by_rare, by_all = (10 * len(rare) >= 4 * len(s), 10 * len(rare) <= 7 * len(s)) if split else (False, True)
-            return windows.signatures(rare, len(s), 0) if by_rare else none, windows.signatures(s, way=1) if by_all else none
 
-        def lists(values: list[np.ndarray]) -> pa.ListArray:
-            return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]).astype(np.int32)), pa.array(np.concatenate(values).view(np.int64)))
+def set_features(docs: DataFrame, width: int, num: int, den: int, open_bits: np.ndarray | None = None) -> DataFrame:
+    """row, doc_id, n, node (null for empty sets), signatures (of the sets that the bitmap holds)."""
+    shared = docs.sparkSession.sparkContext.broadcast(open_bits)
 
-        for ids, texts in _groups(batches):
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows, row = Windows(num, den), TaskContext.get().partitionId() << 33
+        bits = shared.value
+        none = np.zeros(0, np.uint64)
+        for ids, texts in _groups(batches, _GROUP_CHARS):
             sets = [shingle_set(_lowered(t), width) for t in texts]
-            signs = [signed(s) for s in sets]
+            nodes = [node_of(s) if len(s) else None for s in sets]
+            signs = [windows.signatures(s) if x is not None and (bits is None or _held(bits, x)) else none for s, x in zip(sets, nodes, strict=True)]
+            offsets = pa.array(np.cumsum([0, *map(len, signs)]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(range(row, row + len(ids)), pa.int64()),
                     pa.array(ids, pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
-                    lists([a for a, _ in signs]),
-                    lists([b for _, b in signs]),
+                    pa.array(nodes, pa.int64()),
+                    pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(signs).view(np.int64))),
                 ],
-                ["row", "doc_id", "n", "node", "rare", "common"],
+                ["row", "doc_id", "n", "node", "signatures"],
             )
             row += len(ids)
 
-    return docs.select("doc_id", "text").mapInArrow(features, "row long, doc_id long, n long, node long, rare array<long>, common array<long>")
+    return docs.select("doc_id", "text").mapInArrow(features, "row long, doc_id long, n long, node long, signatures array<long>")
+
+
+def _held(bits: np.ndarray, node: int) -> bool:
+    place = node % BITS
+    return bool(bits[place >> 3] >> (place & 7) & 1)
 
 
 class _Node:
@@ -236,8 +229,9 @@ class PrefixTree:
     def __init__(self, sets: list[np.ndarray], num: int, den: int, parts: list | None = None):
         self.num, self.den = num, den
         members, counts = np.unique(np.concatenate(sets), return_counts=True)
-        order = np.empty(len(members), np.int64)
-        order[np.lexsort((members, counts))] = np.arange(len(members))
+        order = np.empty(len(members), np.int32)
+        order[np.lexsort((members, counts))] = np.arange(len(members), dtype=np.int32)
+        self.lone = int(np.count_nonzero(counts == 1))  # members of one set come first
         ranked = [np.sort(order[np.searchsorted(members, s)]) for s in sets]
         self.by_key = sorted(range(len(sets)), key=lambda i: ranked[i].astype(">u4").tobytes())
         self.sets, self.marks = ranked, np.zeros(len(members), bool)
@@ -298,7 +292,7 @@ class PrefixTree:
         self.holders: dict[int, list[_Node]] = {}
         for node in order:  # members in the prefix of some set below
             edge = self.sets[node.item][node.begin : min(node.end, self._prefix(node.longest))]
-            for member in edge.tolist():
+            for member in edge[edge >= self.lone].tolist():
                 self.holders.setdefault(member, []).append(node)
         self._mark_parts()
         return root
@@ -320,6 +314,12 @@ class PrefixTree:
         self.links.append((i, j))
         self._union(i, j)
 
+    def clear(self) -> None:
+        """Cut the nodes' cycles, so that their memory is free at once."""
+        for node in self.bottom_up:
+            node.parent, node.children = None, []
+        self.holders.clear()
+
     def join(self) -> list[tuple[int, int]]:
         """Links that connect exactly what all links connect (beyond the given parts)."""
         for i, j in zip(self.by_key, self.by_key[1:], strict=False):
@@ -407,6 +407,7 @@ def _tree_join(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
             if len(nodes) > 1:
                 tree = PrefixTree([found[x][0] for x in nodes], num, den, [found[x][1] for x in nodes])
                 out.extend((nodes[i], nodes[j]) for i, j in tree.join())
+                tree.clear()
             if len(out) > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
                 out = []
@@ -418,14 +419,13 @@ def _tree_join(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
 
 
 def _id_place(doc_id: Column) -> Column:
-    return F.pmod(F.xxhash64(doc_id), F.lit(ID_BITS))
+    return F.pmod(F.xxhash64(doc_id), F.lit(BITS))
 
 
-def _id_bits(ids: DataFrame) -> np.ndarray:
-    """Bitmap of the places of ids; Spark builds it in buckets of 32768 bits, at most ID_BITS in all."""
-    place = _id_place(F.col("least_id"))
-    rows = ids.groupBy(F.floor(place / 32768).alias("bucket")).agg(F.expr(f"bitmap_construct_agg(pmod(pmod(xxhash64(least_id), {ID_BITS}), 32768))").alias("bits"))
-    out = np.zeros((ID_BITS // 32768, 4096), np.uint8)
+def _bitmap(places: DataFrame) -> np.ndarray:
+    """Bitmap of column ``place`` (0 to BITS - 1), lowest bit first; Spark builds it in buckets of 32768 bits."""
+    rows = places.groupBy(F.floor(F.col("place") / 32768).alias("bucket")).agg(F.expr("bitmap_construct_agg(place % 32768)").alias("bits"))
+    out = np.zeros((BITS // 32768, 4096), np.uint8)
     for row in rows.toLocalIterator():
         out[row["bucket"]] = np.frombuffer(row["bits"], np.uint8)
     return out.reshape(-1)
@@ -443,32 +443,38 @@ def _kept_by(spark: SparkSession, bits: np.ndarray):
     return keep
 
 
+def _signed_by(spark: SparkSession, bits: np.ndarray):
+    shared = spark.sparkContext.broadcast(bits)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(node, signature) of the signatures that the bitmap holds."""
+        held = shared.value
+        for batch in batches:
+            lists = batch.column(1)
+            flat, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            at = flat % BITS
+            passed = (held[at >> 3] >> (at & 7) & 1) > 0
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[passed])), pa.array(flat[passed])], ["node", "signature"])
+
+    return keep
+
+
 def similarity_components(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, block_members: int = BLOCK_MEMBERS) -> DataFrame:
     """row, doc_id, n_shingles, component (a node, null for empty sets), component_id.
 
     Two documents link if the Jaccard similarity of their shingle sets is at least num / den.
     """
     spark = docs.sparkSession
-    features = materialize(set_features(docs, width, num, den, common_members(docs, width)), "features")
+    maybe = _bitmap(unsettled(docs, width, num, den).select(F.pmod("node", F.lit(BITS)).alias("place")))
+    features = materialize(set_features(docs, width, num, den, maybe), "features")
     sets = features.where("node is not null")
-    nodes = sets.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.max("n").alias("n"), F.min("row").alias("row"))
-    # rows, not digests, travel with signatures: they take less room
-    rare = sets.select("row", F.explode("rare").alias("signature"))
-    first = F.min("row").over(Window.partitionBy("signature"))
-    edges = rare.withColumn("least", first).where("row <> least").select("row", "least")
-    common = sets.select("row", F.explode("common").alias("signature"))
-    hot = common.groupBy("signature").agg(F.min("row").alias("least"), F.max("row").alias("most")).where("least < most").drop("most")
-    edges = edges.unionByName(common.join(hot.hint("merge"), "signature").where("row <> least").select("row", "least")).distinct()
-    ends = materialize(edges, "edges")
-    label = sets.select("row", "node")
-    edges = (
-        ends.join(label, "row")
-        .select(F.col("node").alias("a"), F.col("least").alias("row"))
-        .join(label, "row")
-        .select("a", F.col("node").alias("b"))
-        .where("a <> b")
-        .distinct()
-    )
+    nodes = sets.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.max("n").alias("n"))
+    entries = sets.select("node", F.explode("signatures").alias("signature"))
+    shared = entries.groupBy("signature").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").drop("most")
+    shared = materialize(shared, "shared")
+    known = _bitmap(shared.select(F.pmod("signature", F.lit(BITS)).alias("place")))
+    entries = sets.select("node", "signatures").mapInArrow(_signed_by(spark, known), "node long, signature long")
+    edges = entries.join(shared.hint("merge"), "signature").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
     clusters = connected_components(materialize(edges, "edges")).select("node", F.col("component").alias("cluster"))
     sizes = clusters.join(nodes, "node")
     total = sizes.groupBy("cluster").agg(F.sum("n").alias("members"))
@@ -480,7 +486,7 @@ def similarity_components(docs: DataFrame, width: int = 5, num: int = 4, den: in
         "active",
     )
 
-    clustered = _id_bits(active.select("least_id"))
+    clustered = _bitmap(active.select(_id_place(F.col("least_id")).alias("place")))
 
     def with_text(rows: DataFrame) -> DataFrame:
         texts = docs.select(F.col("doc_id").alias("__id"), "text", _id_place(F.col("doc_id")).alias("place"))

@@ -98,14 +98,15 @@ def test_linked_sets_share_a_signature(num, den):
             assert len(np.intersect1d(windows.signatures(base), windows.signatures(other)))
 
 
-def test_common_passages_do_not_cluster(spark, monkeypatch):
-    monkeypatch.setattr(shingle_join, "COMMON", 4)
+def test_common_passages_do_not_cluster(spark):
     rng = random.Random(9)
     passage = " ".join(f"p{i}" for i in range(60))
     rows = [(i, " ".join([passage, *(f"w{rng.randrange(10**6)}" for _ in range(rng.choice([20, 60, 200])))]), "x", 1) for i in range(80)]
     rows += [(100 + i, t + " more", "x", 1) for i, t, *_ in rows[:20]]
-    got = shingle_join.similarity_components(spark.createDataFrame(rows, SCHEMA), 3, 4, 5).collect()
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = shingle_join.similarity_components(df, 3, 4, 5).collect()
     assert sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got) == brute(rows, 3, 4, 5)
+    assert 40 <= shingle_join.unsettled(df, 3, 4, 5).count() < 90
 
 
 def test_one_of_each(spark):
@@ -119,7 +120,7 @@ def test_one_of_each(spark):
 
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
-    assert shingle_join.common_members(df, 3) is None
+    assert shingle_join.unsettled(df, 3, 9, 10).count() == 0
     assert shingle_join.similarity_components(df).count() == 0 and shingle_join.one_of_each(df).count() == 0
 
 
