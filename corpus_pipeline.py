@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pagelode.llm import exact_dedup, mixing, packing, shingle_join, toxicity
-from pagelode.llm.storage import materialize
+from pagelode.llm.storage import materialize, small_batches
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression-distance classifier does not reject."""
+    small_batches(spark)
     return toxicity.ordinary_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -24,6 +25,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a Jaccard similarity of 0.8 or more over five-word shingles."""
+    small_batches(spark)
     return shingle_join.one_of_each(docs, width=5, num=4, den=5)
 
 
@@ -34,6 +36,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    small_batches(spark)
     return packing.packed_documents(docs)
 
 
