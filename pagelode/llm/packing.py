@@ -16,6 +16,7 @@ among equal lengths follow bucket, id and piece; extra columns are ignored.
 
 from __future__ import annotations
 
+import ctypes
 import re
 import zlib
 from array import array
@@ -117,6 +118,16 @@ def _groups(batches: Iterator[pa.RecordBatch], most_chars: int = 4_000_000) -> I
                 ids, texts, held = [], [], 0
     if ids:
         yield ids, texts
+    release_memory()
+
+
+def release_memory() -> None:
+    """Give freed memory back, so that a worker that later tasks use again stays small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
 
 
 def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:

@@ -53,7 +53,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .packing import _groups
+from .packing import _groups, release_memory
 from .ppm import _lowered
 from .storage import materialize
 
@@ -413,6 +413,7 @@ def _tree_join(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
                 out = []
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+        release_memory()
 
     rows = rows.select("cluster", "block", "node", "part", "text").repartition("cluster", "block")
     return rows.sortWithinPartitions("cluster", "block").mapInArrow(joined, "a long, b long")
