@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packing import _groups
+from .packing import _groups, release_memory
 from .ppm import _lowered, is_held_out
 
 WINDOW = 64
@@ -195,7 +195,9 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 2000, most_ordin
             if left < 0:
                 break
             texts[kind].append(_lowered(row["text"]))
-    return fit(texts[True], texts[False], prior)
+    model = fit(texts[True], texts[False], prior)
+    release_memory()  # of the driver
+    return model
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
