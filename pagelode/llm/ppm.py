@@ -2,10 +2,11 @@
 
 Model: a trie of byte contexts up to ``order`` bytes with escape method C and symbol
 exclusion, trained on all training documents. Counts of the deepest nodes are taken
-per Arrow batch in numpy, summed by Spark, and all shallower nodes follow from them.
-The trie has at most ``max_nodes`` deepest nodes; beyond that the least frequent ones
-are pruned by a count threshold, so what is broadcast is bounded whatever the
-corpus. Texts score with A-Z lower-cased, from a boundary symbol to a boundary symbol
+per Arrow batch in numpy, summed by Spark, and all shallower nodes follow from them,
+as tables of grams and of contexts, one pair per order; no node is pruned. The
+``max_nodes`` most frequent deepest grams (bounded) are looked up in a broadcast table
+of their probabilities; all others, and grams that training never saw, reach the
+documents by joins with the tables, so the model may grow with the corpus. Texts score with A-Z lower-cased, from a boundary symbol to a boundary symbol
 (a byte that UTF-8 never uses), in full; every step is vectorised over positions.
 
 Because counts are taken at every position for every context length, the symbols
@@ -201,15 +202,45 @@ class Trie:
         return out
 
 
-_tries: dict[str, Trie] = {}
-
-
-def _trie(key: str, grams: np.ndarray, counts: np.ndarray, order: int) -> Trie:
-    """The model, built once in each Python worker: what is sent are its deepest grams alone."""
-    if key not in _tries:
-        _tries.clear()
-        _tries[key] = Trie(grams, counts.astype(float), order)
-    return _tries[key]
+_tables: dict[str, tuple[HashTable, np.ndarray]] = {}
+
+
+def _table(key: str, grams: np.ndarray, logs: np.ndarray) -> tuple[HashTable, np.ndarray]:
+    """The frequent grams and their log10 probabilities, hashed once in each Python worker."""
+    if key not in _tables:
+        _tables.clear()
+        _tables[key] = HashTable(grams), logs
+    return _tables[key]
+
+
+def look_up(table: HashTable, logs: np.ndarray, texts: list[bytes], order: int, most: int = 1_000_000) -> tuple[list[float], np.ndarray, np.ndarray, np.ndarray]:
+    """log10 probability of each text without the grams that ``table`` lacks, and those: number of the text, gram, count."""
+    sums: list[float] = []
+    lacking = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    part: list[bytes] = []
+    size = 0
+    for t in [*texts, None]:
+        if part and (t is None or size + len(t) > most):
+            keys, lengths = framed(part, order)
+            values = np.zeros(len(keys))
+            missing = []
+            for k in range(0, len(keys), most):
+                found = table.find(keys[k : k + most])
+                hit = found >= 0
+                values[k : k + most][hit] = logs[found[hit]]
+                missing.append(k + np.flatnonzero(~hit))
+            at = np.concatenate(missing)
+            owner = np.searchsorted(np.cumsum(lengths), at, side="right")
+            by = np.lexsort((keys[at], owner))
+            owner, grams = owner[by], keys[at][by]
+            first = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (grams[1:] != grams[:-1])]) if len(by) else by
+            lacking.append((owner[first] + len(sums), grams[first], np.diff(np.r_[first, len(by)])))
+            sums.extend(np.add.reduceat(values, np.cumsum(lengths) - lengths).tolist())
+            part, size = [], 0
+        if t is not None:
+            part.append(t)
+            size += len(t)
+    return sums, *(np.concatenate(x) for x in zip(*lacking, strict=True))
 
 
 def is_held_out(doc_id: Column, remainder: int = 1) -> Column:
@@ -274,6 +305,70 @@ def _most_frequent(counts: DataFrame, most: int) -> DataFrame:
     return counts.where(level >= least)
 
 
+def _low(key: Column, n_bytes: int) -> Column:
+    return key.bitwiseAND(F.lit((1 << 8 * n_bytes) - 1 if n_bytes < 8 else -1))
+
+
+def node_tables(deepest: DataFrame, order: int = ORDER) -> list[tuple[DataFrame, DataFrame]]:
+    """For each context length (gram, n) and (context, total, distinct, below, below_escape), as in :class:`Level`."""
+    grams = [deepest]
+    for length in range(order - 1, -1, -1):
+        lower = grams[0].groupBy(_low(F.col("gram"), length + 1).alias("gram")).agg(F.sum("n").alias("n"))
+        grams.insert(0, materialize(lower, "grams"))
+    levels: list[tuple[DataFrame, DataFrame]] = []
+    for length, at in enumerate(grams):
+        if not length:
+            contexts = at.groupBy(F.lit(0).cast("long").alias("context")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("distinct"))
+            contexts = contexts.select("*", F.lit(0).cast("long").alias("below"), F.lit(0).cast("long").alias("below_escape"))
+        else:
+            shorter, shorter_contexts = levels[-1]
+            seen = at.withColumn("__low", _low(F.col("gram"), length)).join(shorter.select(F.col("gram").alias("__low"), F.col("n").alias("m")), "__low")
+            own = seen.groupBy(F.shiftrightunsigned("gram", 8).alias("context")).agg(
+                F.sum("n").alias("total"), F.count(F.lit(1)).alias("distinct"), F.sum("m").alias("seen")
+            )
+            lower = shorter_contexts.select(F.col("context").alias("__low"), F.col("total").alias("t"), F.col("distinct").alias("d"))
+            if length <= 3:  # at most 65,536 contexts
+                lower = F.broadcast(lower)
+            escape = F.col("d") - F.col("distinct")
+            contexts = own.withColumn("__low", _low(F.col("context"), length - 1)).join(lower, "__low").select(
+                "context", "total", "distinct", (F.col("t") - F.col("seen") + escape).alias("below"), escape.alias("below_escape")
+            )
+        levels.append((at, materialize(contexts, "contexts")))
+    return levels
+
+
+def direct_logs(levels: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """(gram, n, log): log10 probabilities of the deepest grams seen in training."""
+    grams, contexts = levels[-1]
+    found = grams.withColumn("context", F.shiftrightunsigned("gram", 8)).join(contexts, "context")
+    return found.select("gram", "n", F.log10(F.col("n") / (F.col("total") + F.col("distinct"))).alias("log"))
+
+
+def escaped_logs(unseen: DataFrame, levels: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """(gram, log) of distinct deepest grams that training never saw, as in :meth:`Trie.log10`."""
+    state = unseen.select("gram", F.lit(0.0).alias("log"), F.lit(False).alias("done"), F.lit(None).cast("long").alias("up"), F.lit(None).cast("long").alias("up_escape"))
+    for length in range(len(levels) - 1, -1, -1):
+        grams, contexts = levels[length]
+        # at most 65,536 rows each
+        small_grams, small_contexts = (F.broadcast if length <= 1 else lambda x: x), (F.broadcast if length <= 2 else lambda x: x)
+        state = state.withColumn("context", _low(F.shiftrightunsigned("gram", 8), length)).join(small_contexts(contexts), "context", "left")
+        state = state.withColumn("__low", _low(F.col("gram"), length + 1)).join(small_grams(grams.select(F.col("gram").alias("__low"), "n")), "__low", "left")
+        whole = F.coalesce("up", F.col("total") + F.col("distinct"))
+        escape = F.coalesce("up_escape", "distinct")
+        exists, hit = F.col("total").isNotNull(), F.col("n").isNotNull()
+        step = F.when(hit, F.log10(F.col("n") / whole)).when(exists & (escape > 0), F.log10(escape / whole)).otherwise(0.0)
+        state = state.select(
+            "gram",
+            F.when(F.col("done"), F.col("log")).otherwise(F.col("log") + step).alias("log"),
+            (F.col("done") | hit).alias("done"),
+            F.col("below").alias("up"),
+            F.col("below_escape").alias("up_escape"),
+            *(["distinct"] if not length else []),
+        )
+    last = F.log10(F.greatest(F.lit(1), SYMBOLS - F.coalesce("distinct", F.lit(0))))
+    return state.select("gram", F.when(F.col("done"), F.col("log")).otherwise(F.col("log") - last).alias("log"))
+
+
 def score_documents(docs: DataFrame, order: int = ORDER, max_nodes: int = MAX_NODES, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes."""
     spark = docs.sparkSession
@@ -284,10 +379,12 @@ def score_documents(docs: DataFrame, order: int = ORDER, max_nodes: int = MAX_NO
     ).first()
     norm = log10(totals["n"] + 0.5 * (totals["v"] + 1))
     words = words.where("word is not null").select("word", "n")
-    grams = _most_frequent(counts.where("gram is not null").select("gram", "n"), max_nodes).toArrow()
-    deepest = (uuid.uuid4().hex, grams["gram"].to_numpy().astype(np.uint64), grams["n"].to_numpy(), order)
-    model = spark.sparkContext.broadcast(deepest)
-    del grams, deepest
+    levels = node_tables(counts.where("gram is not null").select("gram", "n"), order)
+    direct = materialize(direct_logs(levels), "direct")
+    grams = _most_frequent(direct, max_nodes).select("gram", "log").toArrow()
+    frequent_grams = (uuid.uuid4().hex, grams["gram"].to_numpy().astype(np.uint64), grams["log"].to_numpy())
+    model = spark.sparkContext.broadcast(frequent_grams)
+    del grams, frequent_grams
     top = _most_frequent(words, frequent).toArrow()
     logs = spark.sparkContext.broadcast({w.encode(): log10(n + 0.5) for w, n in zip(*(top[c].to_pylist() for c in ("word", "n")), strict=True)})
     ends = totals["ends"]
@@ -301,11 +398,12 @@ def score_documents(docs: DataFrame, order: int = ORDER, max_nodes: int = MAX_NO
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Known(logs.value)
-        trie = _trie(*model.value)
+        table = _table(*model.value)
         row = TaskContext.get().partitionId() << 33
         for ids, texts in _groups(batches):
             lowered = [_lowered(t) for t in texts]
-            scores = trie.score(lowered)
+            scores, owner, grams, times = look_up(*table, lowered, order)
+            first_row = row
             rows, tokens, n_known, base = [], [], [], []
             rare_rows: list[int] = []
             rare_words: list[str] = []
@@ -322,24 +420,26 @@ def score_documents(docs: DataFrame, order: int = ORDER, max_nodes: int = MAX_NO
                 rare_words.extend(w.decode() for w in rare)
                 rare_n.extend(rare.values())
                 row += 1
-            k, m = len(rows), len(rare_rows)
+            k, m, g = len(rows), len(rare_rows), len(grams)
+            none = [None] * (m + g)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(rows + rare_rows, pa.int64()),
-                    pa.array(ids + [None] * m, pa.int64()),
-                    pa.array(tokens + [None] * m, pa.int64()),
-                    pa.array(n_known + rare_n, pa.int64()),
-                    pa.array(base + [None] * m, pa.float64()),
-                    pa.array(scores + [None] * m, pa.float64()),
-                    pa.array([len(t) for t in lowered] + [None] * m, pa.int64()),
-                    pa.array([None] * k + rare_words, pa.string()),
+                    pa.array(np.concatenate([np.array(rows + rare_rows, np.int64), owner + first_row])),
+                    pa.array(ids + none, pa.int64()),
+                    pa.array(tokens + none, pa.int64()),
+                    pa.array(np.concatenate([np.array(n_known + rare_n, np.int64), times])),
+                    pa.array(base + none, pa.float64()),
+                    pa.array(scores + none, pa.float64()),
+                    pa.array([len(t) for t in lowered] + none, pa.int64()),
+                    pa.array([None] * k + rare_words + [None] * g, pa.string()),
+                    pa.array(np.concatenate([np.zeros(k + m, np.int64), grams.astype(np.int64)]), mask=np.arange(k + m + g) < k + m),
                 ],
-                ["row", "doc_id", "n_tokens", "n", "base", "score", "n_bytes", "word"],
+                ["row", "doc_id", "n_tokens", "n", "base", "score", "n_bytes", "word", "gram"],
             )
 
     scored = materialize(
         docs.select("doc_id", "text").mapInArrow(
-            score, "row long, doc_id long, n_tokens long, n long, base double, score double, n_bytes long, word string"
+            score, "row long, doc_id long, n_tokens long, n long, base double, score double, n_bytes long, word string, gram long"
         ),
         "scored",
     )
@@ -353,9 +453,14 @@ def score_documents(docs: DataFrame, order: int = ORDER, max_nodes: int = MAX_NO
             F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more_known"),
         )
     )
+    rare = scored.where("gram is not null").select("row", "gram", "n")
+    logs_of = materialize(rare.select("gram").distinct().join(direct.select("gram", "log"), "gram", "left"), "rare")
+    logs_of = logs_of.where("log is not null").unionByName(escaped_logs(logs_of.where("log is null"), levels))
+    escaped = rare.join(logs_of, "gram").groupBy("row").agg(F.sum(F.col("n") * F.col("log")).alias("more_score"))
     return (
         scored.where("n_tokens is not null")
         .join(rest, "row", "left")
+        .join(escaped, "row", "left")
         .select(
             "doc_id",
             is_held_out(F.col("doc_id")).alias("held_out"),
@@ -363,7 +468,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, max_nodes: int = MAX_NO
             (F.col("n") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
             F.lit(int(totals["n"])).cast("long").alias("train_tokens"),
             (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(norm)).alias("base_score"),
-            "score",
+            (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
             "n_bytes",
         )
     )

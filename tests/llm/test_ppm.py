@@ -101,3 +101,14 @@ def test_pruned_model_is_proper():
     trie = ppm.Trie(u[c > 1], c[c > 1].astype(float), 3)
     keys = np.array([int.from_bytes(b"bra" + bytes([s]), "big") for s in range(256)], np.uint64)
     assert (10 ** trie.log10(keys)).sum() == pytest.approx(1)
+
+
+def test_no_gram_is_lost_beyond_the_broadcast_ones(spark):
+    rng = random.Random(11)
+    rows = [(i, "".join(rng.choices("abcdeé ", k=rng.randint(0, 60))), "x", 1) for i in range(80)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    plain = Plain([t.encode() for i, t, *_ in rows if not held(i)], 3)
+    for most in (0, 40):
+        got = {x["doc_id"]: x["score"] for x in ppm.score_documents(spark.createDataFrame(rows, SCHEMA), order=3, max_nodes=most).collect()}
+        for i, t, *_ in rows:
+            assert got[i] == pytest.approx(plain.score(t.encode()), rel=1e-9)
