@@ -3,16 +3,17 @@
 Base kinds come from fixed patterns (Java regular expressions without backtracking
 that could grow with the text; places follow from the pieces between matches). They
 are the seeds, together with values behind a few key words such as ``password``.
-Every identifier-like value with a digit and the lexical pattern on its left (word and
-separator) form a bipartite graph over the corpus. In each round Spark scores patterns
-by the mean confidence of their distinct values, and values by their best pattern;
+Every base span and every other identifier-like value with a digit, and the lexical
+pattern on its left (word and separator), form a bipartite graph over the corpus. In
+each round Spark scores patterns by the mean confidence of their distinct values, and
+values by their best pattern, until the set of passing patterns no longer changes;
 patterns with enough support and confidence label all values they stand before as
 kind ``id``. Everything is DataFrame operations; graph tables are aggregated before
 they are shuffled and written once per round.
 
 Defined cases: null text is empty and has no spans; repeated rows are documents of
-their own; found values that overlap a base span are not reported again; an empty
-table gives an empty result; extra columns are ignored.
+their own; found values that overlap a base span are part of that span in the graph and
+are not reported again; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,9 +34,10 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 #: Word, separator and a value of six or more characters with a digit.
 CONTEXT = r"(?<![A-Za-z0-9_])([A-Za-z_]{2,24})(\x20?[:=]\x20?[\"']?|\x20)((?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{6,256}+)"
+#: Word and separator at the end of the text before a base span.
+LEFT = r"(?<![A-Za-z0-9_])([A-Za-z_]{2,24})(\x20?[:=]\x20?[\"']?|\x20)\z"
 #: Key words whose values are seeds.
 SEED_KEYS = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_key", "ssn", "passport", "iban")
-ROUNDS = 2
 
 
 def _valid(kind: str, match: Column) -> Column:
@@ -57,8 +59,12 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def _pattern(word: Column, separator: Column) -> Column:
+    return F.concat(F.lower(word), F.regexp_replace(separator, r"[\s\"']+", ""))
+
+
 def _found(text: Column, pattern: str, worth: Column, groups: int = 0) -> Column:
-    """Array of (gap before the match, length, the match or its groups)."""
+    """Array of (gap before the match, length, the match and the pattern on its left or its groups)."""
     none = F.array().cast("array<string>")
     pieces = F.when(worth, F.split(text, pattern, -1)).otherwise(none)
     matches = [F.when(worth, F.regexp_extract_all(text, F.lit(pattern), F.lit(g))).otherwise(none) for g in range(groups + 1)]
@@ -71,12 +77,18 @@ def _found(text: Column, pattern: str, worth: Column, groups: int = 0) -> Column
                 F.length(z["gap"]).alias("gap"),
                 F.length(z["g0"]).alias("size"),
                 *(z[f"g{g}"].alias(f"g{g}") for g in ([0] if not groups else range(1, groups + 1))),
+                *([_left(z["gap"], z["g0"].isNotNull()).alias("pattern")] if not groups else []),
             ),
         ),
         lambda z: z["size"].isNotNull(),
     )
 
 
+def _left(gap: Column, worth: Column) -> Column:
+    """The pattern at the end of ``gap``, empty if there is none."""
+    return F.when(worth, _pattern(F.regexp_extract(gap, LEFT, 1), F.regexp_extract(gap, LEFT, 2)))
+
+
 def _raw(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     digit = text.rlike("[0-9]")
@@ -97,13 +109,13 @@ def _placed(raw: DataFrame, column: str) -> DataFrame:
 
 
 def base_spans(raw: DataFrame) -> DataFrame:
-    """row, kind_no, kind, start, end, value."""
+    """row, kind_no, kind, start, end, value, pattern (empty if no word stands before)."""
     out = None
     for no, kind in enumerate(KINDS):
         spans = (
             _placed(raw, kind)
             .where(_valid(kind, F.col("g0")))
-            .select("row", F.lit(no).alias("kind_no"), F.lit(kind).alias("kind"), "start", (F.col("start") + F.col("size")).alias("end"), F.col("g0").alias("value"))
+            .select("row", F.lit(no).alias("kind_no"), F.lit(kind).alias("kind"), "start", (F.col("start") + F.col("size")).alias("end"), F.col("g0").alias("value"), "pattern")
         )
         out = spans if out is None else out.unionByName(spans)
     return out
@@ -113,33 +125,37 @@ def contexts(raw: DataFrame) -> DataFrame:
     """row, pattern, value, start, end of identifier-like values."""
     return _placed(raw, "context").select(
         "row",
-        F.concat(F.lower("g1"), F.regexp_replace("g2", r"[\s\"']+", "")).alias("pattern"),
+        _pattern(F.col("g1"), F.col("g2")).alias("pattern"),
         F.col("g3").alias("value"),
         (F.col("start") + F.length("g1") + F.length("g2")).alias("start"),
         (F.col("start") + F.col("size")).alias("end"),
     )
 
 
-def pattern_confidence(found: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, least: int = 3, sure: float = 0.7) -> DataFrame:
-    """(pattern, confidence, support) of the patterns that pass after the last round.
+def pattern_confidence(found: DataFrame, seeds: DataFrame, least: int = 3, sure: float = 0.7) -> DataFrame:
+    """(pattern, confidence, support) of the patterns that pass when no round adds one.
 
     ``found``: (pattern, value); ``seeds``: (value). A pattern's confidence is the mean
     over its distinct values, shrunk by half a value; a value's is 1 for seeds and else
-    that of its best passing pattern.
+    that of its best passing pattern. Both only grow, and so does the set of passing
+    patterns, which ends the rounds.
     """
     graph = materialize(found.groupBy("pattern", "value").count().drop("count"), "graph")
     keyed = F.regexp_replace("pattern", "[:=]$", "").isin(*SEED_KEYS) & F.col("pattern").rlike("[:=]$")
     known = graph.where(keyed).select("value").unionByName(seeds.select("value")).distinct().withColumn("seed", F.lit(1.0))
     scored = graph.join(known, "value", "left").select("pattern", "value", F.coalesce("seed", F.lit(0.0)).alias("seed"), F.coalesce("seed", F.lit(0.0)).alias("belief"))
-    for last in [False] * rounds + [True]:
+    n_passing = 0
+    while True:
         passing = (
             scored.groupBy("pattern")
             .agg(F.sum("belief").alias("sum"), F.count(F.lit(1)).alias("support"))
             .select("pattern", (F.col("sum") / (F.col("support") + 0.5)).alias("confidence"), "support")
             .where((F.col("support") >= least) & (F.col("confidence") >= sure))
         )
-        if last:
-            return materialize(passing, "patterns")
+        passing = materialize(passing, "patterns")
+        before, n_passing = n_passing, passing.count()
+        if n_passing == before:
+            return passing
         best = scored.join(passing, "pattern").groupBy("value").agg(F.max("confidence").alias("best"))
         scored = materialize(
             scored.join(best, "value", "left").select("pattern", "value", "seed", F.greatest("seed", F.coalesce("best", F.lit(0.0))).alias("belief")), "scored"
@@ -149,20 +165,20 @@ def pattern_confidence(found: DataFrame, seeds: DataFrame, rounds: int = ROUNDS,
 def all_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The document rows (row, doc_id) and the spans (row, kind_no, kind, start, end, value) of base kinds and ``id``."""
     raw = materialize(_raw(docs), "matches")
-    base = materialize(base_spans(raw), "base")
-    found = materialize(contexts(raw), "contexts")
-    passing = pattern_confidence(found, base)
-    more = found.join(passing.select("pattern"), "pattern", "left_semi").select(
-        "row", F.lit(len(KINDS)).alias("kind_no"), F.lit("id").alias("kind"), "start", "end", "value"
-    )
+    base = base_spans(raw)
+    found = contexts(raw).select("row", F.lit(len(KINDS)).alias("kind_no"), F.lit("id").alias("kind"), "start", "end", "value", "pattern")
     # a running maximum of base ends finds overlaps: no base span may reach into a found one
-    both = base.unionByName(more)
+    both = base.unionByName(found)
     w = Window.partitionBy("row").orderBy("start", "kind_no")
     is_base = F.col("kind_no") < len(KINDS)
     both = both.withColumn("reach", F.max(F.when(is_base, F.col("end"))).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     both = both.withColumn("next", F.min(F.when(is_base, F.col("start"))).over(w.rowsBetween(1, Window.unboundedFollowing)))
     clear = is_base | ((F.coalesce("reach", F.lit(0)) <= F.col("start")) & (F.col("next").isNull() | (F.col("next") >= F.col("end"))))
-    return raw.select("row", "doc_id"), both.where(clear).drop("reach", "next")
+    both = materialize(both.where(clear).drop("reach", "next"), "spans")
+    passing = pattern_confidence(both.where("pattern <> ''"), both.where(is_base))
+    base, found = both.where(is_base), both.where(~is_base)
+    spans = base.unionByName(found.join(passing.select("pattern"), "pattern", "left_semi"))
+    return raw.select("row", "doc_id"), spans.drop("pattern")
 
 
 def private_spans(docs: DataFrame) -> DataFrame:

@@ -70,3 +70,21 @@ def test_bootstrapping(spark):
 
 def test_empty(spark):
     assert pii.private_spans(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_every_base_kind_induces_patterns(spark):
+    base = {"mailto": "a{}@b.cd", "host": "10.0.0.{}", "fon": "+49 (30) 12345{:02d}", "card": "4111 1111 1111 1111"}
+    rows = [(i, f"{word}: {value.format(i)} end", "x", 1) for i, (word, value) in enumerate((w, v) for w, v in base.items() for _ in range(9))]
+    rows += [(100 + i, f"some {word}: user{i}name end", "x", 1) for i, word in enumerate(base)]
+    got = {x["doc_id"]: x for x in check(spark, rows)}
+    assert [got[100 + i]["spans"] for i in range(3)] == [f"id:{len(f'some {w}: ')}:{len(f'some {w}: user0name')}" for w in ("mailto", "host", "fon")]
+    assert got[103]["spans"] == ""  # one card alone is too little support
+
+
+def test_rounds_go_on_until_nothing_more_passes(spark):
+    # each pattern passes by the values that it shares with the one before
+    rows = [(f"p{k}", f"s{i}") for k in range(6) for i in range(120)]
+    rows += [(f"p{k}", f"v{n}x{i}") for k in range(6) for n in ([k, k + 1] if k else [1]) for i in range(40)]
+    seeds = spark.createDataFrame([(f"s{i}",) for i in range(120)], "value string")
+    got = pii.pattern_confidence(spark.createDataFrame(rows, "pattern string, value string"), seeds).collect()
+    assert sorted(x["pattern"] for x in got) == [f"p{k}" for k in range(6)]
