@@ -8,7 +8,8 @@ pattern on its left (word and separator), form a bipartite graph over the corpus
 each round Spark scores patterns by the mean confidence of their distinct values, and
 values by their best pattern, until the set of passing patterns no longer changes;
 patterns with enough support and confidence label all values they stand before as
-kind ``id``. Everything is DataFrame operations; graph tables are aggregated before
+kind ``id``. A value without a digit enters the graph behind the key words alone, and is
+labelled behind every passing pattern with ``:`` or ``=``. Everything is DataFrame operations; graph tables are aggregated before
 they are shuffled and written once per round.
 
 Defined cases: null text is empty and has no spans; repeated rows are documents of
@@ -32,10 +33,10 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
-#: Word, separator and a value of six or more characters with a digit.
-CONTEXT = r"(?<![A-Za-z0-9_])([A-Za-z_]{2,24})(\x20?[:=]\x20?[\"']?|\x20)((?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{6,256}+)"
+#: Word, separator and (ahead, so that it may be the next word) a value of six or more characters, with a digit after blanks alone.
+CONTEXT = r"(?<![A-Za-z0-9_])([A-Za-z_]{2,}+)(\s*+[:=]\s*+[\"']?|\s++(?=[A-Za-z_+/-]*+[0-9]))(?=([A-Za-z0-9_+/-]{6,}+))"
 #: Word and separator at the end of the text before a base span.
-LEFT = r"(?<![A-Za-z0-9_])([A-Za-z_]{2,24})(\x20?[:=]\x20?[\"']?|\x20)\z"
+LEFT = r"(?<![A-Za-z0-9_])([A-Za-z_]{2,}+)(\s*+[:=]\s*+[\"']?|\s++)\z"
 #: Key words whose values are seeds.
 SEED_KEYS = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_key", "ssn", "passport", "iban")
 
@@ -97,7 +98,7 @@ def _raw(docs: DataFrame) -> DataFrame:
         F.monotonically_increasing_id().alias("row"),
         "doc_id",
         *(_found(text, PATTERNS[k], worth[k]).alias(k) for k in KINDS),
-        _found(text, CONTEXT, digit, 3).alias("context"),
+        _found(text, CONTEXT, text.rlike("[0-9:=]"), 3).alias("context"),
     )
 
 
@@ -127,11 +128,15 @@ def contexts(raw: DataFrame) -> DataFrame:
         "row",
         _pattern(F.col("g1"), F.col("g2")).alias("pattern"),
         F.col("g3").alias("value"),
-        (F.col("start") + F.length("g1") + F.length("g2")).alias("start"),
-        (F.col("start") + F.col("size")).alias("end"),
+        (F.col("start") + F.col("size")).alias("start"),
+        (F.col("start") + F.col("size") + F.length("g3")).alias("end"),
     )
 
 
+def _keyed() -> Column:
+    return F.regexp_replace("pattern", "[:=]$", "").isin(*SEED_KEYS) & F.col("pattern").rlike("[:=]$")
+
+
 def pattern_confidence(found: DataFrame, seeds: DataFrame, least: int = 3, sure: float = 0.7) -> DataFrame:
     """(pattern, confidence, support) of the patterns that pass when no round adds one.
 
@@ -141,8 +146,7 @@ def pattern_confidence(found: DataFrame, seeds: DataFrame, least: int = 3, sure:
     patterns, which ends the rounds.
     """
     graph = materialize(found.groupBy("pattern", "value").count().drop("count"), "graph")
-    keyed = F.regexp_replace("pattern", "[:=]$", "").isin(*SEED_KEYS) & F.col("pattern").rlike("[:=]$")
-    known = graph.where(keyed).select("value").unionByName(seeds.select("value")).distinct().withColumn("seed", F.lit(1.0))
+    known = graph.where(_keyed()).select("value").unionByName(seeds.select("value")).distinct().withColumn("seed", F.lit(1.0))
     scored = graph.join(known, "value", "left").select("pattern", "value", F.coalesce("seed", F.lit(0.0)).alias("seed"), F.coalesce("seed", F.lit(0.0)).alias("belief"))
     n_passing = 0
     while True:
@@ -175,7 +179,8 @@ def all_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     both = both.withColumn("next", F.min(F.when(is_base, F.col("start"))).over(w.rowsBetween(1, Window.unboundedFollowing)))
     clear = is_base | ((F.coalesce("reach", F.lit(0)) <= F.col("start")) & (F.col("next").isNull() | (F.col("next") >= F.col("end"))))
     both = materialize(both.where(clear).drop("reach", "next"), "spans")
-    passing = pattern_confidence(both.where("pattern <> ''"), both.where(is_base))
+    in_graph = (F.col("pattern") != "") & (is_base | F.col("value").rlike("[0-9]") | _keyed())
+    passing = pattern_confidence(both.where(in_graph), both.where(is_base))
     base, found = both.where(is_base), both.where(~is_base)
     spans = base.unionByName(found.join(passing.select("pattern"), "pattern", "left_semi"))
     return raw.select("row", "doc_id"), spans.drop("pattern")

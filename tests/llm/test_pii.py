@@ -88,3 +88,14 @@ def test_rounds_go_on_until_nothing_more_passes(spark):
     seeds = spark.createDataFrame([(f"s{i}",) for i in range(120)], "value string")
     got = pii.pattern_confidence(spark.createDataFrame(rows, "pattern string, value string"), seeds).collect()
     assert sorted(x["pattern"] for x in got) == [f"p{k}" for k in range(6)]
+
+
+def test_values_are_whole_and_narrow_forms_count(spark):
+    rows = [(i, f"password: {w}horse", "x", 1) for i, w in enumerate(["correct", "golden", "wooden", "little"])]
+    word = "x_" * 20 + "token"
+    rows += [(10 + i, f"{word}={'ab1' * 200}{i}", "x", 1) for i in range(4)] + [(20 + i, f"token = {'ab1' * 200}{i}", "x", 1) for i in range(4)]
+    rows += [(30, "token=  \t\nabc1234", "x", 1), (31, "token= secret1: hidden_word, note: something", "x", 1), (32, "secret1 99887766", "x", 1)]
+    rows += [(40, "token = " + "Ab1" * 30000, "x", 1), (41, "a" * 90000 + " \n" * 30000 + ":", "x", 1)]
+    got = {x["doc_id"]: x["spans"] for x in check(spark, rows)}
+    assert got[0] == "id:10:22" and got[10] == f"id:{len(word) + 1}:{len(word) + 602}" and got[20] == "id:8:609"
+    assert got[30] == "id:10:17" and got[31] == "id:7:14" and got[32] == "" and got[40] == "id:8:90008"
