@@ -191,9 +191,9 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 2000, most_ordin
         chosen = docs.where("text is not null").join(F.broadcast(some), F.col("doc_id") == F.col("__id")).select("doc_id", "text")
         left = most_chars // 2
         for row in chosen.orderBy(order, "doc_id", "text").toLocalIterator():
+            if len(row["text"]) > left:  # shorter texts may still fit
+                continue
             left -= len(row["text"])
-            if left < 0:
-                break
             texts[kind].append(_lowered(row["text"]))
     model = fit(texts[True], texts[False], prior)
     release_memory()  # of the driver

@@ -60,3 +60,15 @@ def test_no_labels(spark):
     assert toxicity.score_documents(docs, toxicity.train(docs, none)).first()["score"] == 0.0
     empty = spark.createDataFrame([], SCHEMA)
     assert toxicity.score_documents(empty, toxicity.train(empty, none)).count() == 0
+
+
+def test_one_very_long_text_does_not_empty_its_class(spark):
+    rows, labels = corpus(300)
+    order = toxicity.F.xxhash64("doc_id", toxicity.F.lit("toxicity"))
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    first = marks.where("toxic = 1").where(~is_held_out(marks.doc_id, 0)).orderBy(order).first()["doc_id"]
+    docs = spark.createDataFrame([(i, t + " ba" * 50_000 if i == first else t, *x) for i, t, *x in rows], SCHEMA)
+    model = toxicity.train(docs, marks, most_chars=200_000)
+    assert len(model.weights)
+    got = toxicity.score_documents(docs, model).where("predicted = 1").collect()
+    assert sum(x["doc_id"] % 6 == 0 for x in got) > 25
