@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..schemas import HITS
+from ..store import materialize
 from . import scoring
 
 ALIASES = {"bm25_page": "bm25", "dense_page": "dense", "tfidf_page": "tfidf", "layout_node": "dense", "dense_node": "dense", "bm25_node": "bm25", "tfidf_node": "tfidf"}
@@ -69,29 +70,43 @@ def with_scope(queries: DataFrame, items: DataFrame, scope: str) -> tuple[DataFr
     return queries.withColumn("scope", key), items.withColumn("scope", key)
 
 
+#: So many hits are broadcast to the items at most.
+BROADCAST_HITS = 200_000
+
+
 def as_hits(found: DataFrame, items: DataFrame, retriever: str) -> DataFrame:
-    """Hits of (query_id, item, score, rank) with the items' columns."""
-    shown = items.select("item", "doc_id", "page_id", "node_id", "node_type", "text").dropDuplicates(["item"])
-    out = found.select("query_id", "item", "score", "rank").join(shown, "item")
+    """Hits of (query_id, item, score, rank) with the items' columns; hits go to the items, not the items' texts to the hits."""
+    few = materialize(found.select("query_id", "item", "score", "rank"), "hits")
+    few = F.broadcast(few) if few.count() <= BROADCAST_HITS else few
+    shown = items.select("item", "doc_id", "page_id", "node_id", "node_type", "text")
+    out = shown.join(few, "item").dropDuplicates(["query_id", "item"])
     meta = F.lit(None).cast(HITS["metadata"].dataType)
     return out.select("query_id", F.col("rank").cast("int").alias("rank"), "score", "doc_id", "page_id", "node_id", "node_type", "text", F.lit(retriever).alias("retriever"), meta.alias("metadata"))
 
 
-def search(queries: DataFrame, items: DataFrame, method: str, k: int, scope: str = "corpus", encode: Callable | None = None, require_model: bool = False) -> tuple[DataFrame, str]:
-    q, i = with_scope(queries, items, scope)
+def of_asked_documents(queries: DataFrame, items: DataFrame) -> DataFrame:
+    """The items of documents that some question is about, written once."""
+    asked = queries.select("doc_id").distinct()
+    return materialize(items.join(asked, "doc_id", "left_semi"), "asked")
+
+
+def search(queries: DataFrame, items: DataFrame, method: str, k: int, scope: str = "corpus", encode: Callable | None = None, require_model: bool = False) -> tuple[DataFrame, str, DataFrame]:
+    """(the k best, label of what ran, the items that were searched)."""
+    kind, label = scoring.kind_of(method, encode, require_model)
+    if scope == "corpus":
+        return scoring.corpus_top_k(queries, items, kind, k, encode), label, items
+    q, i = with_scope(queries, of_asked_documents(queries, items), scope)
     scores, label = scoring.score(q, i, method, encode, require_model)
-    return scoring.top_k(q, i, scores, k), label
+    return scoring.top_k(q, i, scores, k), label, i
 
 
 def retrieve_pages(queries, pages, method="bm25", k=10, scope="corpus", encode=None, require_model=False) -> DataFrame:
-    items = page_items(pages)
-    found, label = search(queries, items, method, k, scope, encode, require_model)
+    found, label, items = search(queries, page_items(pages), method, k, scope, encode, require_model)
     return as_hits(found, items, label)
 
 
 def retrieve_nodes(queries, nodes, method="dense", k=10, scope="corpus", encode=None, require_model=False) -> DataFrame:
-    items = node_items(nodes)
-    found, label = search(queries, items, method, k, scope, encode, require_model)
+    found, label, items = search(queries, node_items(nodes), method, k, scope, encode, require_model)
     return as_hits(found, items, label)
 
 
@@ -111,16 +126,18 @@ def retrieve_hybrid_pages(queries, pages, options: dict[str, Any], encode=None)
     return as_hits(best, items, "hybrid_page")
 
 
+def candidates_of(pages: DataFrame, items: DataFrame) -> DataFrame:
+    """Nodes on each query's pages (query_id, page_id, page_rank), in the pages' and then the nodes' order, written once."""
+    order = Window.partitionBy("query_id").orderBy("page_rank", "node_ord")
+    few = materialize(pages.select("query_id", "page_id", "page_rank"), "pages")
+    few = F.broadcast(few) if few.count() <= BROADCAST_HITS else few
+    rows = items.withColumnRenamed("ord", "node_ord").join(few, "page_id")
+    return materialize(rows.withColumn("ord", F.row_number().over(order).cast("long")).withColumn("scope", F.col("query_id")), "candidates")
+
+
 def regions_of_pages(queries, nodes, page_hits, method: str, k: int, label: str, encode=None, require_model=False) -> DataFrame:
     """Nodes of the hit pages, ranked with the statistics of that candidate set and fused with the pages' ranks."""
-    items = node_items(nodes)
-    pages = page_hits.select("query_id", "page_id", F.col("rank").alias("page_rank"))
-    order = Window.partitionBy("query_id").orderBy("page_rank", "node_ord")
-    candidates = (
-        pages.join(items.withColumnRenamed("ord", "node_ord"), "page_id")
-        .withColumn("ord", F.row_number().over(order).cast("long"))
-        .withColumn("scope", F.col("query_id"))
-    )
+    candidates = candidates_of(page_hits.select("query_id", "page_id", F.col("rank").alias("page_rank")), node_items(nodes))
     q = queries.withColumn("scope", F.col("query_id"))
     scores, _ = scoring.score(q, candidates, method, encode, require_model)
     inner = scoring.every_item(q, candidates, scores).select("query_id", "item", "ord", F.col("rank").alias("node_rank"))
@@ -128,7 +145,7 @@ def regions_of_pages(queries, nodes, page_hits, method: str, k: int, label: str,
     joined = inner.join(candidates.select("query_id", "item", "page_rank"), ["query_id", "item"])
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "node_rank")
     best = joined.withColumn("score", total).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return as_hits(best, items, label)
+    return as_hits(best, candidates.dropDuplicates(["item"]), label)
 
 
 def _region_options(options: dict[str, Any]) -> dict[str, Any]:
@@ -159,18 +176,13 @@ def retrieve_oracle_page_region(queries, nodes, options: dict[str, Any], encode=
     """Upper bound: candidates are the nodes of the gold pages."""
     method = method_of(options.get("method"), options.get("region_method"), options.get("region_retriever"))
     items = node_items(filter_nodes(nodes, options.get("node_types")))
-    gold = queries.select("query_id", F.posexplode("evidence_page_ids").alias("page_no", "page_id"))
-    order = Window.partitionBy("query_id").orderBy("page_no", "node_ord")
-    candidates = (
-        gold.join(items.withColumnRenamed("ord", "node_ord"), "page_id")
-        .withColumn("ord", F.row_number().over(order).cast("long"))
-        .withColumn("scope", F.col("query_id"))
-    )
+    gold = queries.select("query_id", F.posexplode("evidence_page_ids").alias("page_rank", "page_id"))
+    candidates = candidates_of(gold, items)
     q = queries.withColumn("scope", F.col("query_id"))
     o = _region_options(options)
     scores, _ = scoring.score(q, candidates, method, encode, o["require_model"])
     k = int(options.get("region_top_k", top_k_of(options.get("top_k"))))
-    return as_hits(scoring.top_k(q, candidates, scores, k), items, "oracle_page_region")
+    return as_hits(scoring.top_k(q, candidates, scores, k), candidates.dropDuplicates(["item"]), "oracle_page_region")
 
 
 def retrieve(queries: DataFrame, pages: DataFrame, nodes: DataFrame, options: dict[str, Any], encode=None) -> DataFrame:

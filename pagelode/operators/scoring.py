@@ -3,8 +3,8 @@
 A scorer takes items (scope, item, ord, score_text) and queries (scope, query_id,
 question) and compares what shares a scope. The scope is also what statistics are
 taken over: a constant (whole corpus), the document, or the query's candidate set.
-Cost follows the postings of query tokens, not queries times items: item tokens meet
-the query tokens in a semi-join before anything is aggregated.
+Here scores are joins over an inverted index of the query tokens, for scopes that hold
+few items each; a search of the whole corpus goes through :mod:`.corpus` instead.
 
 Scores rank after rounding to nine digits, ties in the order of ``ord``.
 """
@@ -17,8 +17,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-
-K1, B = 1.5, 0.75
+from ..store import materialize
+from . import corpus
+from .corpus import K1, B
 
 
 def tokenized(items: DataFrame) -> DataFrame:
@@ -104,17 +105,23 @@ def dense(queries: DataFrame, items: DataFrame) -> DataFrame:
 SCORERS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {"bm25": bm25, "tfidf": tfidf}
 
 
-def score(queries: DataFrame, items: DataFrame, method: str, encode: Callable[[DataFrame, str], DataFrame] | None = None, require_model: bool = False):
-    """(scores, label of what ran). ``dense`` without an encoder falls back to TF-IDF unless a model is required."""
-    if method == "bm25":
-        return bm25(queries, items), "bm25"
+def kind_of(method: str, encode: Callable[[DataFrame, str], DataFrame] | None = None, require_model: bool = False) -> tuple[str, str]:
+    """(scorer that runs, its label). ``dense`` without an encoder falls back to TF-IDF unless a model is required."""
     if method == "dense" and encode is not None:
-        return dense(encode(queries, "question"), encode(items, "score_text")), getattr(encode, "label", "dense:vectors")
+        return "dense", getattr(encode, "label", "dense:vectors")
+    if method == "dense" and require_model:
+        raise RuntimeError("dense retrieval requires local SentenceTransformer model; none could be loaded")
     if method == "dense":
-        if require_model:
-            raise RuntimeError("dense retrieval requires local SentenceTransformer model; none could be loaded")
-        return tfidf(queries, items), "dense:tfidf_fallback"
-    return tfidf(queries, items), "tfidf"
+        return "tfidf", "dense:tfidf_fallback"
+    return ("bm25", "bm25") if method == "bm25" else ("tfidf", "tfidf")
+
+
+def score(queries: DataFrame, items: DataFrame, method: str, encode: Callable[[DataFrame, str], DataFrame] | None = None, require_model: bool = False):
+    """(scores, label of what ran)."""
+    kind, label = kind_of(method, encode, require_model)
+    if kind == "dense":
+        return dense(encode(queries, "question"), encode(items, "score_text")), label
+    return SCORERS[kind](queries, items), label
 
 
 def ranked(scores: DataFrame, k: int | None = None) -> DataFrame:
@@ -137,6 +144,19 @@ def top_k(queries: DataFrame, items: DataFrame, scores: DataFrame, k: int) -> Da
     return ranked(both, k)
 
 
+def corpus_top_k(queries: DataFrame, items: DataFrame, kind: str, k: int, encode: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
+    """As :func:`top_k` over all items; they are read once for the statistics and once to be scored."""
+    q, i = (encode(queries, "question"), encode(items, "score_text")) if kind == "dense" else (queries, items)
+    best = materialize(ranked(corpus.search(q, i, kind, k), k).drop("rank"), "top")
+    have = best.groupBy("query_id").agg(F.count(F.lit(1)).alias("have"))
+    short = queries.select("query_id").join(have, "query_id", "left").where(F.coalesce("have", F.lit(0)) < k).select("query_id", F.lit("").alias("scope"))
+    if short.limit(1).count():  # k rows fill what is missing
+        first = items.select(F.lit("").alias("scope"), "item", "ord").orderBy("ord").limit(k)
+        fill = short.join(F.broadcast(first), "scope").join(best.select("query_id", "item"), ["query_id", "item"], "left_anti")
+        best = best.unionByName(fill.select("query_id", "scope", "item", "ord", F.lit(0.0).alias("score")))
+    return ranked(best, k)
+
+
 def every_item(queries: DataFrame, items: DataFrame, scores: DataFrame) -> DataFrame:
     """As :func:`top_k` with every item of the scope: those without a score get 0."""
     pairs = queries.select("query_id", "scope").join(items.select("scope", "item", "ord"), "scope")

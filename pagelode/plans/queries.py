@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..functions import text as tx
-from ..operators import evidence as ev
+from ..operators import corpus
 from ..operators import metrics as mt
 from ..operators import retrieval as rt
 from ..operators import scoring as sc
@@ -22,6 +22,7 @@ from ..operators import sufficiency as sf
 from ..schemas import QUERIES as QUERY_SCHEMA
 from ..sources import prepare as pp
 from ..sources.demo import demo_tables
+from ..store import materialize
 
 LINES_PER_PAGE = 5
 
@@ -69,11 +70,11 @@ def page_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_table(spark: SparkSession, sf_dir: str, nodes: DataFrame | None = None) -> DataFrame:
-    """QUERIES of all benchmark items."""
+    """QUERIES of all benchmark items, written once (a query reads them several times)."""
     nodes = node_table(spark, sf_dir) if nodes is None else nodes
     items = _read(spark, sf_dir, "benchmark").select(F.lpad(F.col("item_id").cast("string"), 12, "0").alias("query_id"), F.col("text").alias("question"))
     lines = items.select("query_id", F.explode(F.array_distinct(F.split("question", "\n"))).alias("text")).where(F.length("text") >= 20)
-    hits = lines.join(nodes.select("text", "doc_id", "page_id", "node_id"), "text")
+    hits = materialize(nodes.select("text", "doc_id", "page_id", "node_id").join(lines, "text"), "gold")
     first = hits.groupBy("query_id").agg(F.min("doc_id").alias("doc_id"))
     gold = hits.join(first, ["query_id", "doc_id"]).groupBy("query_id", "doc_id").agg(F.sort_array(F.collect_set("page_id")).alias("p"), F.sort_array(F.collect_set("node_id")).alias("n"))
     none = F.array().cast("array<string>")
@@ -91,7 +92,7 @@ def query_table(spark: SparkSession, sf_dir: str, nodes: DataFrame | None = None
         F.create_map().cast("map<string,string>").alias("metadata"),
     )
     assert out.columns == QUERY_SCHEMA.names
-    return out
+    return materialize(out, "queries")
 
 
 def _shown(hits: DataFrame) -> DataFrame:
@@ -369,7 +370,7 @@ def dense_cosine_topk(spark, sf_dir):
     vectors = _read(spark, sf_dir, "embeddings")
     items = vectors.select(F.lit("").alias("scope"), F.col("vec_id").alias("item"), F.col("vec_id").alias("ord"), F.col("embedding").alias("vector"))
     asked = vectors.where("vec_id % 20 = 0").select(F.lit("").alias("scope"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    best = sc.ranked(sc.dense(asked, items), 10)
+    best = sc.ranked(corpus.search(asked, items, "dense", 10), 10)
     return best.select("query_id", F.col("item").alias("vec_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
