@@ -1,4 +1,12 @@
-"""Five stages from raw documents to packed training sequences."""
+"""Five stages from raw documents to packed training sequences.
+
+Defined cases, for every stage: null text counts as empty, and an empty document is
+kept until the mix, which draws no document without words; a null id is an id of its
+own, never preferred to another; repeated rows are one exact copy; very long texts are
+read whole; ties go to the largest id among exact copies and to the smallest among near
+copies; an empty table gives an empty result; extra columns are carried through
+whatever their names (the last stage drops them).
+"""
 
 from __future__ import annotations
 
@@ -7,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pagelode.llm import exact_dedup, mixing, packing, shingle_join, toxicity
-from pagelode.llm.storage import materialize, small_batches
+from pagelode.llm.storage import discard, materialize, small_batches, with_read_order
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -35,9 +43,15 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """doc_id, piece, start, length, ids_crc32, order_file, order_row, sequence_id, offset.
+
+    The mix is written in training order, so (order_file, order_row) is a document's place
+    in the curriculum; a document that is drawn twice has two places, which tell its copies
+    apart. Extra columns of the input with these names are left out.
+    """
     small_batches(spark)
-    return packing.packed_documents(docs)
+    placed = with_read_order(docs.select("doc_id", "text"))
+    return packing.packed_documents(placed, keep=("order_file", "order_row"))
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -55,5 +69,6 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        discard(before)
     return docs
