@@ -26,3 +26,72 @@ def test_cases(spark):
     assert got[5]["licenses"] == "MIT" and got[5]["n_sentences"] == 3000 and got[5]["unmatched"] == ""
     assert got[None]["licenses"] == "MIT"
     assert license.license_scan(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+MIT = """MIT License
+
+Copyright (c) 2025 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+GPL = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""
+
+
+def test_wrapped_texts_tags_and_mixtures(spark):
+    """Wrapped licence texts, tags, names inside sentences, and licences that stand inside each other."""
+    s = dict((i, x) for i, x in license.SENTENCES)
+    interleaved = ["mit-grant", "bsd-use", "mit-notice", "bsd-source", "mit-warranty", "bsd-binary"]
+    nested = ["gpl3-later", "mpl-subject", "mpl-obtain", "gpl-hope", "gpl-details"]
+    rows = [
+        (1, MIT, "x", 1),
+        (2, GPL, "x", 1),
+        (3, "// SPDX-License-Identifier: MIT\nint main() {}", "x", 1),
+        (4, "# SPDX-License-Identifier: Apache-2.0", "x", 1),
+        (5, "Note that this file is released under the MIT license, like the rest.", "x", 1),
+        (6, ". ".join(s[i] for i in interleaved), "x", 1),
+        (7, ". ".join(s[i] for i in nested), "x", 1),
+        (8, "the software is provided as is. without warranty of any kind", "x", 1),
+    ]
+    got = scan(spark, rows)
+    assert got[1]["licenses"] == "MIT" and got[1]["unmatched"] == "" and got[1]["sequence"] == "mit-grant,mit-notice,mit-warranty,mit-liability"
+    assert got[2]["licenses"] == "GPL-3.0-or-later"
+    assert [got[k]["licenses"] for k in (3, 4, 5)] == ["MIT", "Apache-2.0", "MIT"]
+    assert got[6]["licenses"] == "BSD-2-Clause,MIT" and got[6]["unmatched"] == ""
+    assert got[7]["licenses"].split(",") == ["GPL-3.0-or-later", "MPL-2.0"] and got[7]["unmatched"] == ""
+    assert got[8]["sequence"] == ""
+
+
+def test_tables():
+    import re
+
+    assert len(license.TEXTS) + len(license._references()) >= 100
+    assert all(re.search(license.NEEDED, s) for _, s in license.SENTENCES)
+    assert all(s == re.sub("[^a-z0-9]+", " ", s).strip() for _, s in license.SENTENCES)
+    known = {i for i, _ in license.SENTENCES}
+    assert all(set(ids) <= known for _, ids in license.RULES)
+    assert len({s for _, s in license.SENTENCES}) == len({(i, s) for i, s in license.SENTENCES})
