@@ -6,9 +6,8 @@ over both states labels every position. A document's probabilities are the mean
 all its positions. Texts are read whole, in windows of ``WINDOW`` bytes that go through
 the network many at a time, so the cost is linear and the memory bounded.
 
-Training takes at most ``per_language`` documents of each of the ``most_languages``
-most frequent languages (smallest hash of the id first) and at most ``pieces`` windows
-of each.
+Training takes at most ``per_language`` documents of every language (smallest hash of
+the id first) and at most ``pieces`` windows of each, in one pass over the table.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; so is
 everything when no language was learned; a null id belongs to the training part; ties
@@ -23,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .packing import _groups
@@ -186,31 +185,42 @@ def _columns(parts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(x), (np.arange(width)[:, None] < lengths).astype(np.float32)
 
 
-def train(docs: DataFrame, per_language: int = 600, pieces: int = 6, most_languages: int = 200, hidden: int = 12, steps: int = 350) -> BiGru | None:
-    """Learn from documents whose crc32(doc_id as text) mod 5 is not 0 and whose language is known."""
-    known = docs.where("lang is not null and text is not null").where(~is_held_out(F.col("doc_id"), 0)).select("doc_id", "lang", "text")
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
-    languages = sorted(r["lang"] for r in counts)
+def training_pieces(docs: DataFrame, per_language: int, pieces: int) -> DataFrame:
+    """lang, parts: up to ``pieces`` spread windows of the ``per_language`` documents with the smallest hash in each language.
+
+    One pass for all languages. The smallest hashes are taken per partition, then in
+    64 groups of a language and then among these, so a language that most documents
+    share is never sorted in one task.
+    """
+    known = docs.where("lang is not null and text is not null").where(~is_held_out(F.col("doc_id"), 0))
+    # pieces are cut by Spark, so that no long text reaches the driver
+    spread = F.transform(
+        F.sequence(F.lit(0), F.lit(pieces - 1)),
+        lambda i: F.substring(F.col("text"), (F.floor(F.length("text") * i / pieces) + 1).cast("int"), F.lit(WINDOW // 2)),
+    )
     order = F.xxhash64("doc_id", F.lit("language"))
+    rows = known.select("lang", order.alias("h"), "doc_id", F.length("text").alias("n"), F.array_distinct(spread).alias("parts"))
+    for keys in (("lang", F.pmod(F.col("h"), F.lit(64))), ("lang",)):
+        w = Window.partitionBy(*keys).orderBy("h", "doc_id", "n", "parts")
+        rows = rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= per_language).drop("place")
+    return rows.select("lang", "parts")
+
+
+def train(docs: DataFrame, per_language: int = 600, pieces: int = 6, hidden: int = 12, steps: int = 350) -> BiGru | None:
+    """Learn from documents whose crc32(doc_id as text) mod 5 is not 0 and whose language is known."""
     windows: list[bytes] = []
-    labels: list[int] = []
-    for k, lang in enumerate(languages):
-        some = known.where(F.col("lang") == lang).select(order.alias("h"), "doc_id", F.length("text").alias("n")).orderBy("h", "doc_id", "n").limit(per_language)
-        # pieces are cut by Spark, so that no long text reaches the driver
-        chosen = known.where(F.col("lang") == lang).join(F.broadcast(some.select(F.col("h").alias("__h"))), order == F.col("__h"), "left_semi")
-        spread = F.transform(
-            F.sequence(F.lit(0), F.lit(pieces - 1)),
-            lambda i: F.substring(F.col("text"), (F.floor(F.length("text") * i / pieces) + 1).cast("int"), F.lit(WINDOW // 2)),
-        )
-        for row in chosen.select(F.array_distinct(spread).alias("parts")).toLocalIterator():
-            for part in row["parts"]:
-                if _LETTER.search(part):
-                    windows.append(_lowered(part))
-                    labels.append(k)
+    names: list[str] = []
+    for row in training_pieces(docs, per_language, pieces).toLocalIterator():
+        for part in row["parts"]:
+            if _LETTER.search(part):
+                windows.append(_lowered(part))
+                names.append(row["lang"])
     if not windows:
         return None
+    languages = sorted(set(names))
     model = BiGru(languages, hidden)
-    pairs = sorted(zip(windows, labels, strict=True))  # the order rows arrive in does not matter
+    place = {lang: k for k, lang in enumerate(languages)}
+    pairs = sorted((w, place[lang]) for w, lang in zip(windows, names, strict=True))  # the order rows arrive in does not matter
     model.fit([w for w, _ in pairs], [k for _, k in pairs], steps)
     return model
 
