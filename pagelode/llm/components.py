@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import discard, materialize
+
+
+def _counted(pairs: DataFrame) -> tuple[DataFrame, tuple]:
+    """The written pairs, and their number and sum of digests, taken while they are written."""
+    seen = Observation()
+    digest = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("digest")
+    written = materialize(pairs.observe(seen, F.count(F.lit(1)).alias("n"), digest), "pairs")
+    return written, (seen.get["n"], seen.get["digest"])
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -21,8 +29,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     )
     nodes = loops.distinct()
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    pairs = materialize(pairs, "pairs")
-    last = None
+    pairs, last = _counted(pairs)
     for _ in range(most_rounds):
         # large star: larger neighbours of a node point to the smallest of the node and its neighbours
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -38,8 +45,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        pairs = materialize(small, "pairs")
-        state = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        before, (pairs, state) = pairs, _counted(small)
+        discard(before)
         if state == last:
             break
         last = state

@@ -7,7 +7,8 @@ each on at most about ``rows / tracked`` rows, take one ordinary shuffle.
 
 Defined cases: null text counts as empty; null ``doc_id`` never beats another id; of
 rows that share text and ``doc_id`` exactly one stays; an empty table gives an
-empty result; other columns are ignored, whatever their names.
+empty result; other columns are ignored, whatever their names; texts of any length
+are hashed whole, and only ids and digests are grouped.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import materialize, unused
 from .text import ascii_lower
 
 
@@ -61,13 +62,22 @@ def duplicate_groups(docs: DataFrame, heavy: int = 256, tracked: int = 4096) ->
 
 
 def drop_duplicates(docs: DataFrame, heavy: int = 256, tracked: int = 4096) -> DataFrame:
-    """The documents that stay, with all their columns."""
-    groups = duplicate_groups(docs, heavy, tracked)
-    winners = groups.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest"))
-    out = docs.withColumn("__d", text_digest(F.col("text"))).join(
-        winners, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__d") == F.col("__digest")), "left_semi"
-    )
+    """The documents that stay, with all their columns.
+
+    Losers of frequent digests go on the map side; all other texts meet the winners in
+    a hash join whose table is built of ids and digests, so texts are never sorted.
+    """
+    digest, best_id, best_digest, hot, hot_best = unused(docs, "digest", "best_id", "best_digest", "hot", "hot_best")
+    groups = materialize(duplicate_groups(docs, heavy, tracked), "groups")
+    kept = groups.where("kept").select(F.col("doc_id").alias(best_id), F.col("text_sha256").alias(best_digest), "group_size")
+    winners = kept.drop("group_size")
+    largest = kept.where("group_size > 1").orderBy(F.desc("group_size"), best_digest).limit(heavy)
+    largest = largest.select(F.col(best_digest).alias(hot), F.struct(F.col(best_id).alias("id")).alias(hot_best))
+    marked = docs.withColumn(digest, text_digest(F.col("text"))).join(F.broadcast(largest), F.col(digest) == F.col(hot), "left")
+    marked = marked.where(F.col(hot).isNull() | F.col("doc_id").eqNullSafe(F.col(f"{hot_best}.id"))).drop(hot, hot_best)
+    same = F.col("doc_id").eqNullSafe(F.col(best_id)) & (F.col(digest) == F.col(best_digest))
+    out = marked.join(winners.hint("shuffle_hash"), same, "left_semi")
     repeated = groups.groupBy("doc_id", "text_sha256").count().where("count > 1").limit(1).count()
     if repeated:
-        out = out.dropDuplicates(["doc_id", "__d"])
-    return out.select(docs.columns)
+        out = out.dropDuplicates(["doc_id", digest])
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -16,7 +16,8 @@ Inside a source documents follow the MD5 of their id. Running sums are two-level
 Defined cases: null text has size 0; null source is a source of its own, last in
 order; repeated rows are documents of their own; an empty table gives an empty
 result; ties in the order key fall to id, then size (equal rows are
-interchangeable); extra columns are ignored.
+interchangeable); extra columns are ignored, whatever their names; texts of any length
+are counted whole, and only their sizes are grouped.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import materialize, unused
 from .text import WORD_PATTERN
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -73,23 +74,25 @@ def curriculum_time(share: Column, slope: Column) -> Column:
     return F.when(slope == 0, share).otherwise((root - (1 - slope)) / (2 * slope))
 
 
-def mix_plan(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, rate: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """doc_id, source, size, source_size, target, start (place in its source), taken, position.
+def sizes_of(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size and key (the order inside a source), written once."""
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("key")
+    return materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key), "sizes")
+
+
+def mix_plan(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, rate: float = 1.5, cap: float = 2.0, sized: DataFrame | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, start (place in its source), taken, position; ``sized``: :func:`sizes_of` if written already.
 
     ``taken`` counts words with repeats: the part of the document's place, laid end
-    to end once per pass, that falls below the target.
+    to end once per pass, that falls below the target. Buckets of a source hold about
+    2,000 documents of a table with one source, so a hot source is many small groups.
     """
-    sized = materialize(
-        docs.select("doc_id", "source", word_count(F.col("text")).alias("size")).withColumn(
-            "key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-        ),
-        "sizes",
-    )
+    sized = sizes_of(docs) if sized is None else sized
     n = sized.count()
-    buckets = 16
-    while buckets < 65536 and buckets * 20000 < n:
+    buckets = 64
+    while buckets < 65536 and buckets * 2000 < n:
         buckets *= 4
-    digits = {16: 1, 64: 2, 256: 2, 1024: 3, 4096: 3, 16384: 4, 65536: 4}[buckets]
+    digits = {64: 2, 256: 2, 1024: 3, 4096: 3, 16384: 4, 65536: 4}[buckets]
     number = F.conv(F.substring("key", 1, digits), 16, 10).cast("int")
     sized = sized.withColumn("bucket", F.floor(number / (16**digits // buckets)).cast("int"))
     targets = source_targets(sized, weights, rate, cap)
@@ -142,36 +145,32 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, rate: float
     A pass draws a document if at least half of its words lie below the target, so a
     source's total differs from its target by at most half a document.
     """
-    plan = mix_plan(docs, weights, slopes, rate, cap)
+    sized = sizes_of(docs)
+    plan = mix_plan(docs, weights, slopes, rate, cap, sized)
+    own, of_source, of_size, places, place, words, row, rows = unused(docs, "own", "of_source", "of_size", "places", "place", "words", "row", "rows")
     passes = int(-(-cap // 1))
-    at = F.explode(F.sequence(F.lit(0), F.lit(passes - 1))).alias("__pass")
     drawn = (
-        plan.select("*", at)
-        .withColumn("__at", F.col("start") + F.col("__pass") * F.col("source_size"))
-        .where((F.col("__at") + F.col("size") / 2 <= F.col("target")) & (F.col("size") > 0))
+        plan.select("*", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))).alias("pass"))
+        .withColumn("at", F.col("start") + F.col("pass") * F.col("source_size"))
+        .where((F.col("at") + F.col("size") / 2 <= F.col("target")) & (F.col("size") > 0))
         .select(
-            F.col("doc_id").alias("__id"),
-            F.col("source").alias("__source"),
-            F.col("size").alias("__size"),
-            curriculum_time(F.least(F.lit(1.0), F.col("__at") / F.col("target")), F.col("slope")).alias("__position"),
+            F.col("doc_id").alias(own),
+            F.col("source").alias(of_source),
+            F.col("size").alias(of_size),
+            curriculum_time(F.least(F.lit(1.0), F.col("at") / F.col("target")), F.col("slope")).alias(place),
         )
     )
-    # a row of the table stands for itself: repeated rows are drawn as one set of copies
-    drawn = drawn.groupBy("__id", "__source", "__size").agg(F.collect_list("__position").alias("__positions"))
-    copies = docs.groupBy("doc_id", "source", word_count(F.col("text")).alias("__size")).count().where("count > 1").limit(1).count()
-    joined = docs.withColumn("__n", word_count(F.col("text"))).join(
-        drawn,
-        F.col("doc_id").eqNullSafe(F.col("__id"))
-        & F.col("source").eqNullSafe(F.col("__source"))
-        & (F.col("__n") == F.col("__size")),
-    )
-    if copies:
-        w = Window.partitionBy("__id", "__source", "__size").orderBy("text")
-        joined = joined.withColumn("__rows", F.count(F.lit(1)).over(Window.partitionBy("__id", "__source", "__size")))
-        joined = joined.withColumn("__row", F.row_number().over(w) - 1)
-        joined = joined.withColumn(
-            "__positions",
-            F.expr("filter(transform(array_sort(__positions), (p, i) -> if(i % __rows = __row, p, null)), p -> p is not null)"),
-        )
-    out = joined.withColumn("__position", F.explode("__positions"))
-    return out.orderBy("__position", "doc_id").select(docs.columns)
+    # rows that share id, source and size stand for each other: they are drawn as one set of copies
+    drawn = drawn.groupBy(own, of_source, of_size).agg(F.collect_list(place).alias(places))
+    same = F.col("doc_id").eqNullSafe(F.col(own)) & F.col("source").eqNullSafe(F.col(of_source))
+    repeated = sized.groupBy("doc_id", "source").count().where("count > 1").limit(1).count()
+    if not repeated:  # the table that is hashed holds ids and places, texts are not sorted before their final order
+        joined = docs.join(drawn.hint("shuffle_hash"), same)
+    else:
+        joined = docs.withColumn(words, word_count(F.col("text"))).join(drawn.hint("shuffle_hash"), same & (F.col(words) == F.col(of_size)))
+        alike = Window.partitionBy(own, of_source, of_size)
+        joined = joined.withColumn(rows, F.count(F.lit(1)).over(alike)).withColumn(row, F.row_number().over(alike.orderBy("text")) - 1)
+        mine = f"filter(transform(array_sort(`{places}`), (p, i) -> if(i % `{rows}` = `{row}`, p, null)), p -> p is not null)"
+        joined = joined.withColumn(places, F.expr(mine))
+    out = joined.withColumn(place, F.explode(places))
+    return out.orderBy(place, "doc_id").select(*(F.col(f"`{c}`") for c in docs.columns))

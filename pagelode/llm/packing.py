@@ -11,13 +11,15 @@ counted in two levels (length and hash bucket), so no task holds a frequent leng
 
 Defined cases: null or empty text is one piece with the end id alone; repeated rows
 are packed as documents of their own; an empty table gives an empty result; ties
-among equal lengths follow bucket, id and piece; extra columns are ignored.
+among equal lengths follow bucket, id and piece; a text of more than a slice of
+characters is encoded slice by slice, cut at spaces; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import ctypes
 import re
+import string
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -29,6 +31,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .storage import materialize
 
@@ -37,8 +40,10 @@ END_ID = 1
 _PIECES = "row long, doc_id long, piece int, start long, length long, ids_crc32 long"
 #: White space about which string methods and the tokenizer may differ, and strings of special tokens.
 _ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]|<\\|")
-_KEEP_WORDS = 300_000
-_words: dict[str, dict[str, bytes]] = {}
+#: Words of at most so many letters are kept, at most twice so many of them; texts are cut at white space after so many characters.
+_KEEP_LETTERS, _KEEP_WORDS, _SLICE = 32, 120_000, 500_000
+#: Signs that the tokenizer cuts off from the letters before them, as one run.
+_SIGNS = "".join(c for c in string.punctuation if c != "'")
 
 
 def default_tokenizer() -> str:
@@ -54,55 +59,86 @@ def _byte_letters() -> list[str]:
     return [chr(b if b in same else next(other)) for b in range(256)]
 
 
-class _Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes, with a bounded store of words.
+def slices(text: str, most: int = _SLICE) -> Iterator[str]:
+    """The text in parts of about ``most`` characters, cut at spaces (a longer word stays whole)."""
+    at = 0
+    while len(text) - at > most:
+        end = text.find(" ", at + most)
+        if end < 0:
+            break
+        yield text[at:end]
+        at = end
+    yield text[at:] if at else text
 
-    Words of Latin letters, perhaps with a stop or comma, go to the tokenizer's model
-    right away; any other word goes through the whole tokenizer.
-    """
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+class _Words(dict):
+    """Ids of words, computed when they are first asked for, with a bounded store.
 
-        self.tokenizer, self.path = Tokenizer.from_file(path), path
-        self.kept = _words.setdefault(path, {})  # outlives the task if the worker does
-        self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.marks = {m: array("I", self.tokenizer.encode(m, add_special_tokens=False).ids).tobytes() for m in ".,"}
+    The store has two generations: when the young one is full it becomes the old one,
+    and words that occur again come back from there. Words of Latin letters, perhaps
+    with a run of signs behind, go to the tokenizer's model right away; any other word
+    goes through the whole tokenizer.
+    """
 
-    def _ids(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.encode, self.tokenize, self.letters = tokenizer.encode, tokenizer.model.tokenize, _byte_letters()
+        self.four = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
+        self.old: dict[str, bytes] = {}
 
-    def _word(self, word: str) -> bytes:
-        mark = self.marks.get(word[-1], b"")
-        bare = word[:-1] if mark else word
+    def whole(self, text: str) -> bytes:
+        return array("I", self.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            if word.isascii() and word.isalpha():
+                found = b"".join([self.four[t.id] for t in self.tokenize(word.lower())])
+            else:
+                found = self._marked(word)
+        if len(word) <= _KEEP_LETTERS:
+            if len(self) >= _KEEP_WORDS:
+                self.old = dict(self)
+                self.clear()
+            self[word] = found
+        return found
+
+    def _marked(self, word: str) -> bytes:
+        bare = word.rstrip(_SIGNS)
         if not bare.isalpha():
-            return self._ids(word)
+            return self.whole(word)
+        signs = word[len(bare) :]
+        mark = self[signs] if signs else b""
+        if signs and bare.isascii() and (found := self.get(bare) or self.old.get(bare)):
+            return found + mark
         if not bare.isascii():
             bare = normalize("NFC", bare)
             if max(bare) >= "\u0250" or not (low := bare.lower()).isalpha():
-                return self._ids(word)
+                return self.whole(word)
             low = "".join([self.letters[x] for x in low.encode()])
         else:
             low = bare.lower()
-        return array("I", [t.id for t in self.model.tokenize(low)]).tobytes() + mark
+        return b"".join([self.four[t.id] for t in self.tokenize(low)]) + mark
+
+
+class _Encoder:
+    """Ids of texts as little-endian unsigned 32-bit bytes."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.words = _Words(Tokenizer.from_file(path))
+
+    def ids(self, text: str) -> bytes:
+        """The ids of a text; one of more than a slice is encoded slice by slice."""
+        parts = slices(text) if len(text) > _SLICE else (text,)
+        return b"".join([b"".join(map(self.words.__getitem__, p.split())) if not _ODD.search(p) else self.words.whole(p) for p in parts])
 
     def batch(self, texts: list[str]) -> Iterator[bytes]:
-        kept = self.kept
-        plain = [not _ODD.search(x) for x in texts]
-        split = [x.split() if p else [] for x, p in zip(texts, plain, strict=True)]
-        new: set[str] = set()
-        for words in split:
-            new.update(words)
-        for w in new - kept.keys():
-            kept[w] = self._word(w)
-        get = kept.__getitem__
-        for text, p, words in zip(texts, plain, split, strict=True):
-            yield b"".join(map(get, words)) if p else self._ids(text)
-        if len(kept) > _KEEP_WORDS:  # frequent words are in any batch
-            self.kept = _words[self.path] = {w: kept[w] for w in new}
-
-
-def _groups(batches: Iterator[pa.RecordBatch], most_chars: int = 4_000_000) -> Iterator[tuple[list, list[str]]]:
+        return map(self.ids, texts)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], most_chars: int = 500_000) -> Iterator[tuple[list, list[str]]]:
     """Rows in groups of bounded text, however long each text is."""
     ids: list = []
     texts: list[str] = []
@@ -130,20 +166,23 @@ def release_memory() -> None:
         return
 
 
-def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """One row per piece: row (unique per document row), doc_id, piece, start, length, ids_crc32 and, if asked, ids."""
+def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per piece: row (unique per document row), doc_id, piece, start, length, ids_crc32, if asked ids, and the columns ``keep``."""
     path = tokenizer or default_tokenizer()
+    kept_types = [to_arrow_type(docs.schema[c].dataType) for c in keep]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, row = _Encoder(path), TaskContext.get().partitionId() << 33
         end = array("I", [END_ID]).tobytes()
-        for ids, texts in _groups(batches):
+        for heads, texts in _groups(batches):
             out: list[list] = [[] for _ in range(7)]
-            for doc_id, raw in zip(ids, encoder.batch(texts), strict=True):
+            owners: list[int] = []
+            for k, (head, raw) in enumerate(zip(heads, encoder.batch(texts), strict=True)):
                 raw += end
                 for piece, at in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[at : at + 4 * capacity]
-                    values = (row, doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), part)
+                    values = (row, head["doc_id"], piece, at // 4, len(part) // 4, zlib.crc32(part), part if with_ids else b"")
+                    owners.append(k)
                     for column, value in zip(out, values, strict=True):
                         column.append(value)
                 row += 1
@@ -153,9 +192,12 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
             if with_ids:
                 names.append("ids")
                 columns.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in out[6]], pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays(columns, names)
+            columns += [pa.array([heads[k][c] for k in owners], t) for c, t in zip(keep, kept_types, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, [*names, *keep])
 
-    return docs.select("doc_id", "text").mapInArrow(cut, _PIECES + (", ids array<int>" if with_ids else ""))
+    head = F.struct(F.col("doc_id").cast("long").alias("doc_id"), *keep).alias("head")
+    more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(head, "text").mapInArrow(cut, _PIECES + (", ids array<int>" if with_ids else "") + more)
 
 
 def reduce_instance(counts: np.ndarray, capacity: int) -> list[tuple[int, tuple[int, ...]]]:
@@ -324,11 +366,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             added = [pa.array(p["bin"][i] + nth // p["each"][i]), pa.array(p["at"][i] + nth % p["each"][i] * size)]
             yield pa.RecordBatch.from_arrays(kept + added, [*columns, "sequence_id", "offset"])
 
-    schema = ", ".join(f"{c} {t}" for c, t in pieces.select(columns).dtypes)
+    schema = ", ".join(f"`{c}` {t}" for c, t in pieces.select(columns).dtypes)
     return ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long")
 
 
-def packed_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, [ids,] sequence_id, offset."""
-    pieces = materialize(token_pieces(docs, tokenizer, capacity, with_ids), "pieces")
+def packed_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, [ids,] the columns ``keep``, sequence_id, offset."""
+    pieces = materialize(token_pieces(docs, tokenizer, capacity, with_ids, keep), "pieces")
     return pack(pieces, capacity).drop("row")

@@ -35,7 +35,8 @@ drops them).
 
 Defined cases: null text and texts without words have the empty set, which links with
 nothing; fewer words than the width are one shingle; repeated rows link with each
-other; a null id never is a component's id unless all its ids are null; an empty table
+other; very long texts are split into words a part at a time; ties do not arise (links
+are symmetric, the least id names a component); a null id never is a component's id unless all its ids are null; an empty table
 gives an empty result; extra columns are ignored. Equal sets are recognised by a
 64-bit digest.
 """
@@ -43,6 +44,7 @@ gives an empty result; extra columns are ignored. Equal sets are recognised by a
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -55,40 +57,55 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .packing import _groups, release_memory
 from .ppm import _lowered
-from .storage import materialize
+from .storage import discard, materialize, settle, unused
 
 #: Bits of the bitmaps of unsettled sets and of clustered ids.
 BITS = 1 << 26
 #: Sets in one prefix tree have at most about this many members in all.
 BLOCK_MEMBERS = 1_000_000
 _GROWTH = 1.4
-_KEEP_WORDS = 120_000
-_GROUP_CHARS = 1_000_000
+_KEEP_WORDS = 60_000
+_GROUP_CHARS = 500_000
+_PART = 1_000_000
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
-class _WordHashes(dict):
+class WordHashes(dict):
+    """Hashes of words with a store of bounded size; a task makes its own, so nothing outlives it."""
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= _KEEP_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) <= 32:
+            if len(self) >= _KEEP_WORDS:
+                self.clear()
+            self[word] = h
         return h
 
 
-_hashes = _WordHashes()
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(lowered: bytes, width: int) -> np.ndarray:
+def _word_hashes(lowered: bytes, hashes: WordHashes) -> np.ndarray:
+    """Hashes of all words; long texts are split into words a part at a time."""
+    parts, at = [], 0
+    while at < len(lowered):
+        end = len(lowered)
+        if end - at > _PART and (space := _SPACE.search(lowered, at + _PART)):
+            end = space.start()
+        words = lowered[at:end].split()
+        parts.append(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)))
+        at = end
+    return np.concatenate(parts) if len(parts) != 1 else parts[0]
+
+
+def shingle_set(lowered: bytes, width: int, hashes: WordHashes | None = None) -> np.ndarray:
     """Sorted distinct hashes of the text's shingles."""
-    words = lowered.split()
-    if not words:
+    if not lowered or lowered.isspace():
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    h = _word_hashes(lowered, WordHashes() if hashes is None else hashes)
     span = min(width, len(h))
     out = np.full(len(h) - span + 1, span, np.uint64)
     for k in range(span):
@@ -156,8 +173,9 @@ def unsettled(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     most = np.uint64(int(share * (2**64 - 1)))
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for _, texts in _groups(batches, _GROUP_CHARS):
-            sets = [s for s in (shingle_set(_lowered(t), width) for t in texts) if len(s)]
+            sets = [s for s in (shingle_set(_lowered(t), width, hashes) for t in texts) if len(s)]
             if not sets:
                 continue
             parts = [s[: int(np.searchsorted(s, most, "right"))] for s in sets]
@@ -182,31 +200,40 @@ def unsettled(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
 
 
 def set_features(docs: DataFrame, width: int, num: int, den: int, open_bits: np.ndarray | None = None) -> DataFrame:
-    """row, doc_id, n, node (null for empty sets), signatures (of the sets that the bitmap holds)."""
+    """row, doc_id, key, n, node (null for empty sets), signatures (of the sets that the bitmap holds).
+
+    ``key`` (a digest of id and text) finds a text again, whether its id is null or repeated or not.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(open_bits)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows, row = Windows(num, den), TaskContext.get().partitionId() << 33
         bits = shared.value
-        none = np.zeros(0, np.uint64)
-        for ids, texts in _groups(batches, _GROUP_CHARS):
-            sets = [shingle_set(_lowered(t), width) for t in texts]
+        none, hashes = np.zeros(0, np.uint64), WordHashes()
+        for heads, texts in _groups(batches, _GROUP_CHARS):
+            sets = [shingle_set(_lowered(t), width, hashes) for t in texts]
             nodes = [node_of(s) if len(s) else None for s in sets]
             signs = [windows.signatures(s) if x is not None and (bits is None or _held(bits, x)) else none for s, x in zip(sets, nodes, strict=True)]
             offsets = pa.array(np.cumsum([0, *map(len, signs)]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(range(row, row + len(ids)), pa.int64()),
-                    pa.array(ids, pa.int64()),
+                    pa.array(range(row, row + len(heads)), pa.int64()),
+                    pa.array([h["doc_id"] for h in heads], pa.int64()),
+                    pa.array([h["key"] for h in heads], pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(nodes, pa.int64()),
                     pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(signs).view(np.int64))),
                 ],
-                ["row", "doc_id", "n", "node", "signatures"],
+                ["row", "doc_id", "key", "n", "node", "signatures"],
             )
-            row += len(ids)
+            row += len(heads)
 
-    return docs.select("doc_id", "text").mapInArrow(features, "row long, doc_id long, n long, node long, signatures array<long>")
+    head = F.struct(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"))
+    return docs.select(head.alias("head"), "text").mapInArrow(features, "row long, doc_id long, key long, n long, node long, signatures array<long>")
+
+
+def text_key() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
 
 
 def _held(bits: np.ndarray, node: int) -> bool:
@@ -341,6 +368,14 @@ class PrefixTree:
                 fresh = len(self.links)
         return self.links
 
+    def stars(self, nodes: list[int]) -> list[tuple[int, int]]:
+        """Links from every set to the smallest name of its connected part: they connect what the links found connect."""
+        least: dict[int, int] = {}
+        for i, node in enumerate(nodes):
+            part = self._find(i)
+            least[part] = min(node, least.get(part, node))
+        return [(node, least[self._find(i)]) for i, node in enumerate(nodes) if node != least[self._find(i)]]
+
     def _walk(self, i: int) -> None:
         x = self.sets[i]
         n = len(x)
@@ -381,32 +416,31 @@ class PrefixTree:
 def _tree_join(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """(a, b) links from rows (cluster, block, node, part, text), grouped by cluster and block."""
 
-    def groups(batches: Iterable[pa.RecordBatch]) -> Iterator[list[tuple]]:
-        key, held = None, []
+    def groups(batches: Iterable[pa.RecordBatch]) -> Iterator[dict[int, tuple]]:
+        """The sets (node: members, part) of each block; texts become sets as they arrive."""
+        key, held, hashes = None, {}, WordHashes()
         for batch in batches:
             for row in zip(*(batch.column(k) for k in range(5)), strict=True):
-                cluster, block, node, part, text = (x.as_py() for x in row)
+                cluster, block, node, part = (x.as_py() for x in row[:4])
                 if (cluster, block) != key:
                     if held:
                         yield held
-                    key, held = (cluster, block), []
-                held.append((node, part, text))
+                    key, held = (cluster, block), {}
+                if node not in held:
+                    members = shingle_set(_lowered(row[4].as_py() or ""), width, hashes)
+                    if node_of(members) == node:
+                        held[node] = (members, part)
         if held:
             yield held
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
-        for rows in groups(batches):
-            found: dict[int, tuple] = {}
-            for node, part, text in rows:
-                if node not in found:
-                    members = shingle_set(_lowered(text or ""), width)
-                    if node_of(members) == node:
-                        found[node] = (members, part)
+        for found in groups(batches):
             nodes = list(found)
             if len(nodes) > 1:
                 tree = PrefixTree([found[x][0] for x in nodes], num, den, [found[x][1] for x in nodes])
-                out.extend((nodes[i], nodes[j]) for i, j in tree.join())
+                tree.join()
+                out.extend(tree.stars(nodes))
                 tree.clear()
             if len(out) > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
@@ -419,15 +453,15 @@ def _tree_join(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
     return rows.sortWithinPartitions("cluster", "block").mapInArrow(joined, "a long, b long")
 
 
-def _id_place(doc_id: Column) -> Column:
-    return F.pmod(F.xxhash64(doc_id), F.lit(BITS))
+def _place(key: Column) -> Column:
+    return F.pmod(key, F.lit(BITS))
 
 
 def _bitmap(places: DataFrame) -> np.ndarray:
     """Bitmap of column ``place`` (0 to BITS - 1), lowest bit first; Spark builds it in buckets of 32768 bits."""
     rows = places.groupBy(F.floor(F.col("place") / 32768).alias("bucket")).agg(F.expr("bitmap_construct_agg(place % 32768)").alias("bits"))
     out = np.zeros((BITS // 32768, 4096), np.uint8)
-    for row in rows.toLocalIterator():
+    for row in rows.collect():  # at most 2048 rows of 4096 bytes
         out[row["bucket"]] = np.frombuffer(row["bits"], np.uint8)
     return out.reshape(-1)
 
@@ -466,33 +500,37 @@ def similarity_components(docs: DataFrame, width: int = 5, num: int = 4, den: in
     Two documents link if the Jaccard similarity of their shingle sets is at least num / den.
     """
     spark = docs.sparkSession
-    maybe = _bitmap(unsettled(docs, width, num, den).select(F.pmod("node", F.lit(BITS)).alias("place")))
+    maybe = _bitmap(unsettled(docs, width, num, den).select(_place(F.col("node")).alias("place")))
     features = materialize(set_features(docs, width, num, den, maybe), "features")
+    settle(spark)
     sets = features.where("node is not null")
-    nodes = sets.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.max("n").alias("n"))
+    nodes = sets.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.max("n").alias("n"), F.min("key").alias("key"))
     entries = sets.select("node", F.explode("signatures").alias("signature"))
     shared = entries.groupBy("signature").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").drop("most")
     shared = materialize(shared, "shared")
-    known = _bitmap(shared.select(F.pmod("signature", F.lit(BITS)).alias("place")))
+    known = _bitmap(shared.select(_place(F.col("signature")).alias("place")))
     entries = sets.select("node", "signatures").mapInArrow(_signed_by(spark, known), "node long, signature long")
     edges = entries.join(shared.hint("merge"), "signature").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
-    clusters = connected_components(materialize(edges, "edges")).select("node", F.col("component").alias("cluster"))
+    edges = materialize(edges, "edges")
+    clusters = connected_components(edges).select("node", F.col("component").alias("cluster"))
     sizes = clusters.join(nodes, "node")
     total = sizes.groupBy("cluster").agg(F.sum("n").alias("members"))
     blocks = F.ceil(F.col("members") / block_members).cast("int")
     active = materialize(
         sizes.join(total.select("cluster", blocks.alias("blocks")), "cluster").select(
-            "node", "least_id", "n", "cluster", "blocks", F.pmod(F.hash("node"), "blocks").alias("block")
+            "node", "key", "n", "cluster", "blocks", F.pmod(F.hash("node"), "blocks").alias("block")
         ),
         "active",
     )
+    discard(shared, edges)
+    settle(spark)
 
-    clustered = _bitmap(active.select(_id_place(F.col("least_id")).alias("place")))
+    clustered = _bitmap(active.select(_place(F.col("key")).alias("place")))
 
     def with_text(rows: DataFrame) -> DataFrame:
-        texts = docs.select(F.col("doc_id").alias("__id"), "text", _id_place(F.col("doc_id")).alias("place"))
-        texts = texts.mapInArrow(_kept_by(spark, clustered), "__id long, text string")
-        return rows.hint("merge").join(texts, F.col("least_id").eqNullSafe(F.col("__id")))
+        texts = docs.select(text_key().alias("text_key"), "text").select("*", _place(F.col("text_key")).alias("place"))
+        texts = texts.mapInArrow(_kept_by(spark, clustered), "text_key long, text string")
+        return rows.hint("merge").join(texts, F.col("key") == F.col("text_key"))
 
     single = F.col("block").cast("string")
     links = materialize(
@@ -513,14 +551,19 @@ def similarity_components(docs: DataFrame, width: int = 5, num: int = 4, den: in
                 some = few.join(many, "cluster").withColumn("block", F.pmod(F.hash("node"), "k").cast("string"))
             else:  # every set with every set outside the largest part
                 state = large.join(main.where("parts > 1"), "cluster").withColumn("stray", F.col("part") != F.col("main.part"))
-                many = state.where("stray").groupBy("cluster").agg(F.ceil(F.sum("n") / block_members).cast("int").alias("k"))
-                state = state.join(many, "cluster").withColumn("own", F.pmod(F.hash("node"), "k"))
+                stray_members = F.sum(F.when(F.col("stray"), F.col("n")).otherwise(0))
+                many = state.groupBy("cluster").agg(
+                    F.ceil(stray_members / block_members).cast("int").alias("k"), F.ceil(F.sum("n") / block_members).cast("int").alias("all")
+                )
+                state = state.join(many, "cluster").withColumns({"own": F.pmod(F.hash("node"), "k"), "place": F.pmod(F.hash("node"), "all")})
                 across = lambda to, column: state.where(to).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(column) - 1)))
-                some = across(F.lit(True), "k").withColumn("block", F.concat_ws(",", "block", "other")).unionByName(
-                    across(F.col("stray"), "blocks").withColumn("block", F.concat_ws(",", "other", "own"))
+                some = across(F.lit(True), "k").withColumn("block", F.concat_ws(",", "place", "other")).unionByName(
+                    across(F.col("stray"), "all").withColumn("block", F.concat_ws(",", "other", "own"))
                 )
-            more = _tree_join(with_text(some.select("cluster", "block", "node", "part", "least_id")), width, num, den)
-            links = materialize(links.unionByName(more), "links")
+            more = _tree_join(with_text(some.select("cluster", "block", "node", "part", "key")), width, num, den)
+            before, links = links, materialize(links.unionByName(more), "links")
+            discard(before)
+    settle(spark)
     parts = connected_components(links)
     labelled = nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = labelled.groupBy("component").agg(F.min("least_id").alias("component_id"))
@@ -537,26 +580,28 @@ def similarity_components(docs: DataFrame, width: int = 5, num: int = 4, den: in
 
 def one_of_each(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """The documents with one of each component: the one with the smallest id (a null id only among null ids)."""
-    found = similarity_components(docs, width, num, den)
+    found = materialize(similarity_components(docs, width, num, den), "components")
+    own, own_node, node = unused(docs, "own", "own_node", "node")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     keep = found.where((F.col("doc_id") == F.col("component_id")) | F.col("node").isNull() | F.col("component_id").isNull())
-    keep = keep.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     repeated = found.groupBy("doc_id").count().where("doc_id is null or count > 1").limit(1).count()
-    if not repeated:
-        return docs.join(keep.select(F.col("doc_id").alias("__id")).hint("merge"), F.col("doc_id") == F.col("__id"), "left_semi").select(docs.columns)
+    if not repeated:  # the table that is hashed holds ids, texts are not sorted
+        ids = keep.select(F.col("doc_id").alias(own))
+        return docs.join(ids.hint("shuffle_hash"), F.col("doc_id") == F.col(own), "left_semi").select(*columns)
     # rows of one id are told apart by their sets
     first = found.where("node is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row", "node")).alias("best"))
-    best = first.select(F.col("best.doc_id").alias("__id"), F.col("best.node").alias("__node"))
-    empty = found.where("node is null")
+    best = first.select(F.col("best.doc_id").alias(own), F.col("best.node").alias(own_node))
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            sets = [shingle_set(_lowered(t.as_py() or ""), width) for t in batch.column(at)]
+            sets = [shingle_set(_lowered(t.as_py() or ""), width, hashes) for t in batch.column(at)]
             nodes = pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, nodes], [*batch.schema.names, "__n"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, nodes], [*batch.schema.names, node])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    tagged = docs.mapInArrow(tag, f"{schema}, __n long")
-    kept = tagged.join(best, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__n") == F.col("__node")), "left_semi")
-    kept = kept.dropDuplicates(["doc_id", "__n"])
-    return kept.unionByName(tagged.where("__n is null")).select(docs.columns) if empty.limit(1).count() else kept.select(docs.columns)
+    tagged = docs.mapInArrow(tag, f"{schema}, `{node}` long")
+    same = F.col("doc_id").eqNullSafe(F.col(own)) & (F.col(node) == F.col(own_node))
+    kept = tagged.join(best.hint("shuffle_hash"), same, "left_semi").dropDuplicates(["doc_id", node])
+    return kept.unionByName(tagged.where(F.col(node).isNull())).select(*columns)

@@ -1,52 +1,45 @@
-"""Intermediate tables in the folder that driver and executors share.
-
-Lineage is cut by writing Parquet under ``spark.checkpoint.dir``; the session's
-own setting is used and a default exists only for local masters (tests).
-"""
+"""What the operators share about batches, names, row order and written tables."""
 
 from __future__ import annotations
 
-import atexit
-import uuid
+import gc
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-_LOCAL_DEFAULT = "file:///tmp/checkpoints"
-_written: list[tuple[SparkSession, str]] = []
-
+from ..store import discard, materialize, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder; local masters may do without the setting."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if spark.sparkContext.master.startswith("local-cluster") or not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return _LOCAL_DEFAULT
+__all__ = ["discard", "materialize", "settle", "shared_dir", "small_batches", "unused", "with_read_order"]
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most ``rows`` rows, so that what Python workers and the JVM hold of long texts stays small."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "4m") -> None:
+    """Arrow batches of at most ``rows`` rows and about ``size`` bytes, so that what Python workers and the JVM hold of long texts stays small."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def settle(spark: SparkSession) -> None:
+    """Let go of finished shuffles: their files are deleted once the driver has collected its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where a column of ``df`` has one already."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and return the written table."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/pagelode-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    if not _written:
-        atexit.register(_clean)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path).getParent()
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session may be gone at exit
-            return
+def with_read_order(df: DataFrame, file: str = "order_file", row: str = "order_row") -> DataFrame:
+    """Add where a row stands: its file's name and its place there, which sort as the table was written; without files the place alone."""
+    try:
+        return df.select("*", F.col("_metadata.file_name").alias(file), F.col("_metadata.row_index").alias(row))
+    except AnalysisException:  # not read from files
+        return df.select("*", F.lit("").alias(file), F.monotonically_increasing_id().alias(row))

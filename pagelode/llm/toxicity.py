@@ -188,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 2000, most_ordin
     order = F.xxhash64("doc_id", F.lit("toxicity"))
     for kind, most in ((True, most_toxic), (False, most_ordinary)):
         some = known.where((F.col("toxic") == 1) == F.lit(kind)).orderBy(order, "doc_id").limit(most).select(F.col("doc_id").alias("__id"))
-        chosen = docs.where("text is not null").join(F.broadcast(some), F.col("doc_id") == F.col("__id")).select("doc_id", "text")
+        chosen = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("__id")).select("doc_id", "text")
         left = most_chars // 2
         for row in chosen.orderBy(order, "doc_id", "text").toLocalIterator():
             if len(row["text"]) > left:  # shorter texts may still fit

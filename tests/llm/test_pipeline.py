@@ -88,3 +88,37 @@ def test_empty(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+CLASHING = "doc_id long, text string, source string, __id long, __n long, __digest string, digest string, best_id long, hot long, own long, place long, places long, words long, node long, key long, size long, `row` long, start long, order_file string, order_row long"
+
+
+def test_stages_with_clashing_names_and_odd_rows(spark, folder):
+    """Extra columns with the operators' own names go through; nulls, repeated rows and an empty table do not crash."""
+    path, _ = folder
+    more = (1, 2, "a", "b", 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, "f", 14)
+    rows = [(i, f"plain words of text number {i} " * 8, f"s{i % 2}", *more) for i in range(12)]
+    rows += [(20, rows[0][1].upper(), None, *more), (21, None, "s1", *more), (None, "no id here " * 4, "s0", *more), (None, None, None, *more)]
+    rows += [rows[3], rows[3], (22, "Long Text " * 60000, "s1", *[None] * 17)]
+    for have in (rows, []):
+        docs = spark.createDataFrame(have, CLASHING)
+        for name, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, path).persist()
+            if name != "packing":
+                assert docs.columns == [f.split()[0].strip("`") for f in CLASHING.split(", ")], name
+            if name == "ngram_jaccard_join" and have:
+                kept = sorted(r["doc_id"] for r in docs.collect() if r["doc_id"] is not None)
+                assert kept == [*range(1, 12), 20, 21, 22]
+        assert (docs.count() > 0) == bool(have)
+
+
+def test_packed_rows_carry_the_training_order(spark, folder, tmp_path):
+    path, _ = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet").where("doc_id < 60 and text is not null")
+    corpus_pipeline.mix_sources(spark, docs, path).write.parquet(str(tmp_path / "mix"))
+    mixed = spark.read.parquet(str(tmp_path / "mix"))
+    got = corpus_pipeline.pack_sequences(spark, mixed, path).collect()
+    places = {(r["order_file"], r["order_row"]): r["doc_id"] for r in got}
+    assert len(places) == mixed.count()
+    want = [r["doc_id"] for f in sorted({f for f, _ in places}) for r in spark.read.parquet(str(tmp_path / "mix" / f)).collect()]
+    assert [places[p] for p in sorted(places)] == want
