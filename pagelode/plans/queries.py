@@ -21,7 +21,6 @@ from ..operators import scoring as sc
 from ..operators import sufficiency as sf
 from ..schemas import QUERIES as QUERY_SCHEMA
 from ..sources import prepare as pp
-from ..sources.demo import demo_tables
 from ..store import materialize
 
 LINES_PER_PAGE = 5
@@ -135,7 +134,7 @@ item_line AS (SELECT DISTINCT query_id, unnest(string_split(question, chr(10)))
 gold_hit AS (SELECT query_id, doc_id, page_id, node_id FROM item_line JOIN node_t USING (text) WHERE length(text) >= 20),
 gold AS (SELECT query_id, doc_id, list_sort(list_distinct(list(page_id))) AS p, list_sort(list_distinct(list(node_id))) AS n FROM gold_hit
          WHERE (query_id, doc_id) IN (SELECT query_id, min(doc_id) FROM gold_hit GROUP BY query_id) GROUP BY query_id, doc_id),
-query_t AS (SELECT query_id, coalesce(doc_id, '') AS doc_id, question, coalesce(p, []) AS evidence_page_ids, coalesce(n, []) AS evidence_node_ids FROM item_t LEFT JOIN gold USING (query_id))
+query_t AS (SELECT query_id, coalesce(doc_id, '') AS doc_id, question, 'text' AS question_type, '' AS unit, '' AS answer, '' AS raw, coalesce(p, []) AS evidence_page_ids, coalesce(n, []) AS evidence_node_ids FROM item_t LEFT JOIN gold USING (query_id))
 """
 _PAGE_ITEMS = "SELECT {scope} AS scope, page_id AS item, ord, doc_id, page_id, CAST(NULL AS VARCHAR) AS node_id, CASE WHEN page_text = '' THEN page_id ELSE page_text END AS body FROM page_t"
 _NODE_ITEMS = "SELECT {scope} AS scope, node_id AS item, ord, doc_id, page_id, node_id, CASE WHEN text = '' THEN node_id ELSE text END AS body FROM node_t"
@@ -504,47 +503,9 @@ def sufficiency_metrics(spark, sf_dir):
     return _rounded(found).select("queries", "sufficiency_rate", "partial_or_sufficient_rate", "citation_mismatch_rate", "avg_required_item_coverage", "`region_hit@3`")
 
 
-_EVIDENCE_OPTIONS = {"type": "evidence_set_region", "page_methods": ["bm25", "tfidf"], "page_top_k": 10, "region_method": "bm25", "global_region_top_k": 20, "search_scope": "document"}
-
-
-@_query()
-def evidence_set_region(spark, sf_dir):
-    """Evidence sets of every question inside its gold document; compared with a plain model in the tests."""
-    hits = rt.retrieve(query_table(spark, sf_dir), page_table(spark, sf_dir), node_table(spark, sf_dir), _EVIDENCE_OPTIONS)
-    m = "metadata."
-    return hits.select(
-        "query_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"), "node_id",
-        F.array_join(m + "candidate_sources", "+").alias("sources"), F.array_join(m + "coverage_slots", "|").alias("slots"),
-        F.col(m + "semantic_rank").alias("semantic_rank"), F.col(m + "evidence_set_rank").alias("evidence_set_rank"), F.col(m + "selection_reason").alias("reason"),
-    )
-
-
-@_query()
-def evidence_set_demo(spark, sf_dir):
-    t = demo_tables(spark)
-    hits = rt.retrieve(t["queries"], t["pages"], t["nodes"], {**_EVIDENCE_OPTIONS, "page_methods": ["bm25"]})
-    return hits.select("query_id", "rank", F.round("score", 6).alias("score"), "node_id", F.array_join("metadata.covered_slots_after_selection", "|").alias("covered"))
-
-
-@_query("SELECT query_id, 'sufficient' AS status FROM (VALUES ('demo_q1'), ('demo_q2'), ('demo_q3')) AS v(query_id)")
-def sufficiency_demo(spark, sf_dir):
-    t = demo_tables(spark)
-    hits = rt.retrieve(t["queries"], t["pages"], t["nodes"], {"type": "oracle_page_region", "method": "bm25", "top_k": 3})
-    return sf.cases(t["queries"], hits, 3).select("query_id", "status")
-
-
 # -- preparation ---------------------------------------------------------------------
 
 
-@_query()
-def split_nodes(spark, sf_dir):
-    """Every document as one page, split into nodes by lines; the splitter keeps state, so it is tested against plain code."""
-    docs = _read(spark, sf_dir, "documents")
-    doc = F.lpad(F.col("doc_id").cast("string"), 12, "0")
-    pages = docs.select(doc.alias("doc_id"), F.concat(doc, F.lit("_p1")).alias("page_id"), F.lit(1).alias("page_index"), F.col("text").alias("page_text"), F.lit("").alias("source_pdf"), F.lit(None).cast("array<struct<bbox:array<double>,text:string>>").alias("blocks"), F.col("doc_id").cast("long").alias("ord"))
-    return pp.split_nodes(pages).select("node_id", "doc_id", "node_type", "text", "reading_order")
-
-
 @_query(f"WITH {_VIEWS} SELECT page_id, min(ord) AS ord, left(replace(regexp_replace(text, '\\s+', ' ', 'g'), ' ', ''), 220) AS fingerprint, count(*) AS copies FROM node_t GROUP BY ALL")
 def dedup_fingerprint(spark, sf_dir):
     """First node per fingerprint inside a page."""
@@ -575,15 +536,3 @@ def generic_prepare(spark, sf_dir):
     )
     t = pp.from_tables(rows, "conversations")
     return t["nodes"].select("doc_id", "page_id", F.col("metadata.page_index").cast("int").alias("page_index"), "node_id", "text")
-
-
-@_query("SELECT doc_id, n FROM (VALUES ('demo_finance_2025', 3), ('demo_contract_001', 1)) AS v(doc_id, n)")
-def demo_dataset(spark, sf_dir):
-    return demo_tables(spark)["nodes"].groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
-
-
-@_query()
-def annotation_rows_demo(spark, sf_dir):
-    """Annotations of the demo's finance report."""
-    pages = demo_tables(spark)["pages"].where("doc_id = 'demo_finance_2025'")
-    return pp.annotation_rows(pages)
