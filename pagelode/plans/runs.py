@@ -21,6 +21,11 @@ from ..schemas import ANNOTATION_COLUMNS, TABLES
 from ..sources import prepare as pp
 from ..sources import readers as rd
 from ..sources.demo import demo_tables
+from ..store import materialize
+
+
+# Columns of the annotation template.
+TEMPLATE_COLUMNS = ANNOTATION_COLUMNS[:9]
 
 
 def project_root() -> Path:
@@ -99,10 +104,12 @@ def prepare(spark: SparkSession, dataset: str, limit_docs: int | None = None) ->
     else:
         raise ValueError(f"Unsupported dataset: {dataset}")
     if tables is None:
-        raw.mkdir(parents=True, exist_ok=True)
-        (raw / "README_MISSING_DATA.md").write_text(f"# Missing data\n\nPut the files of {dataset} into this folder and prepare again.\n", encoding="utf-8")
-        if dataset.startswith("cn"):
-            (raw / "qa_annotations_template.csv").write_text(",".join(ANNOTATION_COLUMNS) + "\n", encoding="utf-8")
+        out.mkdir(parents=True, exist_ok=True)
+        (out / "README.md").write_text(f"No files of {dataset} found. Put them into {raw} and prepare again.\n", encoding="utf-8")
+        template = raw / "qa_annotations_template.csv"
+        if dataset.startswith("cn") and not template.exists():  # a filled-in one is never overwritten
+            raw.mkdir(parents=True, exist_ok=True)
+            template.write_text(",".join(TEMPLATE_COLUMNS) + "\n", encoding="utf-8")
         return dict.fromkeys(TABLES, 0)
     write_dataset(tables, str(out))
     return {name: spark.read.parquet(f"{out}/{name}.parquet").count() for name in TABLES}
@@ -124,7 +131,7 @@ def _report_pages(spark: SparkSession, raw: Path, limit: int | None) -> DataFram
         return None
     order = spark.createDataFrame([(f"file:{f}", os.path.splitext(os.path.basename(f))[0], k) for k, f in enumerate(files)], "file string, doc_id string, no long")
     pages = rd.read_pdf_pages(spark, str(raw)).withColumn("file", F.regexp_replace("path", "^file:/+", "file:/"))
-    pages = pages.join(F.broadcast(order), "file").withColumnRenamed("path", "source_pdf")
+    pages = pages.join(order, "file").withColumnRenamed("path", "source_pdf")
     return pages.withColumns({"page_id": F.concat("doc_id", F.lit("_p"), F.col("page_index").cast("string")), "ord": F.col("no") * 100000 + F.col("page_index")})
 
 
@@ -142,17 +149,30 @@ def _from_reports(spark: SparkSession, raw: Path, dataset: str, limit: int | Non
 
 def build_annotations(spark: SparkSession, dataset: str = "cn_annual_reports", per_doc: int = 8, limit: int | None = None) -> Path:
     """Rule-made annotations of all reports as a CSV file with a byte-order mark, and a log."""
-    raw = data_root() / "raw" / dataset
-    pages = _report_pages(spark, raw, limit)
-    rows = [] if pages is None else pp.annotation_rows(pages, per_doc).orderBy("query_id").collect()
     import csv
 
-    out = raw / "qa_annotations_v2.csv"
+    raw = data_root() / "raw" / dataset
+    pages = _report_pages(spark, raw, limit)
+    if pages is None:
+        raise FileNotFoundError(f"No PDFs found under {raw}")
+    pages = materialize(pages.select("doc_id", "page_id", "page_index", "page_text"), "pages")
+    every = materialize(pp.annotation_kinds(pages), "kinds")
+    out, n = raw / "qa_annotations_v2.csv", 0
     with out.open("w", encoding="utf-8-sig", newline="") as f:
         w = csv.writer(f)
         w.writerow(ANNOTATION_COLUMNS)
-        w.writerows(list(r) for r in rows)
-    (raw / "qa_annotations_v2_log.md").write_text(f"# Annotations\n\nrows: {len(rows)}\n", encoding="utf-8")
+        for row in pp.annotations_of(every, per_doc).orderBy("query_id").toLocalIterator():
+            w.writerow(list(row))
+            n += 1
+    with (raw / "qa_annotations_v2_generation_log.md").open("w", encoding="utf-8") as f:
+        docs = pages.select("doc_id").distinct().count()
+        f.write(f"# QA Annotations V2 Generation Log\n\n- PDFs: {docs}\n- Questions: {n}\n- Questions per doc target: {per_doc}\n\n## Skipped Items\n\n")
+        skipped = 0
+        for row in pp.skipped_items(pages, every).orderBy("doc_id", "kind_no").toLocalIterator():
+            f.write(f"- {row['doc_id']}: {row['name']}\n")
+            skipped += 1
+        if not skipped:
+            f.write("- None\n")
     return out
 
 
@@ -208,15 +228,18 @@ def evaluate_run(spark: SparkSession, run: str | Path) -> dict[str, float]:
     info, queries, hits = _run_tables(spark, path)
     found = mt.evaluate(queries, hits).first().asDict()
     (path / "metrics.json").write_text(json.dumps(found, indent=2), encoding="utf-8")
-    errors = mt.error_rows(queries, hits)
+    errors = materialize(mt.error_rows(queries, hits), "errors")
+    if not errors.limit(1).count():  # one row says that there are none
+        errors = spark.createDataFrame([("", "", "", "", "", "", True, True)], errors.schema)
     errors.write.mode("overwrite").csv(str(path / "errors.csv"), header=True)
     lines = [f"# {info['experiment_name']}", "", f"- dataset: {info['dataset']}", f"- retriever: {info['retriever_type']}", f"- hits: {info['hits']}", ""]
     lines += [f"- {k}: {v:.4f}" for k, v in found.items()] + [""]
-    shown = queries.orderBy("query_id").limit(5)
-    for q in shown.collect():
+    shown = queries.orderBy("query_id").limit(5).select("query_id", "question")
+    top = hits.where("rank <= 3").join(shown.select("query_id"), "query_id", "left_semi").groupBy("query_id")
+    top = top.agg(F.array_sort(F.collect_list(F.struct("rank", "page_id", "node_id", "score", F.substring("text", 1, 120).alias("text")))).alias("top"))
+    for q in shown.join(top, "query_id", "left").orderBy("query_id").collect():  # five rows
         lines.append(f"## {q['query_id']}: {q['question']}")
-        for h in hits.where((F.col("query_id") == q["query_id"]) & (F.col("rank") <= 3)).orderBy("rank").collect():
-            lines.append(f"{h['rank']}. {h['page_id']} {h['node_id'] or ''} ({h['score']:.4f}) {(h['text'] or '')[:120]}")
+        lines += [f"{h['rank']}. {h['page_id']} {h['node_id'] or ''} ({h['score']:.4f}) {h['text'] or ''}" for h in q["top"] or []]
         lines.append("")
     (path / "summary.md").write_text("\n".join(lines), encoding="utf-8")
     return found

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as lx
 from ..functions import text as tx
 from ..schemas import ANNOTATION_COLUMNS, NODES, PAGES
+from ..store import numbered
 
 
 def text_chunks(page_text: Column) -> Column:
@@ -62,33 +63,34 @@ def split_nodes(pages: DataFrame) -> DataFrame:
         own = made(F.substring(chunk["text"], 1, 900), kind, F.substring(tx.match_form(chunk["text"]), 1, 220))
         return F.concat(rows, F.filter(F.array(own), lambda _: F.length(chunk["text"]) >= 12))
 
-    listed = pages.select("*", F.flatten(F.transform(chunks, parts)).alias("parts"), (F.size(blocks) > 0).alias("from_blocks"))
-    exploded = listed.select("*", F.posexplode_outer("parts").alias("no", "part")).drop("parts", "blocks")
-    first = Window.partitionBy("page_id", "part.key").orderBy("no")
-    kept = exploded.withColumn("seen", F.row_number().over(first)).where("part is null or (seen = 1 and part.key <> '')")
-    index = F.row_number().over(Window.partitionBy("page_id").orderBy("no"))
-    numbered = kept.withColumn("index", index)
-    base = numbered.withColumn("before", F.sum(F.lit(1)).over(Window.partitionBy("doc_id").orderBy("ord", "no").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    default = tx.first_filled(tx.clean(F.col("page_text")), F.col("page_id"))
-    meta = F.create_map(
-        *(
-            x
-            for k, v in {
-                "chunk_method": F.when(F.col("from_blocks"), "pymupdf_block_metric_rows").otherwise("text_fallback"),
-                "page_index": F.col("page_index").cast("string"),
-                "unit_candidates": F.to_json(tx.page_units(tx.clean(F.col("page_text")))),
-                "source_pdf": F.coalesce("source_pdf", F.lit("")),
-            }.items()
-            for x in (F.lit(k), v)
-        )
+    listed = pages.select(
+        "doc_id",
+        "page_id",
+        "page_index",
+        "ord",
+        F.flatten(F.transform(chunks, parts)).alias("parts"),
+        F.when(F.size(blocks) > 0, "pymupdf_block_metric_rows").otherwise("text_fallback").alias("method"),
+        F.to_json(tx.page_units(tx.clean(F.col("page_text")))).alias("unit_candidates"),
+        F.coalesce("source_pdf", F.lit("")).alias("source_pdf"),
+        tx.first_filled(tx.clean(F.col("page_text")), F.col("page_id")).alias("default"),
     )
+    # one shuffle by document serves all three windows, and only a page without parts carries its text through it
+    default = F.when(F.size("parts") == 0, F.col("default"))
+    exploded = listed.withColumn("default", default).select("*", F.posexplode_outer("parts").alias("no", "part")).drop("parts").repartition("doc_id")
+    first = Window.partitionBy("doc_id", "page_id", "part.key").orderBy("no")
+    kept = exploded.withColumn("seen", F.row_number().over(first)).where("part is null or (seen = 1 and part.key <> '')")
+    index = F.row_number().over(Window.partitionBy("doc_id", "page_id").orderBy("no"))
+    order = Window.partitionBy("doc_id").orderBy("ord", "no")
+    base = kept.withColumn("index", index).withColumn("before", F.row_number().over(order))
+    facts = {"chunk_method": F.col("method"), "page_index": F.col("page_index").cast("string"), "unit_candidates": F.col("unit_candidates"), "source_pdf": F.col("source_pdf")}
+    meta = F.create_map(*(x for k, v in facts.items() for x in (F.lit(k), v)))
     out = base.select(
         F.concat("page_id", F.lit("_n"), F.lpad(F.col("index").cast("string"), F.greatest(F.lit(3), F.length(F.col("index").cast("string"))), F.lit("0"))).alias("node_id"),
         "doc_id",
         "page_id",
         F.coalesce("part.node_type", F.lit("paragraph")).alias("node_type"),
         F.col("part.bbox").alias("bbox"),
-        F.coalesce("part.text", default).alias("text"),
+        F.coalesce("part.text", "default").alias("text"),
         F.lit("").alias("image_path"),
         F.lit(None).cast("string").alias("parent_id"),
         F.col("before").cast("int").alias("reading_order"),
@@ -120,7 +122,7 @@ def annotation_score() -> Column:
 
 def match_annotations(annotations: DataFrame, nodes: DataFrame, dataset: str, file_name: str) -> DataFrame:
     """QUERIES of annotation rows: gold nodes are the three best of the evidence pages, else each page's first."""
-    rows = annotations.withColumn("no", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())))
+    rows = numbered(annotations.withColumn("place", F.monotonically_increasing_id()), "no", "place").drop("place")
     rows = rows.withColumns({c: F.lit(None).cast("string") for c in ANNOTATION_COLUMNS if c not in annotations.columns})
     pages = F.filter(F.transform(F.split(tx.text_of(F.col("evidence_pages")), ";"), tx.stripped), lambda x: x != "")
     rows = rows.withColumn("pages", pages)
@@ -174,7 +176,7 @@ def unit_lookback(pages: DataFrame) -> DataFrame:
     )
 
 
-# Metric questions (keywords, question ending, section).
+# Metric questions (keywords, question ending, section); the sentences, notes and section names below are fixed as well.
 METRIC_QUESTIONS = (
     (("营业收入",), "营业收入是多少？", "main_accounting_data"),
     (("归属于上市公司股东的净利润",), "归属于上市公司股东的净利润是多少？", "main_accounting_data"),
@@ -184,12 +186,18 @@ METRIC_QUESTIONS = (
 )
 
 
-def annotation_rows(pages: DataFrame, per_doc: int = 8) -> DataFrame:
-    """ANNOTATIONS made by rule from report pages (doc_id, page_id, page_index, page_text), at most ``per_doc`` a document.
+# Names of the question kinds in order, for the list of what a report does not answer.
+KIND_NAMES = ("report_year", "report_title", "营业收入", "归属于上市公司股东的净利润", "经营活动产生的现金流量净额", "研发投入", "资产总额", "revenue_growth", "risk_text")
 
-    One row per document and question kind, in fixed order: year, title, five metrics,
-    growth, risk. Ids number all rows in document order.
-    """
+
+def skipped_items(pages: DataFrame, every: DataFrame) -> DataFrame:
+    """(doc_id, kind_no, name) of questions that a report gives no answer to; ``every``: its :func:`annotation_kinds`."""
+    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind_no"), F.lit(n).alias("name")) for k, n in enumerate(KIND_NAMES)))).alias("kind")
+    return pages.select("doc_id").distinct().select("doc_id", kinds).select("doc_id", "kind.*").join(every.select("doc_id", "kind_no"), ["doc_id", "kind_no"], "left_anti")
+
+
+def annotation_kinds(pages: DataFrame) -> DataFrame:
+    """One row per document and question kind (``kind_no``, see KIND_NAMES) that the pages answer."""
     text = tx.text_of(F.col("page_text"))
     lit = F.lit
     first = pages.groupBy("doc_id").agg(F.min_by(F.struct("page_text", "page_id"), "page_index").alias("p"))
@@ -269,8 +277,23 @@ def annotation_rows(pages: DataFrame, per_doc: int = 8) -> DataFrame:
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
+    return every
+
+
+def annotation_rows(pages: DataFrame, per_doc: int = 8) -> DataFrame:
+    """ANNOTATIONS made by rule from report pages (doc_id, page_id, page_index, page_text), at most ``per_doc`` a document.
+
+    One row per document and question kind, in fixed order: year, title, five metrics,
+    growth, risk. Ids number all rows in document order.
+    """
+    return annotations_of(annotation_kinds(pages), per_doc)
+
+
+def annotations_of(every: DataFrame, per_doc: int = 8) -> DataFrame:
+    """ANNOTATIONS of rows of :func:`annotation_kinds`."""
+    lit = F.lit
     per = every.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("kind_no"))).where(F.col("place") <= per_doc)
-    out = per.withColumn("no", F.row_number().over(Window.orderBy("doc_id", "kind_no")))
+    out = numbered(per, "no", "doc_id", "kind_no")
     more = {"query_id": F.format_string("cn_v2_q%04d", "no"), "is_answerable": lit("true"), "value_evidence_pages": F.when(F.col("value_evidence_text") != "", F.col("evidence_pages")).otherwise(""), "unit_evidence_pages": F.when(F.col("unit_evidence_text") != "", F.col("evidence_pages")).otherwise("")}
     return out.select(*((more[c] if c in more else F.col(c)).alias(c) for c in ANNOTATION_COLUMNS))
 
@@ -290,7 +313,7 @@ def from_tables(rows: DataFrame, dataset: str, limit_docs: int | None = None) ->
     )
     docs = base.groupBy("doc_id").agg(F.min("ord").alias("ord"))
     if limit_docs is not None:
-        docs = docs.withColumn("no", F.row_number().over(Window.orderBy("ord"))).where(F.col("no") <= limit_docs).drop("no")
+        docs = docs.orderBy("ord").limit(limit_docs)
         base = base.join(docs.select("doc_id"), "doc_id", "left_semi")
     base = base.withColumn("page_id", F.concat("doc_id", F.lit("_p"), F.col("page_index").cast("string")))
     base = base.withColumn("no", F.row_number().over(Window.partitionBy("page_id").orderBy("ord")))
@@ -300,7 +323,7 @@ def from_tables(rows: DataFrame, dataset: str, limit_docs: int | None = None) ->
     first = base.where("no = 1")
     pages = first.select("doc_id", "page_id", "page_index", F.col("text").alias("page_text"), F.lit("").alias("page_image_path"), F.lit("").alias("ocr_text"), null("double").alias("width"), null("double").alias("height"), meta.alias("metadata"), "ord")
     nodes = base.select("node_id", "doc_id", "page_id", F.lit("paragraph").alias("node_type"), null("array<double>").alias("bbox"), "text", F.lit("").alias("image_path"), null("string").alias("parent_id"), F.col("no").cast("int").alias("reading_order"), F.lit("table").alias("source"), null("double").alias("confidence"), F.create_map(F.lit("page_index"), F.col("page_index").cast("string")).alias("metadata"), "ord")
-    asked = base.where("question <> ''").withColumn("q", F.row_number().over(Window.orderBy("ord")))
+    asked = numbered(base.where("question <> ''"), "q", "ord")
     queries = asked.select(F.concat(F.lit(f"{dataset}_q"), F.col("q").cast("string")).alias("query_id"), F.lit(dataset).alias("dataset"), "doc_id", "question", "answer", "question_type", F.array("page_id").alias("evidence_page_ids"), F.array("node_id").alias("evidence_node_ids"), F.array().cast("array<array<double>>").alias("evidence_bboxes"), F.lit(True).alias("is_answerable"), meta.alias("metadata"))
     sizes = pages.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("num_pages"))
     documents = docs.join(sizes, "doc_id").select("doc_id", F.lit(dataset).alias("dataset"), F.col("doc_id").alias("title"), F.lit("").alias("source_path"), F.lit("").alias("domain"), F.lit("").alias("language"), "num_pages", meta.alias("metadata"))

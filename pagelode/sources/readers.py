@@ -22,8 +22,18 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def decode_json(c: Column, kind: T.DataType) -> Column:
-    """A JSON text as ``kind``; what cannot be decoded is null."""
-    return F.from_json(c, kind if isinstance(kind, T.StructType | T.ArrayType | T.MapType) else T.StructType([]))
+    """A JSON text as ``kind``. What cannot be decoded is kept as it is where the type can hold it: in a map under ``_text``, in an array of strings as one value."""
+    if not isinstance(kind, T.StructType | T.ArrayType | T.MapType):
+        return F.from_json(c, T.StructType([]))
+    found = F.from_json(c, kind)
+    kept = None
+    if isinstance(kind, T.MapType) and isinstance(kind.valueType, T.StringType):
+        kept = F.create_map(F.lit("_text"), c)
+        found = F.when(F.trim(c).startswith("{"), found)  # a text that is no object must not become an empty map
+    elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
+        kept = F.array(c)
+        found = F.when(F.trim(c).startswith("["), found)
+    return found if kept is None else F.when(c.isNotNull() & (c != ""), F.coalesce(found, kept))
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -127,6 +137,20 @@ def read_annotations(spark: SparkSession, folder: str) -> tuple[DataFrame, str]
     return None
 
 
+_models: dict[tuple, object] = {}
+
+
+def loaded_model(make, model: str, max_seq_length: int | None):
+    """The model, loaded once per Python worker: workers outlive tasks."""
+    key = (model, max_seq_length)
+    if key not in _models:
+        net = make(model)
+        if max_seq_length:
+            net.max_seq_length = max_seq_length
+        _models[key] = net
+    return _models[key]
+
+
 def sentence_encoder(model: str, batch_size: int = 8, max_seq_length: int | None = None):
     """A function (df, text column) -> df with unit vectors in ``vector``, or None without the library.
 
@@ -148,9 +172,7 @@ def sentence_encoder(model: str, batch_size: int = 8, max_seq_length: int | None
                 os.environ["HF_HUB_OFFLINE"] = "1"
             from sentence_transformers import SentenceTransformer
 
-            net = SentenceTransformer(model)
-            if max_seq_length:
-                net.max_seq_length = max_seq_length
+            net = loaded_model(SentenceTransformer, model, max_seq_length)
             for pdf in batches:
                 vectors = net.encode(pdf[column].fillna("").tolist(), batch_size=batch_size, normalize_embeddings=True)
                 yield pdf.assign(vector=[v.tolist() for v in vectors])

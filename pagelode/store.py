@@ -9,7 +9,8 @@ from __future__ import annotations
 import atexit
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _LOCAL_DEFAULT = "file:///tmp/checkpoints"
 _written: dict[str, SparkSession] = {}
@@ -38,6 +39,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return found
 
 
+def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """Add ``name``: 1, 2, ... over all rows in an order. A range sort numbers each partition; the partitions' counts, one row each, give the rest."""
+    at, part, before = "row at", "row part", "rows before"
+    rows = materialize(df.orderBy(*order).withColumn(at, F.monotonically_increasing_id()), "sorted")
+    of = F.shiftrightunsigned(F.col(at), 33)
+    counts = rows.groupBy(of.alias(part)).agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(part, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(before))
+    inside = F.col(at).bitwiseAND(F.lit(2**33 - 1))
+    return rows.join(counts, of == F.col(part)).withColumn(name, F.col(before) + inside + 1).drop(at, part, before)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete written tables that nothing reads any more."""
     for df in tables:
