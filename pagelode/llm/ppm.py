@@ -20,7 +20,7 @@ the documents by a join, so the vocabulary may grow with the corpus.
 
 Defined cases: null text is empty and consists of the end symbol; a null id belongs
 to the training part; repeated rows are documents of their own; with nothing to
-train on all symbols are equally likely; an empty table gives an empty result;
+train on all symbols are equally likely; the grams of very long texts are made a part at a time; an empty table gives an empty result;
 extra columns are ignored.
 """
 
@@ -30,6 +30,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 from math import log10
 
 import numpy as np
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .packing import _groups
 from .storage import materialize
-from .text import LOWER_BYTES
+from .text import LOWER_BYTES, word_parts
 
 ORDER = 5
 BOUNDARY = 0xFF
@@ -49,6 +50,9 @@ MAX_NODES = 1_000_000
 FREQUENT = 131_072
 _EMPTY = np.uint64(2**64 - 1)
 
+#: Characters of texts that are counted or scored at once.
+_GROUP = 4_000_000
+
 
 def _mask(n_bytes: int) -> np.uint64:
     return np.uint64((1 << 8 * n_bytes) - 1)
@@ -72,6 +76,17 @@ def framed(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[scored], lengths
 
 
+def framed_parts(text: bytes, order: int, most: int) -> Iterator[np.ndarray]:
+    """The keys of one long text, ``most`` positions at a time."""
+    whole = bytes([BOUNDARY]) * order + text + bytes([BOUNDARY])
+    for at in range(order, len(whole), most):
+        wide = np.frombuffer(whole[at - order : at + most], np.uint8).astype(np.uint64)
+        keys = np.zeros(len(wide) - order, np.uint64)
+        for back in range(order, -1, -1):
+            keys = (keys << np.uint64(8)) | wide[order - back : len(wide) - back]
+        yield keys
+
+
 class HashTable:
     """Open addressing over uint64 keys; ``find`` gives each key's row, or -1."""
 
@@ -219,17 +234,21 @@ def look_up(table: HashTable, logs: np.ndarray, texts: list[bytes], order: int,
     lacking = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
     part: list[bytes] = []
     size = 0
+
+    def keyed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values of keys and the places of those that the table lacks."""
+        found = table.find(keys)
+        hit = found >= 0
+        values = np.zeros(len(keys))
+        values[hit] = logs[found[hit]]
+        return values, np.flatnonzero(~hit)
+
     for t in [*texts, None]:
         if part and (t is None or size + len(t) > most):
             keys, lengths = framed(part, order)
-            values = np.zeros(len(keys))
-            missing = []
-            for k in range(0, len(keys), most):
-                found = table.find(keys[k : k + most])
-                hit = found >= 0
-                values[k : k + most][hit] = logs[found[hit]]
-                missing.append(k + np.flatnonzero(~hit))
-            at = np.concatenate(missing)
+            done = [keyed(keys[k : k + most]) for k in range(0, len(keys), most)]
+            values = np.concatenate([v for v, _ in done])
+            at = np.concatenate([k * most + m for k, (_, m) in enumerate(done)])
             owner = np.searchsorted(np.cumsum(lengths), at, side="right")
             by = np.lexsort((keys[at], owner))
             owner, grams = owner[by], keys[at][by]
@@ -237,9 +256,19 @@ def look_up(table: HashTable, logs: np.ndarray, texts: list[bytes], order: int,
             lacking.append((owner[first] + len(sums), grams[first], np.diff(np.r_[first, len(by)])))
             sums.extend(np.add.reduceat(values, np.cumsum(lengths) - lengths).tolist())
             part, size = [], 0
-        if t is not None:
-            part.append(t)
-            size += len(t)
+        if t is None:
+            break
+        if len(t) > 4 * most:  # a long text goes through in parts
+            total = 0.0
+            for keys in framed_parts(t, order, most):
+                values, at = keyed(keys)
+                total += float(values.sum())
+                grams, times = np.unique(keys[at], return_counts=True)
+                lacking.append((np.full(len(grams), len(sums)), grams, times))
+            sums.append(total)
+            continue
+        part.append(t)
+        size += len(t)
     return sums, *(np.concatenate(x) for x in zip(*lacking, strict=True))
 
 
@@ -273,15 +302,18 @@ def corpus_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
                 ["word", "gram", "n"],
             )
 
-        for _, texts in _groups(batches):
+        for _, texts in _groups(batches, _GROUP):
             lowered = [_lowered(t) for t in texts]
             ends += len(lowered)
-            for t in lowered:
-                words.update(t.split())
-            u, c = np.unique(framed(lowered, order)[0], return_counts=True)
-            merged, place = np.unique(np.concatenate([grams, u]), return_inverse=True)
-            counts = np.bincount(place, np.concatenate([counts, c]), len(merged)).astype(np.int64)
-            grams = merged
+            for part in chain.from_iterable(map(word_parts, lowered)):
+                words.update(part)
+            short = [t for t in lowered if len(t) <= _GROUP]
+            parts = [framed(short, order)[0]] if short else []
+            for keys in chain(parts, *(framed_parts(t, order, _GROUP) for t in lowered if len(t) > _GROUP)):
+                u, c = np.unique(keys, return_counts=True)
+                merged, place = np.unique(np.concatenate([grams, u]), return_inverse=True)
+                counts = np.bincount(place, np.concatenate([counts, c]), len(merged)).astype(np.int64)
+                grams = merged
             if len(words) > 500_000 or len(grams) > 2_000_000:
                 yield emit(words, grams, counts)
                 words, grams, counts = Counter(), grams[:0], counts[:0]
@@ -400,7 +432,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, max_nodes: int = MAX_NO
         known = Known(logs.value)
         table = _table(*model.value)
         row = TaskContext.get().partitionId() << 33
-        for ids, texts in _groups(batches):
+        for ids, texts in _groups(batches, _GROUP):
             lowered = [_lowered(t) for t in texts]
             scores, owner, grams, times = look_up(*table, lowered, order)
             first_row = row
@@ -409,13 +441,17 @@ def score_documents(docs: DataFrame, order: int = ORDER, max_nodes: int = MAX_NO
             rare_words: list[str] = []
             rare_n: list[int] = []
             for t in lowered:
-                split = t.split()
-                known.rare = []
-                base.append(sum(map(known.__getitem__, split)) + log10(ends + 0.5))
-                rare = Counter(known.rare)
+                rare, total, n_words, n_rare = Counter(), 0.0, 0, 0
+                for part in word_parts(t):
+                    known.rare = []
+                    total += sum(map(known.__getitem__, part))
+                    n_words += len(part)
+                    n_rare += len(known.rare)
+                    rare.update(known.rare)
+                base.append(total + log10(ends + 0.5))
                 rows.append(row)
-                tokens.append(len(split) + 1)
-                n_known.append(len(split) - len(known.rare) + (ends > 0))
+                tokens.append(n_words + 1)
+                n_known.append(n_words - n_rare + (ends > 0))
                 rare_rows.extend([row] * len(rare))
                 rare_words.extend(w.decode() for w in rare)
                 rare_n.extend(rare.values())

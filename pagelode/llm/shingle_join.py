@@ -44,7 +44,6 @@ gives an empty result; extra columns are ignored. Equal sets are recognised by a
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -58,6 +57,7 @@ from .components import connected_components
 from .packing import _groups, release_memory
 from .ppm import _lowered
 from .storage import discard, materialize, settle, unused
+from .text import word_parts
 
 #: Bits of the bitmaps of unsettled sets and of clustered ids.
 BITS = 1 << 26
@@ -66,8 +66,6 @@ BLOCK_MEMBERS = 1_000_000
 _GROWTH = 1.4
 _KEEP_WORDS = 60_000
 _GROUP_CHARS = 500_000
-_PART = 1_000_000
-_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 class WordHashes(dict):
@@ -90,14 +88,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def _word_hashes(lowered: bytes, hashes: WordHashes) -> np.ndarray:
     """Hashes of all words; long texts are split into words a part at a time."""
-    parts, at = [], 0
-    while at < len(lowered):
-        end = len(lowered)
-        if end - at > _PART and (space := _SPACE.search(lowered, at + _PART)):
-            end = space.start()
-        words = lowered[at:end].split()
-        parts.append(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)))
-        at = end
+    parts = [np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)) for words in word_parts(lowered)]
     return np.concatenate(parts) if len(parts) != 1 else parts[0]
 
 

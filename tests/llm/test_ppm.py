@@ -112,3 +112,21 @@ def test_no_gram_is_lost_beyond_the_broadcast_ones(spark):
         got = {x["doc_id"]: x["score"] for x in ppm.score_documents(spark.createDataFrame(rows, SCHEMA), order=3, max_nodes=most).collect()}
         for i, t, *_ in rows:
             assert got[i] == pytest.approx(plain.score(t.encode()), rel=1e-9)
+
+
+def test_long_texts_go_through_in_parts():
+    """Parts of a text give the same grams and the same score as the whole."""
+    import numpy as np
+
+    from pagelode.llm import ppm
+
+    rng = np.random.default_rng(4)
+    text = rng.integers(97, 102, 5000).astype(np.uint8).tobytes()
+    whole, _ = ppm.framed([text], 5)
+    assert (np.concatenate(list(ppm.framed_parts(text, 5, 700))) == whole).all()
+    grams = np.unique(whole)[::2]
+    table, logs = ppm.HashTable(grams), -rng.random(len(grams))
+    one, many = (ppm.look_up(table, logs, [b"ab", text, b"cd"], 5, most) for most in (1_000_000, 500))
+    assert np.allclose(one[0], many[0])
+    total = lambda x: sorted((int(o), int(g), int(sum(x[3][(x[1] == o) & (x[2] == g)]))) for o, g in set(zip(x[1].tolist(), x[2].tolist(), strict=True)))
+    assert total(one) == total(many)
