@@ -64,3 +64,42 @@ def test_empty(spark):
     assert langid.predict(docs, langid.train(docs)).count() == 0
     one = spark.createDataFrame([(1, "abc", None, 1)], SCHEMA)
     assert langid.predict(one, langid.train(one)).first()["lang_pred"] == "und"
+
+
+def plain_label(net, text):
+    """One byte and one direction at a time, in double precision."""
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    h_n, probabilities = net.hidden, []
+    for at in range(0, len(text), langid.WINDOW):
+        part, states = text[at : at + langid.WINDOW], {}
+        for d, order in (("f", range(len(part))), ("b", range(len(part) - 1, -1, -1))):
+            h, states[d] = np.zeros(h_n), {}
+            for t in order:
+                x, inner = net.p[f"table_{d}"][part[t]].astype(float), h @ net.p[f"rec_{d}"].astype(float)
+                z, r = sig(x[:h_n] + inner[:h_n]), sig(x[h_n : 2 * h_n] + inner[h_n : 2 * h_n])
+                n = np.tanh(x[2 * h_n :] + r * inner[2 * h_n :])
+                h = n + z * (h - n)
+                states[d][t] = h
+        for t in range(len(part)):
+            e = np.exp(np.r_[states["f"][t], states["b"][t]] @ net.p["out"].astype(float) + net.p["bias"])
+            probabilities.append(e / e.sum())
+    mean = np.mean(probabilities, axis=0)
+    return net.languages[int(mean.argmax())], float(mean.max())
+
+
+def test_predictions_against_a_plain_network(spark):
+    rows = corpus(60, seed=5)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    net = langid.train(docs, steps=60)
+    got = {x["doc_id"]: x for x in langid.predict(docs, net).collect()}
+    for i, text, *_ in rows:
+        lang, score = plain_label(net, text.lower().encode())
+        assert got[i]["lang_pred"] == lang and got[i]["score"] == pytest.approx(score, abs=1e-4)
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"text number {i} of a language", f"l{i % 300:03d}", 1) for i in range(3000)] + [(9000 + i, "hot words", "hot", 1) for i in range(2000)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = langid.training_pieces(docs, 7, 2).groupBy("lang").count().collect()
+    assert len(got) == 301 and all(x["count"] <= 7 for x in got) and {x["lang"]: x["count"] for x in got}["hot"] == 7
+    assert len(langid.train(docs, per_language=5, pieces=1, steps=1).languages) == 301

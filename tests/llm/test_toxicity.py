@@ -72,3 +72,30 @@ def test_one_very_long_text_does_not_empty_its_class(spark):
     assert len(model.weights)
     got = toxicity.score_documents(docs, model).where("predicted = 1").collect()
     assert sum(x["doc_id"] % 6 == 0 for x in got) > 25
+
+
+def test_scores_against_plain_compression(spark):
+    """Window by window with the dictionaries, thresholds and logistic formula written out."""
+    import math
+
+    import zstandard
+
+    rows, labels = corpus(600, seed=3)
+    docs, marks = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, marks)
+    parameters = zstandard.ZstdCompressionParameters(
+        window_log=15, chain_log=15, hash_log=15, search_log=6, min_match=6, target_length=64,
+        strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False,
+    )
+
+    def length(content, window):
+        dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(dict_data=dictionary, compression_params=parameters).compress(window))
+
+    got = {x["doc_id"]: x["score"] for x in toxicity.score_documents(docs, model).collect()}
+    for i, text, *_ in rows[:25]:
+        margins = sorted((length(model.ordinary, w) - length(model.toxic + model.ordinary, w) for w in toxicity.windows(text.lower().encode())), reverse=True)
+        n, high, very = len(margins), sum(m >= 3 for m in margins), sum(m >= 5 for m in margins)
+        facts = [*(margins + [0, 0])[:3], min(10, high), min(10, very), high / n, very / n, math.log(n)]
+        z = sum((f - c) / s * w for f, c, s, w in zip(facts, model.center, model.scale, model.weights, strict=False)) + model.weights[-1]
+        assert abs(got[i] - 1 / (1 + math.exp(-max(-40, min(40, z))))) < 1e-9
