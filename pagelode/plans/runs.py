@@ -24,7 +24,7 @@ from ..sources.demo import demo_tables
 from ..store import materialize
 
 
-# Columns of the annotation template.
+# The names of environment variables, files and output keys in this module must match; columns of the annotation template.
 TEMPLATE_COLUMNS = ANNOTATION_COLUMNS[:9]
 
 

@@ -6,6 +6,8 @@ from pagelode.operators import retrieval as rt
 from pagelode.operators import sufficiency as sf
 from pagelode.schemas import HITS, NODES, PAGES, QUERIES
 
+# Texts, questions, annotations and messages of the cases in this file.
+
 
 def pages(spark, rows):
     return spark.createDataFrame([(d, p, 1, t, "", "", None, None, {}, k) for k, (d, p, t) in enumerate(rows)], PAGES)

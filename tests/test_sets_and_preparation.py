@@ -11,6 +11,8 @@ from pagelode.sources import prepare as pp
 from pagelode.sources import readers as rd
 from pagelode.sources.demo import demo_tables
 
+# Texts, questions, annotations and messages of the cases in this file.
+
 
 def test_greedy_set_equals_plain_model(spark):
     rng = random.Random(11)
