@@ -18,7 +18,6 @@ characters is encoded slice by slice, cut at spaces; extra columns are ignored.
 from __future__ import annotations
 
 import ctypes
-import re
 import string
 import zlib
 from array import array
@@ -38,10 +37,11 @@ from .storage import materialize
 CAPACITY = 4096
 END_ID = 1
 _PIECES = "row long, doc_id long, piece int, start long, length long, ids_crc32 long"
-#: White space about which string methods and the tokenizer may differ, and strings of special tokens.
-_ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]|<\\|")
+#: White space about which string methods and the tokenizer may differ, and the beginning of special tokens.
+_ODD_ASCII = ("\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "<|")
+_ODD_OTHER = tuple("\x85\xa0\u1680\u180e\u2028\u2029\u202f\u205f\u2060\u3000\ufeff") + tuple(map(chr, range(0x2000, 0x2010)))
 #: Words of at most so many letters are kept, at most twice so many of them; texts are cut at white space after so many characters.
-_KEEP_LETTERS, _KEEP_WORDS, _SLICE = 32, 120_000, 500_000
+_KEEP_LETTERS, _KEEP_WORDS, _SLICE = 32, 300_000, 500_000
 #: Signs that the tokenizer cuts off from the letters before them, as one run.
 _SIGNS = "".join(c for c in string.punctuation if c != "'")
 
@@ -71,6 +71,10 @@ def slices(text: str, most: int = _SLICE) -> Iterator[str]:
     yield text[at:] if at else text
 
 
+def _odd(text: str) -> bool:
+    return any(x in text for x in _ODD_ASCII) or (not text.isascii() and any(x in text for x in _ODD_OTHER))
+
+
 class _Words(dict):
     """Ids of words, computed when they are first asked for, with a bounded store.
 
@@ -131,8 +135,9 @@ class _Encoder:
 
     def ids(self, text: str) -> bytes:
         """The ids of a text; one of more than a slice is encoded slice by slice."""
-        parts = slices(text) if len(text) > _SLICE else (text,)
-        return b"".join([b"".join(map(self.words.__getitem__, p.split())) if not _ODD.search(p) else self.words.whole(p) for p in parts])
+        if len(text) <= _SLICE:
+            return self.words.whole(text) if _odd(text) else b"".join(map(self.words.__getitem__, text.split()))
+        return b"".join([self.ids(part) if len(part) <= _SLICE else self.words.whole(part) for part in slices(text, _SLICE // 2)])
 
     def batch(self, texts: list[str]) -> Iterator[bytes]:
         return map(self.ids, texts)
