@@ -7,7 +7,7 @@ all its positions. Texts are read whole, in windows of ``WINDOW`` bytes that go
 the network many at a time, so the cost is linear and the memory bounded.
 
 Training takes at most ``per_language`` documents of every language (smallest hash of
-the id first) and at most ``pieces`` windows of each, in one pass over the table.
+the id first) and at most ``pieces`` windows of each, in one pass over the texts.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; so is
 everything when no language was learned; a null id belongs to the training part; ties
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .packing import _groups
 from .ppm import _lowered, is_held_out
+from .storage import materialize
 
 WINDOW = 128
 _BATCH = 2048
@@ -188,18 +189,21 @@ def _columns(parts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
 def training_pieces(docs: DataFrame, per_language: int, pieces: int) -> DataFrame:
     """lang, parts: up to ``pieces`` spread windows of the ``per_language`` documents with the smallest hash in each language.
 
-    One pass for all languages. The smallest hashes are taken per partition, then in
-    64 groups of a language and then among these, so a language that most documents
-    share is never sorted in one task.
+    Languages are counted first, so that only documents whose hash lies in the smallest
+    share of their language, about twice what is wanted, are cut and shuffled; the
+    smallest hashes among them are taken in 64 groups of a language and then among these.
     """
-    known = docs.where("lang is not null and text is not null").where(~is_held_out(F.col("doc_id"), 0))
+    known = docs.where("lang is not null").where(~is_held_out(F.col("doc_id"), 0))
+    counts = materialize(known.groupBy("lang").agg(F.count(F.lit(1)).alias("documents")).withColumnRenamed("lang", "of"), "languages")
+    order = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("language")), 1)
+    low = order <= F.least(F.lit(1.0), F.lit(2.0 * per_language) / F.col("documents")) * F.lit(float(2**63))
     # pieces are cut by Spark, so that no long text reaches the driver
     spread = F.transform(
         F.sequence(F.lit(0), F.lit(pieces - 1)),
         lambda i: F.substring(F.col("text"), (F.floor(F.length("text") * i / pieces) + 1).cast("int"), F.lit(WINDOW // 2)),
     )
-    order = F.xxhash64("doc_id", F.lit("language"))
-    rows = known.select("lang", order.alias("h"), "doc_id", F.length("text").alias("n"), F.array_distinct(spread).alias("parts"))
+    near = known.where("text is not null").join(counts, F.col("lang") == F.col("of")).where(low)
+    rows = near.select("lang", order.alias("h"), "doc_id", F.length("text").alias("n"), F.array_distinct(spread).alias("parts"))
     for keys in (("lang", F.pmod(F.col("h"), F.lit(64))), ("lang",)):
         w = Window.partitionBy(*keys).orderBy("h", "doc_id", "n", "parts")
         rows = rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= per_language).drop("place")
@@ -231,7 +235,7 @@ def predict(docs: DataFrame, model: BiGru | None) -> DataFrame:
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
-        for ids, texts in _groups(batches):
+        for ids, texts in _groups(batches, 4_000_000):  # windows of many texts fill the batches of the network
             lang, score = ["und"] * len(ids), np.zeros(len(ids))
             real = [i for i, t in enumerate(texts) if net and _LETTER.search(t)]
             if real:
