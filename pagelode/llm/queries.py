@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, license, media, mixing, packing, pii, ppm, shingle_join, toxicity
+from . import exact_dedup, langid, lexical, license, media, merkle, mixing, packing, pieces, pii, ppm, shingle_join, toxicity
 from .storage import small_batches
 
 
@@ -62,12 +62,26 @@ def op10_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.image_groups(media.vector_images(vectors))
 
 
+def op11_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(_documents(spark, sf_dir))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tampered_check(_documents(spark, sf_dir))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search_documents(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ppm_scoring, op2_license_scan, op3_best_fit_packing, op4_language_id, op5_toxicity, op6_private_spans, op7_ngram_jaccard_join, op8_exact_dedup, op9_source_mixing, op10_media_copies)
+    f.__name__: f for f in (op1_ppm_scoring, op2_license_scan, op3_best_fit_packing, op4_language_id, op5_toxicity, op6_private_spans, op7_ngram_jaccard_join, op8_exact_dedup, op9_source_mixing, op10_media_copies, op11_sentencepiece_codec, op12_merkle_manifest, op13_lexical_search)
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_license_scan": license.oracle_sql(),
+    "op12_merkle_manifest": merkle.ORACLE_SQL,
+    "op13_lexical_search": lexical.ORACLE_SQL,
     "op8_exact_dedup": """
 WITH d AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS h
