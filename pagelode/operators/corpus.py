@@ -1,14 +1,8 @@
-"""Corpus-wide search: every item is scored where it is read, and only the best travel.
+"""Corpus-wide search: text searches read an index, vectors are scored where they are read.
 
-Questions come to the driver in blocks of bounded size and go to the tasks as arrays.
-Tokens are 64-bit hashes made in the JVM. A task scores an Arrow batch of items against
-the block in numpy and keeps the ``k`` best items of each question, so a block shuffles
-``k`` rows per question and partition, however many items share a word with it.
-Document frequencies and sizes take one aggregated pass over the tokens.
-
-TF-IDF also needs each item's norm, over all of its tokens: the ``VOCABULARY`` most
-frequent tokens are broadcast with their frequencies; what they leave out is joined by
-token (rare ones only, so no key is hot) and summed per item before the scan.
+A text search without an index builds one for itself (:mod:`.index`), which takes the only
+pass over the texts; blocks of questions, and all searches that share the index, read its
+shards. Only the ``k`` best of each question and task travel.
 """
 
 from __future__ import annotations
@@ -17,84 +11,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from ..functions import text as tx
 from ..store import materialize
+from .index import QUESTIONS, VOCABULARY, TextIndex, question_blocks
 
-K1, B = 1.5, 0.75
-#: Questions of a block, tokens in a broadcast vocabulary, cells of a task's score matrix.
-QUESTIONS, VOCABULARY, CELLS = 1000, 1_000_000, 2_000_000
+#: Cells of a task's score matrix.
+CELLS = 2_000_000
 _FOUND = "question long, item string, ord long, score double"
 
 
-def hashed_tokens(text: Column) -> Column:
-    return F.transform(tx.tokens(text), lambda t: F.xxhash64(t))
-
-
-def question_blocks(queries: DataFrame, size: int) -> Iterator[list[Row]]:
-    """Questions in blocks of bounded size, in the order of their ids."""
-    held: list[Row] = []
-    for row in queries.orderBy("query_id").toLocalIterator():
-        held.append(row)
-        if len(held) == size:
-            yield held
-            held = []
-    if held:
-        yield held
-
-
-def token_statistics(items: DataFrame, asked: DataFrame | None = None) -> DataFrame:
-    """(token, df) of all tokens or the asked ones, and under the null token (number of items, all tokens) as (df, size), in one pass."""
-    tokens = hashed_tokens(F.col("score_text"))
-    none = F.array(F.lit(None).cast("long"))
-    rows = items.select(tokens.alias("t")).select(F.size("t").cast("long").alias("size"), F.explode(F.concat(none, F.array_distinct("t"))).alias("token"))
-    if asked is not None:
-        one = asked.select("token").unionByName(asked.sparkSession.range(1).select(F.lit(None).cast("long").alias("token")))
-        rows = rows.join(one.withColumnRenamed("token", "asked"), F.col("token").eqNullSafe(F.col("asked")), "left_semi")
-    return rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("token").isNull(), F.col("size"))).alias("size"))
-
-
-class Block:
-    """Weights of a block's questions by token, as sorted arrays."""
-
-    def __init__(self, rows: list[tuple[int, int, float]], n_questions: int):
-        """``rows``: (token, question, weight)."""
-        rows = sorted(rows)
-        token = np.array([r[0] for r in rows], np.int64)
-        self.tokens, self.first, self.count = np.unique(token, return_index=True, return_counts=True)
-        self.question = np.array([r[1] for r in rows], np.int64)
-        self.weight = np.array([r[2] for r in rows], float)
-        self.n = n_questions
-
-    def scores(self, item: np.ndarray, token: np.ndarray, part: np.ndarray, n_items: int) -> np.ndarray:
-        """(items, questions) from places in ``tokens`` and what each adds per unit of weight."""
-        each = self.count[token]
-        at = np.repeat(self.first[token] - (np.cumsum(each) - each), each) + np.arange(each.sum())
-        cell = np.repeat(item, each) * self.n + self.question[at]
-        return np.bincount(cell, np.repeat(part, each) * self.weight[at], n_items * self.n).reshape(n_items, self.n)
-
-
-def places(sorted_values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Each wanted value's place among sorted ones, -1 if it is not there."""
-    if not len(sorted_values):
-        return np.full(len(wanted), -1)
-    at = np.minimum(np.searchsorted(sorted_values, wanted), len(sorted_values) - 1)
-    return np.where(sorted_values[at] == wanted, at, -1)
-
-
-def term_frequencies(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(item, token, tf, size of every item) of lists of token hashes."""
-    flat = lists.flatten().to_numpy(zero_copy_only=False)
-    size = np.diff(lists.offsets.to_numpy())
-    owner = np.repeat(np.arange(len(lists)), size)
-    order = np.lexsort((flat, owner))
-    owner, flat = owner[order], flat[order]
-    new = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (flat[1:] != flat[:-1])]) if len(flat) else np.zeros(0, int)
-    return owner[new], flat[new], np.diff(np.r_[new, len(flat)]), size
-
-
 class Best:
     """The k best (score rounded to nine digits, then ord) items of each question."""
 
@@ -137,101 +64,6 @@ def _best(items: DataFrame, n_questions: int, k: int, score: Callable[[pa.Record
     return items.mapInArrow(run, _FOUND)
 
 
-def _terms(rows: list[Row]) -> list[tuple[int, int, int]]:
-    """(token, question, times) of a block."""
-    out = []
-    for no, row in enumerate(rows):
-        tokens, times = np.unique(np.array(row["tokens"], np.int64), return_counts=True)
-        out.extend((int(t), no, int(n)) for t, n in zip(tokens, times, strict=True))
-    return out
-
-
-def _bm25_block(items: DataFrame, rows: list[Row], k: int) -> DataFrame:
-    spark, terms = items.sparkSession, _terms(rows)
-    asked = spark.createDataFrame([(t,) for t in sorted({t for t, _, _ in terms})], "token long")
-    found = token_statistics(items, asked).collect()  # the block's tokens and one row more
-    total = next((r for r in found if r["token"] is None), None)
-    n, mean = (total["df"], max(total["size"] / total["df"], 1e-9)) if total else (0, 1.0)
-    df = {r["token"]: r["df"] for r in found}
-    block = Block([(t, q, times * np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5))) for t, q, times in terms if t in df], len(rows))
-    shared = spark.sparkContext.broadcast(block)
-
-    def score(batch: pa.RecordBatch) -> np.ndarray:
-        b = shared.value
-        item, token, tf, size = term_frequencies(batch.column(2))
-        at = places(b.tokens, token)
-        item, at, tf = item[at >= 0], at[at >= 0], tf[at >= 0]
-        part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[item] / mean))
-        return b.scores(item, at, part, batch.num_rows)
-
-    return _best(items.select("item", "ord", hashed_tokens(F.col("score_text")).alias("tokens")), len(rows), k, score)
-
-
-def _idf(n: int, df):
-    return np.log((n + 1) / (df + 1)) + 1
-
-
-class Vocabulary:
-    """Frequencies of the most frequent tokens, and of the rest by a table."""
-
-    def __init__(self, items: DataFrame, most: int):
-        self.table = materialize(token_statistics(items), "tokens")
-        total = self.table.where("token is null").first()
-        self.n = total["df"] if total else 0
-        known = self.table.where("token is not null")
-        self.whole = known.count() <= most
-        arrow = (known if self.whole else known.orderBy(F.desc("df"), "token").limit(most)).select("token", "df").toArrow()
-        token = arrow.column("token").to_numpy()
-        order = np.argsort(token)
-        self.tokens, self.idf = token[order], _idf(self.n, arrow.column("df").to_numpy()[order])
-        self.shared = items.sparkSession.sparkContext.broadcast((self.tokens, self.idf))
-
-    def rare_norms(self, items: DataFrame) -> DataFrame:
-        """(item, rare): what tokens outside the broadcast ones add to an item's squared norm."""
-        shared = self.shared
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tokens, _ = shared.value
-            for batch in batches:
-                item, token, tf, size = term_frequencies(batch.column(1))
-                out = places(tokens, token) < 0
-                names = batch.column(0).take(pa.array(item[out]))
-                yield pa.RecordBatch.from_arrays([names, pa.array(token[out]), pa.array(tf[out] / size[item[out]])], ["item", "token", "share"])
-
-        rows = items.select("item", hashed_tokens(F.col("score_text")).alias("tokens")).mapInArrow(run, "item string, token long, share double")
-        idf = F.ln((F.lit(self.n) + 1) / (F.col("df") + 1)) + 1
-        joined = rows.join(self.table.select("token", "df"), "token").withColumn("w", F.col("share") * idf)
-        return joined.groupBy("item").agg(F.sum(F.col("w") * F.col("w")).alias("rare"))
-
-
-def _tfidf_block(items: DataFrame, rows: list[Row], k: int, words: Vocabulary) -> DataFrame:
-    spark, terms = items.sparkSession, _terms(rows)
-    asked = spark.createDataFrame([(t,) for t in sorted({t for t, _, _ in terms})], "token long")
-    df = {r["token"]: r["df"] for r in words.table.join(F.broadcast(asked), "token").collect()}  # the block's tokens
-    sizes = [len(r["tokens"]) for r in rows]
-    vectors = [(t, q, times / sizes[q] * float(_idf(words.n, df.get(t, 0)))) for t, q, times in terms]
-    norms = np.sqrt(np.bincount([q for _, q, _ in vectors], [w * w for _, _, w in vectors], len(rows))) if vectors else np.zeros(len(rows))
-    block = Block([(t, q, w * float(_idf(words.n, df[t])) / norms[q]) for t, q, w in vectors if t in df], len(rows))
-    shared, known = spark.sparkContext.broadcast(block), words.shared
-    scanned = items.select("item", "ord", hashed_tokens(F.col("score_text")).alias("tokens"))
-    if words.whole:
-        scanned = scanned.withColumn("rare", F.lit(0.0))
-    else:
-        scanned = scanned.join(words.rare_norms(items), "item", "left").withColumn("rare", F.coalesce("rare", F.lit(0.0)))
-
-    def score(batch: pa.RecordBatch) -> np.ndarray:
-        b, (tokens, idf) = shared.value, known.value
-        item, token, tf, size = term_frequencies(batch.column(2))
-        share, at = tf / size[item], places(tokens, token)
-        weight = np.where(at >= 0, share * idf[at], 0.0) if len(tokens) else np.zeros(len(share))
-        norm = np.sqrt(np.bincount(item, weight * weight, batch.num_rows) + batch.column(3).to_numpy())
-        at = places(b.tokens, token)
-        item, at, share = item[at >= 0], at[at >= 0], share[at >= 0]
-        return b.scores(item, at, share / norm[item], batch.num_rows)
-
-    return _best(scanned, len(rows), k, score)
-
-
 def _dense_block(items: DataFrame, rows: list[Row], k: int) -> DataFrame:
     asked = np.array([r["vector"] for r in rows], float).T
     shared = items.sparkSession.sparkContext.broadcast(asked)
@@ -250,32 +82,26 @@ def _dense_block(items: DataFrame, rows: list[Row], k: int) -> DataFrame:
 _SHIFT = 4.0
 
 
-def search(queries: DataFrame, items: DataFrame, method: str, k: int, block: int = QUESTIONS, vocabulary: int = VOCABULARY) -> DataFrame:
+def search(queries: DataFrame, items: DataFrame, method: str, k: int, block: int = QUESTIONS, vocabulary: int = VOCABULARY, index: TextIndex | None = None) -> DataFrame:
     """query_id, scope, item, ord, score: at least the k best items of every question among those with a score.
 
     ``queries``: query_id, question (``vector`` for dense); ``items``: item, ord, score_text (``vector`` for dense).
     Items and queries without a vector are left out of dense search.
     """
-    out = None
-    words = Vocabulary(items, vocabulary) if method == "tfidf" else None
     if method == "dense":
-        queries, items = (x.where(F.col("vector").isNotNull()) for x in (queries.select("query_id", "vector"), items))
-        names, kind = items.schema["item"].dataType.simpleString(), "vector"
-        items = items.withColumn("item", F.col("item").cast("string"))
-    else:
-        queries, names, kind = queries.select("query_id", hashed_tokens(F.col("question")).alias("tokens")), "string", "tokens"
-    spark = items.sparkSession
-    for rows in question_blocks(queries.select("query_id", kind), block):
-        if method == "bm25":
-            found = _bm25_block(items, rows, k)
-        elif method == "tfidf":
-            found = _tfidf_block(items, rows, k, words)
-        else:
-            found = _dense_block(items, rows, k)
-        ids = spark.createDataFrame([(no, r["query_id"]) for no, r in enumerate(rows)], f"question long, query_id {queries.schema['query_id'].dataType.simpleString()}")
-        part = found.join(F.broadcast(ids), "question").select("query_id", F.lit("").alias("scope"), F.col("item").cast(names).alias("item"), "ord", "score")
+        return _dense(queries, items, k, block)
+    names = items.schema["item"].dataType.simpleString()
+    found = (index or TextIndex.build(items)).search(queries, method, k, block, vocabulary)
+    return found.select("query_id", F.lit("").alias("scope"), F.col("item").cast(names).alias("item"), "ord", "score")
+
+
+def _dense(queries: DataFrame, items: DataFrame, k: int, block: int) -> DataFrame:
+    queries, items = (x.where(F.col("vector").isNotNull()) for x in (queries.select("query_id", "vector"), items))
+    names, kind, out = items.schema["item"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString(), None
+    items, spark = items.withColumn("item", F.col("item").cast("string")), items.sparkSession
+    for rows in question_blocks(queries, block):
+        ids = spark.createDataFrame([(no, r["query_id"]) for no, r in enumerate(rows)], f"question long, query_id {kind}")
+        part = _dense_block(items, rows, k).join(F.broadcast(ids), "question").select("query_id", F.lit("").alias("scope"), F.col("item").cast(names).alias("item"), "ord", "score")
         part = materialize(part, "best")
         out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = spark.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, scope string, item {names}, ord long, score double")
-    return out
+    return out if out is not None else spark.createDataFrame([], f"query_id {kind}, scope string, item {names}, ord long, score double")

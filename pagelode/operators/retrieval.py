@@ -17,6 +17,7 @@ from ..functions import text as tx
 from ..schemas import HITS
 from ..store import materialize
 from . import scoring
+from .index import TextIndex
 
 ALIASES = {"bm25_page": "bm25", "dense_page": "dense", "tfidf_page": "tfidf", "layout_node": "dense", "dense_node": "dense", "bm25_node": "bm25", "tfidf_node": "tfidf"}
 SCOPES = {"doc": "document", "same_doc": "document", "in_document": "document", "document": "document", "all": "corpus", "global": "corpus", "corpus": "corpus"}
@@ -90,23 +91,27 @@ def of_asked_documents(queries: DataFrame, items: DataFrame) -> DataFrame:
     return materialize(items.join(asked, "doc_id", "left_semi"), "asked")
 
 
-def search(queries: DataFrame, items: DataFrame, method: str, k: int, scope: str = "corpus", encode: Callable | None = None, require_model: bool = False) -> tuple[DataFrame, str, DataFrame]:
-    """(the k best, label of what ran, the items that were searched)."""
+def search(queries: DataFrame, items: DataFrame, method: str, k: int, scope: str = "corpus", encode: Callable | None = None, require_model: bool = False, index: TextIndex | None = None) -> tuple[DataFrame, str, DataFrame]:
+    """(the k best, label of what ran, the items that were searched); ``index`` is one of just these items."""
     kind, label = scoring.kind_of(method, encode, require_model)
     if scope == "corpus":
-        return scoring.corpus_top_k(queries, items, kind, k, encode), label, items
+        return scoring.corpus_top_k(queries, items, kind, k, encode, index), label, items
+    if index is not None and kind != "dense":
+        scores, few = scoring.of_index(queries, index, kind)
+        q = queries.withColumn("scope", F.col("doc_id").cast("string"))
+        return scoring.top_k(q, few, scores, k), label, items
     q, i = with_scope(queries, of_asked_documents(queries, items), scope)
     scores, label = scoring.score(q, i, method, encode, require_model)
     return scoring.top_k(q, i, scores, k), label, i
 
 
-def retrieve_pages(queries, pages, method="bm25", k=10, scope="corpus", encode=None, require_model=False) -> DataFrame:
-    found, label, items = search(queries, page_items(pages), method, k, scope, encode, require_model)
+def retrieve_pages(queries, pages, method="bm25", k=10, scope="corpus", encode=None, require_model=False, index=None) -> DataFrame:
+    found, label, items = search(queries, page_items(pages), method, k, scope, encode, require_model, index)
     return as_hits(found, items, label)
 
 
-def retrieve_nodes(queries, nodes, method="dense", k=10, scope="corpus", encode=None, require_model=False) -> DataFrame:
-    found, label, items = search(queries, node_items(nodes), method, k, scope, encode, require_model)
+def retrieve_nodes(queries, nodes, method="dense", k=10, scope="corpus", encode=None, require_model=False, index=None) -> DataFrame:
+    found, label, items = search(queries, node_items(nodes), method, k, scope, encode, require_model, index)
     return as_hits(found, items, label)
 
 
@@ -114,12 +119,15 @@ def filter_nodes(nodes: DataFrame, types: list[str] | None) -> DataFrame:
     return nodes.where(F.col("node_type").isin(list(types))) if types else nodes
 
 
-def retrieve_hybrid_pages(queries, pages, options: dict[str, Any], encode=None) -> DataFrame:
-    """Reciprocal-rank fusion of the page methods; ties in order of first appearance."""
+def retrieve_hybrid_pages(queries, pages, options: dict[str, Any], encode=None, index=None) -> DataFrame:
+    """Reciprocal-rank fusion of the page methods, which share an index; ties in order of first appearance."""
     k = top_k_of(options.get("page_top_k", options.get("top_k")))
     wide = int(options.get("candidate_top_k", max(k, 20)))
     items, scope, required = page_items(pages), scope_of(options), dense_options(options)["require_model"]
-    lists = [search(queries, items, m, wide, scope, encode, required)[0] for m in page_methods(options)]
+    methods = page_methods(options)
+    if index is None and scope == "corpus" and sum(scoring.kind_of(m, encode, required)[0] != "dense" for m in methods) > 1:
+        index = TextIndex.build(items)
+    lists = [search(queries, items, m, wide, scope, encode, required, index)[0] for m in methods]
     both = scoring.fused(lists)
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "first")
     best = both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -152,23 +160,23 @@ def _region_options(options: dict[str, Any]) -> dict[str, Any]:
     return {"k": int(options.get("region_top_k", 5)), "require_model": dense_options(options)["require_model"]}
 
 
-def retrieve_page_region(queries, pages, nodes, options: dict[str, Any], encode=None) -> DataFrame:
+def retrieve_page_region(queries, pages, nodes, options: dict[str, Any], encode=None, index=None) -> DataFrame:
     method = method_of(options.get("region_method"), options.get("region_retriever"), options.get("method"))
     page_method = method_of(options.get("page_retriever"))
-    hits = retrieve_pages(queries, pages, page_method, int(options.get("page_top_k", 10)), scope_of(options), encode, dense_options(options)["require_model"])
+    hits = retrieve_pages(queries, pages, page_method, int(options.get("page_top_k", 10)), scope_of(options), encode, dense_options(options)["require_model"], index)
     return regions_of_pages(queries, filter_nodes(nodes, options.get("node_types")), hits, method, label="page_region", encode=encode, **_region_options(options))
 
 
-def retrieve_hybrid_page_region(queries, pages, nodes, options: dict[str, Any], encode=None) -> DataFrame:
+def retrieve_hybrid_page_region(queries, pages, nodes, options: dict[str, Any], encode=None, index=None) -> DataFrame:
     method = method_of(options.get("region_method"), options.get("region_retriever"), options.get("method"))
-    hits = retrieve_hybrid_pages(queries, pages, options, encode)
+    hits = retrieve_hybrid_pages(queries, pages, options, encode, index)
     return regions_of_pages(queries, filter_nodes(nodes, options.get("node_types")), hits, method, label="hybrid_page_region", encode=encode, **_region_options(options))
 
 
-def retrieve_global_region(queries, nodes, options: dict[str, Any], encode=None) -> DataFrame:
+def retrieve_global_region(queries, nodes, options: dict[str, Any], encode=None, index=None) -> DataFrame:
     method = method_of(options.get("method"), options.get("region_method"), options.get("region_retriever"))
     k = int(options.get("region_top_k", top_k_of(options.get("top_k"))))
-    hits = retrieve_nodes(queries, filter_nodes(nodes, options.get("node_types")), method, k, scope_of(options), encode, dense_options(options)["require_model"])
+    hits = retrieve_nodes(queries, filter_nodes(nodes, options.get("node_types")), method, k, scope_of(options), encode, dense_options(options)["require_model"], index)
     return hits.withColumn("retriever", F.lit("global_region"))
 
 
@@ -185,20 +193,20 @@ def retrieve_oracle_page_region(queries, nodes, options: dict[str, Any], encode=
     return as_hits(scoring.top_k(q, candidates, scores, k), candidates.dropDuplicates(["item"]), "oracle_page_region")
 
 
-def retrieve(queries: DataFrame, pages: DataFrame, nodes: DataFrame, options: dict[str, Any], encode=None) -> DataFrame:
-    """Run the retriever that ``options['type']`` names."""
+def retrieve(queries: DataFrame, pages: DataFrame, nodes: DataFrame, options: dict[str, Any], encode=None, page_index: TextIndex | None = None, node_index: TextIndex | None = None) -> DataFrame:
+    """Run the retriever that ``options['type']`` names; kept indexes are of these pages, and of the nodes of the types that the options ask for."""
     from .evidence import retrieve_evidence_set
 
     kind = str(options.get("type", "bm25_page"))
     k, scope, need = top_k_of(options.get("top_k")), scope_of(options), dense_options(options)["require_model"]
     runs: dict[str, Callable[[], DataFrame]] = {
-        "bm25_page": lambda: retrieve_pages(queries, pages, "bm25", k, scope, encode, need),
-        "dense_page": lambda: retrieve_pages(queries, pages, "dense", k, scope, encode, need),
-        "hybrid_page": lambda: retrieve_hybrid_pages(queries, pages, options, encode),
-        "layout_node": lambda: retrieve_nodes(queries, filter_nodes(nodes, options.get("node_types")), method_of(options.get("method")), k, scope, encode, need),
-        "page_region": lambda: retrieve_page_region(queries, pages, nodes, options, encode),
-        "hybrid_page_region": lambda: retrieve_hybrid_page_region(queries, pages, nodes, options, encode),
-        "global_region": lambda: retrieve_global_region(queries, nodes, options, encode),
+        "bm25_page": lambda: retrieve_pages(queries, pages, "bm25", k, scope, encode, need, page_index),
+        "dense_page": lambda: retrieve_pages(queries, pages, "dense", k, scope, encode, need, page_index),
+        "hybrid_page": lambda: retrieve_hybrid_pages(queries, pages, options, encode, page_index),
+        "layout_node": lambda: retrieve_nodes(queries, filter_nodes(nodes, options.get("node_types")), method_of(options.get("method")), k, scope, encode, need, node_index),
+        "page_region": lambda: retrieve_page_region(queries, pages, nodes, options, encode, page_index),
+        "hybrid_page_region": lambda: retrieve_hybrid_page_region(queries, pages, nodes, options, encode, page_index),
+        "global_region": lambda: retrieve_global_region(queries, nodes, options, encode, node_index),
         "oracle_page_region": lambda: retrieve_oracle_page_region(queries, nodes, options, encode),
         "evidence_set_region": lambda: retrieve_evidence_set(queries, pages, nodes, options, encode),
     }

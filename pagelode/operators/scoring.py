@@ -3,8 +3,9 @@
 A scorer takes items (scope, item, ord, score_text) and queries (scope, query_id,
 question) and compares what shares a scope. The scope is also what statistics are
 taken over: a constant (whole corpus), the document, or the query's candidate set.
-Here scores are joins over an inverted index of the query tokens, for scopes that hold
-few items each; a search of the whole corpus goes through :mod:`.corpus` instead.
+Here scores are joins over postings, for scopes that hold few items each; the postings
+come from the items' texts or from a kept index. A search of the whole corpus goes
+through :mod:`.corpus` instead.
 
 Scores rank after rounding to nine digits, ties in the order of ``ord``.
 """
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..store import materialize
 from . import corpus
-from .corpus import K1, B
+from .index import K1, B, TextIndex
 
 
 def tokenized(items: DataFrame) -> DataFrame:
@@ -56,8 +57,13 @@ def bm25(queries: DataFrame, items: DataFrame) -> DataFrame:
     postings = (
         rows.join(asked, ["scope", "token"], "left_semi").groupBy("scope", "token", "item", "ord", "size").agg(F.count(F.lit(1)).alias("tf"))
     )
+    return bm25_of_postings(terms, postings, scope_statistics(found))
+
+
+def bm25_of_postings(terms: DataFrame, postings: DataFrame, statistics: DataFrame) -> DataFrame:
+    """BM25 from (scope, item, ord, size, token, tf), which may hold more than the asked tokens, and (scope, n_items, mean_size)."""
     frequency = postings.groupBy("scope", "token").agg(F.count(F.lit(1)).alias("df"))
-    weights = terms.join(frequency, ["scope", "token"]).join(scope_statistics(found), "scope")
+    weights = terms.join(frequency, ["scope", "token"]).join(statistics, "scope")
     idf = F.ln(1 + (F.col("n_items") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = K1 * (1 - B + B * F.col("size") / F.greatest("mean_size", F.lit(1e-9)))
     part = F.col("qtf") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
@@ -66,14 +72,17 @@ def bm25(queries: DataFrame, items: DataFrame) -> DataFrame:
 
 def tfidf(queries: DataFrame, items: DataFrame) -> DataFrame:
     """query_id, scope, item, ord, cosine > 0 of TF-IDF vectors; query tokens that no item has enlarge the query's norm."""
-    counts = term_counts(tokenized(items))
     sizes = items.groupBy("scope").agg(F.count(F.lit(1)).alias("n_items"))
+    return tfidf_of_postings(query_terms(queries), term_counts(tokenized(items)), sizes)
+
+
+def tfidf_of_postings(terms: DataFrame, counts: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Cosines from all postings (scope, item, ord, size, token, tf) and (scope, n_items)."""
     frequency = counts.groupBy("scope", "token").agg(F.count(F.lit(1)).alias("df"))
     idf = F.ln((F.col("n_items") + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1
     vectors = (
         counts.join(frequency, ["scope", "token"]).join(sizes, "scope").select("scope", "item", "ord", "token", (F.col("tf") / F.col("size") * idf).alias("w"))
     )
-    terms = query_terms(queries)
     totals = terms.groupBy("scope", "query_id").agg(F.sum("qtf").alias("total"))
     asked = (
         terms.join(totals, ["scope", "query_id"])
@@ -92,6 +101,16 @@ def tfidf(queries: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
+def of_index(queries: DataFrame, index: TextIndex, method: str) -> tuple[DataFrame, DataFrame]:
+    """(scores, items) of questions inside their documents, from a kept index: no text is read."""
+    postings, items = index.postings(queries.select("doc_id"))
+    q = queries.withColumn("scope", F.col("doc_id").cast("string"))
+    terms = query_terms(q).withColumn("token", F.xxhash64("token"))
+    n = F.count(F.lit(1))
+    sizes = items.groupBy("scope").agg(n.alias("n_items"), (F.sum("size") / n).alias("mean_size"))
+    return (bm25_of_postings if method == "bm25" else tfidf_of_postings)(terms, postings, sizes), items
+
+
 def dot(left: Column, right: Column) -> Column:
     return F.aggregate(F.zip_with(left, right, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
@@ -144,10 +163,10 @@ def top_k(queries: DataFrame, items: DataFrame, scores: DataFrame, k: int) -> Da
     return ranked(both, k)
 
 
-def corpus_top_k(queries: DataFrame, items: DataFrame, kind: str, k: int, encode: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
-    """As :func:`top_k` over all items; they are read once for the statistics and once to be scored."""
+def corpus_top_k(queries: DataFrame, items: DataFrame, kind: str, k: int, encode: Callable[[DataFrame, str], DataFrame] | None = None, index: TextIndex | None = None) -> DataFrame:
+    """As :func:`top_k` over all items; their texts are read once, to be indexed, or not at all if there is an index."""
     q, i = (encode(queries, "question"), encode(items, "score_text")) if kind == "dense" else (queries, items)
-    best = materialize(ranked(corpus.search(q, i, kind, k), k).drop("rank"), "top")
+    best = materialize(ranked(corpus.search(q, i, kind, k, index=index), k).drop("rank"), "top")
     have = best.groupBy("query_id").agg(F.count(F.lit(1)).alias("have"))
     short = queries.select("query_id").join(have, "query_id", "left").where(F.coalesce("have", F.lit(0)) < k).select("query_id", F.lit("").alias("scope"))
     if short.limit(1).count():  # k rows fill what is missing

@@ -29,16 +29,22 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return the written table."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/pagelode-{uuid.uuid4().hex}/{name}"
+    path = folder(spark, name)
     df.write.parquet(path)
-    if not _written:
-        atexit.register(_clean)
     found = spark.read.schema(df.schema).parquet(path)
-    _written[path] = spark
     found.written_path = path
     return found
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, deleted when the session ends."""
+    path = f"{shared_dir(spark)}/pagelode-{uuid.uuid4().hex}/{name}"
+    if not _written:
+        atexit.register(_clean)
+    _written[path] = spark
+    return path
+
+
 def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
     """Add ``name``: 1, 2, ... over all rows in an order. A range sort numbers each partition; the partitions' counts, one row each, give the rest."""
     at, part, before = "row at", "row part", "rows before"

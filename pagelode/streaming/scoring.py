@@ -1,8 +1,8 @@
-"""Questions that arrive as a stream, scored against a static index of pages or nodes.
+"""Questions that arrive as a stream, scored against a kept index of pages or nodes.
 
-The index (postings, document frequencies, sizes) is prepared once with batch
-statistics; each micro-batch joins its tokens with it. A question's hits depend on the
-index and the question alone, so micro-batches need no state.
+A question's hits depend on the index and the question alone, so micro-batches need no
+state. Each micro-batch begins with the index as it then is: versions that items were
+appended to or removed from in between are taken up without a restart.
 """
 
 from __future__ import annotations
@@ -10,36 +10,31 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import retrieval as rt
 from ..operators import scoring as sc
+from ..operators.index import TextIndex
 
 
-def bm25_index(items: DataFrame) -> DataFrame:
-    """token, item, ord and the BM25 weight that one occurrence of the token in a question adds (corpus scope)."""
-    tokenized = sc.tokenized(items.withColumn("scope", F.lit("")))
-    postings = sc.term_counts(tokenized)
-    frequency = postings.groupBy("scope", "token").agg(F.count(F.lit(1)).alias("df"))
-    rows = postings.join(frequency, ["scope", "token"]).join(sc.scope_statistics(tokenized), "scope")
-    idf = F.ln(1 + (F.col("n_items") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = sc.K1 * (1 - sc.B + sc.B * F.col("size") / F.greatest("mean_size", F.lit(1e-9)))
-    return rows.select("token", "item", "ord", (idf * F.col("tf") * (sc.K1 + 1) / (F.col("tf") + norm)).alias("weight"))
+def bm25_index(items: DataFrame, path: str | None = None) -> TextIndex:
+    """The index of items, below a folder of a shared file system."""
+    return TextIndex.build(items, path)
 
 
-def search(index: DataFrame, items: DataFrame, questions: DataFrame, k: int = 10) -> DataFrame:
-    """HITS of questions (query_id, question) from an index."""
-    q = questions.select("query_id", "question", F.lit("").alias("scope"))
-    terms = sc.query_terms(q)
-    scores = terms.join(index, "token").groupBy("query_id", "scope", "item", "ord").agg(F.sum(F.col("qtf") * F.col("weight")).alias("score"))
-    return rt.as_hits(sc.top_k(q, items.withColumn("scope", F.lit("")), scores, k), items, "bm25")
+def search(index: TextIndex, items: DataFrame, questions: DataFrame, k: int = 10, method: str = "bm25") -> DataFrame:
+    """HITS of questions (query_id, question) from an index; ``items`` give the texts to show."""
+    found = sc.corpus_top_k(questions.select("query_id", "question"), items, method, k, index=index)
+    return rt.as_hits(found, items, method)
 
 
-def score_stream(questions: DataFrame, index: DataFrame, items: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, k: int = 10) -> StreamingQuery:
-    """Start scoring a stream of questions (query_id, question); ``write`` gets each batch's hits and its number."""
+def score_stream(questions: DataFrame, index: TextIndex, items: DataFrame | Callable[[], DataFrame], write: Callable[[DataFrame, int], None], checkpoint: str, k: int = 10) -> StreamingQuery:
+    """Start scoring a stream of questions (query_id, question); ``write`` gets each batch's hits and its number.
+
+    ``items`` may be a function, called for each batch, where items change with the index.
+    """
 
     def each(batch: DataFrame, number: int) -> None:
-        write(search(index, items, batch, k), number)
+        write(search(index.latest(), items() if callable(items) else items, batch, k), number)
 
     return questions.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).start()
