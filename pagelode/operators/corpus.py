@@ -1,85 +1,17 @@
-"""Corpus-wide search: text searches read an index, vectors are scored where they are read.
+"""Corpus-wide search: text searches read an index, vector searches read pivot shards.
 
-A text search without an index builds one for itself (:mod:`.index`), which takes the only
-pass over the texts; blocks of questions, and all searches that share the index, read its
-shards. Only the ``k`` best of each question and task travel.
+A search without an index builds one for itself, which takes the only pass over the texts
+(:mod:`.index`) or vectors (:mod:`.vectors`); blocks of questions, and all searches that
+share the index, read its shards. Only the ``k`` best of each question and task travel.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..store import materialize
-from .index import QUESTIONS, VOCABULARY, TextIndex, question_blocks
-
-#: Cells of a task's score matrix.
-CELLS = 2_000_000
-_FOUND = "question long, item string, ord long, score double"
-
-
-class Best:
-    """The k best (score rounded to nine digits, then ord) items of each question."""
-
-    def __init__(self, n_questions: int, k: int):
-        self.k, self.least = k, np.zeros(n_questions)
-        self.rows = [np.zeros(0, int), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0)]
-
-    def add(self, scores: np.ndarray, ords: np.ndarray, items: np.ndarray) -> None:
-        rounded = np.floor(scores * 1e9 + 0.5)
-        i, q = np.nonzero((scores > 0) & (rounded >= self.least))
-        if not len(i):
-            return
-        q, r, o, x, s = (np.concatenate(p) for p in zip(self.rows, (q, rounded[i, q], ords[i], items[i], scores[i, q]), strict=True))
-        order = np.lexsort((o, -r, q))
-        sorted_q = q[order]
-        first = np.flatnonzero(np.r_[True, sorted_q[1:] != sorted_q[:-1]])
-        rank = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
-        kept = order[rank < self.k]
-        self.rows = [a[kept] for a in (q, r, o, x, s)]
-        last = order[rank == self.k - 1]
-        self.least[q[last]] = r[last]
-
-    def batch(self) -> pa.RecordBatch:
-        q, _, o, x, s = self.rows
-        return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(x.tolist(), pa.string()), pa.array(o, pa.int64()), pa.array(s, pa.float64())], ["question", "item", "ord", "score"])
-
-
-def _best(items: DataFrame, n_questions: int, k: int, score: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
-    """question, item, ord, score: the best of every partition; ``score`` gives (items, questions) for rows (item, ord, ...)."""
-    step = max(1, CELLS // max(1, n_questions))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = Best(n_questions, k)
-        for batch in batches:
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                best.add(score(part), part.column(1).to_numpy(zero_copy_only=False), np.array(part.column(0).to_pylist(), object))
-        yield best.batch()
-
-    return items.mapInArrow(run, _FOUND)
-
-
-def _dense_block(items: DataFrame, rows: list[Row], k: int) -> DataFrame:
-    asked = np.array([r["vector"] for r in rows], float).T
-    shared = items.sparkSession.sparkContext.broadcast(asked)
-
-    def score(batch: pa.RecordBatch) -> np.ndarray:
-        q = shared.value
-        flat = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
-        # the best of all products, negative ones too, are wanted: move them above zero
-        return flat @ q + _SHIFT
-
-    found = _best(items.select("item", "ord", "vector"), len(rows), k, score)
-    return found.withColumn("score", F.col("score") - _SHIFT)
-
-
-#: More than any product of two unit vectors.
-_SHIFT = 4.0
+from . import vectors
+from .index import QUESTIONS, VOCABULARY, TextIndex
 
 
 def search(queries: DataFrame, items: DataFrame, method: str, k: int, block: int = QUESTIONS, vocabulary: int = VOCABULARY, index: TextIndex | None = None) -> DataFrame:
@@ -89,19 +21,8 @@ def search(queries: DataFrame, items: DataFrame, method: str, k: int, block: int
     Items and queries without a vector are left out of dense search.
     """
     if method == "dense":
-        return _dense(queries, items, k, block)
+        found = vectors.search(queries, items, k, block)
+    else:
+        found = (index or TextIndex.build(items)).search(queries, method, k, block, vocabulary)
     names = items.schema["item"].dataType.simpleString()
-    found = (index or TextIndex.build(items)).search(queries, method, k, block, vocabulary)
     return found.select("query_id", F.lit("").alias("scope"), F.col("item").cast(names).alias("item"), "ord", "score")
-
-
-def _dense(queries: DataFrame, items: DataFrame, k: int, block: int) -> DataFrame:
-    queries, items = (x.where(F.col("vector").isNotNull()) for x in (queries.select("query_id", "vector"), items))
-    names, kind, out = items.schema["item"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString(), None
-    items, spark = items.withColumn("item", F.col("item").cast("string")), items.sparkSession
-    for rows in question_blocks(queries, block):
-        ids = spark.createDataFrame([(no, r["query_id"]) for no, r in enumerate(rows)], f"question long, query_id {kind}")
-        part = _dense_block(items, rows, k).join(F.broadcast(ids), "question").select("query_id", F.lit("").alias("scope"), F.col("item").cast(names).alias("item"), "ord", "score")
-        part = materialize(part, "best")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], f"query_id {kind}, scope string, item {names}, ord long, score double")
