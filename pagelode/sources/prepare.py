@@ -6,6 +6,8 @@ a fixed order of metric rows, guarded casts of page numbers.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,22 +17,76 @@ from ..schemas import ANNOTATION_COLUMNS, NODES, PAGES
 from ..store import numbered
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+#: A chunk is full at 260 characters; places count a character more for the blank or the end.
+_FULL = 261
+
+
 def text_chunks(page_text: Column) -> Column:
-    """Chunks of a page without blocks: a financial line alone, other lines gathered to 260 characters."""
+    """Chunks of a page without blocks: a financial line alone, other lines gathered to 260 characters.
+
+    Lines have places: running lengths, with a gap of a full chunk before a financial line.
+    So the next chunk after a line begins at the first place at least ``_FULL`` further, which
+    a binary search finds, and the chunks of the page are the way from the first line along
+    these beginnings, which doubles its length in every step. Work grows with the number of
+    lines times its logarithm.
+    """
     lines = F.filter(F.transform(F.split(tx.text_of(page_text), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), tx.clean), lambda x: x != "")
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("held"))
-
-    def add(state: Column, line: Column) -> Column:
-        joined = F.when(state["held"] == "", line).otherwise(F.concat(state["held"], F.lit(" "), line))
-        own = tx.is_financial(line) & line.rlike(lx.NUMBER)
-        flushed = F.when(state["held"] == "", state["done"]).otherwise(F.array_append(state["done"], state["held"]))
-        full = F.length(joined) >= 260
-        return F.struct(
-            F.when(own, F.array_append(flushed, line)).when(full, F.array_append(state["done"], joined)).otherwise(state["done"]).alias("done"),
-            F.when(own | full, "").otherwise(joined).alias("held"),
-        )
+    alone = lambda x: F.transform(x, lambda line: tx.is_financial(line) & line.rlike(lx.NUMBER))
+    return _let(lines, lambda x: _let(alone(x), lambda own: _let(_places(x, own), lambda at: _let(_beginnings(at, own), lambda begin: _joined(x, begin)))))
+
+
+def _steps(lines: Column) -> Column:
+    """0, 1, ... for as many doublings as cover the lines."""
+    return F.sequence(F.lit(0), F.length(F.bin(F.size(lines))))
+
+
+def _places(lines: Column, own: Column) -> Column:
+    """Running sums of what lies before each line, by doubling."""
+    before = F.transform(
+        lines, lambda x, i: F.when(i > 0, F.length(F.get(lines, i - 1)) + 1).otherwise(0).cast("long") + F.when(F.get(own, i), F.lit(_FULL)).otherwise(0)
+    )
+
+    def add(sums: Column, k: Column) -> Column:
+        back = F.call_function("shiftleft", F.lit(1), k)
+        return F.transform(sums, lambda x, i: x + F.when(i >= back, F.get(sums, i - back)).otherwise(F.lit(0)))
+
+    return F.aggregate(_steps(lines), before, add)
+
+
+def _beginnings(at: Column, own: Column) -> Column:
+    """The lines that chunks begin with, in order."""
+    n = F.size(at)
+
+    def search(i: Column) -> Column:
+        least = F.get(at, i) + _FULL
+        ends = F.struct((i + 1).alias("lo"), n.alias("hi"))
+
+        def halve(s: Column, _: Column) -> Column:
+            mid = F.shiftright(s["lo"] + s["hi"], 1)
+            found = F.get(at, mid) >= least
+            open_ = s["lo"] < s["hi"]
+            return F.struct(F.when(open_ & ~found, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(open_ & found, mid).otherwise(s["hi"]).alias("hi"))
+
+        return F.aggregate(_steps(at), ends, halve, lambda s: s["lo"])
+
+    # one place more, the end, which leads to itself
+    following = F.concat(F.transform(at, lambda _, i: F.when(F.get(own, i), i + 1).otherwise(search(i))), F.array(n))
+
+    def double(s: Column, _: Column) -> Column:
+        further = F.concat(s["way"], F.transform(s["way"], lambda x: F.get(s["jump"], x)))
+        return F.struct(F.filter(further, lambda x: x < n).alias("way"), F.transform(s["jump"], lambda x: F.get(s["jump"], x)).alias("jump"))
+
+    return F.aggregate(_steps(at), F.struct(F.array(F.lit(0)).alias("way"), following.alias("jump")), double, lambda s: s["way"])
+
 
-    return F.aggregate(lines, start, add, lambda s: F.when(s["held"] == "", s["done"]).otherwise(F.array_append(s["done"], s["held"])))
+def _joined(lines: Column, begin: Column) -> Column:
+    end = lambda i: F.coalesce(F.get(begin, i + 1), F.size(lines))
+    return F.transform(begin, lambda s, i: F.array_join(F.slice(lines, s + 1, end(i) - s), " "))
 
 
 def metric_rows(chunk: Column) -> Column:
