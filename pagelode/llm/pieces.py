@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 BLANK = "▁"
 #: Entries of a worker's tables of words and of neighbours, longest word kept, characters that are hashed at once.
-WORDS, PAIRS, LONGEST_WORD, PART = 300_000, 800_000, 64, 1_000_000
+WORDS, PAIRS, LONGEST_WORD, PART = 400_000, 800_000, 64, 1_000_000
 _REPLACED = "�"
 #: Texts whose ids show how the library normalises.
 _PROBES = ("", " ", "a", " a  b ", "ｆｕｌｌ ﬁ ²", "éé", "\ttab\r\nline x　y", "▁ ▁", "​zero")
@@ -59,7 +59,8 @@ class Vocabulary:
         self._texts = {i: p.replace(BLANK, " ") for p, i in self.ids.items()}
         self._silent = {i for i in range(n) if library.is_control(i)}
         self._fits: dict[tuple[str, str], bool] = {}
-        self._words = _Kept(self._word, WORDS)
+        self._words = _Kept(lambda w: self._told(BLANK + w), WORDS)  # with a blank in front
+        self._stretches = _Kept(self._told, WORDS // 4)
         self._pieces_end = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+") if not any(BLANK in p.lstrip(BLANK) for p in self.ids) else None
         lacking = re.escape("".join(p for p in self.ids if len(p) == 1))
         self._lacking = re.compile(f"([^{lacking}])")
@@ -182,38 +183,55 @@ class Vocabulary:
         if held:
             yield _characters(bytes(held))
 
-    def _word(self, word: str) -> tuple[str, str]:
-        """Decimal ids of a word, joined by commas, and the word that they decode to."""
-        ids, texts = self.word_ids(word), self._texts
+    def _told(self, stretch: str) -> str:
+        """Decimal ids of a stretch, joined by commas; what they decode to must be the stretch."""
+        ids, texts = self.word_ids(stretch), self._texts
         try:
             text = "".join([texts[i] for i in ids])
         except KeyError:  # bytes
             text = "".join(self._decoded(ids, False))
-        return ",".join(map(str, ids)), text
+        if self.bytes and text != stretch.replace(BLANK, " "):
+            raise ValueError(f"{stretch!r} decodes to {text!r}")
+        return ",".join(map(str, ids))
+
+    def _told_parts(self, text: str) -> Iterator[tuple[str, str]]:
+        """Decimal ids and decoded text, part by part.
+
+        With byte pieces every stretch decodes to itself, which is verified when it enters a
+        table, so the decoded text is put together from the stretches.
+        """
+        for no, part in enumerate(_parts(text)):
+            body = part[1:] if no else part
+            if self._pieces_end and self.bytes and body and not _spaced(body):  # blanks stand alone, between words
+                words = body.split(" ")
+                yield ",".join(map(self._words.__getitem__, words)), (" " if no else "") + " ".join(words)
+                continue
+            stretches = self.words(body)
+            told = ",".join(map(self._stretches.__getitem__, stretches))
+            if self.bytes:
+                decoded = "".join(stretches).replace(BLANK, " ")
+                yield told, decoded if no else decoded[1:]
+            else:
+                yield told, "".join(self._decoded(list(map(int, told.split(","))), not no))
 
     def digests(self, text: str) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids and SHA-256 of what they decode to."""
         ids_hash, text_hash, n = sha256(), sha256(), 0
-        for no, part in enumerate(_parts(text)):
-            found = list(map(self._words.__getitem__, self.words(part[1:] if no else part)))
-            if not no:  # the blank in front
-                ids = self.word_ids(self.words(part)[0])
-                found[0] = found[0][0], "".join(self._decoded(ids, True))
-            joined = ",".join([x[0] for x in found])
-            n += joined.count(",") + 1
-            ids_hash.update(b"," + joined.encode() if no else joined.encode())
-            text_hash.update("".join([x[1] for x in found]).encode())
+        for ids, decoded in self._told_parts(text):
+            ids_hash.update(("," + ids if n else ids).encode())
+            text_hash.update(decoded.encode())
+            n += ids.count(",") + 1
         return n, ids_hash.hexdigest(), text_hash.hexdigest()
 
 
 class _Kept(dict):
     """Values that are made once and kept for about the ``most`` to twice the ``most`` keys used last."""
 
-    def __init__(self, make: Callable[[str], tuple[str, str]], most: int):
+    def __init__(self, make: Callable[[str], str], most: int):
         super().__init__()
         self.make, self.most, self.older = make, most, {}
 
-    def __missing__(self, key: str) -> tuple[str, str]:
+    def __missing__(self, key: str) -> str:
         value = self.older.get(key) or self.make(key)
         if len(key) <= LONGEST_WORD:
             if len(self) >= self.most:
@@ -250,6 +268,11 @@ def _parts(text: str, most: int = PART) -> Iterator[str]:
         at = end
 
 
+def _spaced(text: str) -> bool:
+    """Whether a blank stands at an end or next to another, or the blank's own sign occurs."""
+    return text[0] == " " or text[-1] == " " or "  " in text or BLANK in text
+
+
 _CUT = re.compile(f"[^ {BLANK}](?= )")
 
 
