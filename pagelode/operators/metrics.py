@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 METRICS = ("page_recall@1", "page_recall@5", "page_recall@10", "mrr", "ndcg@5", "ndcg@10", "region_hit@5")
@@ -80,6 +82,24 @@ def error_rows(queries: DataFrame, hits: DataFrame) -> DataFrame:
 
 def breakdown(rows: DataFrame, *keys: str) -> DataFrame:
     """Count and share of rows per key."""
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("all"))
-    return counts.crossJoin(F.broadcast(total)).select(*keys, "n", (F.col("n") / F.col("all")).alias("share"))
+    return breakdowns(rows, [keys]).select(*keys, "n", "share")
+
+
+def breakdowns(rows: DataFrame, sets: Sequence[Sequence[str]], **measures: Column) -> DataFrame:
+    """Counts over several sets of keys in one aggregation: the keys, level, n, share, measures.
+
+    ``level`` tells the sets apart (a bit for every key that is summed over, the last key
+    lowest), as a null key may also be a value; ``share`` is of all rows of the set. The
+    window for it sees aggregated rows alone.
+    """
+    keys = list(dict.fromkeys(k for s in sets for k in s))
+    grouped = rows.groupingSets([[F.col(k) for k in s] for s in sets], *(F.col(k) for k in keys)) if keys else rows.groupBy()
+    level = F.grouping_id().cast("long") if keys else F.lit(0).cast("long")
+    counts = grouped.agg(level.alias("level"), F.count(F.lit(1)).alias("n"), *(c.alias(name) for name, c in measures.items()))
+    share = F.col("n") / F.sum("n").over(Window.partitionBy("level"))
+    return counts.select(*keys, "level", "n", share.alias("share"), *measures)
+
+
+def rollup_sets(*keys: str) -> list[tuple[str, ...]]:
+    """All keys, all but the last, ... and none."""
+    return [keys[:k] for k in range(len(keys), -1, -1)]

@@ -4,21 +4,19 @@ from __future__ import annotations
 
 import json
 import os
-import tempfile
-import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import lexicon as lx
 from ..operators import retrieval as rt
 from ..schemas import ANNOTATION_COLUMNS, HITS, NODES, PAGES, QUERIES as QUERY_SCHEMA
 from ..sources import prepare as pp
 from ..sources import readers as rd
-from ..store import materialize, shared_dir
+from ..store import folder, materialize
 from . import runs
-from .queries import _any_sql, _query, _read
+from .queries import _any_sql, _fixed, _query, _read
 from .report_queries import _IN_DOCUMENT, _NODES, _REPORTS, DEMO, _bm25_sql, _top_sql, report_nodes, report_pages, report_queries
 
 _PLAIN = lambda pattern: pattern.removeprefix("(?U)").replace("[\\s\\x1c-\\x1f]", "\\s")
@@ -162,7 +160,7 @@ def report_annotations(spark, sf_dir):
     return pp.annotation_rows(report_pages(spark, sf_dir), 9)
 
 
-@_query(f"WITH {DEMO.replace('page_t AS', 'every_page AS')}, page_t AS (SELECT * FROM every_page WHERE doc_id = 'demo_finance_2025'), {_ANNOTATIONS} SELECT {', '.join(ANNOTATION_COLUMNS)} FROM ann")
+@_fixed(f"WITH {DEMO.replace('page_t AS', 'every_page AS')}, page_t AS (SELECT * FROM every_page WHERE doc_id = 'demo_finance_2025'), {_ANNOTATIONS} SELECT {', '.join(ANNOTATION_COLUMNS)} FROM ann")
 def annotation_rows_demo(spark, sf_dir):
     """Annotations of the demo's finance report."""
     from ..sources.demo import demo_tables
@@ -246,7 +244,7 @@ def generic_documents(spark, sf_dir):
 
 
 def _folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/pagelode-files-{uuid.uuid4().hex}"
+    return folder(spark, "files")
 
 
 @_query(f"WITH {_REPORTS} SELECT n.node_id, n.text, CAST(n.page_index AS VARCHAR) AS page_index, p.page_text, count(q.query_id) AS questions FROM node_t n JOIN page_t p USING (doc_id, page_id) JOIN query_t q USING (doc_id) GROUP BY ALL")
@@ -255,9 +253,9 @@ def dataset_roundtrip(spark, sf_dir):
     nodes, pages, queries = report_nodes(spark, sf_dir), report_pages(spark, sf_dir), report_queries(spark, sf_dir)
     docs = pages.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("num_pages")).withColumn("dataset", F.lit("reports"))
     tables = {"documents": docs, "pages": rd.conform(pages, PAGES), "nodes": rd.conform(nodes, NODES), "queries": rd.conform(queries, QUERY_SCHEMA)}
-    folder = _folder(spark)
-    runs.write_dataset(tables, folder)
-    t = rd.read_dataset(spark, folder)
+    place = _folder(spark)
+    runs.write_dataset(tables, place)
+    t = rd.read_dataset(spark, place)
     asked = t["queries"].join(t["documents"].select("doc_id"), "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("questions"))
     joined = t["nodes"].join(t["pages"].select("page_id", "page_text"), "page_id").join(asked, "doc_id")
     return joined.select("node_id", "text", F.col("metadata.page_index").alias("page_index"), "page_text", "questions")
@@ -286,51 +284,114 @@ def hits_roundtrip(spark, sf_dir):
 
 @_query("SELECT kind, CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation, (VALUES ('csv'), ('json'), ('jsonl'), ('parquet')) AS v(kind)")
 def table_readers(spark, sf_dir):
-    """The same table as CSV, JSON, JSON lines and Parquet through the generic reader."""
-    nation, folder = _read(spark, sf_dir, "nation"), _folder(spark)
-    nation.write.parquet(f"{folder}/t.parquet")
-    nation.write.csv(f"{folder}/t.csv", header=True, escape='"')
-    nation.write.json(f"{folder}/t.jsonl")
+    """The same table as CSV, JSON, JSON lines and Parquet through the generic reader; a JSON file for each region."""
+    nation, place = _read(spark, sf_dir, "nation"), _folder(spark)
+    nation.write.parquet(f"{place}/t.parquet")
+    nation.write.csv(f"{place}/t.csv", header=True, escape='"')
+    nation.write.json(f"{place}/t.jsonl")
     rows = F.to_json(F.struct(F.array_agg(F.struct(*nation.columns)).alias("data")))
-    nation.agg(rows.alias("value")).write.text(f"{folder}/t.json")
+    nation.groupBy(F.col("n_regionkey").alias("part")).agg(rows.alias("value")).write.partitionBy("part").text(f"{place}/t.json")
     out = None
     for kind in ("csv", "json", "jsonl", "parquet"):
-        df = rd.read_any(spark, f"{folder}/t.{kind}")
+        df = rd.read_any(spark, f"{place}/t.{kind}")
         df = df.select(F.lit(kind).alias("kind"), *(F.col(c).cast("string").alias(c) for c in nation.columns))
         out = df if out is None else out.unionByName(df)
     return out
 
 
-_RUN_FILES = ("config.json", "errors.csv", "metrics.json", "predictions.parquet", "run_info.json", "sufficiency_cases.csv", "sufficiency_metrics.json", "sufficiency_summary.md", "summary.md")
-_DEMO_PAGE_TOP = f"{_bm25_sql('b_', _pages := 'SELECT {q}{q} AS scope, page_id AS item, ord, page_text AS body FROM page_t'.format(q=chr(39)), 'SELECT query_id, {q}{q} AS scope, question FROM query_t'.format(q=chr(39)))}, {_top_sql('b_', 10)}"
+_MIXED = """m AS (SELECT o_orderkey AS id, CASE o_orderkey % 5
+  WHEN 0 THEN '{"priority": "' || o_orderpriority || '", "total": ' || CAST(round(o_totalprice * 100) AS BIGINT) || ', "by": {"clerk": "' || o_orderstatus || '", "tags": ["a", ' || o_custkey || ', null]}}'
+  WHEN 1 THEN '[' || o_custkey || ', "' || o_orderstatus || '", {"deep": [' || o_orderkey || ']}]'
+  WHEN 2 THEN 'note ' || o_custkey WHEN 3 THEN CAST(o_custkey AS VARCHAR) ELSE '' END AS text FROM orders)"""
 
 
 @_query(
-    f"""WITH {DEMO}, {_DEMO_PAGE_TOP},
+    f"""WITH {_MIXED} SELECT id, CASE id % 5 WHEN 0 THEN 'object' WHEN 1 THEN 'array' WHEN 2 THEN 'text' WHEN 3 THEN 'number' ELSE 'none' END AS kind,
+CASE WHEN id % 5 = 0 THEN text::JSON->'by'->>'clerk' END AS clerk, CASE WHEN id % 5 = 0 THEN CAST(text::JSON->>'total' AS BIGINT) END AS total,
+CASE WHEN id % 5 = 0 THEN CAST(text::JSON->'by'->'tags'->>1 AS BIGINT) WHEN id % 5 = 1 THEN CAST(text::JSON->2->'deep'->>0 AS BIGINT) WHEN id % 5 = 3 THEN CAST(text AS BIGINT) END AS number,
+CASE WHEN id % 5 = 2 THEN text END AS note FROM m"""
+)
+def metadata_variants(spark, sf_dir):
+    """Metadata of mixed kinds, read from texts as VARIANT, written as such and read again."""
+    o, c = _read(spark, sf_dir, "orders"), lambda n: F.col(n).cast("string")
+    kind = F.col("o_orderkey") % 5
+    text = (
+        F.when(kind == 0, F.format_string('{"priority": "%s", "total": %s, "by": {"clerk": "%s", "tags": ["a", %s, null]}}', "o_orderpriority", F.round(F.col("o_totalprice") * 100).cast("long").cast("string"), "o_orderstatus", c("o_custkey")))
+        .when(kind == 1, F.format_string('[%s, "%s", {"deep": [%s]}]', c("o_custkey"), "o_orderstatus", c("o_orderkey")))
+        .when(kind == 2, F.concat(F.lit("note "), c("o_custkey")))
+        .when(kind == 3, c("o_custkey"))
+        .otherwise("")
+    )
+    place = _folder(spark)
+    o.select(F.col("o_orderkey").alias("id"), text.alias("metadata")).write.parquet(f"{place}/texts.parquet")
+    schema = rd.with_variants(T.StructType([T.StructField("id", T.LongType()), T.StructField("metadata", T.StringType())]))
+    rd.read_table(spark, f"{place}/texts.parquet", schema).write.parquet(f"{place}/variants.parquet")
+    back, kinds = rd.read_table(spark, f"{place}/variants.parquet", schema), {"OBJECT": "object", "ARRAY": "array", "STRING": "text", "BIGINT": "number"}
+    get = lambda path, t: F.try_variant_get("metadata", path, t)
+    found = F.regexp_extract(F.schema_of_variant("metadata"), r"^[A-Z]+", 0)
+    named = F.coalesce(*(F.when(found == k, v) for k, v in kinds.items()), F.lit("none"))
+    number = F.coalesce(get("$.by.tags[1]", "bigint"), get("$[2].deep[0]", "bigint"), F.when(found == "BIGINT", get("$", "bigint")))
+    note = F.when(found == "STRING", get("$", "string"))
+    return back.select("id", named.alias("kind"), get("$.by.clerk", "string").alias("clerk"), get("$.total", "bigint").alias("total"), number.alias("number"), note.alias("note"))
+
+
+@_query(
+    f"""WITH l AS (SELECT doc_id AS no, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+blocks AS (SELECT no, i, {_clean_sql("line")} AS chunk FROM l WHERE {_clean_sql("line")} <> ''),
+rows AS (SELECT no, i, chunk, unnest(range(1, {len(lx.FINANCIAL) + 1})) AS n, unnest([{", ".join(f"CASE WHEN contains(chunk, '{k}') AND regexp_matches(substr(chunk, strpos(chunk, '{k}'), 360), '{_NUMBER}') THEN substr(chunk, strpos(chunk, '{k}'), 360) END" for k in lx.FINANCIAL)}]) AS text FROM blocks),
+pieces AS (SELECT no, i, n, text, 'table_row' AS node_type, left({_form_sql("text")}, 180) AS key FROM rows WHERE text IS NOT NULL
+           UNION ALL SELECT no, i, 99, left(chunk, 900), CASE WHEN len(regexp_extract_all(chunk, '{_NUMBER}')) >= 3 OR {_any_sql("chunk", lx.FINANCIAL)} THEN 'table_block' ELSE 'paragraph' END, left({_form_sql("chunk")}, 220) FROM blocks WHERE length(chunk) >= 12),
+firsts AS (SELECT * FROM pieces QUALIFY row_number() OVER (PARTITION BY no, key ORDER BY i, n) = 1 AND key <> ''),
+kept AS (SELECT no, i, n, text, node_type, CAST(i AS DOUBLE) AS top FROM firsts
+         UNION ALL SELECT doc_id, 0, 0, CASE WHEN {_clean_sql("coalesce(text, '')")} = '' THEN lpad(CAST(doc_id AS VARCHAR), 12, '0') || '_p1' ELSE {_clean_sql("text")} END, 'paragraph', NULL FROM documents WHERE doc_id NOT IN (SELECT no FROM pieces))
+SELECT no AS doc, CAST(row_number() OVER (PARTITION BY no ORDER BY i, n) AS INTEGER) AS reading_order, node_type, text, top, CASE WHEN no IN (SELECT no FROM blocks) THEN 'pymupdf_block_metric_rows' ELSE 'text_fallback' END AS method FROM kept"""
+)
+def block_nodes(spark, sf_dir):
+    """Every document as one page whose lines are blocks with boxes, split into nodes."""
+    doc = F.lpad(F.col("doc_id").cast("string"), 12, "0")
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    box = lambda i: F.array(F.lit(0.0), (i + 1).cast("double"), F.lit(100.0), (i + 2).cast("double"))
+    blocks = F.transform(lines, lambda x, i: F.struct(box(i).alias("bbox"), x.alias("text")))
+    pages = _read(spark, sf_dir, "documents").select(
+        doc.alias("doc_id"), F.concat(doc, F.lit("_p1")).alias("page_id"), F.lit(1).alias("page_index"), F.col("text").alias("page_text"), F.lit("").alias("source_pdf"), blocks.alias("blocks"), F.col("doc_id").cast("long").alias("ord")
+    )
+    found = pp.split_nodes(pages)
+    return found.select(F.col("doc_id").cast("long").alias("doc"), "reading_order", "node_type", "text", F.col("bbox")[1].alias("top"), F.col("metadata.chunk_method").alias("method"))
+
+
+_RUN_FILES = ("config.json", "errors.csv", "manifest.json", "metrics.json", "predictions.parquet", "run_info.json", "sufficiency_cases.csv", "sufficiency_metrics.json", "sufficiency_summary.md", "summary.md")
+_PAGE_TOP = f"{_bm25_sql('b_', _pages := 'SELECT {q}{q} AS scope, page_id AS item, ord, page_text AS body FROM page_t'.format(q=chr(39)), 'SELECT query_id, {q}{q} AS scope, question FROM query_t'.format(q=chr(39)))}, {_top_sql('b_', 10)}"
+
+
+@_query(
+    f"""WITH {_REPORTS}, {_PAGE_TOP},
 gold AS (SELECT query_id, max((list_contains(evidence_page_ids, item) AND rank <= 1)::INT) AS p1, max((list_contains(evidence_page_ids, item) AND rank <= 5)::INT) AS p5,
                 max(CASE WHEN list_contains(evidence_page_ids, item) THEN 1.0 / rank ELSE 0 END) AS rr FROM query_t JOIN b_top USING (query_id) GROUP BY query_id)
 SELECT 'metric' AS kind, 'page_recall@1' AS name, round(avg(p1), 6)::VARCHAR AS value FROM gold UNION ALL SELECT 'metric', 'page_recall@5', round(avg(p5), 6)::VARCHAR FROM gold
 UNION ALL SELECT 'metric', 'mrr', round(avg(rr), 6)::VARCHAR FROM gold UNION ALL SELECT 'rows', table_name, n::VARCHAR FROM (SELECT 'hits' AS table_name, (SELECT count(*) FROM b_top) AS n UNION ALL SELECT 'nodes', (SELECT count(*) FROM node_t)
 UNION ALL SELECT 'pages', (SELECT count(*) FROM page_t) UNION ALL SELECT 'queries', (SELECT count(*) FROM query_t)) UNION ALL SELECT 'file', f, '' FROM (VALUES {", ".join(f"('{f}')" for f in _RUN_FILES)}) AS v(f)"""
 )
-def demo_run(spark, sf_dir):
-    """The demo prepared, retrieved, evaluated and verified as the command line does it: its metrics, row counts and files."""
-    with tempfile.TemporaryDirectory() as root:
-        kept = {k: os.environ.get(k) for k in ("MDR_DATA_ROOT", "MDR_RUNS_ROOT", "MDR_ARTIFACT_ROOT")}
-        os.environ.update({k: f"{root}/{k[4:-5].lower()}" for k in kept})
-        try:
-            counts = runs.prepare(spark, "demo")
-            config = Path(root, "demo.json")
-            config.write_text(json.dumps({"dataset": "demo", "output_dir": "${MDR_RUNS_ROOT}/demo", "retriever": {"type": "bm25_page", "top_k": [1, 5, 10]}}), encoding="utf-8")
-            run = runs.run_retrieval(spark, runs.load_config(config))
-            found = runs.evaluate_run(spark, run.parent / "latest")
-            runs.verify_run(spark, run)
-            runs.export_table(run)
-            hits = rd.read_hits(spark, str(run / "predictions.parquet")).count()
-            rows = [("metric", k, str(round(found[k], 6))) for k in ("page_recall@1", "page_recall@5", "mrr")]
-            rows += [("rows", k, str(n)) for k, n in {**counts, "hits": hits}.items() if k != "documents"]
-            rows += [("file", f, "") for f in sorted(os.listdir(run))]
-        finally:
-            for k, v in kept.items():
-                os.environ.pop(k, None) if v is None else os.environ.update({k: v})
+def report_run(spark, sf_dir):
+    """The reports as a data set in the shared folder, retrieved, evaluated and verified as the command line does it: metrics, row counts and files."""
+    root = _folder(spark)
+    nodes, pages, queries = report_nodes(spark, sf_dir), report_pages(spark, sf_dir), report_queries(spark, sf_dir)
+    docs = pages.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("num_pages")).withColumn("dataset", F.lit("reports"))
+    tables = {"documents": docs, "pages": rd.conform(pages, PAGES), "nodes": rd.conform(nodes, NODES), "queries": rd.conform(queries, QUERY_SCHEMA)}
+    kept = {k: os.environ.get(k) for k in ("MDR_DATA_ROOT", "MDR_RUNS_ROOT", "MDR_ARTIFACT_ROOT")}
+    os.environ.update({k: f"{root}/{k[4:-5].lower()}" for k in kept})
+    try:
+        counts = runs.write_dataset(tables, runs.data_root() / "processed/reports")
+        config = runs.data_root() / "reports.json"
+        config.write_text(json.dumps({"dataset": "reports", "output_dir": "${MDR_RUNS_ROOT}/reports", "retriever": {"type": "bm25_page", "top_k": [1, 5, 10]}}))
+        run = runs.run_retrieval(spark, runs.load_config(config))
+        found = runs.evaluate_run(spark, run.parent / "latest")
+        runs.verify_run(spark, run)
+        runs.export_table(run)
+        hits = rd.read_hits(spark, str(run / "predictions.parquet")).count()
+        rows = [("metric", k, str(round(found[k], 6))) for k in ("page_recall@1", "page_recall@5", "mrr")]
+        rows += [("rows", k, str(n)) for k, n in {**counts, "hits": hits}.items() if k != "documents"]
+        rows += [("file", f, "") for f in run.names()]
+    finally:
+        for k, v in kept.items():
+            os.environ.pop(k, None) if v is None else os.environ.update({k: v})
     return spark.createDataFrame(rows, "kind string, name string, value string")

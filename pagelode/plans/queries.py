@@ -101,6 +101,8 @@ def _shown(hits: DataFrame) -> DataFrame:
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
+#: The same over fixed rows: what tests hold against DuckDB, beside queries over given tables.
+FIXED: dict[str, tuple[Query, str]] = {}
 
 
 def _query(sql: str | None = None):
@@ -113,6 +115,14 @@ def _query(sql: str | None = None):
     return add
 
 
+def _fixed(sql: str):
+    def add(f: Query) -> Query:
+        FIXED[f.__name__] = (f, sql)
+        return f
+
+    return add
+
+
 def _tokens(t: str) -> str:
     """DuckDB expression of the tokenizer on a column."""
     found = rf"regexp_extract_all(lower({t}), '([a-z0-9_]+|[\x{{4e00}}-\x{{9fff}}])', 1)"
@@ -429,7 +439,7 @@ def _slots_sql(q: str, kind: str, unit: str) -> str:
     return f"list_sort(list_distinct(list_concat({parts[0]}, list_concat({parts[1]}, {parts[2]}))))"
 
 
-@_query(f"SELECT id, array_to_string({_slots_sql('q', 'kind', 'unit')}, '|') AS slots FROM {_values(_QUESTIONS, 'id, q, kind, unit')}")
+@_fixed(f"SELECT id, array_to_string({_slots_sql('q', 'kind', 'unit')}, '|') AS slots FROM {_values(_QUESTIONS, 'id, q, kind, unit')}")
 def question_slots(spark, sf_dir):
     df = spark.createDataFrame(_QUESTIONS, "id string, q string, kind string, unit string")
     return df.select("id", F.array_join(tx.target_slots(F.col("q"), F.col("kind"), F.col("unit")), "|").alias("slots"))
@@ -439,7 +449,7 @@ _SHAPE = r"[(（]\s*[-+]?\d[\d,]*(?:\.\d+)?\s*[)）]|[-+]?\d[\d,]*(?:\.\d+)?\s*%
 _COUNT = lambda terms: "(" + " + ".join(f"contains(t, '{x}')::INT" for x in terms) + ")"
 
 
-@_query(
+@_fixed(
     rf"""WITH c AS (SELECT id, regexp_replace(txt, '\s+', '', 'g') AS t, txt FROM {_values(_TEXTS, 'id, txt')})
 SELECT id, t AS compact, regexp_matches(t, '(^|[^万亿])元') AS has_yuan, contains(t, '亿元') AS has_yi, regexp_matches(t, '{_SHAPE}') AS numeric_shape,
        CAST(len(regexp_extract_all(t, '[-+]?[(（]?\d[\d,]*(?:\.\d+)?[)）]?%?')) AS INTEGER) AS numbers, {_COUNT(lx.TABLE_TERMS)} >= 3 AS table_context,
@@ -461,7 +471,7 @@ def rule_flags(spark, sf_dir):
     )
 
 
-@_query(
+@_fixed(
     rf"""WITH v0 AS (SELECT x, trim(x) AS s FROM {_values([(n,) for n in _NUMBERS], 'x')}),
 v1 AS (SELECT x, s LIKE '-%' OR s LIKE '(%)' OR s LIKE '（%）' AS neg, regexp_replace(regexp_replace(s, '^[()（）]+|[()（）]+$', '', 'g'), '[^0-9.-]', '', 'g') AS b FROM v0)
 SELECT x AS value, CASE WHEN neg AND b <> '' AND b NOT LIKE '-%' THEN '-' || b ELSE b END AS normal FROM v1"""
@@ -516,7 +526,7 @@ def dedup_fingerprint(spark, sf_dir):
 _UNIT_PAGES = [("r", 1, "单位：元 a"), ("r", 2, "b"), ("r", 3, "c"), ("r", 4, "d"), ("r", 5, "单位：万元 e 单位：亿元"), ("r", 6, "f"), ("s", 1, "g"), ("s", 2, "单位: 千元")]
 
 
-@_query(
+@_fixed(
     rf"""WITH v AS (SELECT *, regexp_extract_all(page_text, '单位[：:]\s*([人民币元万元亿元百万元千元]+)', 1) AS u FROM {_values(_UNIT_PAGES, 'doc_id, page_index, page_text')})
 SELECT doc_id, page_index, coalesce(last_value(u[len(u)] IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page_index ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), '') AS recent_unit FROM v"""
 )

@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as lx
 from ..functions import text as tx
 from ..operators import evidence as ev
+from ..operators import metrics as mt
 from ..operators import retrieval as rt
 from ..operators import sufficiency as sf
 from ..schemas import QUERIES as QUERY_SCHEMA
 from ..sources import demo
 from ..store import materialize
-from .queries import _GOLD_NODES, _VIEWS, _any_sql, _bm25_sql, _query, _read, _rounded, _slots_sql, _tfidf_sql, _top_sql, _values, node_table, page_table, query_table
+from .queries import _GOLD_NODES, _VIEWS, _any_sql, _bm25_sql, _fixed, _query, _read, _rounded, _slots_sql, _tfidf_sql, _top_sql, _values, node_table, page_table, query_table
 
 # Lines of a report (page, line, type, text); <n> is the name, <a1> to <a7> amounts, <g> a rate, <k> a number.
 LINES = [
@@ -414,6 +415,26 @@ def report_sufficiency_rates(spark, sf_dir):
     return _rounded(found.withColumn("avg_required_item_coverage", F.round("avg_required_item_coverage", 4)))
 
 
+_LEVELS = [("question_type", "section", "status"), ("question_type", "section"), ("question_type", "status"), ("section",), ("status",), ()]
+_SETS = ", ".join(f"({', '.join(x)})" for x in _LEVELS)
+
+
+@_query(
+    rf"""WITH {_REPORTS}, {_TOP_NODES}, {_CHECKS},
+rows AS (SELECT question_type, regexp_extract(gold[1], '_p(\d+)_', 1) AS section, status, ratio FROM verdict),
+sums AS (SELECT question_type, section, status, CAST(grouping(question_type, section, status) AS BIGINT) AS level, count(*) AS n, round(avg(ratio), 4) AS coverage
+         FROM rows GROUP BY GROUPING SETS ({_SETS}))
+SELECT question_type, section, status, level, n, round(n / sum(n) OVER (PARTITION BY level), 6) AS share, coverage FROM sums"""
+)
+def report_breakdowns(spark, sf_dir):
+    """Questions by type, page of the report and verdict, in six sets of keys from one aggregation."""
+    asked = report_queries(spark, sf_dir)
+    gold = asked.select("query_id", "question_type", F.regexp_extract(F.col("evidence_node_ids")[0], r"_p(\d+)_", 1).alias("section"))
+    rows = _report_cases(spark, sf_dir).select("query_id", "status", "coverage_ratio").join(gold, "query_id")
+    found = mt.breakdowns(rows, _LEVELS, coverage=F.round(F.avg("coverage_ratio"), 4))
+    return found.withColumn("share", F.round("share", 6))
+
+
 # -- the same rules over documents of the driver and over the demo -------------------------
 
 
@@ -433,7 +454,7 @@ query_t AS (SELECT query_id, doc_id, question, answer, question_type, '' AS unit
             FROM {_values(_DEMO_QUERIES, "query_id, doc_id, question, answer, question_type, gp, gn")})"""
 
 
-@_query(f"WITH {DEMO}, {EVIDENCE}")
+@_fixed(f"WITH {DEMO}, {EVIDENCE}")
 def evidence_set_demo(spark, sf_dir):
     t = demo.demo_tables(spark)
     return shown_evidence(rt.retrieve(t["queries"], t["pages"], t["nodes"], OPTIONS))
@@ -445,7 +466,7 @@ _GOLD_TOP = (
 )
 
 
-@_query(f"WITH {DEMO}, {_GOLD_TOP}, {_CHECKS} {_SHOWN_CASES}")
+@_fixed(f"WITH {DEMO}, {_GOLD_TOP}, {_CHECKS} {_SHOWN_CASES}")
 def sufficiency_demo(spark, sf_dir):
     t = demo.demo_tables(spark)
     found = sf.cases(t["queries"], rt.retrieve(t["queries"], t["pages"], t["nodes"], {"type": "oracle_page_region", "method": "bm25", "top_k": 3}), 3)
@@ -453,7 +474,7 @@ def sufficiency_demo(spark, sf_dir):
     return found.select("query_id", "status", *joined, "metric_ok", "year_ok", "unit_ok", "value_ok", "citation_ok", F.round("coverage_ratio", 6).alias("coverage_ratio"))
 
 
-@_query(f"WITH {DEMO} SELECT node_id, doc_id, page_id, node_type, text, CAST(reading_order AS INTEGER) AS reading_order, page_text, len(evidence_node_ids) AS gold_nodes FROM node_t JOIN page_t USING (doc_id, page_id, page_index) JOIN (SELECT evidence_node_ids, doc_id, unnest(evidence_page_ids) AS page_id FROM query_t) USING (doc_id, page_id)")
+@_fixed(f"WITH {DEMO} SELECT node_id, doc_id, page_id, node_type, text, CAST(reading_order AS INTEGER) AS reading_order, page_text, len(evidence_node_ids) AS gold_nodes FROM node_t JOIN page_t USING (doc_id, page_id, page_index) JOIN (SELECT evidence_node_ids, doc_id, unnest(evidence_page_ids) AS page_id FROM query_t) USING (doc_id, page_id)")
 def demo_dataset(spark, sf_dir):
     """Nodes of the demo with their page and the number of gold nodes of the question about the page."""
     t = demo.demo_tables(spark)

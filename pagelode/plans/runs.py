@@ -1,12 +1,18 @@
-"""Configured runs and their files: predictions, metrics, summaries, tables."""
+"""Configured runs and their files: predictions, metrics, summaries, tables.
+
+All folders may lie on any file system that Spark reads; the driver's own disk is used only
+where a path names it. Small files appear whole, by a rename. A run is valid from its
+``manifest.json`` on, which is written last, and only then ``latest.txt`` names the run, so
+a run that fails leaves neither.
+"""
 
 from __future__ import annotations
 
 import json
 import os
 import re
-import shutil
 import sys
+from dataclasses import asdict, dataclass
 from datetime import datetime
 from pathlib import Path
 from typing import Any
@@ -18,40 +24,60 @@ from ..operators import metrics as mt
 from ..operators import retrieval as rt
 from ..operators import sufficiency as sf
 from ..schemas import ANNOTATION_COLUMNS, TABLES
+from ..sources import files
 from ..sources import prepare as pp
 from ..sources import readers as rd
 from ..sources.demo import demo_tables
-from ..store import materialize
-
+from ..sources.files import Place
+from ..store import materialize, numbered
 
 # The names of environment variables, files and output keys in this module must match; columns of the annotation template.
 TEMPLATE_COLUMNS = ANNOTATION_COLUMNS[:9]
 
 
-def project_root() -> Path:
+@dataclass(frozen=True)
+class PrepareResult:
+    """What became of a data set: where it lies, the rows of its relations, and a note."""
+
+    dataset: str
+    processed_dir: str
+    documents: int = 0
+    pages: int = 0
+    nodes: int = 0
+    queries: int = 0
+    message: str = ""
+
+    @property
+    def counts(self) -> dict[str, int]:
+        return {name: getattr(self, name) for name in TABLES}
+
+
+def project_root() -> str:
     """The nearest folder above the working directory with a ``pyproject.toml``, else the working directory."""
     here = Path.cwd()
-    return next((p for p in (here, *here.parents) if (p / "pyproject.toml").exists()), here)
+    return str(next((p for p in (here, *here.parents) if (p / "pyproject.toml").exists()), here))
 
 
-def _root(variable: str, default: str) -> Path:
-    return Path(os.environ.get(variable) or project_root() / default)
+def _root(variable: str, default: str) -> Place:
+    return Place(os.environ.get(variable) or f"{project_root()}/{default}")
 
 
-def data_root() -> Path:
+def data_root() -> Place:
     return _root("MDR_DATA_ROOT", "data")
 
 
-def runs_root() -> Path:
+def runs_root() -> Place:
     return _root("MDR_RUNS_ROOT", "runs")
 
 
-def artifacts_root() -> Path:
+def artifacts_root() -> Place:
     return _root("MDR_ARTIFACT_ROOT", "artifacts")
 
 
-def resolve(path: str | Path) -> Path:
-    return Path(path) if Path(path).is_absolute() else project_root() / path
+def resolve(path: str | Path | Place) -> Place:
+    """URIs and absolute paths as they are, others below the project's root."""
+    text = str(path)
+    return Place(text if text.startswith("/") or re.match(r"[A-Za-z][\w+.-]*:", text) else f"{project_root()}/{text}")
 
 
 def expand(value: Any) -> Any:
@@ -71,9 +97,9 @@ def expand(value: Any) -> Any:
     return re.sub(r"\$\{(\w+)\}", one, value)
 
 
-def load_config(path: str | Path) -> dict[str, Any]:
+def load_config(path: str | Path | Place) -> dict[str, Any]:
     """A YAML or JSON file; an empty one is ``{}``."""
-    text = Path(path).read_text(encoding="utf-8")
+    text = Place(str(path)).read_text()
     if str(path).endswith(".json"):
         return expand(json.loads(text or "{}"))
     import yaml
@@ -81,9 +107,15 @@ def load_config(path: str | Path) -> dict[str, Any]:
     return expand(yaml.safe_load(text) or {})
 
 
-def write_dataset(tables: dict[str, DataFrame], folder: str) -> None:
+def write_dataset(tables: dict[str, DataFrame], folder: str | Place) -> dict[str, int]:
+    """Write the relations, then a manifest with their rows; the rows of each."""
+    place, spark = Place(str(folder)), next(iter(tables.values())).sparkSession
+    (place / "manifest.json").delete()
     for name in TABLES:
-        tables[name].write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
+        tables[name].write.mode("overwrite").parquet(f"{place}/{name}.parquet")
+    rows = {name: spark.read.parquet(f"{place}/{name}.parquet").count() for name in TABLES}
+    (place / "manifest.json").write_text(json.dumps({"rows": rows}, indent=2))
+    return rows
 
 
 def to_json_text(df: DataFrame) -> DataFrame:
@@ -92,50 +124,44 @@ def to_json_text(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.to_json(c, {"ignoreNullFields": "false"}) for c in nested})
 
 
-def prepare(spark: SparkSession, dataset: str, limit_docs: int | None = None) -> dict[str, int]:
-    """Build a data set's relations below the data root; the rows of each."""
+def prepare(spark: SparkSession, dataset: str, limit_docs: int | None = None) -> PrepareResult:
+    """Build a data set's relations below the data root."""
     raw, out = data_root() / "raw" / dataset, data_root() / "processed" / dataset
     if dataset == "demo":
         tables = demo_tables(spark, limit_docs)
     elif dataset == "mmdocir":
-        tables = _from_files(spark, raw, dataset, limit_docs)
+        rows = rd.read_tables(spark, str(raw))
+        tables = None if rows is None else pp.from_tables(rows, dataset, limit_docs)
     elif dataset in ("cn_annual_reports", "cn_reports"):
         tables = _from_reports(spark, raw, dataset, limit_docs)
     else:
         raise ValueError(f"Unsupported dataset: {dataset}")
     if tables is None:
-        out.mkdir(parents=True, exist_ok=True)
-        (out / "README.md").write_text(f"No files of {dataset} found. Put them into {raw} and prepare again.\n", encoding="utf-8")
+        note = f"No files of {dataset} found. Put them into {raw} and prepare again."
+        (out / "README.md").write_text(note + "\n")
         template = raw / "qa_annotations_template.csv"
         if dataset.startswith("cn") and not template.exists():  # a filled-in one is never overwritten
-            raw.mkdir(parents=True, exist_ok=True)
-            template.write_text(",".join(TEMPLATE_COLUMNS) + "\n", encoding="utf-8")
-        return dict.fromkeys(TABLES, 0)
-    write_dataset(tables, str(out))
-    return {name: spark.read.parquet(f"{out}/{name}.parquet").count() for name in TABLES}
-
-
-def _from_files(spark: SparkSession, raw: Path, dataset: str, limit: int | None) -> dict[str, DataFrame] | None:
-    rows = None
-    for no, path in enumerate(rd.visible_files(str(raw))):
-        df = rd.read_any(spark, path)
-        if df is not None:
-            df = df.select(*(F.col(f"`{c}`").cast("string").alias(c) for c in df.columns), (F.lit(no).cast("long") * 2**40 + F.monotonically_increasing_id()).alias("ord"))
-            rows = df if rows is None else rows.unionByName(df, allowMissingColumns=True)
-    return None if rows is None else pp.from_tables(rows, dataset, limit)
-
-
-def _report_pages(spark: SparkSession, raw: Path, limit: int | None) -> DataFrame | None:
-    files = [f for f in rd.visible_files(str(raw)) if f.lower().endswith(".pdf")][:limit]
-    if not files:
+            template.write_text(",".join(TEMPLATE_COLUMNS) + "\n")
+        return PrepareResult(dataset, str(out), message=note)
+    rows = write_dataset(tables, out)
+    return PrepareResult(dataset, str(out), **rows, message=f"{dataset} prepared")
+
+
+def _report_pages(spark: SparkSession, raw: Place, limit: int | None, blocks: bool = True) -> DataFrame | None:
+    """Pages of the reports in ``pdfs``, in the order of their names."""
+    folder = raw / "pdfs"
+    listed = rd.visible_files(spark, str(folder), "*.pdf") if folder.exists() else None
+    order = listed.orderBy("path").limit(limit) if listed is not None and limit is not None else listed
+    if order is None or not order.limit(1).count():
         return None
-    order = spark.createDataFrame([(f"file:{f}", os.path.splitext(os.path.basename(f))[0], k) for k, f in enumerate(files)], "file string, doc_id string, no long")
-    pages = rd.read_pdf_pages(spark, str(raw)).withColumn("file", F.regexp_replace("path", "^file:/+", "file:/"))
-    pages = pages.join(order, "file").withColumnRenamed("path", "source_pdf")
-    return pages.withColumns({"page_id": F.concat("doc_id", F.lit("_p"), F.col("page_index").cast("string")), "ord": F.col("no") * 100000 + F.col("page_index")})
+    order = numbered(order.select("path"), "no", "path")
+    name = F.regexp_extract("path", r"([^/]*?)(?:\.[^./]*)?$", 1)
+    pages = rd.read_pdf_pages(spark, str(folder), blocks).join(order.withColumn("doc_id", name), "path")
+    pages = pages.withColumnRenamed("path", "source_pdf")
+    return pages.withColumns({"page_id": F.concat("doc_id", F.lit("_p"), F.col("page_index").cast("string")), "ord": (F.col("no") - 1) * 100000 + F.col("page_index")})
 
 
-def _from_reports(spark: SparkSession, raw: Path, dataset: str, limit: int | None) -> dict[str, DataFrame] | None:
+def _from_reports(spark: SparkSession, raw: Place, dataset: str, limit: int | None) -> dict[str, DataFrame] | None:
     pages = _report_pages(spark, raw, limit)
     if pages is None:
         return None
@@ -147,87 +173,102 @@ def _from_reports(spark: SparkSession, raw: Path, dataset: str, limit: int | Non
     return {"documents": rd.conform(sizes.withColumns({"dataset": F.lit(dataset), "title": F.col("doc_id"), "language": F.lit("zh")}), TABLES["documents"]), "pages": rd.conform(shown, TABLES["pages"]), "nodes": nodes, "queries": queries}
 
 
-def build_annotations(spark: SparkSession, dataset: str = "cn_annual_reports", per_doc: int = 8, limit: int | None = None) -> Path:
+def build_annotations(spark: SparkSession, dataset: str = "cn_annual_reports", per_doc: int = 8, limit: int | None = None) -> Place:
     """Rule-made annotations of all reports as a CSV file with a byte-order mark, and a log."""
     import csv
+    import io
 
     raw = data_root() / "raw" / dataset
-    pages = _report_pages(spark, raw, limit)
+    pages = _report_pages(spark, raw, limit, blocks=False)
     if pages is None:
         raise FileNotFoundError(f"No PDFs found under {raw}")
     pages = materialize(pages.select("doc_id", "page_id", "page_index", "page_text"), "pages")
     every = materialize(pp.annotation_kinds(pages), "kinds")
     out, n = raw / "qa_annotations_v2.csv", 0
-    with out.open("w", encoding="utf-8-sig", newline="") as f:
-        w = csv.writer(f)
-        w.writerow(ANNOTATION_COLUMNS)
+
+    def line(values: list) -> str:
+        text = io.StringIO()
+        csv.writer(text).writerow(values)
+        return text.getvalue()
+
+    with files.text_writer(spark, str(out)) as write:
+        write("\ufeff" + line(ANNOTATION_COLUMNS))
         for row in pp.annotations_of(every, per_doc).orderBy("query_id").toLocalIterator():
-            w.writerow(list(row))
+            write(line(list(row)))
             n += 1
-    with (raw / "qa_annotations_v2_generation_log.md").open("w", encoding="utf-8") as f:
+    with files.text_writer(spark, f"{raw}/qa_annotations_v2_generation_log.md") as write:
         docs = pages.select("doc_id").distinct().count()
-        f.write(f"# QA Annotations V2 Generation Log\n\n- PDFs: {docs}\n- Questions: {n}\n- Questions per doc target: {per_doc}\n\n## Skipped Items\n\n")
+        write(f"# QA Annotations V2 Generation Log\n\n- PDFs: {docs}\n- Questions: {n}\n- Questions per doc target: {per_doc}\n\n## Skipped Items\n\n")
         skipped = 0
         for row in pp.skipped_items(pages, every).orderBy("doc_id", "kind_no").toLocalIterator():
-            f.write(f"- {row['doc_id']}: {row['name']}\n")
+            write(f"- {row['doc_id']}: {row['name']}\n")
             skipped += 1
         if not skipped:
-            f.write("- None\n")
+            write("- None\n")
     return out
 
 
-def run_retrieval(spark: SparkSession, config: dict[str, Any], encode=None) -> Path:
+def run_retrieval(spark: SparkSession, config: dict[str, Any], encode=None) -> Place:
     """Retrieve as configured; the run's folder with predictions, configuration and facts."""
     dataset, options = str(config["dataset"]), dict(config.get("retriever") or {})
     kind = str(options.get("type", "bm25_page"))
     name = str(config.get("experiment_name", f"{dataset}_{kind}"))
     t = rd.read_dataset(spark, str(data_root() / "processed" / dataset))
     root = resolve(config.get("output_dir", f"runs/retrieval/{name}"))
-    run = root / datetime.now().strftime("%Y%m%d_%H%M%S")
-    run.mkdir(parents=True, exist_ok=True)
-    rt.retrieve(t["queries"], t["pages"], t["nodes"], options, encode).write.mode("overwrite").parquet(str(run / "predictions.parquet"))
-    facts = spark.read.parquet(str(run / "predictions.parquet")).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("retriever")).alias("r")).first()
-    info = {"experiment_name": name, "dataset": dataset, "retriever_type": kind, "hits": facts["n"], "actual_retrievers": facts["r"]}
-    for file, value in (("config.json", config), ("run_info.json", info)):
-        (run / file).write_text(json.dumps(value, ensure_ascii=False, indent=2), encoding="utf-8")
+    run = _new_run(root)
+    try:
+        rt.retrieve(t["queries"], t["pages"], t["nodes"], options, encode).write.parquet(str(run / "predictions.parquet"))
+        facts = spark.read.parquet(str(run / "predictions.parquet")).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("retriever")).alias("r")).first()
+        info = {"experiment_name": name, "dataset": dataset, "retriever_type": kind, "hits": facts["n"], "actual_retrievers": facts["r"]}
+        for file, value in (("config.json", config), ("run_info.json", info)):
+            (run / file).write_text(json.dumps(value, ensure_ascii=False, indent=2))
+        (run / "manifest.json").write_text(json.dumps({"files": run.names(), "hits": facts["n"]}, indent=2))
+    except BaseException:
+        run.delete()
+        raise
     update_latest(root, run)
     return run
 
 
-def update_latest(root: Path, run: Path) -> None:
-    """Point ``latest`` to a run; where links are not possible, ``latest.txt`` names it."""
-    link = root / "latest"
-    try:
-        if link.is_symlink() or link.is_file():
-            link.unlink()
-        elif link.exists():
-            shutil.rmtree(link)
-        link.symlink_to(run.name, target_is_directory=True)
-    except OSError:
-        (root / "latest.txt").write_text(str(run), encoding="utf-8")
+def _new_run(root: Place) -> Place:
+    """A folder named by the time, with a number if the second has one."""
+    stamp, no = datetime.now().strftime("%Y%m%d_%H%M%S"), 0
+    while (run := root / (f"{stamp}_{no}" if no else stamp)).exists():
+        no += 1
+    run.mkdir()
+    return run
 
 
-def resolve_run(run: str | Path) -> Path:
+def update_latest(root: Place, run: Place) -> None:
+    """``latest.txt`` names the last whole run."""
+    (root / "latest.txt").write_text(run.name)
+
+
+def resolve_run(run: str | Path | Place) -> Place:
+    """A run's folder; ``latest`` is the one that ``latest.txt`` names, or a link of an older version."""
     path = resolve(run)
-    if path.is_symlink() or path.is_dir():
-        return path.resolve()
     if path.name == "latest" and (path.parent / "latest.txt").exists():
-        return Path((path.parent / "latest.txt").read_text(encoding="utf-8").strip())
+        named = (path.parent / "latest.txt").read_text().strip()
+        return (Place(named) if "/" in named else path.parent / named).resolve()
+    if path.is_dir():
+        return path.resolve()
     raise FileNotFoundError(f"Run does not exist: {run}")
 
 
-def _run_tables(spark: SparkSession, run: Path) -> tuple[dict[str, Any], DataFrame, DataFrame]:
-    info = json.loads((run / "run_info.json").read_text(encoding="utf-8"))
+def _run_tables(spark: SparkSession, run: Place) -> tuple[dict[str, Any], DataFrame, DataFrame]:
+    if not (run / "manifest.json").exists():
+        raise FileNotFoundError(f"Run is not complete: {run}")
+    info = json.loads((run / "run_info.json").read_text())
     queries = rd.read_table(spark, str(data_root() / "processed" / info["dataset"] / "queries.parquet"), TABLES["queries"])
     return info, queries, rd.read_hits(spark, str(run / "predictions.parquet"))
 
 
-def evaluate_run(spark: SparkSession, run: str | Path) -> dict[str, float]:
+def evaluate_run(spark: SparkSession, run: str | Path | Place) -> dict[str, float]:
     """metrics.json, errors.csv and summary.md of a run."""
     path = resolve_run(run)
     info, queries, hits = _run_tables(spark, path)
     found = mt.evaluate(queries, hits).first().asDict()
-    (path / "metrics.json").write_text(json.dumps(found, indent=2), encoding="utf-8")
+    (path / "metrics.json").write_text(json.dumps(found, indent=2))
     errors = materialize(mt.error_rows(queries, hits), "errors")
     if not errors.limit(1).count():  # one row says that there are none
         errors = spark.createDataFrame([("", "", "", "", "", "", True, True)], errors.schema)
@@ -241,40 +282,39 @@ def evaluate_run(spark: SparkSession, run: str | Path) -> dict[str, float]:
         lines.append(f"## {q['query_id']}: {q['question']}")
         lines += [f"{h['rank']}. {h['page_id']} {h['node_id'] or ''} ({h['score']:.4f}) {h['text'] or ''}" for h in q["top"] or []]
         lines.append("")
-    (path / "summary.md").write_text("\n".join(lines), encoding="utf-8")
+    (path / "summary.md").write_text("\n".join(lines))
     return found
 
 
-def verify_run(spark: SparkSession, run: str | Path, top_k: int = 3) -> dict[str, Any]:
+def verify_run(spark: SparkSession, run: str | Path | Place, top_k: int = 3) -> dict[str, Any]:
     """Sufficiency cases, rates and a summary of a run."""
     path = resolve_run(run)
     info, queries, hits = _run_tables(spark, path)
-    cases = sf.cases(queries, hits, top_k)
+    cases = materialize(sf.cases(queries, hits, top_k), "cases")
     found = sf.rates(cases, top_k).first().asDict()
     found = {k: v for k, v in found.items() if not (k.startswith("status_") and not v)}
     lists = {c: F.array_join(c, ";") for c in ("covered_items", "missing_items", "evidence_node_ids", "evidence_pages")}
     flat = cases.withColumns(lists | {"evidence_text": F.substring("evidence_text", 1, 1200)}).drop("n_gold_nodes")
     flat.write.mode("overwrite").csv(str(path / "sufficiency_cases.csv"), header=True)
-    (path / "sufficiency_metrics.json").write_text(json.dumps(found, indent=2), encoding="utf-8")
+    (path / "sufficiency_metrics.json").write_text(json.dumps(found, indent=2))
     lines = [f"# Sufficiency of {info['experiment_name']}", ""] + [f"- {k}: {v}" for k, v in found.items()] + [""]
     for c in cases.where("status <> 'sufficient'").orderBy("query_id").limit(8).collect():
         lines.append(f"- {c['query_id']}: {c['status']}, missing {', '.join(c['missing_items'])}")
-    (path / "sufficiency_summary.md").write_text("\n".join(lines), encoding="utf-8")
+    (path / "sufficiency_summary.md").write_text("\n".join(lines))
     return found
 
 
-def export_table(run: str | Path) -> Path:
+def export_table(run: str | Path | Place) -> Place:
     """A Markdown table of a run's metrics below the artifact root."""
     path = resolve_run(run)
     if not (path / "metrics.json").exists():
         raise FileNotFoundError("metrics.json is missing; evaluate the run first")
-    found = json.loads((path / "metrics.json").read_text(encoding="utf-8"))
-    info = json.loads((path / "run_info.json").read_text(encoding="utf-8"))
+    found = json.loads((path / "metrics.json").read_text())
+    info = json.loads((path / "run_info.json").read_text())
     out = artifacts_root() / "figures" / "opening_experiment_table.md"
-    out.parent.mkdir(parents=True, exist_ok=True)
     head = ["experiment", *found]
     body = [info["experiment_name"], *(f"{v:.4f}" for v in found.values())]
-    out.write_text("\n".join("| " + " | ".join(r) + " |" for r in (head, ["---"] * len(head), body)) + "\n", encoding="utf-8")
+    out.write_text("\n".join("| " + " | ".join(r) + " |" for r in (head, ["---"] * len(head), body)) + "\n")
     return out
 
 
@@ -297,13 +337,12 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--top-k", type=int, default=3)
     commands.add_parser("export-demo").add_argument("--run", required=True)
     a = parser.parse_args(argv)
-    if a.command == "export-demo":
-        print(export_table(a.run))
-        return 0
     spark = SparkSession.builder.getOrCreate()
     try:
-        if a.command == "prepare":
-            print(prepare(spark, a.dataset, a.limit_docs))
+        if a.command == "export-demo":
+            print(export_table(a.run))
+        elif a.command == "prepare":
+            print(json.dumps(asdict(prepare(spark, a.dataset, a.limit_docs)), ensure_ascii=False))
         elif a.command == "build-cn-annotations":
             print(build_annotations(spark, per_doc=a.questions_per_doc, limit=a.limit_docs))
         elif a.command == "retrieve":

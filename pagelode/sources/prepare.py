@@ -355,9 +355,13 @@ def annotations_of(every: DataFrame, per_doc: int = 8) -> DataFrame:
 
 
 def from_tables(rows: DataFrame, dataset: str, limit_docs: int | None = None) -> dict[str, DataFrame]:
-    """The four relations from one generic table (``ord`` gives row order): a page and node per row, a query where there is one."""
-    have = set(rows.columns)
-    pick = lambda *names, default: tx.first_filled(*(F.col(n).cast("string") for n in names if n in have), F.lit(default)) if have & set(names) else F.lit(default)
+    """The four relations from one generic table: a page and node per row, a query where there is one.
+
+    ``ord`` gives the rows' order; fields are columns, or those of a VARIANT column ``row``.
+    """
+    have, fields = set(rows.columns), dict(rows.dtypes).get("row") == "variant"
+    field = lambda n: F.try_variant_get("row", f"$.{n}", "string") if fields else F.col(n).cast("string")
+    pick = lambda *names, default: tx.first_filled(*(field(n) for n in names if fields or n in have), F.lit(default)) if fields or have & set(names) else F.lit(default)
     base = rows.select(
         pick("doc_id", "document_id", "pdf_id", "file_name", default="doc_001").alias("doc_id"),
         F.coalesce(F.nullif(pick("page_index", "page", "page_id", default="1").try_cast("int"), F.lit(0)), F.lit(1)).alias("page_index"),

@@ -2,25 +2,25 @@
 
 from __future__ import annotations
 
+import io
 import os
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.variants import fields_of, variant_of
 from ..schemas import HITS, TABLES
+from ..store import numbered
+from . import files
+from .files import exists
 
 #: Annotation files, the first that exists is read.
 ANNOTATION_FILES = ("qa_annotations_v2_reviewed.csv", "qa_annotations_v2_reviewed.xlsx", "qa_annotations_v2.csv", "qa_annotations_v2.xlsx", "qa_annotations.csv", "qa_annotations.xlsx")
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def decode_json(c: Column, kind: T.DataType) -> Column:
     """A JSON text as ``kind``. What cannot be decoded is kept as it is where the type can hold it: in a map under ``_text``, in an array of strings as one value."""
     if not isinstance(kind, T.StructType | T.ArrayType | T.MapType):
@@ -45,6 +45,8 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
             c = F.lit(None).cast(f.dataType)
         elif types[f.name] == "string" and isinstance(f.dataType, T.StructType | T.ArrayType | T.MapType):
             c = decode_json(F.col(f.name), f.dataType)
+        elif types[f.name] != "variant" and isinstance(f.dataType, T.VariantType):
+            c = variant_of(F.col(f.name), types[f.name])
         else:
             c = F.col(f.name).cast(f.dataType)
         out.append(c.alias(f.name))
@@ -66,36 +68,112 @@ def read_hits(spark: SparkSession, path: str) -> DataFrame:
     return read_table(spark, path, HITS)
 
 
-def visible_files(folder: str) -> list[str]:
-    """Files below a local folder, sorted, without ``.gitkeep``."""
-    return sorted(os.path.join(d, f) for d, _, names in os.walk(folder) for f in names if f != ".gitkeep")
+def with_variants(schema: T.StructType, *names: str) -> T.StructType:
+    """The schema with some columns (``metadata`` if none is named) as VARIANT, which keeps nested and mixed values as they are."""
+    chosen = set(names or ("metadata",))
+    return T.StructType([T.StructField(f.name, T.VariantType() if f.name in chosen else f.dataType) for f in schema.fields])
+
+
+def visible_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
+    """(path, length) of the files below a folder, but for those that Spark hides; large folders are listed by tasks."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder)
+    return found.select("path", "length")
+
+
+def read_tables(spark: SparkSession, folder: str) -> DataFrame | None:
+    """(row VARIANT, _source_file, ord) of all rows of the table files below a folder, None without such files.
+
+    Every format is one scan, however many files there are: ``.jsonl`` (an object a line),
+    ``.json`` (an array, an object with an array ``data``, or an object), ``.csv`` (a scan for
+    each set of column names) and ``.parquet`` (schemas merged). Lines and files that hold no
+    JSON are left out, as the data sets mix formats. ``ord`` follows the files' paths and the rows in them.
+    """
+    if not exists(spark, folder):
+        return None
+    parts = [p for p in (_json_lines(spark, folder), _json_files(spark, folder), *_csv_files(spark, folder), _parquet_files(spark, folder)) if p is not None]
+    if not parts:
+        return None
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return numbered(rows.where("row is not null"), "ord", "_source_file", "at").select("row", "_source_file", "ord")
+
+
+def _has(spark: SparkSession, folder: str, glob: str) -> bool:
+    return visible_files(spark, folder, glob).limit(1).count() > 0
+
+
+def _texts(spark: SparkSession, folder: str, glob: str, whole: bool) -> DataFrame:
+    """value, _source_file, at (begin of the block, then the row's place in the scan)."""
+    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(folder, wholetext=whole)
+    return found.select("value", F.col("_metadata.file_path").alias("_source_file"), _at(F.col("_metadata.file_block_start")))
+
+
+def _at(block: Column, inner: Column | None = None) -> Column:
+    return F.struct(block.alias("block"), F.monotonically_increasing_id().alias("row"), (F.lit(0) if inner is None else inner).alias("inner")).alias("at")
+
+
+def _json_lines(spark: SparkSession, folder: str, glob: str = "*.jsonl") -> DataFrame | None:
+    if not _has(spark, folder, glob):
+        return None
+    rows = _texts(spark, folder, glob, False)
+    return rows.select(F.try_parse_json("value").alias("row"), "_source_file", "at").where(F.schema_of_variant("row").startswith("OBJECT"))
+
+
+def _json_files(spark: SparkSession, folder: str, glob: str = "*.json") -> DataFrame | None:
+    if not _has(spark, folder, glob):
+        return None
+    whole = _texts(spark, folder, glob, True).select(F.try_parse_json("value").alias("v"), "_source_file", "at")
+    listed = F.coalesce(F.expr("try_variant_get(v, '$', 'array<variant>')"), F.expr("try_variant_get(v, '$.data', 'array<variant>')"), F.array("v"))
+    rows = whole.where("v is not null").select(F.posexplode(listed).alias("inner", "row"), "_source_file", "at")
+    return rows.where(F.schema_of_variant("row").startswith("OBJECT")).select("row", "_source_file", F.col("at").withField("inner", F.col("inner")).alias("at"))
+
+
+def _csv_files(spark: SparkSession, folder: str, glob: str = "*.csv") -> list[DataFrame]:
+    """One scan for each header (the first line of a file)."""
+    if not _has(spark, folder, glob):
+        return []
+    lines = _texts(spark, folder, glob, False)
+    heads = lines.groupBy("_source_file").agg(F.min_by("value", "at").alias("head")).groupBy("head").agg(F.collect_list("_source_file").alias("files"))
+    out = []
+    for r in heads.orderBy("head").collect():  # a row for each set of columns
+        df = spark.read.csv(sorted(map(unquote, r["files"])), header=True, multiLine=True, escape='"')
+        row = F.to_variant_object(F.struct(*(F.col(f"`{c}`").alias(c.lstrip("\ufeff")) for c in df.columns)))
+        out.append(df.select(row.alias("row"), F.col("_metadata.file_path").alias("_source_file"), _at(F.lit(0).cast("long"))))
+    return out
+
+
+def _parquet_files(spark: SparkSession, folder: str, glob: str = "*.parquet") -> DataFrame | None:
+    if not _has(spark, folder, glob):
+        return None
+    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("mergeSchema", True).parquet(folder)
+    row = F.to_variant_object(F.struct(*(F.col(f"`{c}`") for c in df.columns)))
+    return df.select(row.alias("row"), F.col("_metadata.file_path").alias("_source_file"), F.struct(F.lit(0).cast("long").alias("block"), F.col("_metadata.row_index").alias("row"), F.lit(0).alias("inner")).alias("at"))
 
 
 def read_any(spark: SparkSession, path: str) -> DataFrame | None:
-    """A ``.jsonl``, ``.json`` (array or object with ``data``), ``.csv`` or ``.parquet`` file; None if it cannot be read."""
+    """One file or folder of a kind that :func:`read_tables` knows, with columns for the fields that occur; None if it cannot be read."""
+    readers = {".jsonl": _json_lines, ".json": _json_files, ".csv": _csv_files, ".parquet": _parquet_files}
     kind = os.path.splitext(path)[1].lower()
+    if kind not in readers or not exists(spark, path):
+        return None
     try:
-        if kind == ".jsonl":
-            df = spark.read.json(path)
-        elif kind == ".json":
-            df = spark.read.option("multiLine", True).json(path)
-            if df.columns == ["data"] and isinstance(df.schema["data"].dataType, T.ArrayType):
-                df = df.select(F.explode("data").alias("d")).select("d.*")
-        elif kind == ".csv":
-            df = spark.read.csv(path, header=True, multiLine=True, escape='"')
-        elif kind == ".parquet":
-            df = spark.read.parquet(path)
-        else:
+        found = readers[kind](spark, path, "*")
+        found = (found[0] if found else None) if isinstance(found, list) else found
+        if found is None:
             return None
+        names = fields_of(found, "row")
     except Exception:  # unreadable files are skipped, as the data sets mix formats
         return None
-    return df.withColumn("_source_file", F.lit(path))
+    return found.select(*(F.try_variant_get("row", f"$['{n}']", "string").alias(n) for n in names), "_source_file")
 
 
-def read_pdf_pages(spark: SparkSession, folder: str) -> DataFrame:
+def read_pdf_pages(spark: SparkSession, folder: str, blocks: bool = True) -> DataFrame:
     """path, page_index, page_text, blocks of the PDFs below a folder; needs PyMuPDF on the workers.
 
-    A page whose blocks cannot be read keeps its text; a file that cannot be read gives no rows.
+    Files are dealt to tasks by their sizes and come as bytes, so they may lie anywhere
+    Spark reads. Without ``blocks`` pages are not taken apart. A page whose blocks cannot be
+    read keeps its text; a file that cannot be read gives no rows.
     """
     schema = "path string, page_index int, page_text string, blocks array<struct<bbox:array<double>,text:string>>"
 
@@ -109,8 +187,11 @@ def read_pdf_pages(spark: SparkSession, folder: str) -> DataFrame:
                 try:
                     with fitz.open(stream=bytes(content), filetype="pdf") as pdf:
                         for no, page in enumerate(pdf, 1):
+                            found = []
                             try:
-                                found = [{"bbox": [float(x) for x in b[:4]], "text": str(b[4])} for b in page.get_text("blocks") if len(b) >= 5 and str(b[4]).strip()]
+                                for b in page.get_text("blocks") if blocks else ():
+                                    if len(b) >= 5 and str(b[4]).strip():
+                                        found.append({"bbox": [float(x) for x in b[:4]], "text": str(b[4])})
                             except Exception:
                                 found = []
                             rows.append((path, no, page.get_text("text"), found))
@@ -118,22 +199,24 @@ def read_pdf_pages(spark: SparkSession, folder: str) -> DataFrame:
                     continue
             yield pd.DataFrame(rows, columns=["path", "page_index", "page_text", "blocks"])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.pdf").load(folder)
-    return files.select("path", "content").mapInPandas(parse, schema)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")  # files are large
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.pdf").load(folder)
+    return found.select("path", "content").mapInPandas(parse, schema)
 
 
 def read_annotations(spark: SparkSession, folder: str) -> tuple[DataFrame, str] | None:
-    """The first annotation file of a local folder, and its name."""
+    """The first annotation file of a folder, and its name."""
     for name in ANNOTATION_FILES:
-        path = os.path.join(folder, name)
-        if not os.path.exists(path):
+        path = f"{folder}/{name}"
+        if not exists(spark, path):
             continue
         if name.endswith(".csv"):
             df = spark.read.csv(path, header=True, multiLine=True, escape='"', encoding="UTF-8")
-            return df.toDF(*(c.lstrip("﻿") for c in df.columns)), name
+            return df.toDF(*(c.lstrip("\ufeff") for c in df.columns)), name
         import pandas as pd
 
-        return spark.createDataFrame(pd.read_excel(path, dtype=str).fillna("")), name
+        sheet = pd.read_excel(io.BytesIO(files.read_bytes(spark, path)), dtype=str).fillna("")
+        return spark.createDataFrame(sheet), name
     return None
 
 

@@ -84,13 +84,13 @@ def reports(roots, *files):
 def test_reports_are_read_annotated_and_prepared(spark, stubs, roots):
     raw = reports(roots, ("甲.pdf", f"{COVER}\f{TABLE}\fblocks of 营业收入 5 here\nand more text of a block"), ("乙.pdf", "x" * 30 + "\fbroken blocks but text"), ("丙.pdf", "bad file"))
     out = runs.build_annotations(spark, per_doc=8)
-    rows = list(csv.DictReader(out.open(encoding="utf-8-sig")))
+    rows = list(csv.DictReader(open(str(out), encoding="utf-8-sig")))
     assert [r["query_id"] for r in rows] == [f"cn_v2_q{k:04d}" for k in range(1, len(rows) + 1)]
     revenue = next(r for r in rows if r["answer_unit"])
     assert revenue["answer"] == "233,432,768,960.43 元" and "单位：元" in revenue["unit_evidence_text"]
     log = (raw / "qa_annotations_v2_generation_log.md").read_text(encoding="utf-8")
     assert "- PDFs: 2" in log and f"- Questions: {len(rows)}" in log and "甲: risk_text" in log and "乙: report_year" in log
-    counts = runs.prepare(spark, "cn_annual_reports")
+    counts = runs.prepare(spark, "cn_annual_reports").counts
     assert counts["documents"] == 2 and counts["pages"] == 5 and counts["queries"] == len(rows)
     t = rd.read_dataset(spark, str(roots / "data" / "processed" / "cn_annual_reports"))
     nodes = {r["node_id"]: r for r in t["nodes"].collect()}
@@ -98,8 +98,20 @@ def test_reports_are_read_annotated_and_prepared(spark, stubs, roots):
     assert any("broken blocks" in r["text"] for r in nodes.values())
 
 
+def test_limited_reports_without_blocks(spark, stubs, roots):
+    """Only ``pdfs`` is read, in the order of names; blocks are taken apart only if they are asked for."""
+    raw = reports(roots, ("b 1%+.pdf", "blocks x\ny"), ("a.pdf", "text of a page"))
+    (raw / "stray.pdf").write_text("not a report", encoding="utf-8")
+    pages = runs._report_pages(spark, runs.Place(str(raw)), 1)
+    assert [r["doc_id"] for r in pages.collect()] == ["a"]
+    both = {r["doc_id"]: r for r in runs._report_pages(spark, runs.Place(str(raw)), None).collect()}
+    assert sorted(both) == ["a", "b 1%+"] and len(both["b 1%+"]["blocks"]) == 2 and both["a"]["ord"] < both["b 1%+"]["ord"]
+    bare = runs._report_pages(spark, runs.Place(str(raw)), None, blocks=False).collect()
+    assert len(bare) == 2 and not any(r["blocks"] for r in bare)
+
+
 def test_missing_reports_and_templates(spark, roots):
-    assert set(runs.prepare(spark, "cn_annual_reports").values()) == {0}
+    assert set(runs.prepare(spark, "cn_annual_reports").counts.values()) == {0}
     template = roots / "data" / "raw" / "cn_annual_reports" / "qa_annotations_template.csv"
     assert template.read_text(encoding="utf-8").strip().split(",") == runs.TEMPLATE_COLUMNS and len(runs.TEMPLATE_COLUMNS) == 9
     template.write_text("filled in", encoding="utf-8")
@@ -120,7 +132,7 @@ def test_errors_have_a_row_where_there_are_none(spark, roots):
     rows = spark.read.csv(str(run / "errors.csv"), header=True).collect()
     assert len(rows) == 1 and rows[0]["query_id"] in ("", None) and rows[0]["page_ok"] == "true"
     assert json.loads((run / "run_info.json").read_text())["hits"] > 0
-    assert "## demo_q1" in (run / "summary.md").read_text(encoding="utf-8")
+    assert "## demo_q1" in (run / "summary.md").read_text()
 
 
 def test_annotations_from_a_workbook(spark, tmp_path, monkeypatch):

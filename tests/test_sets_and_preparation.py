@@ -9,6 +9,7 @@ from pagelode.operators import evidence as ev
 from pagelode.schemas import ANNOTATION_COLUMNS, HITS
 from pagelode.sources import prepare as pp
 from pagelode.sources import readers as rd
+from pagelode.operators import metrics as mt
 from pagelode.sources.demo import demo_tables
 
 # Texts, questions, annotations and messages of the cases in this file.
@@ -80,7 +81,7 @@ def test_runs(spark, tmp_path, monkeypatch):
 
     for name, folder in (("MDR_DATA_ROOT", "data"), ("MDR_ARTIFACT_ROOT", "artifacts")):
         monkeypatch.setenv(name, str(tmp_path / folder))
-    assert runs.prepare(spark, "demo") == {"documents": 2, "pages": 3, "nodes": 4, "queries": 3}
+    assert runs.prepare(spark, "demo").counts == {"documents": 2, "pages": 3, "nodes": 4, "queries": 3}
     config = tmp_path / "c.json"
     config.write_text(json.dumps({"dataset": "demo", "output_dir": "${MDR_DATA_ROOT}/runs", "retriever": {"type": "page_region", "top_k": [1, 5, 10]}}))
     run = runs.run_retrieval(spark, runs.load_config(config))
@@ -88,17 +89,59 @@ def test_runs(spark, tmp_path, monkeypatch):
     assert runs.resolve_run(latest) == run.resolve()
     assert runs.evaluate_run(spark, latest)["page_recall@1"] > 0
     assert runs.verify_run(spark, latest)["queries"] == 3
-    for file in ("predictions.parquet", "config.json", "run_info.json", "metrics.json", "errors.csv", "summary.md", "sufficiency_metrics.json", "sufficiency_summary.md"):
+    for file in ("manifest.json", "predictions.parquet", "config.json", "run_info.json", "metrics.json", "errors.csv", "summary.md", "sufficiency_metrics.json", "sufficiency_summary.md"):
         assert (run / file).exists()
     assert "page_recall@1" in runs.export_table(latest).read_text()
-    assert runs.prepare(spark, "mmdocir") == dict.fromkeys(("documents", "pages", "nodes", "queries"), 0)
+    missing = runs.prepare(spark, "mmdocir")
+    assert missing.counts == dict.fromkeys(("documents", "pages", "nodes", "queries"), 0) and "No files" in missing.message
     raw = tmp_path / "data/raw/mmdocir"
+    raw.mkdir(parents=True)
     (raw / "a.jsonl").write_text('{"doc_id":"x","page":1,"text":"one","question":"what?","answer":"one"}\n{"doc_id":"y","page":"z","text":"two"}\n')
     (raw / "b.json").write_text('{"data":[{"doc_id":"x","page":2,"content":"three"}]}')
-    assert runs.prepare(spark, "mmdocir") == {"documents": 2, "pages": 3, "nodes": 3, "queries": 1}
+    assert runs.prepare(spark, "mmdocir").counts == {"documents": 2, "pages": 3, "nodes": 3, "queries": 1}
     assert runs.main(["evaluate", "--run", str(tmp_path / "none")]) == 1
 
 
+def test_a_failed_run_leaves_nothing(spark, tmp_path, monkeypatch):
+    """All folders by URIs; the run that fails is gone, ``latest`` still names the one before."""
+    import pytest
+
+    from pagelode.plans import runs
+
+    for name in ("DATA", "RUNS", "ARTIFACT"):
+        monkeypatch.setenv(f"MDR_{name}_ROOT", f"file://{tmp_path}/{name}")
+    runs.prepare(spark, "demo")
+    config = {"dataset": "demo", "output_dir": f"file://{tmp_path}/RUNS/x", "retriever": {"type": "bm25_page"}}
+    with pytest.raises(ValueError, match="Unsupported"):
+        runs.run_retrieval(spark, config | {"retriever": {"type": "none"}})
+    assert runs.resolve(config["output_dir"]).names() == []
+    with pytest.raises(FileNotFoundError):
+        runs.resolve_run(config["output_dir"] + "/latest")
+    first = runs.run_retrieval(spark, config)
+    with pytest.raises(ValueError, match="Unsupported"):
+        runs.run_retrieval(spark, config | {"retriever": {"type": "none"}})
+    assert runs.resolve_run(config["output_dir"] + "/latest") == first
+    second = runs.run_retrieval(spark, config)
+    assert second != first and runs.resolve_run(first.parent / "latest") == second
+    (first / "manifest.json").delete()
+    with pytest.raises(FileNotFoundError, match="complete"):
+        runs.evaluate_run(spark, first)
+    # a link named latest, as older versions made
+    (tmp_path / "RUNS/x/latest.txt").unlink()
+    (tmp_path / "RUNS/x/latest").symlink_to(second.name, target_is_directory=True)
+    assert runs.evaluate_run(spark, config["output_dir"] + "/latest")["page_recall@1"] > 0
+
+
+def test_breakdowns(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([("a", "x", 1), ("a", None, 2), (None, "x", 3), ("b", "x", 4)], "k string, s string, v int")
+    got = {(r["k"], r["s"], r["level"]): (r["n"], r["share"], r["total"]) for r in mt.breakdowns(rows, mt.rollup_sets("k", "s"), total=F.sum("v")).collect()}
+    assert got[(None, None, 3)] == (4, 1.0, 10) and got[("a", None, 1)] == (2, 0.5, 3) and got[(None, None, 1)] == (1, 0.25, 3)
+    assert got[("a", None, 0)] == (1, 0.25, 2) and len(got) == 4 + 3 + 1
+    assert {(r["s"], r["n"]) for r in mt.breakdown(rows, "s").collect()} == {("x", 3), (None, 1)}
+
+
 def test_round_trips(spark, tmp_path):
     from pagelode.plans.runs import to_json_text
 
