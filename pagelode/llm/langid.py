@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .packing import _groups
@@ -189,25 +189,41 @@ def _columns(parts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
 def training_pieces(docs: DataFrame, per_language: int, pieces: int) -> DataFrame:
     """lang, parts: up to ``pieces`` spread windows of the ``per_language`` documents with the smallest hash in each language.
 
-    Languages are counted first, so that only documents whose hash lies in the smallest
-    share of their language, about twice what is wanted, are cut and shuffled; the
-    smallest hashes among them are taken in 64 groups of a language and then among these.
+    A document is its id and text; repeated rows are one document. Languages are counted
+    first, so that only documents whose hash lies in the smallest share of their language,
+    about twice what is wanted, are cut and shuffled. A language of which that leaves fewer
+    than are wanted, as repeated rows can, is read again without the share.
     """
     known = docs.where("lang is not null").where(~is_held_out(F.col("doc_id"), 0))
     counts = materialize(known.groupBy("lang").agg(F.count(F.lit(1)).alias("documents")).withColumnRenamed("lang", "of"), "languages")
-    order = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("language")), 1)
+    order = F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit("language")), 1)
     low = order <= F.least(F.lit(1.0), F.lit(2.0 * per_language) / F.col("documents")) * F.lit(float(2**63))
-    # pieces are cut by Spark, so that no long text reaches the driver
+    texts = known.where("text is not null")
+    picked = materialize(_smallest(texts.join(counts, F.col("lang") == F.col("of")).where(low), order, per_language, pieces), "pieces")
+    have = picked.groupBy(F.col("lang").alias("got")).agg(F.count(F.lit(1)).alias("have"))
+    wanted = F.least(F.lit(per_language), F.col("documents"))
+    # a share of 1 has left nothing out
+    short = counts.where(F.col("documents") > 2 * per_language).join(have, F.col("of") == F.col("got"), "left").where(F.coalesce("have", F.lit(0)) < wanted)
+    short = materialize(short.select("of"), "short")
+    if not short.limit(1).count():
+        return picked
+    whole = _smallest(texts.join(short, F.col("lang") == F.col("of"), "left_semi"), order, per_language, pieces)
+    return picked.join(short, F.col("lang") == F.col("of"), "left_anti").unionByName(whole)
+
+
+def _smallest(rows: DataFrame, order: Column, per_language: int, pieces: int) -> DataFrame:
+    """The documents with the smallest hashes, first in 64 groups of a language and then among these, cut by Spark so that no long text reaches the driver."""
     spread = F.transform(
         F.sequence(F.lit(0), F.lit(pieces - 1)),
         lambda i: F.substring(F.col("text"), (F.floor(F.length("text") * i / pieces) + 1).cast("int"), F.lit(WINDOW // 2)),
     )
-    near = known.where("text is not null").join(counts, F.col("lang") == F.col("of")).where(low)
-    rows = near.select("lang", order.alias("h"), "doc_id", F.length("text").alias("n"), F.array_distinct(spread).alias("parts"))
+    cut = rows.select("lang", order.alias("h"), F.array_distinct(spread).alias("parts"))
+    # equal documents combine before the shuffle
+    cut = cut.groupBy("lang", "h").agg(F.min("parts").alias("parts"))
     for keys in (("lang", F.pmod(F.col("h"), F.lit(64))), ("lang",)):
-        w = Window.partitionBy(*keys).orderBy("h", "doc_id", "n", "parts")
-        rows = rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= per_language).drop("place")
-    return rows.select("lang", "parts")
+        w = Window.partitionBy(*keys).orderBy("h")
+        cut = cut.withColumn("place", F.row_number().over(w)).where(F.col("place") <= per_language).drop("place")
+    return cut.select("lang", "parts")
 
 
 def train(docs: DataFrame, per_language: int = 600, pieces: int = 6, hidden: int = 12, steps: int = 350) -> BiGru | None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..store import discard, materialize, shared_dir
@@ -37,9 +37,20 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def with_read_order(df: DataFrame, file: str = "order_file", row: str = "order_row") -> DataFrame:
-    """Add where a row stands: its file's name and its place there, which sort as the table was written; without files the place alone."""
+def with_read_order(df: DataFrame, name: str = "order_no") -> DataFrame:
+    """Add the place (from 0) of every row among all, as a table was written; without files, in some order of partitions.
+
+    Files of a table are numbered in their names; the rows of the files before, one number a
+    file, are broadcast (a file holds a task's rows, so they are few).
+    """
+    file, row, of, before = unused(df, "file", "row_in_file", "of_file", "before")
     try:
-        return df.select("*", F.col("_metadata.file_name").alias(file), F.col("_metadata.row_index").alias(row))
+        read = df.select("*", F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).alias(file), F.col("_metadata.row_index").alias(row))
     except AnalysisException:  # not read from files
-        return df.select("*", F.lit("").alias(file), F.monotonically_increasing_id().alias(row))
+        at = F.monotonically_increasing_id()
+        read = df.select("*", F.lpad(F.shiftrightunsigned(at, 33).cast("string"), 10, "0").alias(file), at.bitwiseAND(F.lit(2**33 - 1)).alias(row))
+    sizes = read.groupBy(F.col(file).alias(of)).agg((F.max(row) + 1).alias(before))
+    earlier = Window.orderBy(of).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn(before, F.coalesce(F.sum(before).over(earlier), F.lit(0)))
+    joined = read.join(F.broadcast(sizes), F.col(file) == F.col(of))
+    return joined.withColumn(name, F.col(before) + F.col(row)).drop(file, row, of, before)

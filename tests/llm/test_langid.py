@@ -1,3 +1,4 @@
+import zlib
 import random
 
 import numpy as np
@@ -103,3 +104,21 @@ def test_every_language_is_learned(spark):
     got = langid.training_pieces(docs, 7, 2).groupBy("lang").count().collect()
     assert len(got) == 301 and all(x["count"] <= 7 for x in got) and {x["lang"]: x["count"] for x in got}["hot"] == 7
     assert len(langid.train(docs, per_language=5, pieces=1, steps=1).languages) == 301
+
+
+def test_languages_of_repeated_or_missing_ids_are_learned(spark):
+    """Thousands of rows of one id, of no id, and of one document: none of their languages is lost."""
+    rows = [(1, f"one id number {i}", "en", 1) for i in range(3000)] + [(None, f"no id number {i}", "fr", 1) for i in range(3000)]
+    rows += [(10_000 + i, f"own id {i}", "de", 1) for i in range(300)] + [(2, "always the same row", "es", 1)] * 3000
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r["lang"]: r["count"] for r in langid.training_pieces(docs, 200, 2).groupBy("lang").count().collect()}
+    held = {i for i in range(300) if zlib.crc32(str(10_000 + i).encode()) % 5 == 0}
+    assert zlib.crc32(b"1") % 5 and zlib.crc32(b"2") % 5
+    assert got == {"en": 200, "fr": 200, "de": min(200, 300 - len(held)), "es": 1}
+
+
+def test_a_thousand_languages(spark):
+    rows = [(i, f"text {i} of a language", f"l{i % 1000:04d}", 1) for i in range(4000)]
+    got = langid.training_pieces(spark.createDataFrame(rows, SCHEMA), 600, 1).groupBy("lang").count()
+    learned = {lang for i, _, lang, _ in rows if zlib.crc32(str(i).encode()) % 5}
+    assert {r["lang"] for r in got.collect()} == learned

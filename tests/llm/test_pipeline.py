@@ -1,3 +1,4 @@
+import os
 import random
 from collections import Counter
 
@@ -90,7 +91,7 @@ def test_empty(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
-CLASHING = "doc_id long, text string, source string, __id long, __n long, __digest string, digest string, best_id long, hot long, own long, place long, places long, words long, node long, key long, size long, `row` long, start long, order_file string, order_row long"
+CLASHING = "doc_id long, text string, source string, __id long, __n long, __digest string, digest string, best_id long, hot long, own long, place long, places long, words long, node long, key long, size long, `row` long, start long, position string, pass long"
 
 
 def test_stages_with_clashing_names_and_odd_rows(spark, folder):
@@ -113,12 +114,22 @@ def test_stages_with_clashing_names_and_odd_rows(spark, folder):
 
 
 def test_packed_rows_carry_the_training_order(spark, folder, tmp_path):
+    """The same places for any files that the mix is written to."""
     path, _ = folder
     docs = spark.read.parquet(f"{path}/documents.parquet").where("doc_id < 60 and text is not null")
     corpus_pipeline.mix_sources(spark, docs, path).write.parquet(str(tmp_path / "mix"))
     mixed = spark.read.parquet(str(tmp_path / "mix"))
+    names = sorted(f for f in os.listdir(tmp_path / "mix") if f.startswith("part-"))
+    want = [r["doc_id"] for f in names for r in spark.read.parquet(str(tmp_path / "mix" / f)).collect()]
     got = corpus_pipeline.pack_sequences(spark, mixed, path).collect()
-    places = {(r["order_file"], r["order_row"]): r["doc_id"] for r in got}
-    assert len(places) == mixed.count()
-    want = [r["doc_id"] for f in sorted({f for f, _ in places}) for r in spark.read.parquet(str(tmp_path / "mix" / f)).collect()]
-    assert [places[p] for p in sorted(places)] == want
+    places = {r["position"]: r["doc_id"] for r in got}
+    assert [places[k] for k in range(len(want))] == want and len(places) == len(want)
+    passes = {r["position"]: r["pass"] for r in got}
+    seen = Counter()
+    for k, doc in enumerate(want):
+        assert passes[k] == (None if doc is None else seen[doc])
+        seen[doc] += 1
+    assert seen[7] == 4 and max(n for doc, n in seen.items() if doc != 7) == 2  # two rows have the id 7
+    mixed.coalesce(1).write.parquet(str(tmp_path / "again"))
+    again = corpus_pipeline.pack_sequences(spark, spark.read.parquet(str(tmp_path / "again")), path)
+    assert {r["position"] for r in again.collect()} == set(range(len(want)))
