@@ -12,7 +12,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from pagelode.llm import exact_dedup, mixing, packing, shingle_join, toxicity
 from pagelode.llm.storage import discard, materialize, small_batches, with_read_order
@@ -43,15 +44,19 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, order_file, order_row, sequence_id, offset.
+    """doc_id, piece, start, length, ids_crc32, position, pass, sequence_id, offset.
 
-    The mix is written in training order, so (order_file, order_row) is a document's place
-    in the curriculum; a document that is drawn twice has two places, which tell its copies
-    apart. Extra columns of the input with these names are left out.
+    The mix is written in training order, so ``position`` (from 0) is a document's place in
+    the curriculum. A document that is drawn twice has two places; ``pass`` (from 0) counts
+    them by id, null where a document has none. Extra columns of the input with these names are left out.
     """
     small_batches(spark)
-    placed = with_read_order(docs.select("doc_id", "text"))
-    return packing.packed_documents(placed, keep=("order_file", "order_row"))
+    placed = with_read_order(docs.select("doc_id", "text"), "position")
+    packed = packing.packed_documents(placed, keep=("position",))
+    # rows without an id are groups of their own
+    draws = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("position"))).orderBy("position")
+    nth = F.when(F.col("doc_id").isNotNull(), F.dense_rank().over(draws) - 1)
+    return packed.withColumn("pass", nth).select("doc_id", "piece", "start", "length", "ids_crc32", "position", "pass", "sequence_id", "offset")
 
 
 STAGES: list[tuple[str, Stage]] = [
