@@ -42,11 +42,11 @@ from pyspark.sql import functions as F
 from .storage import discard, materialize
 from .text import LOWER_BYTES
 
-SHARD_DOCS, SHARD_POSTINGS = 8192, 2_000_000
+SHARD_DOCS, SHARD_POSTINGS = 4096, 1_000_000
 #: Items of a block, results of an item.
 ITEMS, K = 1000, 50
 #: What one more block costs, in the unit of a posting's value, and the longest block.
-BLOCK_COST, LONGEST = 1_000_000, 64
+BLOCK_COST, LONGEST = 300_000, 64
 #: Bytes that are no part of a term become blanks; A-Z become a-z.
 _TERM_TABLE = np.array([LOWER_BYTES[b] if b > 127 or chr(b).isalnum() else 32 for b in range(256)], np.uint8)
 _SHARD = "doc_id array<long>, n array<long>, terms array<string>, df array<int>, doc array<int>, tf array<int>"
@@ -104,15 +104,16 @@ class _Shard:
         return len(self.ids) >= SHARD_DOCS or self.postings >= SHARD_POSTINGS
 
     def batch(self) -> pa.RecordBatch:
-        """One row; postings by term, then by document in the order of ids."""
+        """One row; postings by term, then by document, in the order of sizes, so that values of a list differ little from one to the next."""
         ids = np.array([_NO_ID if i is None else i for i in self.ids], np.int64)
-        order = np.argsort(ids, kind="stable")
+        n = np.concatenate(self.n)
+        order = np.lexsort((ids, n))
         place = np.empty(len(ids), np.int32)
         place[order] = np.arange(len(ids), dtype=np.int32)
         term, doc = np.concatenate(self.term), place[np.concatenate(self.doc)]
         by = np.lexsort((doc, term))
         df = np.bincount(term, minlength=len(self.numbers)).astype(np.int32)
-        row = ([self.ids[i] for i in order], np.concatenate(self.n)[order], list(self.numbers), df, doc[by], np.concatenate(self.tf)[by])
+        row = ([self.ids[i] for i in order], n[order], list(self.numbers), df, doc[by], np.concatenate(self.tf)[by])
         types = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32())
         arrays = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, t)) for x, t in zip(row, types, strict=True)]
         return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "terms", "df", "doc", "tf"])
@@ -254,8 +255,8 @@ class Search:
     def __init__(self, items: list[list[tuple[int, int]]], k: int = K):
         self.items, self.k = items, k
         self.best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in items]
-        #: Postings of asked lists, and those of blocks that were read.
-        self.postings = self.read = 0
+        #: Postings of asked lists and those of blocks that were read; documents that hold a term, and those that were scored.
+        self.postings = self.read = self.found = self.scored = 0
 
     def threshold(self, item: int) -> int:
         """Scores below are out."""
@@ -300,7 +301,10 @@ class Search:
         inside = live[lists.doc[at]]
         at, which = at[inside], which[inside]
         doc, n = lists.doc[at], len(live)
-        passing = np.bincount(doc, (lists.high[blocks] * weights)[which], n) >= self.threshold(item)
+        most = np.bincount(doc, (lists.high[blocks] * weights)[which], n)
+        passing = most >= self.threshold(item)
+        self.found += int((most > 0).sum())
+        self.scored += int(passing.sum())
         ok = passing[doc]
         score = np.bincount(doc[ok], lists.value[at[ok]] * weights[which[ok]], n).astype(np.int64)
         hit = np.flatnonzero(score >= self.threshold(item))
@@ -347,6 +351,8 @@ def _search_block(index: DataFrame, rows: list[Row], size: tuple[int, int], k: i
 
 def search(index: DataFrame, items: DataFrame, k: int = K, block: int = ITEMS) -> DataFrame:
     """item_id, rank, doc_id, score: the ``k`` best documents of every item (item_id, text), the items in blocks."""
+    # rows are shards: the JVM reads them one after another, not in batches
+    index.sparkSession.conf.set("spark.sql.parquet.enableNestedColumnVectorizedReader", "false")
     size = corpus_size(index)
     found, held = [], []
     for row in items.select("item_id", "text").toLocalIterator():
