@@ -1,6 +1,7 @@
 """License scans by sentence rules.
 
-Texts are cut into sentences at full stops and blank lines, and sentences are normalised
+Texts are cut into sentences at full stops and blank lines (not at semicolons, which stand
+inside sentences of licences, nor after the "v." of a version), and sentences are normalised
 (letters and digits in lower case, single spaces), so that line breaks and punctuation do
 not matter. Known licence sentences are found as runs of words inside a sentence, the
 longest first, and become identifiers; each document's sequence of identifiers is matched
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Every known sentence holds one of these words.
-NEEDED = r"licen[sc]e|copyright|permission|redistribut|warrant|spdx|public domain|the mpl|free to copy"
+NEEDED = r"licen[sc]e|copyright|permission|redistribut|warrant|spdx|public domain|the mpl|free to copy|creative\s+commons"
 
 #: Licences that texts refer to by name: SPDX identifier, then normalised names.
 NAMES = {
@@ -45,7 +46,16 @@ NAMES = {
 }
 #: Words before a name, and names of Creative Commons licences.
 REFERENCES = ("licensed under the", "released under the", "distributed under the", "made available under the", "published under the")
-CREATIVE = ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND")
+CREATIVE = {
+    "BY": "attribution",
+    "BY-SA": "attribution sharealike",
+    "BY-NC": "attribution noncommercial",
+    "BY-ND": "attribution noderivatives",
+    "BY-NC-SA": "attribution noncommercial sharealike",
+    "BY-NC-ND": "attribution noncommercial noderivatives",
+}
+#: Licences whose tags tell one version from all later ones.
+VERSIONED = ("AGPL-3.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0")
 VERSIONS = ("4.0", "3.0")
 
 #: Identifiers and normalised sentences of licence texts and headers.
@@ -62,9 +72,12 @@ TEXTS = [
     ("bsd-source", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
     ("bsd-binary", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
     ("bsd-names", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-names", "neither the name of the university nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("bsd-warranty", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
     ("gpl2-later", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
     ("gpl3-later", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("gpl2-only", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation"),
+    ("gpl2-only", "this program is free software you can redistribute it and or modify it under the terms of version 2 of the gnu general public license as published by the free software foundation"),
     ("gpl-hope", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
     ("gpl-details", "see the gnu general public license for more details"),
     ("gpl-received", "you should have received a copy of the gnu general public license along with this program"),
@@ -79,6 +92,7 @@ TEXTS = [
     ("isc-grant", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
     ("isc-warranty", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"),
     ("epl-made", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0"),
+    ("epl-made", "this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0"),
     ("bsl-grant", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software"),
     ("zlib-warranty", "this software is provided as is without any express or implied warranty"),
     ("zlib-grant", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
@@ -98,10 +112,12 @@ def _references() -> list[tuple[str, str]]:
     """Identifiers and sentences that name a licence, built from the tables above."""
     out = [(f"ref-{_plain(k).replace(' ', '-')}", f"{before} {name}") for k, names in NAMES.items() for name in names for before in REFERENCES]
     out += [(f"spdx-{_plain(k).replace(' ', '-')}", f"spdx license identifier {_plain(k)}") for k in NAMES]
-    for kind in CREATIVE:
+    out += [(f"spdx-{_plain(k).replace(' ', '-')}-{end.replace(' ', '-')}", f"spdx license identifier {_plain(k)} {end}") for k in VERSIONED for end in ("only", "or later")]
+    for kind, full in CREATIVE.items():
         for v in VERSIONS:
             i = f"cc-{kind.lower()}-{v[0]}"
             out += [(i, f"licensed under cc {_plain(kind)} {_plain(v)}"), (i, f"licensed under a creative commons {_plain(kind)} {_plain(v)} license"), (i, f"spdx license identifier cc {_plain(kind)} {_plain(v)}")]
+            out.append((i, f"creative commons {full} {_plain(v)}"))
     return out
 
 
@@ -128,6 +144,9 @@ RULES = [
     ("GPL-2.0-or-later", ["gpl2-later", "gpl-hope", "gpl-details", "gpl-received"]),
     ("GPL-2.0-or-later", ["gpl2-later", "gpl-hope", "gpl-details"]),
     ("GPL-2.0-or-later", ["gpl2-later"]),
+    ("GPL-2.0-only", ["gpl2-only", "gpl-hope", "gpl-details", "gpl-received"]),
+    ("GPL-2.0-only", ["gpl2-only", "gpl-hope", "gpl-details"]),
+    ("GPL-2.0-only", ["gpl2-only"]),
     ("AGPL-3.0-or-later", ["agpl-later", "gpl-hope", "agpl-details"]),
     ("AGPL-3.0-or-later", ["agpl-later"]),
     ("LGPL-2.1-or-later", ["lgpl21-later", "lgpl-hope", "lgpl-details"]),
@@ -144,17 +163,21 @@ RULES = [
     ("WTFPL", ["wtfpl-name"]),
 ]
 RULES += [(k, [f"{form}-{_plain(k).replace(' ', '-')}"]) for k in NAMES for form in ("ref", "spdx")]
+RULES += [(f"{k}-{end}", [f"spdx-{_plain(k).replace(' ', '-')}-{end}"]) for k in VERSIONED for end in ("only", "or-later")]
 RULES += [(f"CC-{kind}-{v}", [f"cc-{kind.lower()}-{v[0]}"]) for kind in CREATIVE for v in VERSIONS]
 
 #: All sentences as one pattern, the longest first.
 KNOWN = r"\b(?:" + "|".join(sorted({s for _, s in SENTENCES}, key=lambda s: (-len(s), s))) + r")\b"
+#: A full stop that ends no sentence.
+VERSION = r"\bv\.\s+"
 #: What may stand between two identifiers of a rule.
 _GAP = "((?:,[^,]+,)*?)"
 
 
 def normalised(text: Column) -> Column:
     """All sentences in one line: words of a-z and 0-9, sentences apart by a full stop."""
-    cut = F.regexp_replace(F.lower(text), r"[.!?;]+(\s+|$)|\n[ \t\r]*\n", "\x01")
+    whole = F.regexp_replace(F.lower(text), VERSION, "v ")
+    cut = F.regexp_replace(whole, r"[.!?]+(\s+|$)|\n[ \t\r]*\n", "\x01")
     return F.regexp_replace(F.regexp_replace(cut, "[^a-z0-9\x01]+", " "), " ?\x01[ \x01]*", " . ")
 
 
@@ -218,7 +241,7 @@ def oracle_sql() -> str:
         steps.append(f"s{k + 1} AS (SELECT *, regexp_matches(q{k}, '{pattern}') AS h{k}, regexp_replace(q{k}, '{pattern}', '{left}', 'g') AS q{k + 1} FROM s{k})")
     hits = ", ".join(f"CASE WHEN {' OR '.join(h)} THEN '{n}' END" for n, h in names.items())
     last = f"q{len(RULES)}"
-    line = "regexp_replace(lower(text), '[.!?;]+(\\s+|$)|\\n[ \\t\\r]*\\n', chr(1), 'g')"
+    line = f"regexp_replace(regexp_replace(lower(text), '{VERSION}', 'v ', 'g'), '[.!?]+(\\s+|$)|\\n[ \\t\\r]*\\n', chr(1), 'g')"
     line = f"regexp_replace(regexp_replace({line}, '[^a-z0-9\\x01]+', ' ', 'g'), ' ?\\x01[ \\x01]*', ' . ', 'g')"
     return f"""
 WITH k(id, sentence) AS (SELECT DISTINCT * FROM (VALUES {values})),

@@ -95,3 +95,67 @@ def test_tables():
     known = {i for i, _ in license.SENTENCES}
     assert all(set(ids) <= known for _, ids in license.RULES)
     assert len({s for _, s in license.SENTENCES}) == len({(i, s) for i, s in license.SENTENCES})
+
+
+# Headers as they stand in public source files, unaltered.
+HEADERS = {
+    "GPL-2.0-or-later": """ * This program is free software; you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation; either version 2 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details.""",
+    "GPL-2.0-only": """ * This program is free software; you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License version 2 as
+ * published by the Free Software Foundation.""",
+    "LGPL-2.1-or-later": """# This library is free software; you can redistribute it and/or
+# modify it under the terms of the GNU Lesser General Public
+# License as published by the Free Software Foundation; either
+# version 2.1 of the License, or (at your option) any later version.
+#
+# This library is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+# Lesser General Public License for more details.""",
+    "MPL-2.0": """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */""",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v. 2.0 which is available at",
+    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0": "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-NC-ND-3.0": "Creative Commons Attribution-NonCommercial-NoDerivatives 3.0 Unported",
+    "GPL-2.0-only ": "// SPDX-License-Identifier: GPL-2.0-only",
+    "LGPL-2.1-or-later ": "/* SPDX-License-Identifier: LGPL-2.1-or-later */",
+    "GPL-2.0": "// SPDX-License-Identifier: GPL-2.0",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:
+1. Redistributions of source code must retain the above copyright
+   notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright
+   notice, this list of conditions and the following disclaimer in the
+   documentation and/or other materials provided with the distribution.
+3. Neither the name of the University nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission.""",
+    "Apache-2.0": """   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License.""",
+}
+
+
+def test_unaltered_headers(spark):
+    got = scan(spark, [(k, text, "x", 1) for k, text in enumerate(HEADERS.values())])
+    assert {name: got[k]["licenses"] for k, name in enumerate(HEADERS)} == {name: name.strip() for name in HEADERS}
+    assert [got[k]["unmatched"] for k in range(len(HEADERS))] == [""] * len(HEADERS)
