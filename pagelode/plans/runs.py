@@ -3,7 +3,7 @@
 All folders may lie on any file system that Spark reads; the driver's own disk is used only
 where a path names it. Small files appear whole, by a rename. A run is valid from its
 ``manifest.json`` on, which is written last, and only then ``latest.txt`` names the run, so
-a run that fails leaves neither.
+a run that fails leaves neither. Intermediate tables of a step are deleted when it ends.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from ..sources import prepare as pp
 from ..sources import readers as rd
 from ..sources.demo import demo_tables
 from ..sources.files import Place
-from ..store import materialize, numbered
+from ..store import materialize, numbered, scratch
 
 # The names of environment variables, files and output keys in this module must match; columns of the annotation template.
 TEMPLATE_COLUMNS = ANNOTATION_COLUMNS[:9]
@@ -124,6 +124,7 @@ def to_json_text(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.to_json(c, {"ignoreNullFields": "false"}) for c in nested})
 
 
+@scratch()
 def prepare(spark: SparkSession, dataset: str, limit_docs: int | None = None) -> PrepareResult:
     """Build a data set's relations below the data root."""
     raw, out = data_root() / "raw" / dataset, data_root() / "processed" / dataset
@@ -173,6 +174,7 @@ def _from_reports(spark: SparkSession, raw: Place, dataset: str, limit: int | No
     return {"documents": rd.conform(sizes.withColumns({"dataset": F.lit(dataset), "title": F.col("doc_id"), "language": F.lit("zh")}), TABLES["documents"]), "pages": rd.conform(shown, TABLES["pages"]), "nodes": nodes, "queries": queries}
 
 
+@scratch()
 def build_annotations(spark: SparkSession, dataset: str = "cn_annual_reports", per_doc: int = 8, limit: int | None = None) -> Place:
     """Rule-made annotations of all reports as a CSV file with a byte-order mark, and a log."""
     import csv
@@ -208,6 +210,7 @@ def build_annotations(spark: SparkSession, dataset: str = "cn_annual_reports", p
     return out
 
 
+@scratch()
 def run_retrieval(spark: SparkSession, config: dict[str, Any], encode=None) -> Place:
     """Retrieve as configured; the run's folder with predictions, configuration and facts."""
     dataset, options = str(config["dataset"]), dict(config.get("retriever") or {})
@@ -263,6 +266,7 @@ def _run_tables(spark: SparkSession, run: Place) -> tuple[dict[str, Any], DataFr
     return info, queries, rd.read_hits(spark, str(run / "predictions.parquet"))
 
 
+@scratch()
 def evaluate_run(spark: SparkSession, run: str | Path | Place) -> dict[str, float]:
     """metrics.json, errors.csv and summary.md of a run."""
     path = resolve_run(run)
@@ -286,6 +290,7 @@ def evaluate_run(spark: SparkSession, run: str | Path | Place) -> dict[str, floa
     return found
 
 
+@scratch()
 def verify_run(spark: SparkSession, run: str | Path | Place, top_k: int = 3) -> dict[str, Any]:
     """Sufficiency cases, rates and a summary of a run."""
     path = resolve_run(run)

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -65,6 +67,17 @@ def discard(*tables: DataFrame) -> None:
             _delete(_written.pop(path), path)
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Delete on leaving what was written inside; for work whose results stand elsewhere by then."""
+    before = set(_written)
+    try:
+        yield
+    finally:
+        for path in [p for p in _written if p not in before]:
+            _delete(_written.pop(path), path)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -110,6 +110,9 @@ def test_a_failed_run_leaves_nothing(spark, tmp_path, monkeypatch):
 
     for name in ("DATA", "RUNS", "ARTIFACT"):
         monkeypatch.setenv(f"MDR_{name}_ROOT", f"file://{tmp_path}/{name}")
+    from pagelode import store
+
+    written = dict(store._written)
     runs.prepare(spark, "demo")
     config = {"dataset": "demo", "output_dir": f"file://{tmp_path}/RUNS/x", "retriever": {"type": "bm25_page"}}
     with pytest.raises(ValueError, match="Unsupported"):
@@ -130,6 +133,7 @@ def test_a_failed_run_leaves_nothing(spark, tmp_path, monkeypatch):
     (tmp_path / "RUNS/x/latest.txt").unlink()
     (tmp_path / "RUNS/x/latest").symlink_to(second.name, target_is_directory=True)
     assert runs.evaluate_run(spark, config["output_dir"] + "/latest")["page_recall@1"] > 0
+    assert store._written == written  # nothing between the steps is left behind
 
 
 def test_breakdowns(spark):
