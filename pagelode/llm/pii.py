@@ -4,13 +4,17 @@ Base kinds come from fixed patterns (Java regular expressions without backtracki
 that could grow with the text; places follow from the pieces between matches). They
 are the seeds, together with values behind a few key words such as ``password``.
 Every base span and every other identifier-like value with a digit, and the lexical
-pattern on its left (word and separator), form a bipartite graph over the corpus. In
-each round Spark scores patterns by the mean confidence of their distinct values, and
-values by their best pattern, until the set of passing patterns no longer changes;
-patterns with enough support and confidence label all values they stand before as
-kind ``id``. A value without a digit enters the graph behind the key words alone, and is
-labelled behind every passing pattern with ``:`` or ``=``. Everything is DataFrame operations; graph tables are aggregated before
-they are shuffled and written once per round.
+patterns on its left (one word, or two, and the separator), form a bipartite graph over
+the corpus. A pattern's confidence is its precision: the mean confidence of its distinct
+values, times the share of all its occurrences in the corpus that such a value follows,
+so the ordinary uses of a word count against it (key words are trusted without). Values
+take the confidence of their best pattern, round by round, until the set of passing
+patterns no longer changes; they label all values they stand before as kind ``id``. A
+value without a digit enters the graph behind the key words alone, and is labelled behind
+every passing pattern with ``:`` or ``=``. Rounds without the share come first: what they
+pass bounds what can pass at all, and only the occurrences of these patterns are counted.
+Everything is DataFrame operations; graph tables are aggregated before they are shuffled
+and written once per round.
 
 Defined cases: null text is empty and has no spans; repeated rows are documents of
 their own; found values that overlap a base span are part of that span in the graph and
@@ -34,9 +38,14 @@ PATTERNS = {
 }
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 #: Word, separator and (ahead, so that it may be the next word) a value of six or more characters, with a digit after blanks alone.
-CONTEXT = r"(?<![A-Za-z0-9_])([A-Za-z_]{2,}+)(\s*+[:=]\s*+[\"']?|\s++(?=[A-Za-z_+/-]*+[0-9]))(?=([A-Za-z0-9_+/-]{6,}+))"
-#: Word and separator at the end of the text before a base span.
-LEFT = r"(?<![A-Za-z0-9_])([A-Za-z_]{2,}+)(\s*+[:=]\s*+[\"']?|\s++)\z"
+CONTEXT = r"(?<![A-Za-z0-9_])[A-Za-z_]{2,}+(?:\s*+[:=]\s*+[\"']?|\s++(?=[A-Za-z_+/-]*+[0-9]))(?=([A-Za-z0-9_+/-]{6,}+))"
+#: Word (or two) and separator at the end of the text before a base span, the word before at the end of the text before a value's word.
+LEFT = r"(?<![A-Za-z0-9_])([A-Za-z_]{2,}+(?:\s*+[:=]\s*+[\"']?|\s++))\z"
+LEFT_TWO = r"(?<![A-Za-z0-9_])([A-Za-z_]{2,}+\s++[A-Za-z_]{2,}+(?:\s*+[:=]\s*+[\"']?|\s++))\z"
+WORD_BEFORE = r"(?<![A-Za-z0-9_])([A-Za-z_]{2,}+\s++)\z"
+#: All occurrences of patterns, whatever follows; those of two words share words.
+OCCURS = r"(?<![A-Za-z0-9_])([A-Za-z_]{2,}+(?:\s*+[:=]|\s++))"
+OCCURS_TWO = r"(?<![A-Za-z0-9_])(?=([A-Za-z_]{2,}+\s++[A-Za-z_]{2,}+(?:\s*+[:=]|\s++)))[A-Za-z_]"
 #: Key words whose values are seeds.
 SEED_KEYS = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_key", "ssn", "passport", "iban")
 
@@ -60,34 +69,31 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _pattern(word: Column, separator: Column) -> Column:
-    return F.concat(F.lower(word), F.regexp_replace(separator, r"[\s\"']+", ""))
+def _pattern(found: Column) -> Column:
+    """Words in lower case with one blank between them, and ``:``, ``=`` or nothing."""
+    return F.rtrim(F.regexp_replace(F.regexp_replace(F.lower(found), r"\s*+([:=])[\s\"']*+", "$1"), r"\s++", " "))
 
 
 def _found(text: Column, pattern: str, worth: Column, groups: int = 0) -> Column:
-    """Array of (gap before the match, length, the match and the pattern on its left or its groups)."""
+    """Array of (gap before the match, size, the match or its groups, the patterns of one and two words on the left)."""
     none = F.array().cast("array<string>")
     pieces = F.when(worth, F.split(text, pattern, -1)).otherwise(none)
     matches = [F.when(worth, F.regexp_extract_all(text, F.lit(pattern), F.lit(g))).otherwise(none) for g in range(groups + 1)]
     names = ["gap", *(f"g{g}" for g in range(groups + 1))]
     zipped = F.arrays_zip(*(x.alias(n) for x, n in zip([pieces, *matches], names, strict=True)))
-    return F.filter(
-        F.transform(
-            zipped,
-            lambda z: F.struct(
-                F.length(z["gap"]).alias("gap"),
-                F.length(z["g0"]).alias("size"),
-                *(z[f"g{g}"].alias(f"g{g}") for g in ([0] if not groups else range(1, groups + 1))),
-                *([_left(z["gap"], z["g0"].isNotNull()).alias("pattern")] if not groups else []),
-            ),
-        ),
-        lambda z: z["size"].isNotNull(),
-    )
 
+    def patterns(z: Column) -> tuple[Column, Column]:
+        if not groups:  # a base span: its words end the gap
+            return _pattern(F.regexp_extract(z["gap"], LEFT, 1)), _pattern(F.regexp_extract(z["gap"], LEFT_TWO, 1))
+        before = F.regexp_extract(z["gap"], WORD_BEFORE, 1)
+        return _pattern(z["g0"]), F.when(before != "", _pattern(F.concat(before, z["g0"]))).otherwise("")
+
+    def entry(z: Column) -> Column:
+        one, two = patterns(z)
+        kept = z[f"g{groups}"].alias("value")
+        return F.struct(F.length(z["gap"]).alias("gap"), F.length(z["g0"]).alias("size"), kept, one.alias("pattern"), two.alias("wide"))
 
-def _left(gap: Column, worth: Column) -> Column:
-    """The pattern at the end of ``gap``, empty if there is none."""
-    return F.when(worth, _pattern(F.regexp_extract(gap, LEFT, 1), F.regexp_extract(gap, LEFT, 2)))
+    return F.transform(F.filter(zipped, lambda z: z["g0"].isNotNull()), entry)
 
 
 def _raw(docs: DataFrame) -> DataFrame:
@@ -98,7 +104,7 @@ def _raw(docs: DataFrame) -> DataFrame:
         F.monotonically_increasing_id().alias("row"),
         "doc_id",
         *(_found(text, PATTERNS[k], worth[k]).alias(k) for k in KINDS),
-        _found(text, CONTEXT, text.rlike("[0-9:=]"), 3).alias("context"),
+        _found(text, CONTEXT, text.rlike("[0-9:=]"), 1).alias("context"),
     )
 
 
@@ -110,26 +116,23 @@ def _placed(raw: DataFrame, column: str) -> DataFrame:
 
 
 def base_spans(raw: DataFrame) -> DataFrame:
-    """row, kind_no, kind, start, end, value, pattern (empty if no word stands before)."""
+    """row, kind_no, kind, start, end, value, pattern, wide (empty if no word, no two words stand before)."""
     out = None
     for no, kind in enumerate(KINDS):
         spans = (
             _placed(raw, kind)
-            .where(_valid(kind, F.col("g0")))
-            .select("row", F.lit(no).alias("kind_no"), F.lit(kind).alias("kind"), "start", (F.col("start") + F.col("size")).alias("end"), F.col("g0").alias("value"), "pattern")
+            .where(_valid(kind, F.col("value")))
+            .select("row", F.lit(no).alias("kind_no"), F.lit(kind).alias("kind"), "start", (F.col("start") + F.col("size")).alias("end"), "value", "pattern", "wide")
         )
         out = spans if out is None else out.unionByName(spans)
     return out
 
 
 def contexts(raw: DataFrame) -> DataFrame:
-    """row, pattern, value, start, end of identifier-like values."""
+    """row, kind_no, kind, start, end, value, pattern, wide of identifier-like values."""
+    start = F.col("start") + F.col("size")
     return _placed(raw, "context").select(
-        "row",
-        _pattern(F.col("g1"), F.col("g2")).alias("pattern"),
-        F.col("g3").alias("value"),
-        (F.col("start") + F.col("size")).alias("start"),
-        (F.col("start") + F.col("size") + F.length("g3")).alias("end"),
+        "row", F.lit(len(KINDS)).alias("kind_no"), F.lit("id").alias("kind"), start.alias("start"), (start + F.length("value")).alias("end"), "value", "pattern", "wide"
     )
 
 
@@ -137,23 +140,40 @@ def _keyed() -> Column:
     return F.regexp_replace("pattern", "[:=]$", "").isin(*SEED_KEYS) & F.col("pattern").rlike("[:=]$")
 
 
-def pattern_confidence(found: DataFrame, seeds: DataFrame, least: int = 3, sure: float = 0.7) -> DataFrame:
+def occurrences(docs: DataFrame, patterns: DataFrame, most: int = 200_000) -> DataFrame:
+    """(pattern, occurrences) in all texts, whatever follows; up to ``most`` patterns go to the texts, more are joined with the counts."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    words = F.concat(F.regexp_extract_all(text, F.lit(OCCURS), F.lit(1)), F.regexp_extract_all(text, F.lit(OCCURS_TWO), F.lit(1)))
+    rows = docs.select(F.explode(words).alias("words")).select(_pattern(F.col("words")).alias("pattern"))
+    asked = patterns.select("pattern")
+    if asked.count() <= most:
+        rows = rows.join(F.broadcast(asked), "pattern", "left_semi")
+        return rows.groupBy("pattern").agg(F.count(F.lit(1)).alias("occurrences"))
+    return rows.groupBy("pattern").agg(F.count(F.lit(1)).alias("occurrences")).join(asked, "pattern", "left_semi")
+
+
+def pattern_confidence(found: DataFrame, seeds: DataFrame, least: int = 3, sure: float = 0.7, shares: DataFrame | None = None) -> DataFrame:
     """(pattern, confidence, support) of the patterns that pass when no round adds one.
 
-    ``found``: (pattern, value); ``seeds``: (value). A pattern's confidence is the mean
-    over its distinct values, shrunk by half a value; a value's is 1 for seeds and else
-    that of its best passing pattern. Both only grow, and so does the set of passing
-    patterns, which ends the rounds.
+    ``found``: (pattern, value); ``seeds``: (value); ``shares``: (pattern, share), 1
+    where it is not given. A pattern's confidence is the mean over its distinct values,
+    shrunk by half a value, times its share; a value's is 1 for seeds and else that of its
+    best passing pattern. Both only grow, and so does the set of passing patterns, which
+    ends the rounds.
     """
     graph = materialize(found.groupBy("pattern", "value").count().drop("count"), "graph")
     known = graph.where(_keyed()).select("value").unionByName(seeds.select("value")).distinct().withColumn("seed", F.lit(1.0))
     scored = graph.join(known, "value", "left").select("pattern", "value", F.coalesce("seed", F.lit(0.0)).alias("seed"), F.coalesce("seed", F.lit(0.0)).alias("belief"))
+    share = F.lit(1.0)
+    if shares is not None:
+        scored, share = scored.join(shares, "pattern", "left"), F.coalesce(F.first("share"), F.lit(1.0))
+    kept = [c for c in ("share",) if c in scored.columns]
     n_passing = 0
     while True:
         passing = (
             scored.groupBy("pattern")
-            .agg(F.sum("belief").alias("sum"), F.count(F.lit(1)).alias("support"))
-            .select("pattern", (F.col("sum") / (F.col("support") + 0.5)).alias("confidence"), "support")
+            .agg(F.sum("belief").alias("sum"), F.count(F.lit(1)).alias("support"), share.alias("share"))
+            .select("pattern", (F.col("sum") / (F.col("support") + 0.5) * F.col("share")).alias("confidence"), "support")
             .where((F.col("support") >= least) & (F.col("confidence") >= sure))
         )
         passing = materialize(passing, "patterns")
@@ -162,7 +182,7 @@ def pattern_confidence(found: DataFrame, seeds: DataFrame, least: int = 3, sure:
             return passing
         best = scored.join(passing, "pattern").groupBy("value").agg(F.max("confidence").alias("best"))
         scored = materialize(
-            scored.join(best, "value", "left").select("pattern", "value", "seed", F.greatest("seed", F.coalesce("best", F.lit(0.0))).alias("belief")), "scored"
+            scored.join(best, "value", "left").select("pattern", "value", "seed", *kept, F.greatest("seed", F.coalesce("best", F.lit(0.0))).alias("belief")), "scored"
         )
 
 
@@ -170,7 +190,7 @@ def all_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The document rows (row, doc_id) and the spans (row, kind_no, kind, start, end, value) of base kinds and ``id``."""
     raw = materialize(_raw(docs), "matches")
     base = base_spans(raw)
-    found = contexts(raw).select("row", F.lit(len(KINDS)).alias("kind_no"), F.lit("id").alias("kind"), "start", "end", "value", "pattern")
+    found = contexts(raw)
     # a running maximum of base ends finds overlaps: no base span may reach into a found one
     both = base.unionByName(found)
     w = Window.partitionBy("row").orderBy("start", "kind_no")
@@ -179,11 +199,26 @@ def all_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     both = both.withColumn("next", F.min(F.when(is_base, F.col("start"))).over(w.rowsBetween(1, Window.unboundedFollowing)))
     clear = is_base | ((F.coalesce("reach", F.lit(0)) <= F.col("start")) & (F.col("next").isNull() | (F.col("next") >= F.col("end"))))
     both = materialize(both.where(clear).drop("reach", "next"), "spans")
-    in_graph = (F.col("pattern") != "") & (is_base | F.col("value").rlike("[0-9]") | _keyed())
-    passing = pattern_confidence(both.where(in_graph), both.where(is_base))
+    passing = passing_patterns(docs, both.where(is_base | F.col("value").rlike("[0-9]") | _keyed()), both.where(is_base))
     base, found = both.where(is_base), both.where(~is_base)
-    spans = base.unionByName(found.join(passing.select("pattern"), "pattern", "left_semi"))
-    return raw.select("row", "doc_id"), spans.drop("pattern")
+    labelled = _by_pattern(found).join(passing.select("pattern"), "pattern", "left_semi").drop("pattern").distinct()
+    return raw.select("row", "doc_id"), base.drop("pattern", "wide").unionByName(labelled)
+
+
+def _by_pattern(spans: DataFrame) -> DataFrame:
+    """A row for each of the two patterns of a span."""
+    return spans.withColumn("pattern", F.explode(F.array_distinct(F.array("pattern", "wide")))).where("pattern != ''").drop("wide")
+
+
+def passing_patterns(docs: DataFrame, spans: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(pattern, confidence, support) of the graph over ``spans``; see the module."""
+    graph = _by_pattern(spans).select("pattern", "value")
+    possible = pattern_confidence(graph, seeds).select("pattern")
+    graph = graph.join(possible, "pattern", "left_semi")
+    followed = graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("followed"))
+    share = F.when(_keyed(), 1.0).otherwise(F.least(F.lit(1.0), F.col("followed") / F.col("occurrences")))
+    shares = followed.join(occurrences(docs, possible), "pattern").select("pattern", share.alias("share"))
+    return pattern_confidence(graph, seeds, shares=materialize(shares, "shares"))
 
 
 def private_spans(docs: DataFrame) -> DataFrame:

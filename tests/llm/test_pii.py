@@ -152,3 +152,44 @@ def test_planted_identifiers_behind_words_that_no_list_names(spark):
             if kind == "id":
                 got.add((x["doc_id"], int(start), int(end)))
     assert len(got & planted) / len(planted) > 0.95 and len(got & planted) / len(got) > 0.95
+
+
+def test_ordinary_uses_count_against_a_word(spark):
+    """Words that also stand before seeds pass neither alone nor with the word before, however many seeds follow."""
+    rows = [(i, f"they wrote of 4111 1111 1111 11{i:02d} and to user{i}@site.org in the end", "x", 1) for i in range(40)]
+    rows += [(100 + i, f"one of us, most of them, went to town and came to rest: part {i} of it, to wit of 708663{i:02d} here", "x", 1) for i in range(60)]
+    got = check(spark, rows)
+    assert sum(x["n_id"] for x in got) == 0
+    assert sum(x["n_email"] for x in got) == 40
+
+
+def test_two_words_pass_where_the_last_alone_is_ordinary(spark):
+    """Values that never recur, found behind a pair of words that stands before seeds."""
+    rows = [(i, f"ask. client contact user{i}@site.org or call", "x", 1) for i in range(40)]
+    rows += [(100 + i, f"ask. Client  contact zx{i}k{i * 7919} or call", "x", 1) for i in range(8)]
+    rows += [(200 + i, f"the contact lens, a contact sport and contact qq{i}w{i * 104729} twice", "x", 1) for i in range(60)]
+    got = {x["doc_id"]: x for x in check(spark, rows)}
+    assert all(got[100 + i]["spans"] == f"id:21:{21 + len(f'zx{i}k{i * 7919}')}" for i in range(8) if len(f"zx{i}k{i * 7919}") >= 6)
+    assert all(got[200 + i]["n_id"] == 0 for i in range(60))
+
+
+def test_occurrences_against_plain_counting(spark):
+    rng = random.Random(3)
+    pieces = ["the", "of", "Ref", "x_y", ":", " : ", "=", "= '", " ", "  ", "\n", "12", "é", ",", "a"]
+    texts = ["".join(rng.choices(pieces, k=rng.randint(0, 40))) for _ in range(300)] + [None, ""]
+    want = {}
+    for t in texts:
+        t = t or ""
+        word = r"(?<![A-Za-z0-9_])[A-Za-z_]{2,}(?![A-Za-z_])"
+        for m in re.finditer(word, t):
+            for tail in (r"\s*[:=]|\s+", r"\s+[A-Za-z_]{2,}(?![A-Za-z_])(?:\s*[:=]|\s+)"):
+                rest = re.match(rf"(?:{tail})", t[m.end():])
+                if rest:
+                    key = re.sub(r"\s*([:=])", r"\1", m[0].lower() + rest[0].lower())
+                    key = re.sub(r"\s+", " ", key).rstrip()
+                    want[key] = want.get(key, 0) + 1
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    asked = spark.createDataFrame([(k,) for k in want], "pattern string")
+    for most in (10**6, 0):
+        got = {x["pattern"]: x["occurrences"] for x in pii.occurrences(docs, asked, most=most).collect()}
+        assert got == want
