@@ -73,9 +73,11 @@ def query_table(spark: SparkSession, sf_dir: str, nodes: DataFrame | None = None
     nodes = node_table(spark, sf_dir) if nodes is None else nodes
     items = _read(spark, sf_dir, "benchmark").select(F.lpad(F.col("item_id").cast("string"), 12, "0").alias("query_id"), F.col("text").alias("question"))
     lines = items.select("query_id", F.explode(F.array_distinct(F.split("question", "\n"))).alias("text")).where(F.length("text") >= 20)
-    hits = materialize(nodes.select("text", "doc_id", "page_id", "node_id").join(lines, "text"), "gold")
-    first = hits.groupBy("query_id").agg(F.min("doc_id").alias("doc_id"))
-    gold = hits.join(first, ["query_id", "doc_id"]).groupBy("query_id", "doc_id").agg(F.sort_array(F.collect_set("page_id")).alias("p"), F.sort_array(F.collect_set("node_id")).alias("n"))
+    # a line's first document comes before its matches, so copies of a common line are never joined with all its questions
+    places = nodes.select("text", "doc_id", "page_id", "node_id")
+    holders = places.join(lines.select("text").distinct(), "text", "left_semi").groupBy("text").agg(F.min("doc_id").alias("doc_id"))
+    first = materialize(lines.join(holders, "text").groupBy("query_id").agg(F.min("doc_id").alias("doc_id")), "first")
+    gold = lines.join(first, "query_id").join(places, ["text", "doc_id"]).groupBy("query_id", "doc_id").agg(F.sort_array(F.collect_set("page_id")).alias("p"), F.sort_array(F.collect_set("node_id")).alias("n"))
     none = F.array().cast("array<string>")
     out = items.join(gold, "query_id", "left").select(
         "query_id",
