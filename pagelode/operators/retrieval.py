@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..schemas import HITS
-from ..store import materialize
+from ..store import by_shuffle, join_rule, materialize
 from . import scoring
 from .index import TextIndex
 
@@ -78,7 +78,7 @@ BROADCAST_HITS = 200_000
 def as_hits(found: DataFrame, items: DataFrame, retriever: str) -> DataFrame:
     """Hits of (query_id, item, score, rank) with the items' columns; hits go to the items, not the items' texts to the hits."""
     few = materialize(found.select("query_id", "item", "score", "rank"), "hits")
-    few = F.broadcast(few) if few.count() <= BROADCAST_HITS else few
+    few = F.broadcast(few) if few.count() <= BROADCAST_HITS else by_shuffle(few)
     shown = items.select("item", "doc_id", "page_id", "node_id", "node_type", "text")
     out = shown.join(few, "item").dropDuplicates(["query_id", "item"])
     meta = F.lit(None).cast(HITS["metadata"].dataType)
@@ -87,7 +87,8 @@ def as_hits(found: DataFrame, items: DataFrame, retriever: str) -> DataFrame:
 
 def of_asked_documents(queries: DataFrame, items: DataFrame) -> DataFrame:
     """The items of documents that some question is about, written once."""
-    asked = queries.select("doc_id").distinct()
+    asked = materialize(queries.select("doc_id").distinct(), "asked_documents")
+    asked = F.broadcast(asked) if asked.count() <= BROADCAST_HITS else by_shuffle(asked)
     return materialize(items.join(asked, "doc_id", "left_semi"), "asked")
 
 
@@ -98,9 +99,12 @@ def search(queries: DataFrame, items: DataFrame, method: str, k: int, scope: str
         return scoring.corpus_top_k(queries, items, kind, k, encode, index), label, items
     if index is not None and kind != "dense":
         scores, few = scoring.of_index(queries, index, kind)
-        q = queries.withColumn("scope", F.col("doc_id").cast("string"))
-        return scoring.top_k(q, few, scores, k), label, items
+        rule = join_rule(queries, few)
+        q = rule(queries.withColumn("scope", F.col("doc_id").cast("string")))
+        return scoring.top_k(q, rule(few), scores, k), label, items
     q, i = with_scope(queries, of_asked_documents(queries, items), scope)
+    rule = join_rule(q, i)
+    q, i = rule(q), rule(i)
     scores, label = scoring.score(q, i, method, encode, require_model)
     return scoring.top_k(q, i, scores, k), label, i
 
@@ -138,7 +142,7 @@ def candidates_of(pages: DataFrame, items: DataFrame) -> DataFrame:
     """Nodes on each query's pages (query_id, page_id, page_rank), in the pages' and then the nodes' order, written once."""
     order = Window.partitionBy("query_id").orderBy("page_rank", "node_ord")
     few = materialize(pages.select("query_id", "page_id", "page_rank"), "pages")
-    few = F.broadcast(few) if few.count() <= BROADCAST_HITS else few
+    few = F.broadcast(few) if few.count() <= BROADCAST_HITS else by_shuffle(few)
     rows = items.withColumnRenamed("ord", "node_ord").join(few, "page_id")
     return materialize(rows.withColumn("ord", F.row_number().over(order).cast("long")).withColumn("scope", F.col("query_id")), "candidates")
 
@@ -146,7 +150,8 @@ def candidates_of(pages: DataFrame, items: DataFrame) -> DataFrame:
 def regions_of_pages(queries, nodes, page_hits, method: str, k: int, label: str, encode=None, require_model=False) -> DataFrame:
     """Nodes of the hit pages, ranked with the statistics of that candidate set and fused with the pages' ranks."""
     candidates = candidates_of(page_hits.select("query_id", "page_id", F.col("rank").alias("page_rank")), node_items(nodes))
-    q = queries.withColumn("scope", F.col("query_id"))
+    rule = join_rule(candidates)
+    candidates, q = rule(candidates), rule(queries.withColumn("scope", F.col("query_id")))
     scores, _ = scoring.score(q, candidates, method, encode, require_model)
     inner = scoring.every_item(q, candidates, scores).select("query_id", "item", "ord", F.col("rank").alias("node_rank"))
     total = 1.0 / (60.0 + F.col("node_rank")) + 1.0 / (60.0 + F.col("page_rank"))
@@ -186,7 +191,8 @@ def retrieve_oracle_page_region(queries, nodes, options: dict[str, Any], encode=
     items = node_items(filter_nodes(nodes, options.get("node_types")))
     gold = queries.select("query_id", F.posexplode("evidence_page_ids").alias("page_rank", "page_id"))
     candidates = candidates_of(gold, items)
-    q = queries.withColumn("scope", F.col("query_id"))
+    rule = join_rule(candidates)
+    candidates, q = rule(candidates), rule(queries.withColumn("scope", F.col("query_id")))
     o = _region_options(options)
     scores, _ = scoring.score(q, candidates, method, encode, o["require_model"])
     k = int(options.get("region_top_k", top_k_of(options.get("top_k"))))
