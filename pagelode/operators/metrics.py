@@ -7,13 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..store import by_shuffle
+
 METRICS = ("page_recall@1", "page_recall@5", "page_recall@10", "mrr", "ndcg@5", "ndcg@10", "region_hit@5")
 
 
 def judged(queries: DataFrame, hits: DataFrame) -> DataFrame:
     """Queries left-joined with their hits: page_match, node_match, match, place (order by rank within the query)."""
     gold = queries.select("query_id", "evidence_page_ids", "evidence_node_ids")
-    rows = gold.join(hits.select("query_id", "rank", "page_id", "node_id"), "query_id", "left")
+    rows = by_shuffle(gold).join(hits.select("query_id", "rank", "page_id", "node_id"), "query_id", "left")
     in_list = lambda ids, c: F.coalesce(F.array_contains(F.col(ids), F.col(c)), F.lit(False))
     rows = rows.withColumns({"page_match": in_list("evidence_page_ids", "page_id"), "node_match": in_list("evidence_node_ids", "node_id")})
     by_node = F.col("node_id").isNotNull() & (F.col("node_id") != "") & (F.size("evidence_node_ids") > 0)
@@ -64,7 +66,7 @@ def evaluate(queries: DataFrame, hits: DataFrame) -> DataFrame:
 def error_rows(queries: DataFrame, hits: DataFrame) -> DataFrame:
     """Queries whose first five hits miss the gold pages, or the gold nodes if there are any."""
     top = hits.where("rank <= 5").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "page_id", "node_id"))).alias("top"))
-    rows = queries.join(top, "query_id", "left").withColumn("top", F.coalesce("top", F.array().cast("array<struct<rank:int,page_id:string,node_id:string>>")))
+    rows = by_shuffle(queries).join(top, "query_id", "left").withColumn("top", F.coalesce("top", F.array().cast("array<struct<rank:int,page_id:string,node_id:string>>")))
     pages = F.transform("top", lambda x: x["page_id"])
     nodes = F.filter(F.transform("top", lambda x: x["node_id"]), lambda x: x.isNotNull() & (x != ""))
     out = rows.select(

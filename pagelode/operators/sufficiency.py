@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..functions import text as tx
+from ..store import by_shuffle
 
 STATUSES = ("sufficient", "partial", "citation_mismatch", "insufficient")
 
@@ -77,7 +78,7 @@ def cases(queries: DataFrame, hits: DataFrame, top_k: int = 3) -> DataFrame:
     )
     filled = lambda name: F.filter(F.transform("top", lambda x: x[name]), lambda x: x.isNotNull() & (x != ""))
     empty = F.array().cast("array<string>")
-    rows = queries.join(top, "query_id", "left").withColumns(
+    rows = by_shuffle(queries).join(top, "query_id", "left").withColumns(
         {
             "evidence_text": F.coalesce(F.array_join(F.transform("top", lambda x: F.coalesce(x["text"], F.lit(""))), "\n"), F.lit("")),
             "evidence_node_ids_found": F.coalesce(filled("node_id"), empty),
