@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..sources import files
-from ..store import folder, materialize
+from ..store import by_shuffle, folder, materialize
 
 K1, B = 1.5, 0.75
 SHARD_ITEMS, SHARD_POSTINGS, BLOCK = 4096, 1_000_000, 64
@@ -356,6 +356,21 @@ class TextIndex:
         asked = self.spark.createDataFrame([(t,) for t in tokens], "token long")
         return {r["token"]: r["df"] for r in self.statistics().join(F.broadcast(asked), "token").collect()}
 
+    def alike(self, queries: DataFrame, method: str) -> DataFrame:
+        """query_id, head: questions with the same known tokens have the same scores, so the one with the least id can be searched for all of them.
+
+        For TF-IDF unknown tokens must be as many too, as they lengthen a question's vector. Questions without a known token find nothing and are left out.
+        """
+        asked = queries.select("query_id", F.explode(hashed_tokens(F.col("question"))).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("times"))
+        known = self.statistics().select(F.col("token").alias("known")).where("known is not null")
+        rows = by_shuffle(asked).join(by_shuffle(known), F.col("token") == F.col("known"), "left")
+        rows = rows if method != "bm25" else rows.where("known is not null")
+        terms = rows.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("known", "times"))).alias("terms"))
+        terms = materialize(terms.where(F.exists("terms", lambda t: t["known"].isNotNull())), "terms")
+        heads = materialize(terms.groupBy("terms").agg(F.min("query_id").alias("head")), "heads")
+        heads = F.broadcast(heads) if heads.limit(QUESTIONS + 1).count() <= QUESTIONS else by_shuffle(heads)
+        return materialize(terms.join(heads, "terms").select("query_id", "head"), "alike")
+
     def search(self, queries: DataFrame, method: str, k: int, block: int = QUESTIONS, vocabulary: int = VOCABULARY) -> DataFrame:
         """query_id, item, ord, score, blocks, read: the k best items of every question (query_id, question) among those with a score.
 

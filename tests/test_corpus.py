@@ -65,3 +65,19 @@ def test_numbered(spark):
     df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("x")).repartition(7)
     assert sorted((r["no"], r["x"]) for r in numbered(df, "no", "x").collect()) == [(k + 1, k) for k in range(1000)]
     assert numbered(df.limit(0), "no", "x").count() == 0
+
+
+@pytest.mark.parametrize("method", ["bm25", "tfidf"])
+def test_questions_that_an_index_cannot_tell_apart_are_searched_once(spark, method, monkeypatch):
+    docs = texts(60, 8)
+    kinds = [*texts(3, 9), "w1 w1 w2"]
+    asked = {f"q{k:03}": f"{kinds[k % 4]} unknown{k}" + " unknown0 other" * (k % 8 == 3) for k in range(80)} | {"none": "nothing", "empty": ""}
+    items = spark.createDataFrame([(f"i{k}", k, t) for k, t in enumerate(docs)], "item string, ord long, score_text string").repartition(3)
+    queries = spark.createDataFrame(list(asked.items()), "query_id string, question string")
+    shown = lambda: {(r["query_id"], r["rank"]): (r["item"], round(r["score"], 9)) for r in scoring.corpus_top_k(queries, items, method, 4).collect()}
+    one_by_one, searched = shown(), []
+    monkeypatch.setattr(scoring, "QUESTIONS", 10)
+    search = scoring.corpus.search
+    monkeypatch.setattr(scoring.corpus, "search", lambda q, *a, **b: searched.append(q.count()) or search(q, *a, **b))
+    assert len(one_by_one) == 82 * 4 and shown() == one_by_one
+    assert searched == [4 if method == "bm25" else 5]
