@@ -230,8 +230,7 @@ def tokenize_tf(spark, sf_dir):
 
 @_query(f"WITH {_VIEWS}, {_bm25_sql('b_', *_CORPUS_PAGES)} SELECT tok AS token, df FROM b_df")
 def doc_freq(spark, sf_dir):
-    counts = sc.term_counts(sc.tokenized(_corpus_pages(spark, sf_dir)))
-    return counts.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    return sc.document_frequency(sc.tokenized(_corpus_pages(spark, sf_dir)))
 
 
 @_query(f"WITH {_VIEWS}, {_bm25_sql('b_', *_CORPUS_PAGES)}, {_top_sql('b_', 10)} {_hits_sql('b_', 'bm25')}")
