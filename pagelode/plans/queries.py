@@ -225,7 +225,7 @@ def _corpus_pages(spark, sf_dir):
 
 @_query(f"WITH {_VIEWS}, {_bm25_sql('b_', *_CORPUS_PAGES)} SELECT item AS page_id, tok AS token, tf, CAST(size AS INTEGER) AS size FROM b_tf")
 def tokenize_tf(spark, sf_dir):
-    return sc.term_counts(sc.tokenized(_corpus_pages(spark, sf_dir))).select(F.col("item").alias("page_id"), "token", "tf", "size")
+    return sc.row_counts(sc.tokenized(_corpus_pages(spark, sf_dir))).select(F.col("item").alias("page_id"), "token", "tf", "size")
 
 
 @_query(f"WITH {_VIEWS}, {_bm25_sql('b_', *_CORPUS_PAGES)} SELECT tok AS token, df FROM b_df")
