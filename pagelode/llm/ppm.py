@@ -51,7 +51,9 @@ FREQUENT = 131_072
 _EMPTY = np.uint64(2**64 - 1)
 
 #: Characters of texts that are counted or scored at once.
-_GROUP = 4_000_000
+_GROUP = 1_000_000
+#: Distinct grams that a task holds before it sends them on.
+_HELD = 1_000_000
 
 
 def _mask(n_bytes: int) -> np.uint64:
@@ -280,6 +282,53 @@ def _lowered(text: str) -> bytes:
     return text.encode("utf-8", "replace").translate(LOWER_BYTES)
 
 
+def _added(grams: np.ndarray, counts: np.ndarray, more: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct grams and their counts, of two such tables."""
+    both, n = np.concatenate([grams, more]), np.concatenate([counts, times])
+    order = np.argsort(both, kind="stable")
+    both, n = both[order], n[order]
+    first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]]) if len(both) else order
+    return both[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def counted(batches: Iterator[pa.RecordBatch], order: int, group: int = _GROUP, held: int = _HELD) -> Iterator[pa.RecordBatch]:
+    """Batches (word, gram, n) of batches (doc_id, text); what is held of them stays within a few times ``group`` and ``held`` keys."""
+    _tables.clear()  # of an earlier query in this worker
+    words: Counter = Counter()
+    grams, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    ends = 0
+
+    def emit(w: dict, g: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+        none = len(w)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([x.decode() for x in w] + [None] * len(g), pa.string()),
+                pa.array(np.concatenate([np.zeros(none, np.int64), g.astype(np.int64)]), mask=np.arange(none + len(g)) < none),
+                pa.array(np.concatenate([np.fromiter(w.values(), np.int64, none), c])),
+            ],
+            ["word", "gram", "n"],
+        )
+
+    for _, texts in _groups(batches, group):
+        lowered = [_lowered(t) for t in texts]
+        ends += len(lowered)
+        for part in chain.from_iterable(map(word_parts, lowered)):
+            words.update(part)
+        short = [t for t in lowered if len(t) <= group]
+        parts = (framed(x, order)[0] for x in [short] if x)
+        for keys in chain(parts, *(framed_parts(t, order, group) for t in lowered if len(t) > group)):
+            grams, counts = _added(grams, counts, *np.unique(keys, return_counts=True))
+            if len(grams) > held:
+                yield emit({}, grams, counts)
+                grams, counts = grams[:0], counts[:0]
+        if len(words) > 500_000:
+            yield emit(words, grams[:0], counts[:0])
+            words = Counter()
+    if ends:
+        yield emit(words, grams, counts)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([None], pa.int64()), pa.array([ends])], ["word", "gram", "n"])
+
+
 def corpus_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """(word, gram, n): counts of words and of deepest grams in the training documents.
 
@@ -287,39 +336,7 @@ def corpus_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter = Counter()
-        grams, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        ends = 0
-
-        def emit(w: dict, g: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
-            none = len(w)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([x.decode() for x in w] + [None] * len(g), pa.string()),
-                    pa.array(np.concatenate([np.zeros(none, np.int64), g.astype(np.int64)]), mask=np.arange(none + len(g)) < none),
-                    pa.array(np.concatenate([np.fromiter(w.values(), np.int64, none), c])),
-                ],
-                ["word", "gram", "n"],
-            )
-
-        for _, texts in _groups(batches, _GROUP):
-            lowered = [_lowered(t) for t in texts]
-            ends += len(lowered)
-            for part in chain.from_iterable(map(word_parts, lowered)):
-                words.update(part)
-            short = [t for t in lowered if len(t) <= _GROUP]
-            parts = [framed(short, order)[0]] if short else []
-            for keys in chain(parts, *(framed_parts(t, order, _GROUP) for t in lowered if len(t) > _GROUP)):
-                u, c = np.unique(keys, return_counts=True)
-                merged, place = np.unique(np.concatenate([grams, u]), return_inverse=True)
-                counts = np.bincount(place, np.concatenate([counts, c]), len(merged)).astype(np.int64)
-                grams = merged
-            if len(words) > 500_000 or len(grams) > 2_000_000:
-                yield emit(words, grams, counts)
-                words, grams, counts = Counter(), grams[:0], counts[:0]
-        if ends:
-            yield emit(words, grams, counts)
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([None], pa.int64()), pa.array([ends])], ["word", "gram", "n"])
+        yield from counted(batches, order)
 
     found = docs.where(~is_held_out(F.col("doc_id"))).select("doc_id", "text").mapInArrow(count, "word string, gram long, n long")
     return found.groupBy("word", "gram").agg(F.sum("n").alias("n"))
