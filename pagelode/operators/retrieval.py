@@ -13,6 +13,7 @@ from typing import Any
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import store
 from ..functions import text as tx
 from ..schemas import HITS
 from ..store import by_shuffle, join_rule, materialize
@@ -88,7 +89,7 @@ def as_hits(found: DataFrame, items: DataFrame, retriever: str) -> DataFrame:
 def of_asked_documents(queries: DataFrame, items: DataFrame) -> DataFrame:
     """The items of documents that some question is about, written once."""
     asked = materialize(queries.select("doc_id").distinct(), "asked_documents")
-    asked = F.broadcast(asked) if asked.count() <= BROADCAST_HITS else by_shuffle(asked)
+    asked = F.broadcast(asked) if asked.count() <= store.BROADCAST_ROWS else by_shuffle(asked)
     return materialize(items.join(asked, "doc_id", "left_semi"), "asked")
 
 

@@ -47,3 +47,15 @@ def test_scores_by_either_join(spark, monkeypatch):
     few = shown()
     monkeypatch.setattr(store, "BROADCAST_ROWS", 5)
     assert len(few) > 50 and shown() == few
+
+
+def test_scores_are_computed_once(spark):
+    """The best of a question are read twice (to fill up, and as they are), so they are written."""
+    q = spark.createDataFrame([("q", "d"), ("r", "d")], "query_id string, scope string")
+    items = spark.createDataFrame([("d", f"i{k}", k) for k in range(5)], "scope string, item string, ord long")
+    same = lambda batches: batches
+    scores = q.join(items, "scope").where("ord < 2").selectExpr("query_id", "scope", "item", "ord", "1D / (ord + 1) AS score")
+    scores = scores.mapInArrow(same, scores.schema)
+    best = scoring.top_k(q, items, scores, 3)
+    assert "MapInArrow" not in best._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["query_id"], r["item"], r["rank"]) for r in best.collect()) == [(q, f"i{k}", k + 1) for q in "qr" for k in range(3)]
