@@ -17,7 +17,6 @@ characters is encoded slice by slice, cut at spaces; extra columns are ignored.
 
 from __future__ import annotations
 
-import ctypes
 import string
 import zlib
 from array import array
@@ -32,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..store import release_memory
 from .storage import materialize
 
 CAPACITY = 4096
@@ -162,15 +162,6 @@ def _groups(batches: Iterator[pa.RecordBatch], most_chars: int = 500_000) -> Ite
     release_memory()
 
 
-def release_memory() -> None:
-    """Give freed memory back, so that a worker that later tasks use again stays small."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
-        return
-
-
 def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per piece: row (unique per document row), doc_id, piece, start, length, ids_crc32, if asked ids, and the columns ``keep``."""
     path = tokenizer or default_tokenizer()

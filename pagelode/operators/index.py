@@ -1,7 +1,7 @@
 """An inverted index that is written once, read by every search, and grows by versions.
 
 The texts are read once: a task gathers its items into shards of at most ``SHARD_ITEMS``
-items or ``SHARD_POSTINGS`` postings and writes one row a shard, with its items, their
+items, up to the one that reaches ``SHARD_POSTINGS`` tokens, and writes one row a shard, with its items, their
 sizes, the sorted hashes of its tokens and their postings in blocks of ``BLOCK``. A block
 stores its highest frequency and its least size. BM25 grows with the one and falls with the
 other, so the two bound a block's weight whatever the corpus statistics are, and a new
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..sources import files
-from ..store import by_shuffle, folder, materialize
+from ..store import by_shuffle, folder, materialize, release_memory
 
 K1, B = 1.5, 0.75
 SHARD_ITEMS, SHARD_POSTINGS, BLOCK = 4096, 1_000_000, 64
@@ -80,10 +80,15 @@ class _Gathered:
         self.batches: list[pa.RecordBatch] = []
         self.items = self.tokens = 0
 
-    def add(self, batch: pa.RecordBatch) -> None:
-        self.batches.append(batch)
-        self.items += batch.num_rows
-        self.tokens += len(batch.column(3).flatten())
+    def take(self, batch: pa.RecordBatch, at: int, ends: np.ndarray) -> int:
+        """Add items of the batch from place ``at`` on until there are enough; ``ends``: tokens up to each item's end. The place after them."""
+        before = ends[at - 1] if at else 0
+        fit = int(np.searchsorted(ends, before + SHARD_POSTINGS - self.tokens)) + 1
+        end = min(batch.num_rows, at + SHARD_ITEMS - self.items, fit)
+        self.batches.append(batch.slice(at, end - at))
+        self.items += end - at
+        self.tokens += int(ends[end - 1] - before)
+        return end
 
     @property
     def full(self) -> bool:
@@ -125,13 +130,16 @@ def _shards(items: DataFrame, version: int) -> DataFrame:
 
         held, no, part = _Gathered(), 0, TaskContext.get().partitionId()
         for batch in batches:
-            for at in range(0, batch.num_rows, SHARD_ITEMS):
-                held.add(batch.slice(at, SHARD_ITEMS))
+            ends, at = np.cumsum(batch.column(3).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)), 0
+            while at < batch.num_rows:
+                at = held.take(batch, at, ends)
                 if held.full:
                     yield held.row(f"{version}-{part}-{no}")
                     held, no = _Gathered(), no + 1
         if held.items:
             yield held.row(f"{version}-{part}-{no}")
+        held.batches.clear()
+        release_memory()
 
     doc = F.col("doc_id").cast("string") if "doc_id" in items.columns else F.lit(None).cast("string")
     rows = items.select(F.col("item").cast("string").alias("item"), doc.alias("doc"), F.col("ord").cast("long").alias("ord"), hashed_tokens(F.col("score_text")).alias("tokens"))
@@ -276,6 +284,7 @@ class TextIndex:
     def append(self, items: DataFrame) -> TextIndex:
         """The next version, with more items; their statistics come from the shards just written."""
         version = self.version + 1
+        self.spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
         _shards(items, version).write.mode("overwrite").parquet(self._folder(version, "shards"))
         self._changes(self._read([version], "shards", _SHARD), version, 1)
         return self._commit("append")
@@ -437,7 +446,7 @@ class TextIndex:
                 for row in range(batch.num_rows):
                     shard = Shard(batch, row)
                     _, out, share = parts(shard)
-                    name = pa.array([batch.column(batch.schema.get_field_index("shard"))[row].as_py()] * len(out), pa.string())
+                    name = pa.repeat(batch.column(batch.schema.get_field_index("shard"))[row], len(out))
                     token = np.repeat(shard.token, shard.df)[out]
                     yield pa.RecordBatch.from_arrays([name, pa.array(shard.at[out], pa.int32()), pa.array(token), pa.array(share[out])], ["shard", "at", "token", "share"])
 
@@ -505,6 +514,7 @@ class TextIndex:
                         if (lists >= 0).any():
                             best.visit(shard, question, lists[lists >= 0], weight[lists >= 0], value, bound)
             yield from best.batches()
+            release_memory()
 
         return shards.drop("doc").mapInArrow(run, _FOUND)
 

@@ -147,3 +147,12 @@ def test_stream_takes_new_versions(spark, tmp_path):
     query.stop()
     got = {(r["query_id"], r["rank"]): r["page_id"] for r in spark.read.parquet(out).collect()}
     assert got == {("before", 1): "p3", ("before", 2): "p0", ("after", 1): "p4", ("after", 2): "p0"}
+
+
+def test_long_items_make_shards_of_bounded_size(spark):
+    """A shard ends with the item that reaches the bound, however many items a batch brings."""
+    rows = [(f"i{k}", "d", k, "w1 w2 " * 200_000) for k in range(6)]
+    index = TextIndex.build(spark.createDataFrame(rows, ITEMS).coalesce(1))
+    sizes = [sum(r["size"]) for r in index.shards().select("size").collect()]
+    assert sum(sizes) == 2_400_000 and max(sizes) < ix.SHARD_POSTINGS + 400_001
+    assert index.total == (6, 400_000.0)
