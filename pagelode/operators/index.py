@@ -102,7 +102,7 @@ class _Gathered:
         token = lists.flatten().to_numpy(zero_copy_only=False)
         size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
         at = np.repeat(np.arange(len(size), dtype=np.int32), size)
-        order = np.lexsort((at, token))
+        order = np.argsort(token, kind="stable")  # items are in order already
         token, at = token[order], at[order]
         first = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (at[1:] != at[:-1])]) if len(token) else np.zeros(0, int)
         tf, token, at = np.diff(np.r_[first, len(token)]), token[first], at[first]
