@@ -19,6 +19,7 @@ from ..operators import metrics as mt
 from ..operators import retrieval as rt
 from ..operators import scoring as sc
 from ..operators import sufficiency as sf
+from ..operators.index import TextIndex
 from ..schemas import QUERIES as QUERY_SCHEMA
 from ..sources import prepare as pp
 from ..store import materialize
@@ -262,7 +263,8 @@ h_top AS (SELECT query_id, item, score, row_number() OVER (PARTITION BY query_id
 @_query(f"WITH {_VIEWS}, {_HYBRID} SELECT query_id, item, round(score, 6) AS score, first FROM fused")
 def rrf_fusion(spark, sf_dir):
     q, items = query_table(spark, sf_dir), rt.page_items(page_table(spark, sf_dir))
-    both = sc.fused([rt.search(q, items, m, 20)[0] for m in ("bm25", "tfidf")])
+    index = TextIndex.build(items)
+    both = sc.fused([rt.search(q, items, m, 20, index=index)[0] for m in ("bm25", "tfidf")])
     return both.select("query_id", "item", F.round("score", 6).alias("score"), (F.col("first.method") * 1000 + F.col("first.rank")).cast("long").alias("first"))
 
 

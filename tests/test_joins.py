@@ -59,3 +59,12 @@ def test_scores_are_computed_once(spark):
     best = scoring.top_k(q, items, scores, 3)
     assert "MapInArrow" not in best._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r["query_id"], r["item"], r["rank"]) for r in best.collect()) == [(q, f"i{k}", k + 1) for q in "qr" for k in range(3)]
+
+
+def test_fusion_reads_the_texts_once(spark, monkeypatch):
+    from pagelode.operators.index import TextIndex
+    from pagelode.plans import queries
+
+    built, build = [], TextIndex.build.__func__
+    monkeypatch.setattr(TextIndex, "build", classmethod(lambda cls, *a, **b: built.append(1) or build(cls, *a, **b)))
+    assert queries.rrf_fusion(spark, SMALL).count() and len(built) == 1
