@@ -128,11 +128,11 @@ def split_nodes(pages: DataFrame) -> DataFrame:
         F.when(F.size(blocks) > 0, "pymupdf_block_metric_rows").otherwise("text_fallback").alias("method"),
         F.to_json(tx.page_units(tx.clean(F.col("page_text")))).alias("unit_candidates"),
         F.coalesce("source_pdf", F.lit("")).alias("source_pdf"),
-        tx.first_filled(tx.clean(F.col("page_text")), F.col("page_id")).alias("default"),
+        "page_text",
     )
     # one shuffle by document serves all three windows, and only a page without parts carries its text through it
-    default = F.when(F.size("parts") == 0, F.col("default"))
-    exploded = listed.withColumn("default", default).select("*", F.posexplode_outer("parts").alias("no", "part")).drop("parts").repartition("doc_id")
+    default = F.when(F.size("parts") == 0, tx.first_filled(tx.clean(F.col("page_text")), F.col("page_id")))
+    exploded = listed.withColumn("default", default).drop("page_text").select("*", F.posexplode_outer("parts").alias("no", "part")).drop("parts").repartition("doc_id")
     first = Window.partitionBy("doc_id", "page_id", "part.key").orderBy("no")
     kept = exploded.withColumn("seen", F.row_number().over(first)).where("part is null or (seen = 1 and part.key <> '')")
     index = F.row_number().over(Window.partitionBy("doc_id", "page_id").orderBy("no"))
