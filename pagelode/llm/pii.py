@@ -43,9 +43,8 @@ CONTEXT = r"(?<![A-Za-z0-9_])[A-Za-z_]{2,}+(?:\s*+[:=]\s*+[\"']?|\s++(?=[A-Za-z_
 LEFT = r"(?<![A-Za-z0-9_])([A-Za-z_]{2,}+(?:\s*+[:=]\s*+[\"']?|\s++))\z"
 LEFT_TWO = r"(?<![A-Za-z0-9_])([A-Za-z_]{2,}+\s++[A-Za-z_]{2,}+(?:\s*+[:=]\s*+[\"']?|\s++))\z"
 WORD_BEFORE = r"(?<![A-Za-z0-9_])([A-Za-z_]{2,}+\s++)\z"
-#: All occurrences of patterns, whatever follows; those of two words share words.
-OCCURS = r"(?<![A-Za-z0-9_])([A-Za-z_]{2,}+(?:\s*+[:=]|\s++))"
-OCCURS_TWO = r"(?<![A-Za-z0-9_])(?=([A-Za-z_]{2,}+\s++[A-Za-z_]{2,}+(?:\s*+[:=]|\s++)))[A-Za-z_]"
+#: A run of words with blanks between them, each an occurrence of a pattern whatever follows, up to one with a separator.
+CHAIN = r"(?<![A-Za-z0-9_])(?:(?:[A-Za-z_]{2,}+\s++(?![:=]))++(?:[A-Za-z_]{2,}+\s*+[:=])?+|[A-Za-z_]{2,}+\s*+[:=])"
 #: Key words whose values are seeds.
 SEED_KEYS = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_key", "ssn", "passport", "iban")
 
@@ -140,11 +139,18 @@ def _keyed() -> Column:
     return F.regexp_replace("pattern", "[:=]$", "").isin(*SEED_KEYS) & F.col("pattern").rlike("[:=]$")
 
 
+def _words(text: Column) -> Column:
+    """The words of each run in a text, in the form of patterns; forms are made once for a text, not for each word and pair."""
+    runs = F.array_join(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(CHAIN), F.lit(0)), ";")
+    plain = F.regexp_replace(F.lower(runs), r"\s{2,}+|[\t\n\x0B\f\r]", " ")
+    plain = F.replace(F.replace(F.replace(plain, F.lit(" :"), F.lit(":")), F.lit(" ="), F.lit("=")), F.lit(" ;"), F.lit(";"))
+    return F.transform(F.split(F.rtrim(plain), ";"), lambda run: F.split(run, " "))
+
+
 def occurrences(docs: DataFrame, patterns: DataFrame, most: int = 200_000) -> DataFrame:
     """(pattern, occurrences) in all texts, whatever follows; up to ``most`` patterns go to the texts, more are joined with the counts."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    words = F.concat(F.regexp_extract_all(text, F.lit(OCCURS), F.lit(1)), F.regexp_extract_all(text, F.lit(OCCURS_TWO), F.lit(1)))
-    rows = docs.select(F.explode(words).alias("words")).select(_pattern(F.col("words")).alias("pattern"))
+    rows = docs.select(F.explode(_words(F.col("text"))).alias("words")).select(F.inline(F.arrays_zip(F.col("words").alias("one"), F.slice("words", 2, F.size("words")).alias("next"))))
+    rows = rows.select(F.explode(F.array("one", F.concat("one", F.lit(" "), "next"))).alias("pattern")).where("pattern is not null")
     asked = patterns.select("pattern")
     if asked.count() <= most:
         rows = rows.join(F.broadcast(asked), "pattern", "left_semi")

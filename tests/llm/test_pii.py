@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from pagelode.llm import pii
 
 SCHEMA = "doc_id long, text string, row string, start int"
@@ -193,3 +195,13 @@ def test_occurrences_against_plain_counting(spark):
     for most in (10**6, 0):
         got = {x["pattern"]: x["occurrences"] for x in pii.occurrences(docs, asked, most=most).collect()}
         assert got == want
+
+
+def test_words_of_a_run_are_found_at_once(spark):
+    """One search for words and pairs alike, also in runs far longer than any stack."""
+    text = "The  ref : x1 of\tUs ab=cd ef. " + "word " * 60_000 + "end:\n= gh"
+    docs = spark.createDataFrame([(text,), (None,), ("",)], "text string")
+    got = [r["w"] for r in docs.select(pii._words(F.col("text")).alias("w")).collect()]
+    assert got == [[["the", "ref:"], ["of", "us", "ab="], ["cd"], ["word"] * 60_000 + ["end:"]], [[""]], [[""]]]
+    asked = spark.createDataFrame([("word",), ("word word",), ("word end:",), ("",), ("ref: x",)], "pattern string")
+    assert {tuple(r) for r in pii.occurrences(docs, asked.where("pattern <> ''")).collect()} == {("word", 60_000), ("word word", 59_999), ("word end:", 1)}
