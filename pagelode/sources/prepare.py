@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as lx
 from ..functions import text as tx
 from ..schemas import ANNOTATION_COLUMNS, NODES, PAGES
-from ..store import numbered
+from ..store import materialize, numbered
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -158,20 +158,37 @@ def split_nodes(pages: DataFrame) -> DataFrame:
     return out.select(*(F.col(f.name).cast(f.dataType) for f in NODES.fields))
 
 
-def annotation_score() -> Column:
-    """How well a node (``text``) matches an annotation's value, keywords, snippets and unit."""
+SNIPPETS, ANSWERS = ("value_evidence_text", "unit_evidence_text", "evidence_text"), ("raw_answer_value", "answer")
+
+
+def annotation_forms() -> list[Column]:
+    """What :func:`annotation_score` compares of an annotation, made once for it and not for every node."""
+    forms = [tx.match_form(F.col(c)).alias(f"{c} form") for c in ANSWERS + SNIPPETS]
+    numbers = [tx.compact_number(tx.match_form(F.col(c))).alias(f"{c} number") for c in ANSWERS]
+    chars = [tx.distinct_chars(tx.match_form(F.col(c)), 160).alias(f"{c} chars") for c in SNIPPETS]
+    asked = F.filter(F.array(*map(F.lit, lx.FINANCIAL)), lambda k: F.contains(tx.text_of(F.col("question")), k)).alias("asked")
+    return [*forms, *numbers, *chars, asked]
+
+
+def node_forms() -> list[Column]:
+    """What :func:`annotation_score` compares of a node (``text``), made once for it."""
     t = tx.match_form(F.col("text"))
+    return [t.alias("node form"), tx.compact_number(t).alias("node number"), tx.distinct_chars(t, 260).alias("node chars")]
+
+
+def annotation_score() -> Column:
+    """How well a node (``text``) matches an annotation's value, keywords, snippets and unit; needs the forms of both."""
+    t = F.col("node form")
     total = F.lit(0.0)
-    for c in ("raw_answer_value", "answer"):
-        v = tx.match_form(F.col(c))
-        n = tx.compact_number(v)
+    for c in ANSWERS:
+        v, n = F.col(f"{c} form"), F.col(f"{c} number")
         total = total + F.when((v != "") & F.contains(t, v), 5.0).otherwise(0.0)
-        total = total + F.when((n != "") & F.contains(tx.compact_number(t), n), 3.5).otherwise(0.0)
+        total = total + F.when((n != "") & F.contains(F.col("node number"), n), 3.5).otherwise(0.0)
     for k in lx.FINANCIAL:
-        total = total + F.when(F.contains(tx.text_of(F.col("question")), F.lit(k)) & F.contains(F.col("text"), F.lit(k)), 4.0).otherwise(0.0)
-    for c in ("value_evidence_text", "unit_evidence_text", "evidence_text"):
-        s = tx.match_form(F.col(c))
-        total = total + F.when((F.length(s) >= 16) & F.contains(t, F.substring(s, 1, 80)), 3.0).when(s != "", tx.char_overlap(s, t)).otherwise(0.0)
+        total = total + F.when(F.array_contains("asked", k) & F.contains(F.col("text"), F.lit(k)), 4.0).otherwise(0.0)
+    for c in SNIPPETS:
+        s = F.col(f"{c} form")
+        total = total + F.when((F.length(s) >= 16) & F.contains(t, F.substring(s, 1, 80)), 3.0).when(s != "", tx.shared_chars(F.col(f"{c} chars"), F.col("node chars"))).otherwise(0.0)
     unit = tx.text_of(F.col("answer_unit"))
     return total + F.when((unit != "") & F.contains(F.col("text"), unit), 1.0).otherwise(0.0)
 
@@ -182,8 +199,10 @@ def match_annotations(annotations: DataFrame, nodes: DataFrame, dataset: str, fi
     rows = rows.withColumns({c: F.lit(None).cast("string") for c in ANNOTATION_COLUMNS if c not in annotations.columns})
     pages = F.filter(F.transform(F.split(tx.text_of(F.col("evidence_pages")), ";"), tx.stripped), lambda x: x != "")
     rows = rows.withColumn("pages", pages)
-    pairs = rows.select("*", F.posexplode("pages").alias("page_no", "page_id")).join(nodes.select("page_id", "node_id", "text", "reading_order", "ord"), "page_id")
-    scored = pairs.withColumn("match", annotation_score())
+    # only what the score compares goes to the nodes, formed on either side before they meet, and only scores come back
+    asked = rows.select("no", "question", "answer_unit", "pages", *annotation_forms()).select("*", F.posexplode("pages").alias("page_no", "page_id")).drop("pages", "question")
+    pairs = asked.join(nodes.select("page_id", "node_id", "text", "reading_order", "ord", *node_forms()), "page_id")
+    scored = materialize(pairs.select("no", "page_no", "node_id", "reading_order", "ord", annotation_score().alias("match")), "scored")
     best = Window.partitionBy("no").orderBy(F.desc(F.round("match", 9)), "reading_order", "page_no", "ord")
     top = scored.where("match > 0").withColumn("place", F.row_number().over(best)).where("place <= 3")
     ordered = lambda c: F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct(c, "node_id"))), lambda x: x["node_id"]))
@@ -256,6 +275,8 @@ def annotation_kinds(pages: DataFrame) -> DataFrame:
     """One row per document and question kind (``kind_no``, see KIND_NAMES) that the pages answer."""
     text = tx.text_of(F.col("page_text"))
     lit = F.lit
+    # every kind of question reads the pages, so they are made, and their units looked up, once
+    pages = back = materialize(unit_lookback(pages), "pages")
     first = pages.groupBy("doc_id").agg(F.min_by(F.struct("page_text", "page_id"), "page_index").alias("p"))
     doc = first.select(
         "doc_id",
@@ -277,7 +298,6 @@ def annotation_kinds(pages: DataFrame) -> DataFrame:
         row(doc.where("title <> ''"), 1, question=F.concat("company", lit("年度报告首页或标题处显示的报告标题是什么？")), answer=F.col("title"), **cover, **fact),
     ]
     asked = doc.select("doc_id", "company", "year")
-    back = unit_lookback(pages)
     best = lambda rows, *order: rows.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))).where("place = 1").join(asked, "doc_id")
     for no, (words, ending, section) in enumerate(METRIC_QUESTIONS, 2):
         found = None

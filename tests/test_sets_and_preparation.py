@@ -162,3 +162,27 @@ def test_round_trips(spark, tmp_path):
         raise AssertionError
     except FileNotFoundError as e:
         assert "Missing required table" in str(e)
+
+
+def test_pages_are_made_once_for_all_kinds_of_questions(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def text(k):
+        made.add(1)
+        return f"公司{k} 2025 年年度报告 单位：万元 营业收入 {k},000 研发投入 {k}00 资产总额 9{k} 风险因素"
+
+    pages = spark.range(20).select(
+        F.concat(F.lit("R"), F.col("id").cast("string")).alias("doc_id"),
+        F.concat(F.lit("R"), F.col("id").cast("string"), F.lit("_p8")).alias("page_id"),
+        F.lit(8).alias("page_index"),
+        F.udf(text, "string")("id").alias("page_text"),
+    )
+    assert pp.annotation_rows(pages, 9).where("answer_unit = '万元'").count() == 60
+    assert made.value == 20
+
+
+def test_a_node_is_scored_from_forms_of_its_own(spark):
+    row = {"raw_answer_value": "1,2 34", "answer": "1,234 万元", "question": "营业收入是多少", "value_evidence_text": "营业收入 1,234", "unit_evidence_text": None, "evidence_text": "", "answer_unit": "万元", "text": "营业收入  1,234 单位：万元"}
+    df = spark.createDataFrame([row], "raw_answer_value string, answer string, question string, value_evidence_text string, unit_evidence_text string, evidence_text string, answer_unit string, text string")
+    got = df.select("answer_unit", "text", *pp.annotation_forms(), *pp.node_forms()).select(pp.annotation_score().alias("s")).first()["s"]
+    assert got == 5 + 3.5 + 3.5 + 4 + 2 + 1
