@@ -3,6 +3,7 @@
 import pytest
 
 from pagelode import store
+from pagelode.operators import evidence as ev
 from pagelode.operators import retrieval as rt
 from pagelode.operators import scoring
 from pagelode.operators import sufficiency as sf
@@ -68,3 +69,26 @@ def test_fusion_reads_the_texts_once(spark, monkeypatch):
     built, build = [], TextIndex.build.__func__
     monkeypatch.setattr(TextIndex, "build", classmethod(lambda cls, *a, **b: built.append(1) or build(cls, *a, **b)))
     assert queries.rrf_fusion(spark, SMALL).count() and len(built) == 1
+
+
+def test_evidence_sets_leave_only_their_hits(spark, monkeypatch):
+    """What a slice of documents writes goes with it, and results don't depend on slices."""
+    shown = lambda: sorted(map(tuple, rq.report_evidence_set(spark, SMALL).collect()))
+    before = set(store._written)
+    whole = shown()
+    left = sorted(path.rsplit("/", 1)[1] for path in store._written if path not in before)
+    assert left == ["evidence_hits", "report_queries"] and len(whole) == 400
+    monkeypatch.setattr(ev, "SLICE", 30)
+    runs, run = [], ev._evidence_set
+    monkeypatch.setattr(ev, "_evidence_set", lambda *a: runs.append(1) or run(*a))
+    assert shown() == whole and len(runs) == 3
+
+
+def test_scores_by_asked_tokens_or_all(spark, monkeypatch):
+    """Only asked tokens of an item become rows; scopes that ask for many keep all, with the same scores."""
+    q, nodes = rq.report_queries(spark, SMALL), rq.report_nodes(spark, SMALL)
+    q, items = rt.with_scope(q, materialize(rt.node_items(nodes), "items"), "document")
+    shown = lambda: sorted((r["query_id"], r["item"], round(r["score"], 9)) for r in scoring.bm25(q, items).collect())
+    few = shown()
+    monkeypatch.setattr(scoring, "ASKED", 1)
+    assert len(few) > 50 and shown() == few
