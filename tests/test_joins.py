@@ -84,11 +84,12 @@ def test_evidence_sets_leave_only_their_hits(spark, monkeypatch):
     assert shown() == whole and len(runs) == 3
 
 
-def test_scores_by_asked_tokens_or_all(spark, monkeypatch):
-    """Only asked tokens of an item become rows; scopes that ask for many keep all, with the same scores."""
+@pytest.mark.parametrize("scorer", [scoring.bm25, scoring.tfidf])
+def test_scores_by_asked_tokens_or_all(spark, monkeypatch, scorer):
+    """Only asked tokens of an item are scored; scopes that ask for many keep all, with the same scores."""
     q, nodes = rq.report_queries(spark, SMALL), rq.report_nodes(spark, SMALL)
     q, items = rt.with_scope(q, materialize(rt.node_items(nodes), "items"), "document")
-    shown = lambda: sorted((r["query_id"], r["item"], round(r["score"], 9)) for r in scoring.bm25(q, items).collect())
+    shown = lambda: sorted((r["query_id"], r["item"], round(r["score"], 9)) for r in scorer(q, items).collect())
     few = shown()
     monkeypatch.setattr(scoring, "ASKED", 1)
     assert len(few) > 50 and shown() == few
